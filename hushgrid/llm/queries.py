@@ -5,18 +5,58 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from .common import table
+from . import decontaminate, langid, mixing, ngram_lm, quality, sharding, toxicity
+from .common import fold_of, scratch, table
 from .simhash import simhash_components
 
 
+def op2_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.select_mix(table(spark, sf_dir, "documents"))
+
+
+def op3_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.judge(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def op5_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), ["doc_id"])
+
+
+def op6_ngram_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text").withColumn("held_out", fold_of(F.col("doc_id"), 7) == 2)
+    model = ngram_lm.fit(docs.where(~F.col("held_out")), F.col("text"))
+    return model.score(docs, ["doc_id", "held_out"], F.col("text")).withColumn("train_tokens", F.lit(model.sums["tokens"]).cast("long"))
+
+
 def op7_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash_components(table(spark, sf_dir, "documents"))
 
 
+def op8_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang").withColumn("held_out", fold_of(F.col("doc_id"), 5) == 0)
+    model = langid.fit(docs.where(~F.col("held_out")), "text", "lang")
+    return langid.predict(docs, ["doc_id", "held_out"], F.col("text"), model)
+
+
+def op9_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    stored = sharding.shard_table(docs, scratch(spark, "shards"))
+    return stored.select("doc_id", F.md5(F.coalesce("text", F.lit("")).cast("binary")).alias("text_md5"), "shard", "level", "version")
+
+
+def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text").withColumn("held_out", fold_of(F.col("doc_id"), 4) == 2)
+    labels = table(spark, sf_dir, "labels").where(fold_of(F.col("doc_id"), 4) != 2)
+    model = toxicity.fit(docs, labels, "doc_id", "text", "toxic")
+    return toxicity.score(docs, ["doc_id", "held_out"], F.col("text"), model).withColumn("predicted", (F.col("score") >= 0.3).cast("int"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op7_simhash": op7_simhash}
+    every = (op2_mixing, op3_quality, op5_decontaminate, op6_ngram_lm, op7_simhash, op8_langid, op9_sharding, op10_toxicity)
+    return {q.__name__: q for q in every}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op2_mixing": mixing.oracle_sql()}
