@@ -29,31 +29,38 @@ UNITS = (
 )
 
 
-def _template(raw: str, i: str) -> str:
-    """SQL for the placeholder or folded form of word ``i`` of the array ``raw`` (from 0)."""
-    x, before = f"{raw}[{i}]", f"if({i} = 0, '.', {raw}[{i} - 1])"
-    digits = lambda w: f"translate({w}, '0123456789', '') != {w}"
-    units = ", ".join(f"'{u}'" for u in UNITS)
-    folded = f"translate(lower({x}), '.,;:!?\"()[]', '')"
-    return (
-        f"case when {digits(x)} then '<num>'"
-        f" when lower({x}) != {x} and right({before}, 1) not in ('.', '!', '?', ':') then '<name>'"
-        f" when {folded} in ({units}) and {digits(before)} then '<unit>' else {folded} end"
-    )
+_WORDS = [f"w{k}" for k in range(WINDOW)]
+NUM, NAME, UNIT = "\x01", "\x02", "\x03"
+_PUNCTUATION = '.,;:!?"()[]'
+
+
+def words(text: Column) -> Column:
+    """The words of a text; a placeholder is its mark followed by the value."""
+    plain = F.trim(F.regexp_replace(F.translate(F.coalesce(text, F.lit("")), NUM + NAME + UNIT, ""), r"[\x20\x09-\x0D]+", " "))
+    named = F.regexp_replace(plain, r"(?<=[^.!?:] )(?![^ ]*[0-9])(?=[^ ]*\p{Lu})[^ ]+", NAME + "$0")
+    counted = F.regexp_replace(named, r"(?<![^ ])[^ ]*[0-9][^ ]*", NUM + "$0")
+    measured = F.regexp_replace(counted, rf"({NUM}[^ ]+ )({'|'.join(UNITS)})(?=[ .,;:!?]|$)", f"$1{UNIT}$2")
+    marked = F.when(plain.rlike("[0-9]"), measured).otherwise(named)
+    return F.split(F.translate(F.lower(marked), _PUNCTUATION, ""), " ")
 
 
 def windows(df: DataFrame, keys: list[str], text: Column) -> DataFrame:
-    """``keys`` with pos, template (hash) and slots (values of the placeholders) of every telling window."""
-    raw = df.select(*keys, F.split(F.trim(F.translate(F.coalesce(text, F.lit("")), "\t\n\x0b\x0c\r", "     ")), " +").alias("raw")).where(F.size("raw") >= WINDOW)
-    tokens = raw.select(*keys, "raw", F.expr(f"transform(sequence(0, size(raw) - 1), i -> {_template('raw', 'i')})").alias("tpl"))
-    marked = tokens.select(
-        *keys, F.expr("transform(tpl, t -> xxhash64(t))").alias("h"),
-        F.expr("transform(tpl, (t, i) -> if(t in ('<num>', '<name>', '<unit>'), translate(raw[i], '.,;:!?\"()[]', ''), cast(null as string)))").alias("slot"),
-    )
-    hashed = ", ".join(f"h[i + {k}]" for k in range(WINDOW))
-    slots = ", ".join(f"slot[i + {k}]" for k in range(WINDOW))
-    each = F.expr(f"transform(sequence(0, size(h) - {WINDOW}), i -> struct(i as pos, xxhash64({hashed}) as template, array_compact(array({slots})) as slots))")
-    return marked.select(*keys, F.explode(F.filter(each, lambda w: F.size(w["slots"]) <= 2)).alias("w")).select(*keys, "w.*")
+    """``keys`` with pos, template (hash) and the words w0 to w4 of every telling window."""
+    tokens = df.select(*keys, words(text).alias("t"))
+    zipped = F.arrays_zip(*[F.slice("t", k + 1, F.size("t")).alias(f"w{k}") for k in range(WINDOW)])
+    ws = [F.col(f"w{k}") for k in range(WINDOW)]
+    each = tokens.select(*keys, F.posexplode(zipped).alias("pos", "w")).select(*keys, "pos", "w.*").where(ws[-1].isNotNull())
+    blanks = sum((_is_slot(w).cast("int") for w in ws[1:]), _is_slot(ws[0]).cast("int"))
+    template = F.xxhash64(*[F.when(_is_slot(w), F.left(w, F.lit(1))).otherwise(w) for w in ws])
+    return each.where(blanks <= 2).select(*keys, "pos", template.alias("template"), *ws)
+
+
+def _is_slot(w: Column) -> Column:
+    return (w >= NUM) & (w < "\x04")
+
+
+def _slots(names: list[str]) -> Column:
+    return F.filter(F.array(*names), lambda w: _is_slot(w))
 
 
 def contaminated(docs: DataFrame, benchmark: DataFrame, keys: list[str], text: str = "text", item_id: str = "item_id", item_text: str = "text") -> DataFrame:
@@ -61,13 +68,13 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, keys: list[str], text: s
     own = {k: f"_k{i}" for i, k in enumerate(keys)}
     items = benchmark.select(F.col(item_id).alias("_item"), F.col(item_text).alias("_text"))
     item_windows = materialize(
-        windows(items, ["_item"], F.col("_text")).select("_item", F.col("pos").alias("item_pos"), "template", F.col("slots").alias("item_slots")), "templates"
+        windows(items, ["_item"], F.col("_text")).select("_item", F.col("pos").alias("item_pos"), "template", _slots(_WORDS).alias("item_slots")), "templates"
     )
     totals = item_windows.groupBy("_item").agg(F.count("*").alias("total"))
     wanted = F.broadcast(item_windows) if item_windows.count() <= BROADCAST_WINDOWS else item_windows
     renamed = docs.select(*[F.col(f"`{k}`").alias(n) for k, n in own.items()], F.col(text).alias("_text"))
     hits = windows(renamed, [*own.values()], F.col("_text")).join(wanted, "template")
-    flat = hits.select(*own.values(), "_item", (F.col("pos") - F.col("item_pos")).alias("shift"), "item_pos", F.arrays_zip("item_slots", "slots").alias("pairs"))
+    flat = hits.select(*own.values(), "_item", (F.col("pos") - F.col("item_pos")).alias("shift"), "item_pos", F.arrays_zip("item_slots", _slots(_WORDS).alias("slots")).alias("pairs"))
     line = flat.groupBy(*own.values(), "_item", "shift").agg(F.collect_set("item_pos").alias("places"), F.array_distinct(F.flatten(F.collect_set("pairs"))).alias("pairs"))
     consistent = line.where(F.size(F.array_distinct(F.transform("pairs", lambda p: p["item_slots"]))) == F.size("pairs"))
     per_item = consistent.groupBy(*own.values(), "_item").agg(

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, langid, mixing, ngram_lm, quality, sharding, toxicity
+from . import decontaminate, langid, linededup, mixing, ngram_lm, quality, sharding, toxicity
 from .common import fold_of, scratch, table
 from .simhash import simhash_components
 
@@ -20,6 +20,11 @@ def op3_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.judge(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op4_linededup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = linededup.dedup_lines(table(spark, sf_dir, "documents"))
+    return out.select("doc_id", "lines_before", "lines_removed", F.md5(F.coalesce("text", F.lit("")).cast("binary")).alias("after_md5"))
+
+
 def op5_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), ["doc_id"])
 
@@ -54,9 +59,9 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    every = (op2_mixing, op3_quality, op5_decontaminate, op6_ngram_lm, op7_simhash, op8_langid, op9_sharding, op10_toxicity)
+    every = (op2_mixing, op3_quality, op4_linededup, op5_decontaminate, op6_ngram_lm, op7_simhash, op8_langid, op9_sharding, op10_toxicity)
     return {q.__name__: q for q in every}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_mixing": mixing.oracle_sql()}
+    return {"op2_mixing": mixing.oracle_sql(), "op4_linededup": linededup.oracle_sql()}
