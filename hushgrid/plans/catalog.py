@@ -4,16 +4,675 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
+
+from .. import kinds
+from ..functions import text as tx
+from ..functions import validators as v
+from ..operators import evaluate, findings, neural, ocr, redact, resolve, semantic, settings, spans
+from ..functions.patterns import RULES
+from ..sources.scratch import scratch
+from ..streaming import tokens
+from . import synthetic as syn
+
+Query = Callable[[SparkSession, str], DataFrame]
+_QUERIES: dict[str, Query] = {}
+_SQL: dict[str, str] = {}
+
+
+def register(name: str, sql: str | None = None):
+    def add(f: Query) -> Query:
+        _QUERIES[name] = f
+        if sql:
+            _SQL[name] = sql
+        return f
+
+    return add
+
+
+def t(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+_BY_KIND = {k: tuple(r for r in RULES if r.kind in k.split(",")) for k in ("email", "ipv4", "bank_card", "credential", "email,ipv4,bank_card,credential")}
+C = f"with c as ({syn.candidates_sql()})"
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id")
+    """doc_id, kind, n and the redacted text of documents with findings."""
+    docs = t(spark, sf_dir, "documents").select("doc_id", "text")
+    selected = resolve.select_spans(spans.detect(docs, ["doc_id"], "text", _BY_KIND["email,ipv4,bank_card,credential"]), ["doc_id"])
+    out = redact.redact(docs, selected, ["doc_id"], ["doc_id"]).select("doc_id", "status", F.length("redacted_text").alias("redacted_length"))
+    return findings.findings(selected, ["doc_id"]).select("doc_id", "kind", "n").join(out, "doc_id")
+
+
+register("redact_documents")(flagship)
+
+
+# detection over documents
+
+_EMAIL = r"[A-Za-z0-9.!#$%&''*+/=?^_`{|}~-]+@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+"
+
+
+@register("detect_email_spans", f"""
+    with d as (select doc_id, regexp_extract_all(text, '{_EMAIL}') as m, string_split_regex(text, '{_EMAIL}') as g from documents where contains(text, '@')),
+      e as (select doc_id, m, g, unnest(range(1, len(m) + 1)) as i from d)
+    select doc_id, (list_sum(list_transform(g[1:i], lambda x: length(x))) + coalesce(list_sum(list_transform(m[1:i - 1], lambda x: length(x))), 0))::int as start_at,
+      (list_sum(list_transform(g[1:i], lambda x: length(x))) + list_sum(list_transform(m[1:i], lambda x: length(x))))::int as end_at, lower(m[i]) as normalized from e""")
+def detect_email_spans(spark, sf_dir):
+    found = spans.detect(t(spark, sf_dir, "documents"), ["doc_id"], "text", _BY_KIND["email"])
+    return found.select("doc_id", F.col("start").alias("start_at"), F.col("end").alias("end_at"), "normalized")
+
+
+@register("detect_ipv4_values", r"""
+    with w as (select doc_id, unnest(string_split_regex(text, '[^0-9.]+')) as raw from documents)
+    select doc_id, raw, count(*) as n from w where regexp_full_match(raw, '([0-9]{1,3}\.){3}[0-9]{1,3}')
+      and list_max(list_transform(string_split(raw, '.'), lambda x: x::int)) <= 255 and string_split(raw, '.')[1]::int <> 127
+      and raw not in ('0.0.0.0', '255.255.255.255') group by all""")
+def detect_ipv4_values(spark, sf_dir):
+    return spans.detect(t(spark, sf_dir, "documents"), ["doc_id"], "text", _BY_KIND["ipv4"]).groupBy("doc_id", "raw").agg(F.count("*").alias("n"))
+
+
+@register("detect_cards")
+def detect_cards(spark, sf_dir):
+    return spans.detect(t(spark, sf_dir, "documents"), ["doc_id"], "text", _BY_KIND["bank_card"]).select("doc_id", "start", "end", "raw")
+
+
+@register("detect_credentials")
+def detect_credentials(spark, sf_dir):
+    return spans.detect(t(spark, sf_dir, "documents"), ["doc_id"], "text", _BY_KIND["credential"]).select("doc_id", "start", "end", "normalized")
+
+
+@register("detect_all_kinds")
+def detect_all_kinds(spark, sf_dir):
+    """All rules over all documents in one pass, resolved and counted."""
+    found = spans.detect(t(spark, sf_dir, "documents"), ["doc_id"], "text")
+    return findings.findings(resolve.select_spans(found, ["doc_id"]), ["doc_id"])
+
+
+@register("detect_conversations")
+def detect_conversations(spark, sf_dir):
+    found = spans.detect(t(spark, sf_dir, "conversations"), ["conv_id", "turn"], "text")
+    per = findings.findings(resolve.select_spans(found, ["conv_id", "turn"]), ["conv_id", "turn"]).groupBy("conv_id", "turn").agg(F.sum("n").alias("n"))
+    return t(spark, sf_dir, "conversations").select("conv_id", "turn").join(per, ["conv_id", "turn"], "left").select("conv_id", "turn", F.coalesce("n", F.lit(0)).alias("n"))
+
+
+@register("custom_terms", """
+    select c_custkey as doc_id, count(*) as n from (select c_custkey, unnest(regexp_extract_all(concat('client ', c_name, ' in ', c_mktsegment, ', again ', c_mktsegment), 'BUILDING|MACHINERY')) from customer) group by 1""")
+def custom_terms(spark, sf_dir):
+    docs = t(spark, sf_dir, "customer").select(F.col("c_custkey").alias("doc_id"), F.concat(F.lit("client "), "c_name", F.lit(" in "), "c_mktsegment", F.lit(", again "), "c_mktsegment").alias("text"))
+    return spans.detect(docs, ["doc_id"], "text", (), ["MACHINERY", "BUILDING", " BUILDING "]).groupBy("doc_id").agg(F.count("*").alias("n"))
+
+
+def _rule_query(name: str, value: Callable[[Column], Column], around: str, kind: str, when: str, good: Callable[[Column], Column] | None = None):
+    """A rule over text made from customer keys; the answer follows from the key."""
+
+    @register(f"rule_{name}", f"select c_custkey as doc_id, count(*) as n from customer where {when} group by 1")
+    def run(spark, sf_dir):
+        k = F.col("c_custkey")
+        before, after = around.split("|")
+        docs = t(spark, sf_dir, "customer").select(k.alias("doc_id"), F.concat(F.lit(before), value(k), F.lit(after)).alias("text"))
+        found = spans.detect(docs, ["doc_id"], "text", tuple(r for r in RULES if r.kind == kind))
+        return resolve.select_spans(found, ["doc_id"]).groupBy("doc_id").agg(F.count("*").alias("n"))
+
+
+_even = lambda k: k % 2 == 0
+_hex = lambda k, n: F.lpad(F.hex(k * 2654435761 % (1 << 48)), n, "0")
+for _args in (
+    ("phone", syn.phone, "请联系 |，谢谢。", "phone", "true"),
+    ("china_id", lambda k: syn.china_id(k, _even(k)), "编码 | 已核对", "china_id", "c_custkey % 2 = 0"),
+    ("bank_card", lambda k: syn.card(k, _even(k)), "付款 | 完成", "bank_card", "c_custkey % 2 = 0"),
+    ("uscc", lambda k: syn.uscc(k, _even(k)), "单位 | 备案", "unified_social_credit_code", "c_custkey % 2 = 0"),
+    ("vin", lambda k: syn.vin(k, _even(k)), "车辆 | 入库", "labeled_identifier", "c_custkey % 2 = 0"),
+    ("mac_address", lambda k: F.concat_ws(":", *[F.substring(_hex(k, 12), 2 * i + 1, 2) for i in range(6)]), "device | up", "mac_address", "true"),
+    ("ipv6", lambda k: F.concat(F.lit("2001:db8::"), F.lower(F.hex(k % 65535 + 1))), "host | up", "ipv6", "true"),
+    ("api_key", lambda k: F.concat(F.when(_even(k), "sk-").otherwise("sk_"), F.lpad(k.cast("string"), 24, "a")), "key | end", "api_key", "c_custkey % 2 = 0"),
+    ("access_token", lambda k: F.concat(F.lit("eyJabcdef."), F.lpad(k.cast("string"), 8, "b"), F.when(_even(k), ".sigsig").otherwise("")), "jwt | end", "access_token", "c_custkey % 2 = 0"),
+    ("private_key", lambda k: F.concat(F.lit("-----BEGIN RSA PRIVATE KEY-----\n"), k.cast("string"), F.lit("\n-----END RSA PRIVATE KEY-----")), "a | b", "private_key", "true"),
+    ("connection_string", lambda k: F.concat(F.when(_even(k), "postgresql").otherwise("gopher"), F.lit("://u:p@db"), k.cast("string"), F.lit("/app")), "at | now", "connection_string", "c_custkey % 2 = 0"),
+    ("private_url", lambda k: F.concat(F.lit("https://pan.baidu.com/s/"), F.lpad(k.cast("string"), 10, "x"), F.lit("?pwd=abcd12")), "see | ok", "private_url", "true"),
+    ("passport", lambda k: F.concat(F.when(_even(k), "E").otherwise("Q"), F.lpad(k.cast("string"), 8, "0")), "证件 | 有效", "passport", "c_custkey % 2 = 0"),
+    ("license_plate", lambda k: F.concat(F.lit("京A·"), F.lpad((k % 100000).cast("string"), 5, "0")), "停放 | 一辆", "license_plate", "true"),
+    ("local_path", lambda k: F.concat(F.lit("/home/user"), k.cast("string"), F.lit("/notes.txt")), "open | now", "local_path", "true"),
+    ("court_case", lambda k: F.concat(F.lit("（2023）京01民初"), (k % 10000).cast("string"), F.lit("号")), "依据 | 判决", "labeled_identifier", "true"),
+    ("labeled_identifier", lambda k: F.concat(F.when(_even(k), "合同编号：").otherwise("随便写写"), F.lit("HT-"), k.cast("string")), "| 归档", "labeled_identifier", "c_custkey % 2 = 0"),
+    ("labeled_account", lambda k: F.concat(F.when(_even(k), "微信号：").otherwise("留言板"), F.lit("wx_"), k.cast("string")), "| 可联系", "account", "c_custkey % 2 = 0"),
+    ("labeled_date", lambda k: F.concat(F.lit("生日："), (F.lit(1950) + k % 50).cast("string"), F.lit("年"), (k % 12 + 1).cast("string"), F.lit("月1日")), "他| 出生", "private_date", "true"),
+    ("bank_account", lambda k: F.concat(F.lit("对公账号："), F.lpad(k.cast("string"), 12, "6")), "| 汇入", "bank_account", "true"),
+    ("bearer", lambda k: F.concat(F.when(_even(k), "Bearer ").otherwise("Carrier "), F.lpad(k.cast("string"), 12, "t")), "Authorization, | end", "credential", "c_custkey % 2 = 0"),
+    ("credential", lambda k: F.concat(F.lit("password="), F.lit("p"), k.cast("string")), "x |, next", "credential", "true"),
+    ("labeled_person", lambda k: F.concat(F.lit("联系人："), F.when(_even(k), "张伟明").otherwise("公司前台")), "|，已确认", "person_name", "c_custkey % 2 = 0"),
+    ("context_person", lambda k: F.concat(F.lit("我叫"), F.when(_even(k), "李建国").otherwise("什么名字")), "你好，|，谢谢", "person_name", "c_custkey % 2 = 0"),
+    ("context_address", lambda k: F.concat(F.lit("住在上海市浦东新区世纪大道"), (k % 500 + 1).cast("string"), F.lit("号")), "他|，很近", "address", "true"),
+):
+    _rule_query(*_args)
+
+
+# validators and scalar functions over keys
+
+_CHECKS = {
+    "china_id": (lambda k: v.china_id(syn.china_id(k, k % 3 == 0)), "c_custkey % 3 = 0"),
+    "luhn": (lambda k: v.luhn(syn.card(k, k % 3 == 0)), "c_custkey % 3 = 0"),
+    "uscc": (lambda k: v.uscc(syn.uscc(k, k % 3 == 0)), "c_custkey % 3 = 0"),
+    "vin": (lambda k: v.vin(syn.vin(k, k % 3 == 0)), "c_custkey % 3 = 0"),
+    "ipv4": (lambda k: v.ipv4(F.concat_ws(".", (k % 300).cast("string"), F.lit("10"), (k % 7).cast("string"), F.lit("1"))), "c_custkey % 300 <= 255 and c_custkey % 300 <> 127"),
+    "ipv6": (lambda k: v.ipv6(F.concat(F.lit("2001:db8:"), F.when(k % 2 == 0, ":").otherwise("0:"), F.lower(F.hex(k % 4096 + 16)))), "c_custkey % 2 = 0"),
+    "mac": (lambda k: v.mac(F.concat(F.lit("00-00-00-00-00-"), F.lpad(F.hex(k % 256), 2, "0"))), "c_custkey % 256 <> 0"),
+    "invoice": (lambda k: v.invoice(F.lpad(k.cast("string"), (k % 2 + 19).cast("int"), F.lit("1"))), "c_custkey % 2 = 1"),
+    "court_case": (lambda k: v.court_case(F.concat(F.lit("（2020）沪"), F.when(k % 2 == 0, "民").otherwise("某"), F.lit("初"), k.cast("string"), F.lit("号"))), "c_custkey % 2 = 0"),
+    "medical_record": (lambda k: v.medical_record(k.cast("string")), "length(c_custkey::varchar) between 6 and 18"),
+    "private_date": (lambda k: v.private_date(F.concat_ws("-", (F.lit(1890) + k % 200).cast("string"), F.lit("02"), (k % 31 + 1).cast("string")), 2030), "1890 + c_custkey % 200 between 1900 and 2030 and try_cast((1890 + c_custkey % 200) || '-02-' || lpad((c_custkey % 31 + 1)::varchar, 2, '0') as date) is not null"),
+    "bank_account": (lambda k: v.bank_account(F.concat(F.lit("AB "), F.when(k % 2 == 0, k.cast("string")).otherwise("CD"), F.lit("-EFGH"))), "c_custkey % 2 = 0"),
+    "plausible_id": (lambda k: v.plausible_id(syn.china_id(k, k % 2 == 0), 1990), "1950 + c_custkey % 50 <= 1990"),
+    "placeholder": (lambda k: v.placeholder_value(F.when(k % 4 == 0, "待 定").when(k % 4 == 1, "N/A").when(k % 4 == 2, "详见附件三").otherwise(k.cast("string"))), "c_custkey % 4 <> 3"),
+    "organization": (lambda k: v.organization_value(F.when(k % 2 == 0, "某某科技 有限").otherwise("张三丰")), "c_custkey % 2 = 0"),
+    "spoken_number": (lambda k: tx.spoken_number(F.translate(syn.phone(k), "0123456789", "零幺二三四五六七八九")) == syn.phone(k), "true"),
+    "obfuscated_email": (lambda k: tx.obfuscated_email(F.concat(F.lit("user"), k.cast("string"), F.element_at(F.array(*map(F.lit, ("[at]", " at ", "_at_", "艾特"))), (k % 4 + 1).cast("int")), F.lit("mail[dot]com"))) == F.concat(F.lit("user"), k.cast("string"), F.lit("@mail.com")), "true"),
+    "not_a_card": (lambda k: v.not_a_card_context(tx.context(F.concat(F.when(k % 2 == 0, "校验码").otherwise("付款码"), F.lit(" 12345")), F.lit(4), F.lit(9))), "c_custkey % 2 = 0"),
+}
+
+
+def _check_query(name: str, check: Callable[[Column], Column], answer: str):
+    @register(f"check_{name}", f"select c_custkey as k, ({answer}) as ok from customer")
+    def run(spark, sf_dir):
+        return t(spark, sf_dir, "customer").select(F.col("c_custkey").alias("k"), check(F.col("c_custkey")).alias("ok"))
+
+
+for _name, (_check, _answer) in _CHECKS.items():
+    _check_query(_name, _check, _answer)
+
+
+@register("canonical_values", """
+    select c_custkey as k, '138' || lpad((c_custkey % 100000000)::varchar, 8, '0') as phone, lower(c_name) || '@x.io' as email, 'ID-' || c_custkey as china_id,
+      '京A' || lpad((c_custkey % 100000)::varchar, 5, '0') as plate, 'bob' || c_custkey as account, '1990-1-' || (c_custkey % 28 + 1) as birthday from customer""")
+def canonical_values(spark, sf_dir):
+    k = F.col("c_custkey")
+    n = F.lpad((k % 100000000).cast("string"), 8, "0")
+    value = lambda kind, c: tx.canonical(F.lit(kind), c)
+    return t(spark, sf_dir, "customer").select(
+        k.alias("k"), value("phone", F.concat(F.lit("138 "), F.substring(n, 1, 4), F.lit("－"), F.substring(n, 5, 4))).alias("phone"),
+        value("email", F.concat(F.upper("c_name"), F.lit("@X.io"))).alias("email"), value("china_id", F.concat(F.lit("id-"), k.cast("string"))).alias("china_id"),
+        value("license_plate", F.concat(F.lit("京a·"), F.lpad((k % 100000).cast("string"), 5, "0"))).alias("plate"), value("account", F.concat(F.lit("@bob"), k.cast("string"))).alias("account"),
+        value("private_date", F.concat(F.lit("1990年1月"), (k % 28 + 1).cast("string"), F.lit("日"))).alias("birthday"),
+    )
+
+
+@register("masked_values", """
+    select c_custkey as k, '138****' || right(lpad((c_custkey % 100000000)::varchar, 8, '0'), 4) as phone, 'C***@x.io' as email,
+      '4000********' || right(lpad((c_custkey % 1000000)::varchar, 12, '0'), 4) as card, '<address>' as address,
+      '<手机号-' || case when c_custkey < 1000 then lpad(c_custkey::varchar, 3, '0') else c_custkey::varchar end || '>' as surrogate from customer""")
+def masked_values(spark, sf_dir):
+    k = F.col("c_custkey")
+    m = lambda kind, c: tx.mask(F.lit(kind), c)
+    return t(spark, sf_dir, "customer").select(
+        k.alias("k"), m("phone", F.concat(F.lit("138"), F.lpad((k % 100000000).cast("string"), 8, "0"))).alias("phone"), m("email", F.concat(F.lit("Cust"), k.cast("string"), F.lit("@x.io"))).alias("email"),
+        m("bank_card", F.concat(F.lit("4000"), F.lpad((k % 1000000).cast("string"), 12, "0"))).alias("card"), m("address", F.lit("x")).alias("address"), tx.surrogate(F.lit("phone"), k).alias("surrogate"),
+    )
+
+
+@register("markup_text", r"""
+    select page_id, md5(trim(regexp_replace(replace(replace(replace(replace(replace(regexp_replace(html, '<[^>]*>', ' ', 'g'), '&lt;', '<'), '&gt;', '>'), '&quot;', '"'), '&apos;', ''''), '&amp;', '&'), '[ \t\r\n]+', ' ', 'g'))) as text_md5,
+      len(regexp_extract_all(html, '(?i)\b(?:target|href|location|display)="([^"]*)"')) as links from pages""")
+def markup_text(spark, sf_dir):
+    return t(spark, sf_dir, "pages").select("page_id", F.md5(tx.markup_to_text(F.col("html")).cast("binary")).alias("text_md5"), F.size(tx.link_targets(F.col("html"))).cast("long").alias("links"))
+
+
+@register("file_formats", """
+    with n as (select page_id, 'f' || page_id || case page_id % 8 when 0 then '.TXT' when 1 then '.docx' when 2 then '.xlsx' when 3 then '.PDF' when 4 then '.webp' when 5 then '.md' when 6 then '.exe' else '' end as name from pages)
+    select page_id, case page_id % 8 when 0 then 'text' when 1 then 'docx' when 2 then 'xlsx' when 3 then 'pdf' when 4 then 'image' when 5 then 'text' else 'unknown' end as format from n""")
+def file_formats(spark, sf_dir):
+    ext = F.element_at(F.array(*map(F.lit, (".TXT", ".docx", ".xlsx", ".PDF", ".webp", ".md", ".exe", ""))), (F.col("page_id") % 8 + 1).cast("int"))
+    return t(spark, sf_dir, "pages").select("page_id", tx.file_format(F.concat(F.lit("f"), F.col("page_id").cast("string"), ext)).alias("format"))
+
+
+# relational operators over derived candidates
+
+_RANK = "case when policy = 'block' or (policy is null and decision = 'block') then 3 when policy = 'confirm' then 2 else 1 end"
+_INF = "coalesce(source = 'semantic' or (source = 'context' and kind in ('person_name', 'address', 'account')), false)"
+_PRIO = "case kind " + " ".join(f"when '{k[0]}' then {k[1]}" for k in kinds.KINDS) + " end"
+_ORDER = f"case when {_RANK} = 3 then 0 else 1 end, {_INF}::int, -{_RANK}, case when decision = 'block' then 0 else 1 end, -(case when source = 'structured' then 3 when source is null then 2 when source = 'context' then 1 else 0 end), start_, start_ - end_, {_PRIO}, seq"
+_SELECT = f"""{C}, o as (select *, row_number() over (partition by doc_id order by {_ORDER}) as ord from c),
+  s as (with recursive r(doc_id, ord, acc) as (select doc_id, 1::bigint, [(start_, end_, ord)] from o where ord = 1
+    union all select o.doc_id, o.ord, case when len(list_filter(r.acc, lambda y: y[1] < o.end_ and o.start_ < y[2])) > 0 then r.acc else list_append(r.acc, (o.start_, o.end_, o.ord)) end from r join o on o.doc_id = r.doc_id and o.ord = r.ord + 1)
+    select o.* from (select doc_id, unnest(acc) as a from r where ord = 5) x join o on o.doc_id = x.doc_id and o.ord = x.a[3])"""
+
+
+@register("rank_and_order", f"{C} select doc_id, seq, {_RANK} as rank, {_INF} as inferred, (row_number() over (partition by doc_id order by {_ORDER}))::int as ord from c")
+def rank_and_order(spark, sf_dir):
+    c = resolve.ranked(syn.candidates(spark, sf_dir), ["doc_id"])
+    return c.select("doc_id", "seq", resolve.rank(F.col("policy"), F.col("decision")).alias("rank"), resolve.inferred(F.col("kind"), F.col("source")).alias("inferred"), "ord")
+
+
+def _selected(spark, sf_dir):
+    return resolve.select_spans(syn.candidates(spark, sf_dir), ["doc_id"])
+
+
+@register("select_spans", f"{_SELECT} select doc_id, kind, start_ as start_at, end_ as end_at, raw from s")
+def select_spans(spark, sf_dir):
+    return _selected(spark, sf_dir).select("doc_id", "kind", F.col("start").alias("start_at"), F.col("end").alias("end_at"), "raw")
+
+
+@register("findings", f"""{_SELECT} select doc_id, kind, count(*) as n, bool_or({_INF}) as inferred, arg_max(decision, {_RANK} * 1000 - start_) as decision, min(start_)::int as first_start from s group by doc_id, kind""")
+def findings_query(spark, sf_dir):
+    return findings.findings(_selected(spark, sf_dir), ["doc_id"]).select("doc_id", "kind", "n", "inferred", "decision", "first_start")
+
+
+@register("confirmation_text", f"""{_SELECT}, f as (select doc_id, kind, count(*) as n, min(start_) as first_start from s group by all)
+    select doc_id, string_agg(kind || ' ' || n || ' 项', '，' order by first_start, kind) as message from f group by doc_id""")
+def confirmation_text(spark, sf_dir):
+    return findings.confirmation_text(findings.findings(_selected(spark, sf_dir), ["doc_id"]), ["doc_id"])
+
+
+@register("send_action", f"""{_SELECT}, a as (select doc_id, case when bool_or(coalesce(policy = 'block', false)) then 'block' when bool_or(coalesce(policy = 'confirm', false) or decision = 'block') then 'confirm' else 'replace' end as action,
+      bool_or(decision = 'block') as blocked from s group by 1) select doc_id, action, blocked from a""")
+def send_action(spark, sf_dir):
+    s = _selected(spark, sf_dir)
+    return redact.action(s, ["doc_id"]).join(s.groupBy("doc_id").agg(F.bool_or(F.col("decision") == "block").alias("blocked")), "doc_id")
+
+
+_PREFIX = "case kind " + " ".join(f"when '{k[0]}' then '{k[2]}'" for k in kinds.KINDS) + " end"
+_TOKENS = f"""{_SELECT}, f as (select doc_id % 100 as session, kind, raw as normalized, min(doc_id * 1000 + start_) as first_at from s group by all),
+  k as (select *, row_number() over (partition by session, kind order by first_at, normalized) as n from f),
+  tok as (select session, kind, normalized, n, '[[' || {_PREFIX} || '_' || case when n < 1000 then lpad(n::varchar, 3, '0') else n::varchar end || ']]' as token from k)"""
+
+
+@register("session_tokens", f"{_TOKENS} select session, kind, normalized, n::int as n, token from tok")
+def session_tokens(spark, sf_dir):
+    s = _selected(spark, sf_dir).withColumn("session", F.col("doc_id") % 100)
+    return redact.number_tokens(s, ["session"], ["doc_id", "start"]).select("session", "kind", "normalized", "n", "token")
+
+
+@register("rewrite_text", f"""{_TOKENS}, d as (select o_orderkey as doc_id, repeat('0123456789', 6) as text from orders),
+  p as (select s.doc_id, s.start_, s.end_, token, coalesce(lag(s.end_) over (partition by s.doc_id order by s.start_), 0) as before from s join tok on tok.session = s.doc_id % 100 and tok.kind = s.kind and tok.normalized = s.raw)
+  select d.doc_id, string_agg(substr(text, before + 1, start_ - before) || token, '' order by start_) || any_value(substr(text, (select max(end_) from p q where q.doc_id = d.doc_id) + 1)) as redacted_text from d join p using (doc_id) group by d.doc_id""")
+def rewrite_text(spark, sf_dir):
+    s = _selected(spark, sf_dir).withColumn("session", F.col("doc_id") % 100)
+    docs = t(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("doc_id"), F.repeat(F.lit("0123456789"), F.lit(6)).alias("text"))
+    named = s.join(redact.number_tokens(s, ["session"], ["doc_id", "start"]).select("session", "kind", "normalized", "n"), ["session", "kind", "normalized"])
+    return redact.rewrite(docs, named.select("doc_id", "start", "end", tx.token(F.col("kind"), F.col("n")).alias("replacement")), ["doc_id"]).select("doc_id", "redacted_text")
+
+
+@register("detokenize", f"""{_TOKENS}, first as (select doc_id % 100 as session, kind, raw as normalized, raw from s group by all)
+    select o_orderkey as doc_id, tok.token, tok.normalized as raw from orders join tok on tok.session = o_orderkey % 100 and tok.kind = 'phone' and tok.n = 1 + o_custkey % 3""")
+def detokenize(spark, sf_dir):
+    s = _selected(spark, sf_dir).withColumn("session", F.col("doc_id") % 100)
+    known = redact.number_tokens(s, ["session"], ["doc_id", "start"])
+    text = F.concat(F.lit("reply "), tx.token(F.lit("phone"), F.col("o_custkey") % 3 + 1), F.lit(" and [[NOPE_001]]"))
+    docs = t(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("doc_id"), (F.col("o_orderkey") % 100).alias("session"), text.alias("text"))
+    return redact.detokenize(docs, known, ["doc_id"], ["session"])
+
+
+@register("highlight_segments", f"""{C}, e as (select doc_id, start_ as x from c union select doc_id, end_ from c),
+  u as (select doc_id, x, lead(x) over (partition by doc_id order by x) as y from e),
+  b as (select u.doc_id, u.x, u.y, arg_min(kind, {_PRIO}) as kind from u join c on c.doc_id = u.doc_id and c.start_ < u.y and u.x < c.end_ where u.y is not null group by all),
+  m as (select *, case when lag(y) over w = x and lag(kind) over w = kind then 0 else 1 end as new from b window w as (partition by doc_id order by x)),
+  i as (select *, sum(new) over (partition by doc_id order by x) as island from m)
+  select doc_id, kind, min(x)::int as start_at, max(y)::int as end_at from i group by doc_id, island, kind""")
+def highlight_segments(spark, sf_dir):
+    h = resolve.highlights(syn.candidates(spark, sf_dir), ["doc_id"])
+    return h.select("doc_id", "kind", F.col("start").alias("start_at"), F.col("end").alias("end_at"))
+
+
+@register("contained_spans", f"""{C}, g as (select distinct doc_id % 500 as g, kind, start_, end_ from c),
+  r as (select *, max(end_) over (partition by g, kind order by start_, end_ desc rows between unbounded preceding and 1 preceding) as reach from g)
+  select g, kind, start_ as start_at, end_ as end_at from r where end_ > coalesce(reach, -1)""")
+def contained_spans(spark, sf_dir):
+    c = syn.candidates(spark, sf_dir).withColumn("g", F.col("doc_id") % 500)
+    return resolve.drop_contained(c, ["g"]).select("g", "kind", F.col("start").alias("start_at"), F.col("end").alias("end_at"))
+
+
+_ALLOW = """a as (select 'V' || c_custkey || '-' || (c_custkey % 3) as value, case when c_custkey % 3 = 0 then 'global' when c_custkey % 3 = 1 then 'site' else 'session' end as scope,
+  case when c_custkey % 2 = 0 then timestamp '2030-01-02 00:00:00' end as expires_at from customer where c_custkey < 50)"""
+
+
+@register("allowlist_filter", f"""{C}, {_ALLOW} select doc_id, seq, kind, raw from c where not exists (select 1 from a where a.value = c.raw and
+    (scope = 'session' or (scope = 'site' and expires_at is not null) or kind not in ('api_key', 'access_token', 'private_key', 'private_url', 'connection_string', 'credential')))""")
+def allowlist_filter(spark, sf_dir):
+    k = F.col("c_custkey")
+    entries = t(spark, sf_dir, "customer").where(k < 50).select(
+        F.concat(F.lit("V"), k.cast("string"), F.lit("-"), (k % 3).cast("string")).alias("value"), F.element_at(F.array(*map(F.lit, ("global", "site", "session"))), (k % 3 + 1).cast("int")).alias("scope"),
+        F.lit("S").alias("site_id"), F.when(k % 2 == 0, F.lit("2030-01-02").cast("timestamp")).alias("expires_at"),
+    )
+    allow = resolve.effective_allowlist(entries.where("scope != 'session'"), entries.where("scope = 'session'"), "S", "2030-01-01 12:00:00")
+    return resolve.allowlisted(syn.candidates(spark, sf_dir), allow).select("doc_id", "seq", "kind", "raw")
+
+
+@register("merged_allowlists", """
+    with u as (select c_name as value, 's' || (c_custkey % 5) as site_id, case when c_custkey % 3 > 0 then timestamp '2030-01-01' + to_days((c_custkey % 30)::int) end as expires_at from customer
+      union all select c_name, 's' || (c_custkey % 5), case when c_custkey % 4 > 0 then timestamp '2030-01-01' + to_days((c_custkey % 17)::int) end from customer)
+    select value, site_id, case when count(*) = count(expires_at) then max(expires_at) end as expires_at from u group by 1, 2""")
+def merged_allowlists(spark, sf_dir):
+    k = F.col("c_custkey")
+
+    def side(m: int, d: int) -> DataFrame:
+        at = F.timestamp_add("DAY", (k % d).cast("int"), F.lit("2030-01-01").cast("timestamp"))
+        return t(spark, sf_dir, "customer").select(F.col("c_name").alias("value"), F.concat(F.lit("s"), (k % 5).cast("string")).alias("site_id"), F.when(k % m > 0, at).alias("expires_at"))
+
+    return resolve.merge_allowlists(side(3, 30), side(4, 17))
+
+
+_POL = "p as (select n_nationkey as i, " + syn._kind("n_nationkey") + " as kind, case n_nationkey % 3 when 0 then 'replace' when 1 then 'confirm' else 'block' end as action from nation where n_nationkey < 18)"
+
+
+def _policies(spark, sf_dir):
+    n = F.col("n_nationkey")
+    return t(spark, sf_dir, "nation").where(n < 18).select(F.element_at(F.array(*map(F.lit, kinds.NAMES)), (n % 24 + 1).cast("int")).alias("kind"), F.element_at(F.array(*map(F.lit, ("replace", "confirm", "block"))), (n % 3 + 1).cast("int")).alias("action"), n.alias("seq"))
+
+
+@register("category_policies", f"""{C}, {_POL} select doc_id, seq, c.kind, case when action <> 'replace' then 'block' else decision end as decision,
+    case when action = 'replace' and policy = 'confirm' then 'confirm' else coalesce(action, policy) end as policy from c left join p using (kind)""")
+def category_policies(spark, sf_dir):
+    return resolve.with_policy(syn.candidates(spark, sf_dir), _policies(spark, sf_dir)).select("doc_id", "seq", "kind", "decision", "policy")
+
+
+@register("site_policies", f"""with {_POL}, o as (select {syn._kind('n_nationkey * 2')} as kind, n_nationkey as seq, case n_nationkey % 2 when 0 then 'block' else 'confirm' end as action from nation),
+    l as (select kind, arg_max(action, seq) as over_ from o group by 1) select kind, coalesce(over_, action) as action from p full join l using (kind)""")
+def site_policies(spark, sf_dir):
+    n = F.col("n_nationkey")
+    overlay = t(spark, sf_dir, "nation").select(F.element_at(F.array(*map(F.lit, kinds.NAMES)), ((n * 2) % 24 + 1).cast("int")).alias("kind"), n.alias("seq"), F.when(n % 2 == 0, "block").otherwise("confirm").alias("action"), F.lit("S").alias("site_id"))
+    return resolve.site_policies(_policies(spark, sf_dir), overlay, "S")
+
+
+_GOLD = "g as (select doc_id, kind, start_ + 2 as start_, end_ + 1 as end_ from c where seq < 2), q as (select * from c where seq >= 2)"
+
+
+def _gold(spark, sf_dir):
+    c = syn.candidates(spark, sf_dir)
+    return c.where("seq < 2").select("doc_id", "kind", (F.col("start") + 2).alias("start"), (F.col("end") + 1).alias("end")), c.where("seq >= 2").select("doc_id", "kind", "start", "end", "seq")
+
+
+@register("overlap_join", f"{C}, {_GOLD} select g.doc_id, g.start_ as gold_start, q.seq from g join q on g.doc_id = q.doc_id and g.start_ < q.end_ and q.start_ < g.end_")
+def overlap_join(spark, sf_dir):
+    g, q = _gold(spark, sf_dir)
+    return resolve.overlap_join(g, q, ["doc_id"]).select("l.doc_id", F.col("l.start").alias("gold_start"), "r.seq")
+
+
+@register("uncovered_gold", f"{C}, {_GOLD} select g.doc_id, g.start_ as gold_start from g where not exists (select 1 from q where g.doc_id = q.doc_id and g.start_ < q.end_ and q.start_ < g.end_)")
+def uncovered_gold(spark, sf_dir):
+    g, q = _gold(spark, sf_dir)
+    return evaluate.uncovered(g, q, ["doc_id"]).select("doc_id", F.col("start").alias("gold_start"))
+
+
+@register("classify_expected", f"""{C}, {_GOLD}, e as (select distinct doc_id, kind, start_, end_ from g),
+    l as (select e.*, max(case when q.start_ < e.end_ and e.start_ < q.end_ then case when q.kind = e.kind then case when q.start_ = e.start_ and q.end_ = e.end_ then 3 else 2 end else 1 end else 0 end) as l from e left join q using (doc_id) group by all)
+    select doc_id, kind, start_ as gold_start, case l when 3 then 'exact' when 2 then 'partial' when 1 then 'wrong_kind' else 'none' end as outcome from l""".replace("select e.*,", "select e.doc_id, e.kind, e.start_, e.end_,"))
+def classify_expected(spark, sf_dir):
+    g, q = _gold(spark, sf_dir)
+    return evaluate.classify(g, q, ["doc_id"]).select("doc_id", "kind", F.col("start").alias("gold_start"), "outcome")
+
+
+@register("leak_rates", f"""{C}, {_GOLD}, gp as (select distinct doc_id, unnest(range(start_, end_)) as p from g where doc_id % 4 > 0), qp as (select distinct doc_id, unnest(range(start_, end_)) as p from q where doc_id % 3 > 0),
+    d as (select gp.doc_id, count(*) as n, count(qp.p) as k from gp left join qp using (doc_id, p) group by 1),
+    a as (select o_orderkey as doc_id, n, k, exists (select 1 from qp where qp.doc_id = o_orderkey) as h from orders left join d on d.doc_id = o_orderkey)
+    select round(1 - sum(k) / sum(n), 6) as character_leak_rate, round(count(*) filter (where n is not null and k = 0) / count(*) filter (where n is not null), 6) as full_exposure_rate,
+      round(count(*) filter (where n is null and h) / count(*) filter (where n is null), 6) as clean_pollution_rate from a""")
+def leak_rates(spark, sf_dir):
+    g, q = _gold(spark, sf_dir)
+    docs = t(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("doc_id"))
+    out = evaluate.rates(docs, g.where("doc_id % 4 > 0"), q.where("doc_id % 3 > 0"), ["doc_id"])
+    return out.select(*[F.round(c, 6).alias(c) for c in out.columns])
+
+
+@register("reject_benefit", f"""{C}, {_GOLD}, s as (select q.*, exists (select 1 from g where g.doc_id = q.doc_id and g.start_ < q.end_ and q.start_ < g.end_) as right_ from q)
+    select count(*) filter (where not right_) as removed_false, count(*) filter (where right_) as removed_true from s where kind in ('person_name', 'address')""")
+def reject_benefit(spark, sf_dir):
+    g, q = _gold(spark, sf_dir)
+    return evaluate.reject_benefit(q, g, ["doc_id"], F.col("kind").isin("person_name", "address"))
+
+
+@register("regression_gate", """
+    with s as (select n_name as name from nation), d as (select n_name as name, n_nationkey % 2 as deletions from nation where n_nationkey % 5 > 0)
+    select bool_or(deletions is null or deletions > 0) as failed from s left join d using (name)""")
+def regression_gate(spark, sf_dir):
+    n = t(spark, sf_dir, "nation").withColumn("name", F.col("n_name"))
+    return evaluate.gate(n.where("n_nationkey % 5 > 0").select("name", (F.col("n_nationkey") % 2).alias("deletions")), n.select("name"))
+
+
+@register("separation_check", """
+    select d.doc_id from documents d where d.doc_id % 7 = 1 and not exists (select 1 from documents e where e.doc_id % 7 <> 1 and e.text = d.text)""")
+def separation_check(spark, sf_dir):
+    """Evaluation texts that no training text equals."""
+    d = t(spark, sf_dir, "documents").select("doc_id", "text")
+    return d.where("doc_id % 7 = 1").join(d.where("doc_id % 7 != 1").select("text"), "text", "left_anti").select("doc_id")
+
+
+# audit and counts
+
+@register("audit_tail", "select event_id, event_type from events order by ts desc, event_id desc limit 100")
+def audit_tail(spark, sf_dir):
+    return findings.audit_tail(t(spark, sf_dir, "events"), "ts", "event_id").select("event_id", "event_type")
+
+
+@register("audit_hash", """select event_id, sha256('{"event_type":"' || event_type || '","user_id":' || user_id || '}') as content_hash from events""")
+def audit_hash(spark, sf_dir):
+    return findings.audit_hash(t(spark, sf_dir, "events"), ["user_id", "event_type"]).select("event_id", "content_hash")
+
+
+@register("audit_merge", f"{C} select doc_id % 300 as g, kind, sum(seq) as n from c where seq >= 1 group by all")
+def audit_merge(spark, sf_dir):
+    c = syn.candidates(spark, sf_dir).select((F.col("doc_id") % 300).alias("g"), "kind", F.col("seq").alias("n"))
+    return findings.merge_counts(c, ["g"])
+
+
+@register("dropped_kinds", f"{C} select kind, count(*) as n from c where kind not in ({', '.join(repr(k[0]) for k in kinds.KINDS if k[5])}) group by 1")
+def dropped_kinds(spark, sf_dir):
+    return findings.dropped_kinds(syn.candidates(spark, sf_dir))
+
+
+@register("latency_percentile", """with w as (select event_type, value, row_number() over (partition by event_type order by value) - 1 as i, count(*) over (partition by event_type) as n from events)
+    select event_type, value as p95 from w where i = least(floor(n * 0.95), n - 1)""")
+def latency_percentile(spark, sf_dir):
+    return findings.percentile_at(t(spark, sf_dir, "events"), ["event_type"], "value", 0.95).withColumnRenamed("value", "p95")
+
+
+@register("finding_report", f"{C} select kind, source, count(*) as n from c group by rollup (kind, source)")
+def finding_report(spark, sf_dir):
+    return syn.candidates(spark, sf_dir).rollup("kind", "source").agg(F.count("*").alias("n"))
+
+
+# statistical model
+
+_NG = """s as (select p_partkey as id, p_brand as kind, p_partkey % 3 > 0 as positive, regexp_replace(p_name, '\\s', '', 'g') as s from part),
+  f as (select id, kind, positive, unnest(list_distinct(list_concat(list_transform(range(1, length(s) + 1), lambda i: s[i:i]), list_transform(range(1, length(s)), lambda i: s[i:i + 1])))) as feature from s)"""
+
+
+@register("character_features", f"with {_NG} select id, feature from f")
+def character_features(spark, sf_dir):
+    return t(spark, sf_dir, "part").select(F.col("p_partkey").alias("id"), F.explode(tx.ngrams(F.col("p_name"))).alias("feature"))
+
+
+_NB = f"""{_NG}, c as (select kind, feature, count(*) filter (where positive) as pos, count(*) filter (where not positive) as neg from f where id % 5 > 0 group by all),
+  m as (select *, sum(pos) over (partition by kind) as pt, sum(neg) over (partition by kind) as nt, count(*) over (partition by kind) as v from c)"""
+
+
+@register("bayes_training", f"with {_NB} select kind, feature, pos, neg from m")
+def bayes_training(spark, sf_dir):
+    return _nb(spark, sf_dir).select("kind", "feature", "pos", "neg")
+
+
+def _nb(spark, sf_dir):
+    part = t(spark, sf_dir, "part").where("p_partkey % 5 > 0")
+    return semantic.train(part.select(F.col("p_brand").alias("kind"), (F.col("p_partkey") % 3 > 0).alias("positive"), F.col("p_name").alias("context")))
+
+
+@register("bayes_scores", f"""with {_NB}, z as (select f.id, f.kind, sum(ln((pos + 1) / (pt + v)) - ln((neg + 1) / (nt + v))) as z, sum(pos) as e from f join m on m.kind = f.kind and m.feature = f.feature group by all)
+    select s.id, s.kind, round(case when coalesce(e, 0) > 0 then 1 / (1 + exp(-greatest(-12, least(12, z)))) else 0 end, 6) as score from s left join z on z.id = s.id and z.kind = s.kind""")
+def bayes_scores(spark, sf_dir):
+    ctx = t(spark, sf_dir, "part").select(F.col("p_partkey").alias("id"), F.col("p_brand").alias("kind"), F.col("p_name").alias("context"))
+    return semantic.score(ctx, _nb(spark, sf_dir)).select("id", "kind", F.round("score", 6).alias("score"))
+
+
+@register("text_windows", """
+    with w as (select doc_id, text, unnest(range(0, greatest(length(text), 1)::bigint, 1000)) as lo from documents)
+    select doc_id, lo::int as lo, least(lo + 1000, length(text))::int as hi, length(substr(text, greatest(lo - 160, 0) + 1, least(lo + 1160, length(text)) - greatest(lo - 160, 0)))::int as piece_length from w""")
+def text_windows(spark, sf_dir):
+    w = semantic.windows(t(spark, sf_dir, "documents"), ["doc_id"], "text", 1000)
+    return w.select("doc_id", "lo", "hi", F.length("piece").alias("piece_length"))
+
+
+@register("hint_union", f"""{C}, h as (select doc_id % 2000 as d, kind, start_, end_, 0 as provider, (seq + 1) / 10.0 as score from c where seq < 3 union all select doc_id % 2000, kind, start_, end_, 1, (seq + 1) / 5.0 from c where seq >= 2)
+    select d, kind, start_ as start_at, end_ as end_at, provider, score::double as score from (select *, row_number() over (partition by d, kind, start_, end_ order by provider, score desc) as rn from h) where rn = 1""")
+def hint_union(spark, sf_dir):
+    c = syn.candidates(spark, sf_dir).withColumn("d", F.col("doc_id") % 2000)
+    one = c.where("seq < 3").select("d", "kind", "start", "end", ((F.col("seq") + 1) / 10.0).alias("score"))
+    two = c.where("seq >= 2").select("d", "kind", "start", "end", ((F.col("seq") + 1) / 5.0).alias("score"))
+    return semantic.union_hints([one, two], ["d"]).select("d", "kind", F.col("start").alias("start_at"), F.col("end").alias("end_at"), "provider", "score")
+
+
+@register("cached_review", "select doc_id, length(text)::int as reviewed from documents")
+def cached_review(spark, sf_dir):
+    d = t(spark, sf_dir, "documents").select("doc_id", "text")
+    return semantic.cached_review(d, "text", lambda x: x.withColumn("reviewed", F.length("text"))).select("doc_id", "reviewed")
+
+
+@register("valid_hints", f"""{C} select doc_id, seq from c where kind in ('phone', 'email', 'person_name') and start_ - 5 >= 0 and end_ <= 35""")
+def valid_hints(spark, sf_dir):
+    c = syn.candidates(spark, sf_dir).withColumn("start", F.col("start") - 5).withColumn("score", F.lit(0.5)).withColumn("requires_confirmation", F.lit(True))
+    return c.where(semantic.valid_hint(("phone", "email", "person_name"), F.lit(35))).select("doc_id", "seq")
+
+
+# decoding
+
+@register("model_windows", """with d as (select p_partkey as id, p_partkey % 2000 as tokens from part), w as (select *, unnest(range(0, case when tokens <= 254 then 1 else ceil((tokens - 254) / 190.0)::bigint + 1 end)) as i from d)
+    select id, i::int as win, (i * 190)::int as token_from, least(i * 190 + 254, tokens)::int as token_to from w""")
+def model_windows(spark, sf_dir):
+    d = t(spark, sf_dir, "part").select(F.col("p_partkey").alias("id"), (F.col("p_partkey") % 2000).cast("int").alias("tokens"))
+    return neural.plan_windows(d, "tokens").select("id", F.col("window").alias("win"), F.col("token_from").cast("int").alias("token_from"), F.col("token_to").cast("int").alias("token_to"))
+
+
+@register("softmax_probability", """select l_orderkey, l_linenumber, round(exp(l_tax * 10) / (exp(l_tax * 10) + exp(l_discount * 10) + exp(1)), 6) as p from lineitem""")
+def softmax_probability(spark, sf_dir):
+    x = F.array(F.col("l_tax") * 10, F.col("l_discount") * 10, F.lit(1.0))
+    return t(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", F.round(neural.softmax_at(x, F.lit(0)), 6).alias("p"))
+
+
+@register("window_edges", f"{C} select doc_id, seq from c where not ((start_ <= 5 and 5 > 0) or (end_ >= 40 and 40 < 60))")
+def window_edges(spark, sf_dir):
+    inside = neural.inside_window(F.col("start"), F.col("end"), F.lit(5), F.lit(40), F.lit(60))
+    return syn.candidates(spark, sf_dir).where(inside).select("doc_id", "seq")
+
+
+@register("merged_spans", f"""{C}, o as (select doc_id, start_, end_, kind, row_number() over (partition by doc_id order by start_ - end_, start_, kind) as ord from (select distinct doc_id, start_, end_, kind from c)),
+  r as (with recursive r(doc_id, ord, acc) as (select doc_id, 1::bigint, [(start_, end_, kind)] from o where ord = 1
+    union all select o.doc_id, o.ord, case when len(list_filter(r.acc, lambda y: y[1] < o.end_ and o.start_ < y[2])) > 0 then r.acc else list_append(r.acc, (o.start_, o.end_, o.kind)) end from r join o on o.doc_id = r.doc_id and o.ord = r.ord + 1)
+    select doc_id, unnest(arg_max(acc, ord)) as a from r group by doc_id) select doc_id, a[1] as start_at, a[2] as end_at, a[3] as label from r""")
+def merged_spans(spark, sf_dir):
+    m = neural.merge_spans(syn.candidates(spark, sf_dir).withColumnRenamed("kind", "label"), ["doc_id"])
+    return m.select("doc_id", F.col("start").alias("start_at"), F.col("end").alias("end_at"), "label")
+
+
+@register("decoded_tags")
+def decoded_tags(spark, sf_dir):
+    """Spans decoded from logits made of line items: three tokens for each order of three lines."""
+    li = t(spark, sf_dir, "lineitem").where("l_linenumber <= 3")
+    row = F.array(F.lit(0.3), F.col("l_discount") * 10, F.col("l_tax") * 10, (F.col("l_quantity") % 10) / 10.0)
+    by = li.groupBy("l_orderkey").agg(F.transform(F.array_sort(F.collect_list(F.struct("l_linenumber", row.alias("x")))), lambda s: s["x"]).alias("logits"))
+    offs = F.transform(F.sequence(F.lit(0), F.size("logits") - 1), lambda i: F.array(i * 2, i * 2 + 2))
+    return neural.decode(by.select("l_orderkey", F.repeat(F.lit("x"), F.lit(6)).alias("text"), offs.alias("offsets"), "logits"), ["l_orderkey"], ["O", "B-P", "I-P", "E-P"], 0.1)
+
+
+# scans, images, settings
+
+@register("scan_status", """select doc_id, case when octet_length(encode(text)) > 4000 then 'unscannable' when contains(text, '@') then 'sensitive' else 'clean' end as status from documents""")
+def scan_status(spark, sf_dir):
+    return t(spark, sf_dir, "documents").select("doc_id", ocr.text_status(F.octet_length("text"), F.lit(0), F.contains("text", F.lit("@")).cast("int"), 4000).alias("status"))
+
+
+_BOX = "with b as (select p_partkey as k, p_size * 7.3 - 20 as x0, p_size * 3.1 as y0, p_size * 7.3 + 40.5 as x1, p_size * 3.1 + 12.2 as y1 from part)"
+
+
+def _box(spark, sf_dir):
+    s = F.col("p_size")
+    d = lambda x: F.lit(x).cast("decimal(5,1)")
+    return t(spark, sf_dir, "part").select(F.col("p_partkey").alias("k"), (s * d(7.3) - 20).alias("x0"), (s * d(3.1)).alias("y0"), (s * d(7.3) + d(40.5)).alias("x1"), (s * d(3.1) + d(12.2)).alias("y1"))
+
+
+@register("redaction_rectangles", f"""{_BOX}, r as (select k, greatest(floor(x0) - 3, 0) as x, greatest(floor(y0) - 3, 0) as y, least(ceil(x1) + 3, 300) as r, least(ceil(y1) + 3, 100) as b from b)
+    select k, x::bigint as x, y::bigint as y, (r - x)::bigint as w, (b - y)::bigint as h from r where r > x and b > y""")
+def redaction_rectangles(spark, sf_dir):
+    r = ocr.padded(F.col("x0"), F.col("y0"), F.col("x1"), F.col("y1"), F.lit(300), F.lit(100))
+    return _box(spark, sf_dir).select("k", r.alias("r")).where("r is not null").select("k", "r.*")
+
+
+@register("ocr_words", """with w as (select p_partkey as k, p_partkey % 50 as page, trim(regexp_replace('  ' || p_name || '  x ', '\\s+', ' ', 'g')) as text, least(greatest(p_size * 3.0, 0), 100) as confidence from part where p_size > 0)
+    select page, count(*) as n, min(confidence) >= 55 as complete from w group by 1""")
+def ocr_words(spark, sf_dir):
+    s = F.col("p_size").cast("double")
+    w = t(spark, sf_dir, "part").select(
+        (F.col("p_partkey") % 50).alias("page"), F.concat(F.lit("  "), "p_name", F.lit("  x ")).alias("text"), (s * 3).alias("confidence"), F.lit(0.0).alias("x0"), F.lit(0.0).alias("y0"), s.alias("x1"), s.alias("y1"), F.lit(100).alias("width"), F.lit(100).alias("height"),
+    )
+    n = ocr.normalize_words(w)
+    return n.groupBy("page").agg(F.count("*").alias("n")).join(ocr.coverage(n, ["page"]), "page")
+
+
+@register("ocr_rectangles", f"""{C}, w as (select doc_id, seq as i, seq * 8 as ws, seq * 8 + 7 as we from c)
+    select c.doc_id, c.start_ as start_at, c.end_ as end_at, min(i * 10.0)::double as x0, max(i * 10.0 + 9)::double as x1 from (select distinct doc_id, start_, end_ from c) c join w on c.doc_id = w.doc_id and start_ < we and ws < end_ group by all""")
+def ocr_rectangles(spark, sf_dir):
+    c = syn.candidates(spark, sf_dir)
+    i = F.col("seq")
+    words = c.select("doc_id", (i * 8).alias("w_start"), (i * 8 + 7).alias("w_end"), (i * 10.0).cast("double").alias("x0"), F.lit(0.0).alias("y0"), (i * 10.0 + 9).cast("double").alias("x1"), F.lit(1.0).alias("y1"))
+    return ocr.rectangles(c.select("doc_id", "start", "end").distinct(), words, ["doc_id"]).select("doc_id", F.col("start").alias("start_at"), F.col("end").alias("end_at"), "x0", "x1")
+
+
+@register("image_status", """select p_partkey as k, case when p_size * 400 > 16384 or p_size::bigint * 400 * 1000 > 12000000 then 'unscannable' when p_partkey % 5 = 0 then 'partial' when p_partkey % 3 = 0 then 'sensitive' else 'clean' end as status from part""")
+def image_status(spark, sf_dir):
+    k = F.col("p_partkey")
+    return t(spark, sf_dir, "part").select(k.alias("k"), ocr.image_status(F.col("p_size") * 400, F.lit(1000), k % 5, F.lit(True), (k % 3 == 0).cast("int")).alias("status"))
+
+
+@register("attachment_actions", """select o_orderkey, case o_orderkey % 4 when 0 then case when o_custkey % 2 = 0 then 'allow' else 'warn' end when 1 then case when o_custkey % 2 = 0 then 'warn' else 'confirm' end when 2 then 'confirm' else 'block' end as action from orders""")
+def attachment_actions(spark, sf_dir):
+    setting = F.element_at(F.array(*map(F.lit, ("allow", "warn", "confirm", "block"))), (F.col("o_orderkey") % 4 + 1).cast("int"))
+    return t(spark, sf_dir, "orders").select("o_orderkey", redact.attachment_action(setting, F.col("o_custkey") % 2 == 0).alias("action"))
+
+
+@register("term_limits", """select c_nationkey as g, count(*) as n, count(*) <= 100 and min(length(trim(c_name))) >= 1 and max(length(trim(c_name))) <= 120 and count(*) = count(distinct trim(c_name)) as valid from customer group by 1""")
+def term_limits(spark, sf_dir):
+    return settings.valid_terms(t(spark, sf_dir, "customer").withColumnRenamed("c_nationkey", "g"), ["g"], "c_name")
+
+
+@register("batch_terms", """
+    with l as (select doc_id, unnest(string_split(text, chr(10))) as raw, generate_subscripts(string_split(text, chr(10)), 1) as line from documents),
+      n as (select *, trim(raw) as s from l where trim(raw) <> ''),
+      e as (select *, case when length(s) > 120 then 'too_long' when row_number() over (partition by doc_id, s order by line) > 1 then 'duplicate' when row_number() over (partition by doc_id order by line) > 100 then 'limit' end as e from n)
+    select doc_id, (case when count(e) = 0 then count(*) else 0 end)::bigint as added, arg_min(e, line) filter (where e is not null) as error, (min(line) filter (where e is not null))::int as error_line from e group by 1""")
+def batch_terms(spark, sf_dir):
+    return settings.batch_lines(t(spark, sf_dir, "documents"), ["doc_id"], "text")
+
+
+@register("settings_defaults", """select c_custkey as k, case when c_custkey % 2 = 0 then 'masked' else 'token' end as style, 'balanced' as profile, c_custkey % 2 = 1 as viewer from customer""")
+def settings_defaults(spark, sf_dir):
+    j = F.when(F.col("c_custkey") % 2 == 0, '{"settingsVersion":1,"replacementStyle":"masked","replyTokenViewerEnabled":true}').otherwise('{"settingsVersion":1,"replyTokenViewerEnabled":true}')
+    p = settings.parse(t(spark, sf_dir, "customer").select(F.col("c_custkey").alias("k"), j.alias("j")), "j")
+    return p.select("k", F.col("settings.replacementStyle").alias("style"), F.col("settings.detectionProfile").alias("profile"), F.col("settings.replyTokenViewerEnabled").alias("viewer"))
+
+
+# streams
+
+@register("stream_tokens", """with f as (select user_id as session, 'event' as kind, event_type as normalized, min(event_id) as first_at from events group by all)
+    select session, kind, normalized, (row_number() over (partition by session, kind order by first_at))::int as n from f""")
+def stream_tokens(spark, sf_dir):
+    events = spark.readStream.schema(t(spark, sf_dir, "events").schema).parquet(f"{sf_dir}/events.parque[t]")
+    values = events.select(F.col("user_id").alias("session"), F.col("event_id").alias("seq"), F.lit("event").alias("kind"), F.col("event_type").alias("normalized"), F.lit(False).alias("clear"))
+    out = scratch(spark, "stream")
+    tokens.run_once(tokens.stream_tokens(values), out, scratch(spark, "state"))
+    return spark.read.schema(tokens.OUT).parquet(out)
+
+
+@register("stream_windows", "select time_bucket(interval '1 hour', ts) as start, event_type, count(*) as n from events group by 1, 2")
+def stream_windows(spark, sf_dir):
+    return t(spark, sf_dir, "events").groupBy(F.window("ts", "1 hour").alias("w"), "event_type").agg(F.count("*").alias("n")).select(F.col("w.start").alias("start"), "event_type", "n")
+
+
+@register("latest_drafts", "select conv_id, arg_max(text, turn) as text, max(turn) as turn from conversations group by 1 having length(arg_max(text, turn)) <= 5000")
+def latest_drafts(spark, sf_dir):
+    return tokens.latest_drafts(t(spark, sf_dir, "conversations"), "conv_id", "turn", "text")
 
 
-def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {}
+def queries() -> dict[str, Query]:
+    return dict(_QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return dict(_SQL)
