@@ -49,6 +49,11 @@ def features_of(words: set[bytes]) -> set[int]:
     return {_hash(b"w", w) for w in words} | {_hash(b"p", p) for p in {w[:PREFIX] for w in words if len(w) > PREFIX}}
 
 
+def _pair(term: bytes) -> tuple[int, int]:
+    """The features of a term: its word, and its prefix or 0."""
+    return _hash(b"w", term), _hash(b"p", term[:PREFIX]) if len(term) > PREFIX else 0
+
+
 def _examples(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Features of each text and, where it names a group, what a swap takes out and puts in."""
     terms = sorted({t.encode() for t in IDENTITY_TERMS})
@@ -59,14 +64,17 @@ def _examples(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             feats.append(sorted(features_of(words)))
             found = [t for t in terms if t in words]
             swaps = [(t, terms[(terms.index(t) + 1 + 7 * k) % len(terms)]) for t in found for k in range(SWAPS)]
-            outs.append([_hash(b"w", a) for a, _ in swaps])
-            ins.append([_hash(b"w", b) for _, b in swaps])
+            outs.append([h for a, _ in swaps for h in _pair(a)])
+            ins.append([h for _, b in swaps for h in _pair(b)])
         kind = pa.list_(pa.int64())
         yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(feats, kind), pa.array(outs, kind), pa.array(ins, kind)], ["label", "features", "takes", "puts"])
 
 
 def train(labels: np.ndarray, features: list[np.ndarray], takes: np.ndarray, puts: np.ndarray) -> tuple[np.ndarray, np.ndarray, float]:
-    """(feature hashes, weights, bias): logistic loss with ridge and the counterfactual penalty, by Adam."""
+    """(feature hashes, weights, bias): logistic loss with ridge and the counterfactual penalty, by Adam.
+
+    takes, puts: two features of each swapped term, one swap after another.
+    """
     y = labels.astype(float)
     rate = (y.sum() + 0.5) / (len(y) + 1) if len(y) else 0.5
     bias = float(np.log(rate / (1 - rate)))
@@ -85,15 +93,15 @@ def train(labels: np.ndarray, features: list[np.ndarray], takes: np.ndarray, put
     rows, cols = rows[cols >= 0], cols[cols >= 0]
     ids = ids[keep]
     known = lambda h: np.where(np.isin(h, ids), np.searchsorted(ids, h), -1) if len(h) else np.zeros(0, int)
-    a, b = known(takes), known(puts)
+    a, b = known(takes).reshape(-1, 2), known(puts).reshape(-1, 2)
     w, m, v = np.zeros(len(ids)), np.zeros(len(ids) + 1), np.zeros(len(ids) + 1)
     for step in range(1, STEPS + 1):
         z = bias + np.bincount(rows, weights=w[cols], minlength=len(y))
         err = 1 / (1 + np.exp(-z)) - y
         grad = np.bincount(cols, weights=err[rows], minlength=len(w)) / len(y) + RIDGE * w
         if len(a):
-            change = np.where(a >= 0, w[a], 0) - np.where(b >= 0, w[b], 0)
-            pull = 2 * FAIR * change / len(a)
+            change = np.where(a >= 0, w[a], 0).sum(axis=1) - np.where(b >= 0, w[b], 0).sum(axis=1)
+            pull = np.repeat(2 * FAIR * change[:, None] / len(a), 2, axis=1)
             np.add.at(grad, a[a >= 0], pull[a >= 0])
             np.subtract.at(grad, b[b >= 0], pull[b >= 0])
         g = np.append(grad, err.mean())
