@@ -1,8 +1,8 @@
 """Approximate nearest neighbours by inner product: NN-descent graph and greedy search (operator 1).
 
 Equal vectors are one node, which keeps its ``EACH`` smallest ids: no answer needs more of them, and a
-window limit before the shuffle keeps a very common vector from gathering. Nodes get one more component
-that makes all of them equally long, so that the graph's cosine orders like the inner product.
+window limit before the shuffle keeps a very common vector from gathering. The graph links a node to those
+of largest inner product with it, as the answers are.
 
 Start: random hyperplanes deal nodes into blocks of about ``LEAF`` in ``TABLES`` ways; a block lists each
 member's nearest members. Descent: for every node, the nodes next to it (its nearest and those it is
@@ -59,8 +59,7 @@ def nodes_of(rows: DataFrame) -> DataFrame:
 
 
 def _halves(v: pd.Series, longest: float) -> np.ndarray:
-    x = np.array(v.tolist(), np.float64) / longest
-    return np.hstack([x, np.sqrt(np.maximum(0, 1 - (x * x).sum(axis=1, keepdims=True)))]).astype(np.float16)
+    return (np.array(v.tolist(), np.float64) / longest).astype(np.float16)
 
 
 def _vectors(blobs: list[bytes]) -> np.ndarray:
@@ -262,8 +261,7 @@ def nearest(df: DataFrame, id_col: str, vec_col: str, is_query: Column, top: int
     nodes = materialize(distinct.select("node", "ids", "v", half("v").alias("x")), "halves")
     graph = build(nodes, nodes.count())
     asked = materialize(rows.where(is_query).select("vec_id", "v").join(nodes.select("node", "v"), "v").select(F.col("vec_id").alias("query_id"), F.col("node").alias("q")).distinct(), "asked")
-    flat = F.pandas_udf(lambda x: pd.Series([b[:-2] + bytes(2) for b in x]), "binary")  # without the added component
-    starts = materialize(asked.select(F.col("q").alias("node")).distinct().join(nodes.select("node", "v", "x"), "node").select(F.col("node").alias("q"), "v", flat("x").alias("xq"), F.col("node").alias("entry")), "starts")
+    starts = materialize(asked.select(F.col("q").alias("node")).distinct().join(nodes.select("node", "v", "x"), "node").select(F.col("node").alias("q"), "v", F.col("x").alias("xq"), F.col("node").alias("entry")), "starts")
     met = search(starts, graph, nodes).withColumn("rank", F.row_number().over(Window.partitionBy("q").orderBy(F.col("score").desc(), "node"))).where(F.col("rank") <= max(EXACT, top + 1))
     found = met.select("q", "node").join(nodes.select("node", F.col("v").alias("w")), "node").join(starts.select("q", "v"), "q").select("q", "node", _dot("v", "w").alias("score"))
     # one node of the list may be the query's own alone, so one more is kept; then its ids, nearest first
