@@ -33,12 +33,14 @@ def detect(df: DataFrame, keys: list[str], text: str, rules: tuple[Rule, ...] =
     """
     literal = sorted({t.strip() for t in terms or [] if t.strip()}, key=lambda t: (-len(t), t))
     own = list(rules) + [Rule("custom_term", "\\Q" + t.replace("\\E", "\\E\\\\E\\Q") + "\\E") for t in literal]
-    base = df.select(*keys, F.coalesce(F.col(text), F.lit("")).alias("_t"))
+    whole = F.coalesce(F.col(text), F.lit(""))
+    base = df.select(*keys, whole.alias("_t"), whole.rlike(r"[\x{4e00}-\x{9fff}]").alias("_han"), whole.rlike("[0-9]").alias("_digit"))
     found = []
     for n, r in enumerate(own):
         spans = F.expr(matches("_t", r.pattern))
-        if r.guard:
-            spans = F.when(F.col("_t").rlike(r.guard), spans).otherwise(F.array().cast("array<struct<start:int,end:int,raw:string>>"))
+        if r.guard or r.needs:
+            first = F.col(f"_{r.needs}") if r.needs else F.lit(True)
+            spans = F.when(first & (F.col("_t").rlike(r.guard) if r.guard else F.lit(True)), spans).otherwise(F.array().cast("array<struct<start:int,end:int,raw:string>>"))
         found.append(_tagged(spans, n))
     each = base.select(*keys, F.explode(F.flatten(F.array(*found))).alias("s")).select(*keys, "s.*")
     rule = F.col("rule")

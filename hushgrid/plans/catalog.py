@@ -125,7 +125,7 @@ for _args in (
     ("bank_card", lambda k: syn.card(k, _even(k)), "付款 | 完成", "bank_card", "c_custkey % 2 = 0"),
     ("uscc", lambda k: syn.uscc(k, _even(k)), "单位 | 备案", "unified_social_credit_code", "c_custkey % 2 = 0"),
     ("vin", lambda k: syn.vin(k, _even(k)), "车辆 | 入库", "labeled_identifier", "c_custkey % 2 = 0"),
-    ("mac_address", lambda k: F.concat_ws(":", *[F.substring(_hex(k, 12), 2 * i + 1, 2) for i in range(6)]), "device | up", "mac_address", "true"),
+    ("mac_address", lambda k: F.concat_ws(":", *[F.substring(_hex(k, 12), 2 * i + 1, 2) for i in range(6)]), "device | up", "mac_address", "c_custkey > 0"),
     ("ipv6", lambda k: F.concat(F.lit("2001:db8::"), F.lower(F.hex(k % 65535 + 1))), "host | up", "ipv6", "true"),
     ("api_key", lambda k: F.concat(F.when(_even(k), "sk-").otherwise("sk_"), F.lpad(k.cast("string"), 24, "a")), "key | end", "api_key", "c_custkey % 2 = 0"),
     ("access_token", lambda k: F.concat(F.lit("eyJabcdef."), F.lpad(k.cast("string"), 8, "b"), F.when(_even(k), ".sigsig").otherwise("")), "jwt | end", "access_token", "c_custkey % 2 = 0"),
