@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from .. import kinds
 from ..functions import text as tx
+from ..functions import unicode
 from ..functions import validators as v
 from ..operators import evaluate, findings, neural, ocr, redact, resolve, semantic, settings, spans
 from ..functions.patterns import RULES
@@ -108,7 +109,7 @@ def custom_terms(spark, sf_dir):
 def _rule_query(name: str, value: Callable[[Column], Column], around: str, kind: str, when: str, good: Callable[[Column], Column] | None = None):
     """A rule over text made from customer keys; the answer follows from the key."""
 
-    @register(f"rule_{name}", f"select c_custkey as doc_id, count(*) as n from customer where {when} group by 1")
+    @register(f"rule_{name}", f"select c_custkey as doc_id, count(*) as n from customer where {when} group by 1" if when else None)
     def run(spark, sf_dir):
         k = F.col("c_custkey")
         before, after = around.split("|")
@@ -122,7 +123,7 @@ _hex = lambda k, n: F.lpad(F.hex(k * 2654435761 % (1 << 48)), n, "0")  # noqa: E
 for _args in (
     ("phone", syn.phone, "请联系 |，谢谢。", "phone", "true"),
     ("china_id", lambda k: syn.china_id(k, _even(k)), "编码 | 已核对", "china_id", "c_custkey % 2 = 0"),
-    ("bank_card", lambda k: syn.card(k, _even(k)), "付款 | 完成", "bank_card", "c_custkey % 2 = 0"),
+    ("bank_card", lambda k: syn.card(k, _even(k)), "数字 | 完成", "bank_card", "c_custkey % 2 = 0"),
     ("uscc", lambda k: syn.uscc(k, _even(k)), "单位 | 备案", "unified_social_credit_code", "c_custkey % 2 = 0"),
     ("vin", lambda k: syn.vin(k, _even(k)), "车辆 | 入库", "labeled_identifier", "c_custkey % 2 = 0"),
     ("mac_address", lambda k: F.concat_ws(":", *[F.substring(_hex(k, 12), 2 * i + 1, 2) for i in range(6)]), "device | up", "mac_address", "c_custkey > 0"),
@@ -143,6 +144,12 @@ for _args in (
     ("bearer", lambda k: F.concat(F.when(_even(k), "Bearer ").otherwise("Carrier "), F.lpad(k.cast("string"), 12, "t")), "Authorization, | end", "credential", "c_custkey % 2 = 0"),
     ("credential", lambda k: F.concat(F.lit("password="), F.lit("p"), k.cast("string")), "x |, next", "credential", "true"),
     ("labeled_person", lambda k: F.concat(F.lit("联系人："), F.when(_even(k), "张伟明").otherwise("公司前台")), "|，已确认", "person_name", "c_custkey % 2 = 0"),
+    ("dictated_phone", lambda k: F.when(_even(k), F.translate(syn.phone(k), "0123456789", "零幺二三四五六七八九")).otherwise(F.lit("三四五六七八九")), "手机号码报一下 |。", "phone", "c_custkey % 2 = 0"),
+    ("dictated_id", lambda k: F.concat(F.translate(F.left(syn.china_id(k, _even(k)), F.lit(17)), "0123456789", "零一二三四五六七八九"), F.right(syn.china_id(k, _even(k)), F.lit(1))), "报身份 |。", "china_id", "c_custkey % 2 = 0"),
+    ("obfuscated_email", lambda k: F.concat(F.lit("user"), k.cast("string"), F.when(_even(k), "[at]").otherwise("[on]"), F.lit("mail[dot]com")), "write | now", "email", "c_custkey % 2 = 0"),
+    ("context_card", lambda k: F.lpad(k.cast("string"), 16, "9"), "银行卡尾号请记 | 谢谢", "bank_card", "true"),
+    ("context_id", lambda k: syn.china_id(k, F.lit(False)), "证件编号 | 谢谢", "china_id", "true"),
+    ("unionpay_card", lambda k: F.concat(F.when(_even(k), "号 ").otherwise("订单 "), F.lit("62"), F.lpad(k.cast("string"), 14, "3")), "查| 。", "bank_card", None),
     ("context_person", lambda k: F.concat(F.lit("我叫"), F.when(_even(k), "李建国").otherwise("什么名字")), "你好，|，谢谢", "person_name", "c_custkey % 2 = 0"),
     ("context_address", lambda k: F.concat(F.lit("住在上海市浦东新区世纪大道"), (k % 500 + 1).cast("string"), F.lit("号")), "他|，很近", "address", "true"),
 ):
@@ -437,6 +444,26 @@ def separation_check(spark, sf_dir):
     return d.where("doc_id % 7 = 1").join(d.where("doc_id % 7 != 1").select("text"), "text", "left_anti").select("doc_id")
 
 
+@register("detection_view", "select c_custkey as k, 'tel 138-' || lpad(c_custkey::varchar, 8, '0') || ' fi' as view, 4 as digits_from, 8 as dash_from from customer")
+def detection_view(spark, sf_dir):
+    """Full-width digits, an odd dash, a zero-width mark and a ligature, seen through the normalized view."""
+    wide = F.translate(F.concat(F.lit("138"), F.lit("-"), F.lpad(F.col("c_custkey").cast("string"), 8, "0")), "0123456789-", "０１２３４５６７８９－")
+    d = t(spark, sf_dir, "customer").select(F.col("c_custkey").alias("k"), unicode.view(F.concat(F.lit("tel \u200b"), wide, F.lit(" ﬁ"))).alias("v"))
+    return d.select("k", F.col("v.text").alias("view"), F.get("v.ends", F.lit(3)).alias("digits_from"), F.get("v.starts", F.lit(7)).alias("dash_from")).withColumn("digits_from", F.col("digits_from") - 1)
+
+
+@register("code_ranges")
+def code_ranges(spark, sf_dir):
+    """Fenced blocks and backtick spans of conversation turns, fences made from their texts."""
+    text = F.concat(F.lit("see\n```py\n"), "text", F.lit("\n```\nand `x` end"))
+    return t(spark, sf_dir, "conversations").select("conv_id", "turn", F.explode(unicode.code_ranges(text)).alias("r")).select("conv_id", "turn", "r.*")
+
+
+@register("fingerprints")
+def fingerprints(spark, sf_dir):
+    return t(spark, sf_dir, "documents").select("doc_id", unicode.fnv(F.col("text")).alias("fingerprint"))
+
+
 # audit and counts
 
 @register("audit_tail", "select event_id, event_type from events order by ts desc, event_id desc limit 100")
