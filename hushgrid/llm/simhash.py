@@ -144,7 +144,7 @@ def near_duplicates(prints: DataFrame, id_col: str = "doc_id") -> DataFrame:
     low = moved.groupBy("root").agg(F.min("rep").alias("component_id"))
     named = moved.join(low, "root").select("fp", "component_id")
     ids = reps.join(named, "fp", "left").select("fp", F.coalesce("component_id", "rep").alias("component_id"))
-    return prints.join(ids, "fp")
+    return prints.join(materialize(ids, "ids"), "fp")  # read anew, so that a common fingerprint's rows can be split
 
 
 def hex_of(fp: Column) -> Column:
