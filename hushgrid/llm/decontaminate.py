@@ -92,3 +92,26 @@ def drop_contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_
     found = contaminated(docs.select(*marks, F.col(text).alias("_body")), benchmark, ["_id", "_hash"], "_body").select("_id", "_hash").distinct()
     rows = docs.select(*[F.col(f"`{c}`").alias(n) for c, n in own.items()], *marks)
     return rows.join(materialize(found, "leaks"), ["_id", "_hash"], "left_anti").select(*[F.col(n).alias(c) for c, n in own.items()])
+
+
+def oracle_sql() -> str:
+    """The same windows and slots in DuckDB, compared as strings instead of hashes."""
+    units = "|".join(UNITS)
+
+    def windows_of(table: str, key: str) -> str:
+        return f"""(select {key}, i as pos, ws, list_filter(ws, lambda x: x >= chr(1) and x < chr(4)) as slots,
+          array_to_string(list_transform(ws, lambda x: case when x >= chr(1) and x < chr(4) then left(x, 1) else x end), chr(31)) as template
+        from (select {key}, i, t[i:i + {WINDOW - 1}] as ws from (select {key}, t, unnest(range(1, len(t) - {WINDOW - 2})) as i from (
+          select {key}, list_transform(w, lambda x, i: translate(lower(case when regexp_matches(x, '[0-9]') then chr(1) || x
+              when i > 1 and not regexp_matches(w[i - 1], '[.!?:]$') and regexp_matches(x, '\\p{{Lu}}') then chr(2) || x
+              when i > 1 and regexp_matches(w[i - 1], '[0-9]') and regexp_matches(x, '^({units})([.,;:!?]|$)') then chr(3) || x else x end), '{_PUNCTUATION}', '')) as t
+          from (select {key}, string_split(trim(regexp_replace(translate(coalesce(text, ''), chr(1) || chr(2) || chr(3), ''), '[\\x20\\x09-\\x0D]+', ' ', 'g')), ' ') as w from {table})) where len(t) >= {WINDOW}))
+        where len(list_filter(ws, lambda x: x >= chr(1) and x < chr(4))) <= 2)"""
+
+    return f"""
+    with items as {windows_of("benchmark", "item_id")}, docs as {windows_of("documents", "doc_id")},
+      totals as (select item_id, count(*) as total from items group by 1),
+      hits as (select doc_id, item_id, docs.pos - items.pos as shift, items.pos as item_pos, unnest(case when len(items.slots) = 0 then [null] else list_zip(items.slots, docs.slots) end) as p from docs join items using (template)),
+      line as (select doc_id, item_id, shift, list(distinct item_pos) as places, count(distinct p[1]) = count(distinct p) as ok, coalesce(bool_or(p[1] <> p[2]), false) as other from hits group by all),
+      per as (select doc_id, item_id, len(list_distinct(flatten(list(places)))) as n, bool_or(other) as reparameterised from line where ok group by all)
+    select doc_id, item_id, n / total as coverage, reparameterised from per join totals using (item_id) where n / total >= {COVERAGE}"""

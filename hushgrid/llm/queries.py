@@ -68,4 +68,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_mixing": mixing.oracle_sql(), "op4_linededup": linededup.oracle_sql()}
+    return {"op2_mixing": mixing.oracle_sql(), "op4_linededup": linededup.oracle_sql(), "op5_decontaminate": decontaminate.oracle_sql()}
