@@ -51,7 +51,8 @@ def removals(docs: DataFrame, id_col: str, text: str) -> DataFrame:
     again = materialize(telling.groupBy("h").agg(F.count("*").alias("n")).where("n > 1").select("h"), "again")
     small = F.broadcast(again) if again.count() <= BROADCAST_HASHES else again
     maybe = materialize(telling.join(small, "h", "left_semi"), "maybe")
-    first = maybe.groupBy("h", "body").agg(F.min(F.struct("_id", "_digest", "pos")).alias("first"))
+    # read anew, so that the rows of a common chunk can be split in the join
+    first = materialize(maybe.groupBy("h", "body").agg(F.min(F.struct("_id", "_digest", "pos")).alias("first")), "first")
     later = maybe.join(first, ["h", "body"]).where(~F.struct("_id", "_digest", "pos").eqNullSafe(F.col("first")))
     return later.groupBy("_id", "_digest").agg(F.sort_array(F.collect_set("pos")).alias("gone"))
 
