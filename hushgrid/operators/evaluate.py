@@ -55,3 +55,14 @@ def reject_benefit(spans: DataFrame, gold: DataFrame, keys: list[str], predicate
     wrong = overlap_join(spans, gold, keys, "left_anti").withColumn("right", F.lit(False))
     gone = right.unionByName(wrong).where(predicate)
     return gone.agg(F.count_if(~F.col("right")).alias("removed_false"), F.count_if("right").alias("removed_true"))
+
+
+def arms(rules: DataFrame, hints: DataFrame) -> DataFrame:
+    """Predictions of the four arms: rules alone or with hints, conservative (no hints ever) or balanced."""
+    out = None
+    for model in (False, True):
+        for profile in ("conservative", "balanced"):
+            rows = rules.unionByName(hints) if model and profile == "balanced" else rules
+            rows = rows.withColumn("arm", F.lit(f"{'rules_model' if model else 'rules'}_{profile}"))
+            out = rows if out is None else out.unionByName(rows)
+    return out

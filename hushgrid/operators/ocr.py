@@ -50,3 +50,13 @@ def image_status(width: Column, height: Column, words: Column, complete: Column,
 def text_status(octets: Column, asks: Column, findings: Column, limit: int) -> Column:
     """Status of a plain text scan."""
     return F.when(octets > limit, "unscannable").when(asks > 0, "partial").when(findings > 0, "sensitive").otherwise("clean")
+
+
+# Scan reasons, strongest first.
+REASONS = ("text_limit", "parse_failed", "page_limit", "pdf_without_text", "pdf_text_layer_only")
+
+
+def reason_order(reasons: Column) -> Column:
+    """(reason, secondary): the two strongest of an array of reasons; unknown and repeated ones left out."""
+    found = F.filter(F.array(*map(F.lit, REASONS)), lambda r: F.array_contains(reasons, r))
+    return F.struct(F.get(found, F.lit(0)).alias("reason"), F.get(found, F.lit(1)).alias("secondary"))

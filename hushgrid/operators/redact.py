@@ -63,3 +63,16 @@ def redact(docs: DataFrame, selected: DataFrame, keys: list[str], session: list[
 def attachment_action(setting: Column, scoped: Column) -> Column:
     """What to do with an attachment: the setting, and where the page can't be inspected the next stricter one."""
     return F.when(setting == "block", "block").when(setting == "confirm", "confirm").when(setting == "warn", F.when(scoped, "warn").otherwise("confirm")).otherwise(F.when(scoped, "allow").otherwise("warn"))
+
+
+def reply_state(docs: DataFrame, tokens: DataFrame, keys: list[str], session: list[str], text: str = "text") -> DataFrame:
+    """(keys, tokens, known, state): distinct tokens in a reply, those its session knows, and what follows."""
+    seen = docs.select(*keys, F.size(F.array_distinct(F.regexp_extract_all(text, F.lit(r"\[\[[A-Z0-9_]+\]\]"), F.lit(0)))).alias("tokens"))
+    known = detokenize(docs, tokens, keys, session, text).groupBy(*keys).agg(F.count("*").alias("known"))
+    out = seen.join(known, keys, "left").withColumn("known", F.coalesce("known", F.lit(0)))
+    return out.withColumn("state", F.when(F.col("tokens") == 0, "no_tokens").when(F.col("known") == 0, "unknown_tokens").when(F.col("known") < F.col("tokens"), "partly_known").otherwise("known"))
+
+
+def confirm_outcome(choice: Column) -> Column:
+    """The audit outcome of a confirmation: what was sent, or that nothing was."""
+    return F.when(choice.isin("redact", "session"), F.when(choice == "redact", "redacted").otherwise("allowed_session")).when(choice == "raw_once", "sent_raw").otherwise("cancelled")

@@ -675,6 +675,38 @@ def settings_defaults(spark, sf_dir):
     return p.select("k", F.col("settings.replacementStyle").alias("style"), F.col("settings.detectionProfile").alias("profile"), F.col("settings.replyTokenViewerEnabled").alias("viewer"))
 
 
+@register("scan_reasons", """with r as (select p_partkey as k, list_filter(['text_limit', 'parse_failed', 'page_limit', 'pdf_without_text', 'pdf_text_layer_only'],
+    lambda x: (x = 'parse_failed' and p_partkey % 2 = 0) or (x = 'page_limit' and p_partkey % 3 = 0) or x = 'pdf_text_layer_only') as f from part) select k, f[1] as reason, f[2] as secondary from r""")
+def scan_reasons(spark, sf_dir):
+    k = F.col("p_partkey")
+    reasons = F.array(F.lit("pdf_text_layer_only"), F.when(k % 3 == 0, "page_limit").otherwise("other"), F.when(k % 2 == 0, "parse_failed").otherwise("pdf_text_layer_only"))
+    return t(spark, sf_dir, "part").select(k.alias("k"), ocr.reason_order(reasons).alias("r")).select("k", "r.*")
+
+
+@register("reply_states", f"""{_TOKENS} select o_orderkey as doc_id, case when o_custkey % 4 = 0 then 0 else 2 end as tokens,
+    case when o_custkey % 4 = 0 then 0 else (select count(*) from tok where session = o_orderkey % 100 and kind = 'phone' and n = 1) end as known,
+    case when o_custkey % 4 = 0 then 'no_tokens' when not exists (select 1 from tok where session = o_orderkey % 100 and kind = 'phone' and n = 1) then 'unknown_tokens' else 'partly_known' end as state from orders""")
+def reply_states(spark, sf_dir):
+    s = _selected(spark, sf_dir).withColumn("session", F.col("doc_id") % 100)
+    known = redact.number_tokens(s, ["session"], ["doc_id", "start"])
+    text = F.when(F.col("o_custkey") % 4 == 0, "nothing here").otherwise("use [[PHONE_001]], [[NOPE_001]] and [[PHONE_001]]")
+    docs = t(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("doc_id"), (F.col("o_orderkey") % 100).alias("session"), text.alias("text"))
+    return redact.reply_state(docs, known, ["doc_id"], ["session"])
+
+
+@register("confirm_outcomes", "select o_orderkey, case o_custkey % 4 when 0 then 'redacted' when 1 then 'sent_raw' when 2 then 'allowed_session' else 'cancelled' end as outcome from orders")
+def confirm_outcomes(spark, sf_dir):
+    choice = F.element_at(F.array(*map(F.lit, ("redact", "raw_once", "session", "cancel"))), (F.col("o_custkey") % 4 + 1).cast("int"))
+    return t(spark, sf_dir, "orders").select("o_orderkey", redact.confirm_outcome(choice).alias("outcome"))
+
+
+@register("evaluation_arms", f"""{C}, {_GOLD}, a as (select * from (values ('rules_conservative', 3), ('rules_balanced', 3), ('rules_model_conservative', 3), ('rules_model_balanced', 5)) v(arm, upto))
+    select arm, count(*) as spans, count(distinct doc_id) as docs from c, a where seq < upto group by 1""")
+def evaluation_arms(spark, sf_dir):
+    c = syn.candidates(spark, sf_dir)
+    return evaluate.arms(c.where("seq < 3"), c.where("seq >= 3")).groupBy("arm").agg(F.count("*").alias("spans"), F.count_distinct("doc_id").alias("docs"))
+
+
 # streams
 
 @register("stream_tokens", """with f as (select user_id as session, 'event' as kind, event_type as normalized, min(event_id) as first_at from events group by all)
