@@ -6,12 +6,12 @@ of largest inner product with it, as the answers are.
 
 Start: random hyperplanes deal nodes into blocks of about ``LEAF`` in ``TABLES`` ways; a block lists each
 member's nearest members. Descent: for every node, the nodes next to it (its nearest and those it is
-nearest to) are joined and compared with one another, and each keeps what beats its worst neighbour;
-repeated until few lists change. Blocks and neighbourhoods are bounded, so work is linear in the nodes;
-blocks that come out too large are split by hash. The graph is built on half precision.
+nearest to) are joined and compared with one another, and each keeps what beats its worst neighbour,
+in a number of rounds that grows with the logarithm of the nodes. Blocks and neighbourhoods are bounded,
+so work is linear in the nodes; blocks that come out too large are split by hash. The graph is built on half precision.
 
-Search: each query starts from its own node and expands the best nodes found and not yet expanded, by
-joins with the graph and the vectors, until its best ``BEAM`` are all expanded. Scores are inner products
+Search: each query starts from its own node and expands the nodes among its best ``BEAM`` that it
+has not yet, by joins with the graph and the vectors, until all of them are expanded. Scores are inner products
 of the original vectors in double precision.
 
 Vectors that are null, zero, of another length than most, or that hold null or non-finite components take
@@ -28,19 +28,24 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import materialize
+from .common import materialize as written
 
 TOP = 20
 EACH = TOP + 1
 LEAF, TABLES, SEED = 4000, 12, 7
 NEIGHBOURS, NEAR, FROM_BLOCK = 40, 16, 24
-#: Rounds of descent besides one for each doubling of the blocks over 2^FREE_BITS; lists that may still change.
-ROUNDS, FREE_BITS, CHANGED = 2, 4, 0.02
-BEAM, EXPAND, HOPS = 28, 14, 12
+#: Rounds of descent, and one more for each doubling of the blocks over 2^FREE_BITS.
+ROUNDS, FREE_BITS = 2, 4
+BEAM, HOPS = 28, 12
 #: Nodes of each query whose scores are taken anew from the original vectors.
 EXACT = 2 * TOP
 
 
+def materialize(df: DataFrame, what: str) -> DataFrame:
+    """A written table; half-precision vectors don't get smaller by compression, and many small files need no buffers for it."""
+    return written(df, what, "uncompressed")
+
+
 def usable(df: DataFrame, id_col: str, vec_col: str) -> DataFrame:
     """(vec_id, v array<double>) of the rows that take part."""
     v = F.col(vec_col).cast("array<double>")
@@ -213,11 +218,7 @@ def build(nodes: DataFrame, count: int) -> DataFrame:
         return graph
     rounds = ROUNDS + max(0, math.ceil(math.log2(count / LEAF)) - FREE_BITS)
     for turn in range(rounds):
-        new = materialize(merged(graph.unionByName(descend(graph, nodes, turn)), NEIGHBOURS), "graph")
-        same = new.join(graph.select("node", F.col("ids").alias("old")), "node").where(F.col("ids") == F.col("old")).count()
-        graph = new
-        if count - same <= CHANGED * count:
-            break
+        graph = materialize(merged(graph.unionByName(descend(graph, nodes, turn)), NEIGHBOURS), "graph")
     return graph
 
 
@@ -234,7 +235,7 @@ def search(queries: DataFrame, graph: DataFrame, nodes: DataFrame) -> DataFrame:
     for _ in range(HOPS):
         pool = seen.withColumn("rank", F.row_number().over(by)).where(F.col("rank") <= BEAM)
         left = pool.join(done, ["q", "node"], "left_anti") if done is not None else pool
-        front = materialize(left.withColumn("turn", F.row_number().over(by)).where(F.col("turn") <= EXPAND).select("q", "node"), "front")
+        front = materialize(left.select("q", "node"), "front")
         if front.isEmpty():
             break
         done = front if done is None else done.unionByName(front)

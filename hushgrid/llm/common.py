@@ -27,10 +27,10 @@ def scratch(spark: SparkSession, what: str) -> str:
     return f"{shared_dir(spark)}/hushgrid-{what}-{uuid.uuid4().hex[:12]}"
 
 
-def materialize(df: DataFrame, what: str) -> DataFrame:
+def materialize(df: DataFrame, what: str, compression: str = "snappy") -> DataFrame:
     """Write ``df`` as a table in the shared folder and read it back: lineage ends here."""
     path = scratch(df.sparkSession, what)
-    df.write.parquet(path)
+    df.write.option("compression", compression).parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
