@@ -34,7 +34,7 @@ def detect(df: DataFrame, keys: list[str], text: str, rules: tuple[Rule, ...] =
     literal = sorted({t.strip() for t in terms or [] if t.strip()}, key=lambda t: (-len(t), t))
     own = list(rules) + [Rule("custom_term", "\\Q" + t.replace("\\E", "\\E\\\\E\\Q") + "\\E") for t in literal]
     whole = F.coalesce(F.col(text), F.lit(""))
-    base = df.select(*keys, whole.alias("_t"), whole.rlike(r"[\x{4e00}-\x{9fff}]").alias("_han"), whole.rlike("[0-9]").alias("_digit"))
+    base = df.select(*keys, whole.alias("_t"), whole.rlike(r"[\x{4e00}-\x{9fff}]").alias("_han"), whole.rlike("[0-9]").alias("_digit"), whole.rlike("[:：=是为叫]").alias("_mark"))
     found = []
     for n, r in enumerate(own):
         spans = F.expr(matches("_t", r.pattern))
