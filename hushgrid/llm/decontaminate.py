@@ -7,8 +7,9 @@ each slot value of the item must stand for one value of the text; alignments tha
 don't count. A text that holds at least 0.8 of an item's windows is contaminated by it, whether the
 values are the item's own or new ones.
 
-Windows with over two placeholders say too little and are left out on both sides. Items without a
-window (null, empty or under five words) match nothing; null and empty texts match nothing. Repeated
+Windows with over two placeholders say too little as templates: they are matched by their literal values,
+and count where the telling windows alone fall short. Items without a window (null, empty or under
+five words) match nothing; null and empty texts match nothing. Repeated
 rows are each reported; a null id is an id.
 """
 
@@ -45,20 +46,28 @@ def words(text: Column) -> Column:
 
 
 def windows(df: DataFrame, keys: list[str], text: Column) -> DataFrame:
-    """``keys`` with pos, template (hash) and the words w0 to w4 of every telling window."""
+    """``keys`` with pos, template (hash), dense (over two placeholders, kept by its literal values) and slots of every window."""
     tokens = df.select(*keys, words(text).alias("t"))
     zipped = F.arrays_zip(*[F.slice("t", k + 1, F.size("t")).alias(f"w{k}") for k in range(WINDOW)])
     ws = [F.col(f"w{k}") for k in range(WINDOW)]
     each = tokens.select(*keys, F.posexplode(zipped).alias("pos", "w")).select(*keys, "pos", "w.*").where(ws[-1].isNotNull())
     blanks = sum((_is_slot(w).cast("int") for w in ws[1:]), _is_slot(ws[0]).cast("int"))
+    counted = each.select(*keys, "pos", *ws, blanks.alias("blanks"))
+    typed = counted.select(*keys, "pos", (F.col("blanks") > 2).alias("dense"), *ws)
     template = F.xxhash64(*[F.when(_is_slot(w), F.left(w, F.lit(1))).otherwise(w) for w in ws])
-    return each.where(blanks <= 2).select(*keys, "pos", template.alias("template"), *ws)
+    literal = F.xxhash64(F.lit("literal"), *[_value(w) for w in ws])
+    slots = F.when(F.col("dense"), F.array().cast("array<string>")).otherwise(_slots(_WORDS))
+    return typed.select(*keys, "pos", F.when(F.col("dense"), literal).otherwise(template).alias("template"), "dense", slots.alias("slots"))
 
 
 def _is_slot(w: Column) -> Column:
     return (w >= NUM) & (w < "\x04")
 
 
+def _value(w: Column) -> Column:
+    return F.when(_is_slot(w), F.substring(w, 2, 1 << 30)).otherwise(w)
+
+
 def _slots(names: list[str]) -> Column:
     return F.filter(F.array(*names), lambda w: _is_slot(w))
 
@@ -68,20 +77,34 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, keys: list[str], text: s
     own = {k: f"_k{i}" for i, k in enumerate(keys)}
     items = benchmark.select(F.col(item_id).alias("_item"), F.col(item_text).alias("_text"))
     item_windows = materialize(
-        windows(items, ["_item"], F.col("_text")).select("_item", F.col("pos").alias("item_pos"), "template", _slots(_WORDS).alias("item_slots")), "templates"
+        windows(items, ["_item"], F.col("_text")).select("_item", F.col("pos").alias("item_pos"), "template", "dense", F.col("slots").alias("item_slots")), "templates"
     )
-    totals = item_windows.groupBy("_item").agg(F.count("*").alias("total"))
+    totals = item_windows.groupBy("_item").agg(F.count("*").alias("total"), F.count_if(~F.col("dense")).alias("total_telling"))
     wanted = F.broadcast(item_windows) if item_windows.count() <= BROADCAST_WINDOWS else item_windows
     renamed = docs.select(*[F.col(f"`{k}`").alias(n) for k, n in own.items()], F.col(text).alias("_text"))
-    hits = windows(renamed, [*own.values()], F.col("_text")).join(wanted, "template")
-    flat = hits.select(*own.values(), "_item", (F.col("pos") - F.col("item_pos")).alias("shift"), "item_pos", F.arrays_zip("item_slots", _slots(_WORDS).alias("slots")).alias("pairs"))
-    line = flat.groupBy(*own.values(), "_item", "shift").agg(F.collect_set("item_pos").alias("places"), F.array_distinct(F.flatten(F.collect_set("pairs"))).alias("pairs"))
-    consistent = line.where(F.size(F.array_distinct(F.transform("pairs", lambda p: p["item_slots"]))) == F.size("pairs"))
-    per_item = consistent.groupBy(*own.values(), "_item").agg(
-        F.size(F.array_distinct(F.flatten(F.collect_list("places")))).alias("n"),
-        F.max(F.exists("pairs", lambda p: p["item_slots"] != p["slots"])).alias("reparameterised"),
+    found = windows(renamed, [*own.values()], F.col("_text")).drop("dense")
+    hits = found.join(wanted, "template")
+    flat = hits.select(*own.values(), "_item", (F.col("pos") - F.col("item_pos")).alias("shift"), "item_pos", (~F.col("dense")).alias("plain"), F.arrays_zip("item_slots", "slots").alias("pairs"))
+
+    def joined(rows: Column) -> list[Column]:
+        return [F.collect_set(F.when(rows, F.col("item_pos"))).alias("places"), F.array_distinct(F.flatten(F.collect_set(F.when(rows, F.col("pairs"))))).alias("pairs")]
+
+    def scores(of: str) -> list[Column]:
+        pairs = F.col(f"{of}.pairs")
+        consistent = F.size(F.array_distinct(F.transform(pairs, lambda p: p["item_slots"]))) == F.size(pairs)
+        n = F.size(F.array_distinct(F.flatten(F.collect_list(F.when(consistent, F.col(f"{of}.places"))))))
+        return [n.alias(f"n_{of}"), F.max(F.when(consistent, F.exists(pairs, lambda p: p["item_slots"] != p["slots"]))).alias(f"other_{of}")]
+
+    # telling windows alone tell first, as they also find new values; then all windows
+    line = flat.groupBy(*own.values(), "_item", "shift").agg(F.struct(*joined(F.col("plain"))).alias("telling"), F.struct(*joined(F.lit(True))).alias("every"))
+    per_item = line.groupBy(*own.values(), "_item").agg(*scores("telling"), *scores("every"))
+    telling = F.try_divide("n_telling", "total_telling")
+    enough = F.coalesce(telling >= COVERAGE, F.lit(False))
+    scored = (
+        per_item.join(totals, "_item")
+        .select("*", F.when(enough, telling).otherwise(F.col("n_every") / F.col("total")).alias("coverage"), F.when(enough, F.col("other_telling")).otherwise(F.col("other_every")).alias("reparameterised"))
+        .where(F.col("coverage") >= COVERAGE)
     )
-    scored = per_item.join(totals, "_item").withColumn("coverage", F.col("n") / F.col("total")).where(F.col("coverage") >= COVERAGE)
     return scored.select(*[F.col(n).alias(k) for k, n in own.items()], F.col("_item").alias(item_id), "coverage", "reparameterised")
 
 
