@@ -45,19 +45,26 @@ def words(text: Column) -> Column:
     return F.split(F.translate(F.lower(marked), _PUNCTUATION, ""), " ")
 
 
-def windows(df: DataFrame, keys: list[str], text: Column) -> DataFrame:
-    """``keys`` with pos, template (hash), dense (over two placeholders, kept by its literal values) and slots of every window."""
+def windows(df: DataFrame, keys: list[str], text: Column, inside: bool = False) -> DataFrame:
+    """``keys`` with pos, template (hash), dense (over two placeholders, kept by its literal values), first and slots of every window.
+
+    An item's first word is a literal, as it starts a text. ``inside``: windows that start with a name or unit
+    are also given with that word as a literal (first), for items that start there.
+    """
     tokens = df.select(*keys, words(text).alias("t"))
     zipped = F.arrays_zip(*[F.slice("t", k + 1, F.size("t")).alias(f"w{k}") for k in range(WINDOW)])
     ws = [F.col(f"w{k}") for k in range(WINDOW)]
     each = tokens.select(*keys, F.posexplode(zipped).alias("pos", "w")).select(*keys, "pos", "w.*").where(ws[-1].isNotNull())
     blanks = sum((_is_slot(w).cast("int") for w in ws[1:]), _is_slot(ws[0]).cast("int"))
     counted = each.select(*keys, "pos", *ws, blanks.alias("blanks"))
-    typed = counted.select(*keys, "pos", (F.col("blanks") > 2).alias("dense"), *ws)
+    both = (ws[0] >= NAME) & _is_slot(ws[0]) & (F.col("blanks") <= 3) if inside else F.lit(False)
+    ways = counted.select("*", F.explode(F.when(both, F.array(F.lit(False), F.lit(True))).otherwise(F.array(F.lit(False)))).alias("first"))
+    dense = (F.col("blanks") > 2) & ~F.col("first")
+    typed = ways.select(*keys, "pos", dense.alias("dense"), "first", F.when(F.col("first"), _value(ws[0])).otherwise(ws[0]).alias("w0"), *ws[1:])
     template = F.xxhash64(*[F.when(_is_slot(w), F.left(w, F.lit(1))).otherwise(w) for w in ws])
     literal = F.xxhash64(F.lit("literal"), *[_value(w) for w in ws])
     slots = F.when(F.col("dense"), F.array().cast("array<string>")).otherwise(_slots(_WORDS))
-    return typed.select(*keys, "pos", F.when(F.col("dense"), literal).otherwise(template).alias("template"), "dense", slots.alias("slots"))
+    return typed.select(*keys, "pos", F.when(F.col("dense"), literal).otherwise(template).alias("template"), "dense", "first", slots.alias("slots"))
 
 
 def _is_slot(w: Column) -> Column:
@@ -82,9 +89,9 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, keys: list[str], text: s
     totals = item_windows.groupBy("_item").agg(F.count("*").alias("total"), F.count_if(~F.col("dense")).alias("total_telling"))
     wanted = F.broadcast(item_windows) if item_windows.count() <= BROADCAST_WINDOWS else item_windows
     renamed = docs.select(*[F.col(f"`{k}`").alias(n) for k, n in own.items()], F.col(text).alias("_text"))
-    found = windows(renamed, [*own.values()], F.col("_text")).drop("dense")
-    hits = found.join(wanted, "template")
-    flat = hits.select(*own.values(), "_item", (F.col("pos") - F.col("item_pos")).alias("shift"), "item_pos", (~F.col("dense")).alias("plain"), F.arrays_zip("item_slots", "slots").alias("pairs"))
+    found = windows(renamed, [*own.values()], F.col("_text"), True).drop("dense")
+    hits = found.join(wanted, "template").where(~F.col("first") | (F.col("item_pos") == 0))
+    flat = hits.select(*own.values(), "_item", (F.col("pos") - F.col("item_pos")).alias("shift"), "item_pos", (~F.col("first") & ~F.col("dense")).alias("plain"), F.arrays_zip("item_slots", "slots").alias("pairs"))
 
     def joined(rows: Column) -> list[Column]:
         return [F.collect_set(F.when(rows, F.col("item_pos"))).alias("places"), F.array_distinct(F.flatten(F.collect_set(F.when(rows, F.col("pairs"))))).alias("pairs")]

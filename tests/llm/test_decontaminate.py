@@ -11,6 +11,7 @@ DENSE = [
     "WHICH OF THESE RIVERS IS THE LONGEST IN EUROPE",
     "Who Wrote The Old Man And The Sea",
 ]
+SHORT = ["What is the largest planet here", "Name the capital of a country", "Is it so or not", "Which bird cannot fly at all but runs"]
 
 
 def found(spark, texts, items):
@@ -19,7 +20,7 @@ def found(spark, texts, items):
     return {(r.doc_id, r.item_id): (r.coverage, r.reparameterised) for r in decontaminate.contaminated(docs, bench, ["doc_id"]).collect()}
 
 
-@pytest.mark.parametrize("before", ["", "some words come first. "])
+@pytest.mark.parametrize("before", ["", "some words come first. ", "a line without end mark\n", "then (as said, "])
 def test_dense_items_are_found_word_by_word(spark, before):
     got = found(spark, [f"{before}{x} and then other words follow here" for x in DENSE], DENSE)
     assert set(got) == {(i, i) for i in range(len(DENSE))}
@@ -27,3 +28,9 @@ def test_dense_items_are_found_word_by_word(spark, before):
 
 def test_dense_windows_with_other_values_are_not_copies(spark):
     assert found(spark, ["13 16 19 22 25 28 31 34 37", "Kurt Lena Max Nora Otto Paul Rita Sven Tina", "plain words only in this one"], DENSE) == {}
+
+
+@pytest.mark.parametrize("before", ["a line without end mark\n", "he said, ", "so it went; \"quoted\" ", "see the note) ", "3 "])
+def test_short_items_inside_a_sentence_are_found(spark, before):
+    got = found(spark, [f"{before}{x}\nmore words after it" for x in SHORT], SHORT)
+    assert got == {(i, i): (1.0, False) for i in range(len(SHORT))}
