@@ -1,44 +1,51 @@
 """Approximate nearest neighbours by inner product: NN-descent graph and greedy search (operator 1).
 
 Equal vectors are one node, which keeps its ``EACH`` smallest ids: no answer needs more of them, and a
-window limit before the shuffle keeps a very common vector from gathering. The graph links a node to those
-of largest inner product with it, as the answers are.
-
-Start: random hyperplanes deal nodes into blocks of about ``LEAF`` in ``TABLES`` ways; a block lists each
-member's nearest members. Descent: for every node, the nodes next to it (its nearest and those it is
-nearest to) are joined and compared with one another, and each keeps what beats its worst neighbour,
-in a number of rounds that grows with the logarithm of the nodes. Blocks and neighbourhoods are bounded,
-so work is linear in the nodes; blocks that come out too large are split by hash. The graph is built on half precision.
-
-Search: each query starts from its own node and expands the nodes among its best ``BEAM`` that it
-has not yet, by joins with the graph and the vectors, until all of them are expanded. Scores are inner products
-of the original vectors in double precision.
+window limit before the shuffle keeps a very common vector from gathering. A node's list holds the
+``NEIGHBOURS`` of smallest angle and the ``NEIGHBOURS`` of largest inner product; where all vectors are as
+long, these are the same. Angles make the descent converge, inner products are what is asked for.
+
+Start: random hyperplanes deal nodes into blocks of about ``LEAF`` in ``TABLES`` ways; larger blocks are split
+by a hash that differs by table, so a dense group is dealt anew each time. A block lists each member's
+nearest members: far too few, as a start. Descent: for every node, neighbours drawn from its list and from
+the nodes that list it, new ones first, are joined and compared with one another, pairs of old ones left
+out, and each keeps what beats its worst neighbour. Rounds go on until fewer than ``STILL`` of all entries
+change. Blocks and neighbourhoods are bounded, so a round is linear in the nodes.
+
+Search: each query starts with its own node's list and expands the nodes among its best ``BEAM`` that it has
+not yet, by joins with the graph and the vectors, until all of them are expanded. The graph and the
+search use vectors of unit length in half precision and the length beside them, in double precision, so
+lengths may differ by any factor; answers are scored from the original vectors in double precision.
 
 Vectors that are null, zero, of another length than most, or that hold null or non-finite components take
 no part, nor do rows without id. Rows that share a query's id are its own. An empty table gives no rows.
+Ties in score go to the smaller id. Columns beyond the two named are not looked at.
 """
 
 from __future__ import annotations
 
 import math
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .common import drop_path, scratch
 from .common import materialize as written
 
 TOP = 20
 EACH = TOP + 1
-LEAF, TABLES, SEED = 4000, 12, 7
-NEIGHBOURS, NEAR, FROM_BLOCK = 40, 16, 24
-#: Rounds of descent, and one more for each doubling of the blocks over 2^FREE_BITS.
-ROUNDS, FREE_BITS = 2, 4
-BEAM, HOPS = 28, 12
-#: Nodes of each query whose scores are taken anew from the original vectors.
-EXACT = 2 * TOP
+LEAF, TABLES, SEED = 128, 4, 7
+NEIGHBOURS, NEAR = 64, 32
+#: Share of all list entries; a round that changes fewer is the last.
+STILL = 0.01
+BEAM = 60
+#: Queries up to which their vectors are sent to every task (some 150 bytes each).
+BROADCAST_QUERIES = 50_000
+LISTS = "node long, ids binary, cos binary, dots binary, new binary, fresh int"
+_KINDS = {"ids": np.int64, "cos": np.float32, "dots": np.float64, "new": np.uint8}
 
 
 def materialize(df: DataFrame, what: str) -> DataFrame:
@@ -46,6 +53,18 @@ def materialize(df: DataFrame, what: str) -> DataFrame:
     return written(df, what, "uncompressed")
 
 
+class _Table:
+    """A written table that is deleted once its successor is there."""
+
+    def __init__(self, df: DataFrame, what: str):
+        self.path = scratch(df.sparkSession, what)
+        df.write.option("compression", "uncompressed").parquet(self.path)
+        self.df = df.sparkSession.read.schema(df.schema).parquet(self.path)
+
+    def drop(self) -> None:
+        drop_path(self.df.sparkSession, self.path)
+
+
 def usable(df: DataFrame, id_col: str, vec_col: str) -> DataFrame:
     """(vec_id, v array<double>) of the rows that take part."""
     v = F.col(vec_col).cast("array<double>")
@@ -63,23 +82,51 @@ def nodes_of(rows: DataFrame) -> DataFrame:
     return first.groupBy("v").agg(F.sort_array(F.collect_list("vec_id")).alias("ids")).select(F.col("ids")[0].alias("node"), "ids", "v")
 
 
-def _halves(v: pd.Series, longest: float) -> np.ndarray:
-    return (np.array(v.tolist(), np.float64) / longest).astype(np.float16)
+def scaled(v: pd.Series) -> pd.DataFrame:
+    """x: a unit vector in half precision; norm: its length, at most the largest double."""
+    raw = np.array(v.tolist(), np.float64).reshape(len(v), -1)
+    top = np.abs(raw).max(axis=1, keepdims=True, initial=0)
+    unit = raw / np.where(top > 0, top, 1)
+    length = np.sqrt((unit * unit).sum(axis=1, keepdims=True))
+    with np.errstate(over="ignore"):
+        norm = np.minimum(top * length, np.finfo(np.float64).max).ravel()
+    half = (unit / np.where(length > 0, length, 1)).astype(np.float16)
+    return pd.DataFrame({"x": [r.tobytes() for r in half], "norm": norm})
 
 
 def _vectors(blobs: list[bytes]) -> np.ndarray:
     return np.frombuffer(b"".join(blobs), np.float16).reshape(len(blobs), -1).astype(np.float32)
 
 
-def _best(sims: np.ndarray, k: int) -> np.ndarray:
-    k = min(k, sims.shape[1])
-    part = np.argpartition(-sims, k - 1, axis=1)[:, :k] if k < sims.shape[1] else np.argsort(-sims, axis=1)
-    order = np.argsort(-np.take_along_axis(sims, part, axis=1), axis=1)
-    return np.take_along_axis(part, order, axis=1)
+def _dots(cos: np.ndarray, norm: np.ndarray) -> np.ndarray:
+    """Inner products over the first vector's length."""
+    with np.errstate(over="ignore"):
+        return cos.astype(np.float64) * norm
+
+
+def _starts(sorted_values: np.ndarray) -> np.ndarray:
+    return np.flatnonzero(np.append(True, sorted_values[1:] != sorted_values[:-1])) if len(sorted_values) else np.zeros(0, int)
+
+
+def _ranks(groups: np.ndarray) -> np.ndarray:
+    """Place of each element in its run of equal values."""
+    at = _starts(groups)
+    return np.arange(len(groups)) - np.repeat(at, np.diff(np.append(at, len(groups))))
+
+
+def _lists(node: np.ndarray, sizes: np.ndarray, columns: dict[str, np.ndarray]) -> pd.DataFrame:
+    """Rows of LISTS from flat columns, ``sizes`` entries for each node."""
+    ends = np.cumsum(sizes)
+    out = {"node": node}
+    for c, kind in _KINDS.items():
+        raw, width = np.ascontiguousarray(columns[c].astype(kind)).tobytes(), np.dtype(kind).itemsize
+        out[c] = [raw[(e - n) * width : e * width] for e, n in zip(ends.tolist(), sizes.tolist())]
+    return pd.DataFrame(out | {"fresh": [int(np.frombuffer(b, np.uint8).__eq__(2).sum()) for b in out["new"]]}).astype({"node": "int64", "fresh": "int32"})
 
 
-def _lists(nodes: np.ndarray, ids: list[np.ndarray], sims: list[np.ndarray]) -> pd.DataFrame:
-    return pd.DataFrame({"node": nodes, "ids": [x.astype(np.int64).tobytes() for x in ids], "sims": [x.astype(np.float32).tobytes() for x in sims]})
+def _flat(f: pd.DataFrame) -> tuple[np.ndarray, dict[str, np.ndarray]]:
+    sizes = f["new"].map(len).to_numpy(int)
+    return np.repeat(f["node"].to_numpy(np.int64), sizes), {c: np.frombuffer(b"".join(f[c]), kind) for c, kind in _KINDS.items()}
 
 
 def _whole_groups(frames: Iterator[pd.DataFrame], key: str) -> Iterator[pd.DataFrame]:
@@ -96,31 +143,32 @@ def _whole_groups(frames: Iterator[pd.DataFrame], key: str) -> Iterator[pd.DataF
         yield rest.reset_index(drop=True)
 
 
-def merged(lists: DataFrame, keep: int) -> DataFrame:
-    """One list of the ``keep`` best distinct neighbours of each node."""
+def merge(f: pd.DataFrame, keep: int) -> pd.DataFrame:
+    """One list for each node: the distinct entries among its ``keep`` best by angle or by inner product."""
+    node, c = _flat(f)
+    order = np.lexsort((c["new"], c["ids"], node))  # of equal entries the one found first stays
+    node, c = node[order], {k: v[order] for k, v in c.items()}
+    new = np.append(True, (node[1:] != node[:-1]) | (c["ids"][1:] != c["ids"][:-1])) if len(node) else np.zeros(0, bool)
+    node, c = node[new], {k: v[new] for k, v in c.items()}
+    best = np.zeros(len(node), bool)
+    for by in ("cos", "dots"):
+        order = np.lexsort((c["ids"], -c[by], node))
+        best[order[_ranks(node[order]) < keep]] = True
+    node, c = node[best], {k: v[best] for k, v in c.items()}
+    at = _starts(node)
+    return _lists(node[at], np.diff(np.append(at, len(node))), c)
+
 
+def merged(lists: DataFrame, keep: int) -> DataFrame:
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for f in _whole_groups(frames, "node"):
-            sizes = f["ids"].map(len).to_numpy() // 8
-            node = np.repeat(f["node"].to_numpy(), sizes)
-            ids = np.frombuffer(b"".join(f["ids"]), np.int64)
-            sims = np.frombuffer(b"".join(f["sims"]), np.float32)
-            order = np.lexsort((-sims, ids, node))
-            node, ids, sims = node[order], ids[order], sims[order]
-            new = np.ones(len(node), bool)
-            new[1:] = (node[1:] != node[:-1]) | (ids[1:] != ids[:-1])
-            node, ids, sims = node[new], ids[new], sims[new]
-            order = np.lexsort((ids, -sims, node))
-            node, ids, sims = node[order], ids[order], sims[order]
-            at = np.flatnonzero(np.append(True, node[1:] != node[:-1])) if len(node) else np.zeros(0, int)
-            ends = np.append(at[1:], len(node))
-            yield _lists(node[at], [ids[a : min(b, a + keep)] for a, b in zip(at, ends)], [sims[a : min(b, a + keep)] for a, b in zip(at, ends)])
-
-    return lists.repartition("node").sortWithinPartitions("node").mapInPandas(run, "node long, ids binary, sims binary")
+            yield merge(f, keep)
+
+    return lists.repartition("node").sortWithinPartitions("node").mapInPandas(run, LISTS)
 
 
 def start_lists(nodes: DataFrame, count: int) -> DataFrame:
-    """First lists from blocks of random hyperplanes. nodes: node, x (half-precision bytes)."""
+    """First lists from blocks of random hyperplanes. nodes: node, x, norm."""
     bits = max(0, math.ceil(math.log2(max(1, count) / LEAF)))
     tables = TABLES if bits else 1
 
@@ -129,58 +177,72 @@ def start_lists(nodes: DataFrame, count: int) -> DataFrame:
             x = _vectors(f["x"].tolist())
             planes = np.random.default_rng(SEED).standard_normal((x.shape[1], max(1, tables * bits))).astype(np.float32)
             side = (x @ planes > 0)[:, : tables * bits].reshape(len(x), tables, bits)
-            code = (side @ (1 << np.arange(bits, dtype=np.int64))) + (np.arange(tables, dtype=np.int64) << 40) if bits else np.zeros((len(x), 1), np.int64)
-            yield pd.DataFrame({"block": code.ravel(), "node": np.repeat(f["node"].to_numpy(), tables), "x": np.repeat(f["x"].to_numpy(object), tables)})
+            code = side @ (1 << np.arange(bits, dtype=np.int64)) if bits else np.zeros((len(x), 1), np.int64)
+            each = {c: np.repeat(f[c].to_numpy(object if c == "x" else None), tables) for c in ("node", "x", "norm")}
+            yield pd.DataFrame({"block": (code + (np.arange(tables, dtype=np.int64) << 40)).ravel(), **each})
 
     def nearest(key: tuple, f: pd.DataFrame) -> pd.DataFrame:
         x, node = _vectors(f["x"].tolist()), f["node"].to_numpy()
-        if len(x) < 2:
-            return _lists(node[:0], [], [])
-        ids, sims = [], []
-        for a in range(0, len(x), 512):
-            s = x[a : a + 512] @ x.T
-            s[np.arange(len(s)), np.arange(a, a + len(s))] = -9
-            top = _best(s, min(FROM_BLOCK, len(x) - 1))
-            ids += list(node[top])
-            sims += list(np.take_along_axis(s, top, axis=1))
-        return _lists(node, ids, sims)
-
-    dealt = materialize(nodes.select("node", "x").mapInPandas(deal, "block long, node long, x binary"), "dealt")
+        k = min(NEIGHBOURS // 2, len(x) - 1)
+        if k < 1:
+            return _lists(node[:0], np.zeros(0, int), {c: np.zeros(0) for c in _KINDS})
+        cos = x @ x.T
+        np.fill_diagonal(cos, -9)
+        top = np.argpartition(-cos, k - 1, axis=1)[:, :k]
+        sims = np.take_along_axis(cos, top, axis=1).ravel()
+        return _lists(node, np.full(len(x), k), {"ids": node[top].ravel(), "cos": sims, "dots": _dots(sims, f["norm"].to_numpy()[top].ravel()), "new": np.full(len(sims), 2)})
+
+    dealt = materialize(nodes.select("node", "x", "norm").mapInPandas(deal, "block long, node long, x binary, norm double"), "dealt")
     large = dealt.groupBy("block").agg(F.count("*").alias("n")).where(F.col("n") > 3 * LEAF)
     parts = F.coalesce(F.ceil(F.col("n") / F.lit(2 * LEAF)), F.lit(1)).cast("int")
-    split = dealt.join(large, "block", "left").withColumn("part", F.pmod(F.xxhash64("node"), parts))
-    return split.groupBy("block", "part").applyInPandas(nearest, "node long, ids binary, sims binary")
+    split = dealt.join(large, "block", "left").withColumn("part", F.pmod(F.xxhash64("node", "block"), parts))
+    return split.groupBy("block", "part").applyInPandas(nearest, LISTS)
+
+
+def drawn(node: np.ndarray, ids: np.ndarray, new: np.ndarray, turn: int) -> np.ndarray:
+    """Up to NEAR entries of each node's list, new ones first, else by a hash of both nodes and the round."""
+    mixed = (ids ^ node ^ np.int64(turn << 32)) * np.int64(-7046029254386353131) >> np.int64(17)
+    order = np.lexsort((mixed, new == 0, node))
+    out = np.zeros(len(node), bool)
+    out[order[_ranks(node[order]) < NEAR]] = True
+    return out
 
 
-def _ids(c: str) -> Column:
-    """An array of longs from little-endian bytes."""
+def _aged(graph: DataFrame, turn: int) -> DataFrame:
+    """Lists whose drawn entries are no longer new; others that are new stay so."""
 
-    @F.pandas_udf("array<long>")
-    def read(blobs: pd.Series) -> pd.Series:
-        return pd.Series([np.frombuffer(b, np.int64) for b in blobs])
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for f in frames:
+            node, c = _flat(f)
+            c["new"] = np.where(drawn(node, c["ids"], c["new"], turn), 0, np.minimum(c["new"], 1))
+            yield _lists(f["node"].to_numpy(), f["new"].map(len).to_numpy(int), c)
 
-    return read(F.col(c))
+    return graph.mapInPandas(run, LISTS)
 
 
 def _near(graph: DataFrame, turn: int) -> DataFrame:
-    """(center, member): NEAR neighbours of each node and NEAR of the nodes that list it, drawn by a hash of both and the round."""
+    """(center, member, new): entries drawn from each node's list, and NEAR of the nodes that list it."""
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for f in frames:
-            ids = [np.frombuffer(b, np.int64) for b in f["ids"]]
-            drawn = np.zeros(sum(map(len, ids)), bool)
-            at = 0
-            for node, x in zip(f["node"], ids):
-                order = np.argsort((x ^ np.int64(node) ^ np.int64(turn << 32)) * np.int64(-7046029254386353131) >> np.int64(17), kind="stable")
-                drawn[at + order[:NEAR]] = True
-                at += len(x)
-            yield pd.DataFrame({"center": np.repeat(f["node"].to_numpy(), [len(x) for x in ids]), "member": np.concatenate(ids), "drawn": drawn})
-
-    out = graph.mapInPandas(run, "center long, member long, drawn boolean")
-    back = out.select(F.col("member").alias("center"), F.col("center").alias("member"))
-    by = Window.partitionBy("center").orderBy(F.xxhash64("center", "member", F.lit(turn)), "member")
+            node, c = _flat(f)
+            yield pd.DataFrame({"center": node, "member": c["ids"], "new": c["new"] > 0, "drawn": drawn(node, c["ids"], c["new"], turn)})
+
+    out = graph.mapInPandas(run, "center long, member long, new boolean, drawn boolean")
+    back = out.select(F.col("member").alias("center"), F.col("center").alias("member"), "new")
+    by = Window.partitionBy("center").orderBy(F.col("new").desc(), F.xxhash64("center", "member", F.lit(turn)), "member")
     some = back.withColumn("rank", F.row_number().over(by)).where(F.col("rank") <= NEAR).drop("rank")
-    return out.where("drawn").select("center", "member").unionByName(some).distinct()
+    return out.where("drawn").select("center", "member", "new").unionByName(some).groupBy("center", "member").agg(F.max("new").alias("new"))
+
+
+def found_in(new: np.ndarray, x: np.ndarray, norm: np.ndarray, worst_cos: np.ndarray, worst_dot: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(i, j, cos, dot) of the ordered pairs of a neighbourhood, one of them new, that beat i's worst neighbour."""
+    cos = x @ x.T
+    dot = _dots(cos, norm[None, :])
+    better = ((cos > worst_cos[:, None]) | (dot > worst_dot[:, None])) & (new[:, None] | new[None, :])
+    np.fill_diagonal(better, False)
+    i, j = np.nonzero(better)
+    return i, j, cos[i, j], dot[i, j]
 
 
 def descend(graph: DataFrame, nodes: DataFrame, turn: int) -> DataFrame:
@@ -188,88 +250,143 @@ def descend(graph: DataFrame, nodes: DataFrame, turn: int) -> DataFrame:
 
     def join(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for f in _whole_groups(frames, "center"):
-            center, member, worst = f["center"].to_numpy(), f["member"].to_numpy(), f["worst"].to_numpy()
-            x = _vectors(f["x"].tolist())
-            at = np.flatnonzero(np.append(True, center[1:] != center[:-1]))
-            node, ids, sims = [], [], []
+            center, member, x = f["center"].to_numpy(), f["member"].to_numpy(), _vectors(f["x"].tolist())
+            new, norm, worst = f["new"].to_numpy(bool), f["norm"].to_numpy(), (f["worst_cos"].to_numpy(), f["worst_dot"].to_numpy())
+            at = _starts(center)
+            got = []
             for a, b in zip(at, np.append(at[1:], len(center))):
-                s = x[a:b] @ x[a:b].T
-                np.fill_diagonal(s, -9)
-                better = s > worst[a:b, None]
-                for i in np.flatnonzero(better.any(axis=1)):
-                    node.append(member[a + i])
-                    ids.append(member[a:b][better[i]])
-                    sims.append(s[i][better[i]])
-            yield _lists(np.array(node, np.int64), ids, sims)
-
-    def worst_of(blobs: pd.Series) -> pd.Series:
-        return pd.Series([float(s[NEIGHBOURS - 1]) if len(s := np.frombuffer(b, np.float32)) >= NEIGHBOURS else -9.0 for b in blobs])
-
-    worst = F.pandas_udf(worst_of, "float")
-    known = nodes.select("node", "x").join(graph.select("node", worst("sims").alias("worst")), "node").withColumnRenamed("node", "member")
+                i, j, cos, dot = found_in(new[a:b], x[a:b], norm[a:b], worst[0][a:b], worst[1][a:b])
+                got.append((member[a:b][i], member[a:b][j], cos, dot))
+            node, ids, cos, dots = (np.concatenate(p) for p in zip(*got))
+            order = np.lexsort((ids, node))
+            node, ids, cos, dots = node[order], ids[order], cos[order], dots[order]
+            first = np.append(True, (node[1:] != node[:-1]) | (ids[1:] != ids[:-1])) if len(node) else np.zeros(0, bool)
+            node, ids, cos, dots = node[first], ids[first], cos[first], dots[first]
+            starts = _starts(node)
+            yield _lists(node[starts], np.diff(np.append(starts, len(node))), {"ids": ids, "cos": cos, "dots": dots, "new": np.full(len(ids), 2)})
+
+    @F.pandas_udf("worst_cos double, worst_dot double")
+    def worst(cos: pd.Series, dots: pd.Series) -> pd.DataFrame:
+        last = lambda blobs, kind: [float(-np.partition(-x, NEIGHBOURS - 1)[NEIGHBOURS - 1]) if len(x := np.frombuffer(b, kind)) >= NEIGHBOURS else -math.inf for b in blobs]
+        return pd.DataFrame({"worst_cos": last(cos, np.float32), "worst_dot": last(dots, np.float64)})
+
+    known = nodes.select("node", "x", "norm").join(graph.select("node", worst("cos", "dots").alias("w")).select("node", "w.*"), "node").withColumnRenamed("node", "member")
     members = _near(graph, turn).join(known, "member")
-    return members.repartition("center").sortWithinPartitions("center").mapInPandas(join, "node long, ids binary, sims binary")
+    return members.repartition("center").sortWithinPartitions("center").mapInPandas(join, LISTS)
 
 
-def build(nodes: DataFrame, count: int) -> DataFrame:
-    """(node, ids, sims): the neighbour graph."""
-    graph = materialize(merged(start_lists(nodes, count), NEIGHBOURS), "graph")
-    if count <= LEAF:  # one block has compared all with all
-        return graph
-    rounds = ROUNDS + max(0, math.ceil(math.log2(count / LEAF)) - FREE_BITS)
-    for turn in range(rounds):
-        graph = materialize(merged(graph.unionByName(descend(graph, nodes, turn)), NEIGHBOURS), "graph")
-    return graph
+def build(nodes: DataFrame, count: int, told: Callable[[int, DataFrame], None] | None = None) -> DataFrame:
+    """The neighbour graph (LISTS). ``told`` gets the number of each round, 0 for the start, and its graph."""
+    now, turn = _Table(merged(start_lists(nodes, count), NEIGHBOURS), "graph"), 0
+    while True:
+        if told:
+            told(turn, now.df)
+        fresh, size = now.df.agg(F.coalesce(F.sum("fresh"), F.lit(0)), F.coalesce(F.sum(F.octet_length("new")), F.lit(0))).first()
+        if turn and fresh <= STILL * size:
+            return now.df
+        after = _Table(merged(_aged(now.df, turn).unionByName(descend(now.df, nodes, turn)), NEIGHBOURS), "graph")
+        now.drop()
+        now, turn = after, turn + 1
 
 
 def _dot(a: str, b: str) -> Column:
     return F.aggregate(F.zip_with(a, b, lambda p, q: p * q), F.lit(0.0), lambda s, t: s + t)
 
 
+POOL = "q long, ids binary, scores binary, done binary, open int"
+
+
+def pooled(f: pd.DataFrame, keep: int) -> pd.DataFrame:
+    """One pool for each query: the ``keep`` best distinct nodes, and which of them have been expanded."""
+    sizes = f["done"].map(len).to_numpy(int)
+    q = np.repeat(f["q"].to_numpy(np.int64), sizes)
+    ids, scores, done = (np.frombuffer(b"".join(f[c]), kind) for c, kind in (("ids", np.int64), ("scores", np.float64), ("done", np.uint8)))
+    order = np.lexsort((1 - done.astype(int), ids, q))
+    q, ids, scores, done = q[order], ids[order], scores[order], done[order]
+    first = np.append(True, (q[1:] != q[:-1]) | (ids[1:] != ids[:-1])) if len(q) else np.zeros(0, bool)
+    q, ids, scores, done = q[first], ids[first], scores[first], done[first]
+    order = np.lexsort((ids, -scores, q))
+    order = order[_ranks(q[order]) < keep]
+    q, ids, scores, done = q[order], ids[order], scores[order], done[order]
+    at = _starts(q)
+    cut = lambda x: [x[a:b].tobytes() for a, b in zip(at, np.append(at[1:], len(q)))]
+    return pd.DataFrame({"q": q[at], "ids": cut(ids), "scores": cut(scores), "done": cut(done), "open": np.add.reduceat((done == 0).astype(np.int32), at) if len(at) else np.zeros(0, np.int32)})
+
+
 def search(queries: DataFrame, graph: DataFrame, nodes: DataFrame) -> DataFrame:
-    """(q, node, score) of the nodes met; scores are in half precision. queries: q, xq, entry (the node to start from)."""
-    near = materialize(graph.select("node", _ids("ids").alias("near")), "near")
-    seen = materialize(_scored(queries.select("q", F.col("entry").alias("node")), queries, nodes), "seen")
-    done = None
-    by = Window.partitionBy("q").orderBy(F.col("score").desc(), "node")
-    for _ in range(HOPS):
-        pool = seen.withColumn("rank", F.row_number().over(by)).where(F.col("rank") <= BEAM)
-        left = pool.join(done, ["q", "node"], "left_anti") if done is not None else pool
-        front = materialize(left.select("q", "node"), "front")
-        if front.isEmpty():
-            break
-        done = front if done is None else done.unionByName(front)
-        found = front.join(near, "node").select("q", F.explode("near").alias("node")).distinct()
-        fresh = found.join(seen.select("q", "node"), ["q", "node"], "left_anti")
-        seen = seen.unionByName(materialize(_scored(fresh, queries, nodes), "seen"))
-    return seen
-
-
-def _scored(pairs: DataFrame, queries: DataFrame, nodes: DataFrame) -> DataFrame:
-    @F.pandas_udf("float")
-    def dot(a: pd.Series, b: pd.Series) -> pd.Series:
-        return pd.Series((_vectors(a.tolist()) * _vectors(b.tolist())).sum(axis=1) if len(a) else [], dtype="float32")
-
-    return pairs.join(nodes.select("node", "x"), "node").join(queries.select("q", "xq"), "q").select("q", "node", dot("xq", "x").alias("score"))
+    """(q, ids, scores, done, open): each query's BEAM best nodes, all expanded. queries: q (its node), xq."""
+    near = graph.select("node", "ids")
+    small = F.broadcast(queries) if queries.count() <= BROADCAST_QUERIES else queries
+
+    def begin(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for f in frames:
+            yield pooled(pd.DataFrame({"q": f["node"], "ids": f["ids"], "scores": f["dots"], "done": [b"\0" * len(b) for b in f["new"]]}), BEAM)
+
+    def alone(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for f in frames:
+            yield pd.DataFrame({"q": f["q"], "ids": [np.int64(q).tobytes() for q in f["q"]], "scores": [np.float64(n).tobytes() for n in f["norm"]], "done": [b"\1"] * len(f), "open": 0}).astype({"open": "int32"})
+
+    def expand(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for f in frames:
+            for q, ids, done in zip(f["q"], f["ids"], f["done"]):
+                todo = np.frombuffer(ids, np.int64)[np.frombuffer(done, np.uint8) == 0]
+                yield pd.DataFrame({"q": np.full(len(todo), q), "node": todo})
+
+    def listed(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for f in frames:
+            ids = [np.frombuffer(b, np.int64) for b in f["ids"]]
+            if ids:
+                yield pd.DataFrame({"q": np.repeat(f["q"].to_numpy(), [len(x) for x in ids]), "node": np.concatenate(ids)})
+
+    def scored(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for f in frames:
+            if len(f):
+                dots = _dots((_vectors(f["xq"].tolist()) * _vectors(f["x"].tolist())).sum(axis=1), f["norm"].to_numpy())
+                yield pooled(pd.DataFrame({"q": f["q"], "ids": [x.tobytes() for x in f["node"].to_numpy(np.int64)], "scores": [x.tobytes() for x in dots], "done": [b"\0"] * len(f)}), BEAM)
+
+    def gather(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for f in _whole_groups(frames, "q"):
+            yield pooled(f, BEAM)
+
+    def closed(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for f in frames:
+            yield f.assign(done=[b"\1" * len(b) for b in f["done"]], open=np.zeros(len(f), np.int32))
+
+    own = queries.select(F.col("q").alias("node")).join(graph, "node").mapInPandas(begin, POOL)
+    itself = queries.select("q").join(nodes.select(F.col("node").alias("q"), "norm"), "q").mapInPandas(alone, POOL)
+    pool = _Table(own.unionByName(itself).repartition("q").sortWithinPartitions("q").mapInPandas(gather, POOL), "pool")
+    while pool.df.agg(F.coalesce(F.sum("open"), F.lit(0))).first()[0]:
+        front = pool.df.where("open > 0").mapInPandas(expand, "q long, node long")
+        met = front.join(near, "node").select("q", "ids").mapInPandas(listed, "q long, node long").distinct()
+        fresh = met.join(nodes.select("node", "x", "norm"), "node").join(small, "q").mapInPandas(scored, POOL)
+        after = _Table(pool.df.mapInPandas(closed, POOL).unionByName(fresh).repartition("q").sortWithinPartitions("q").mapInPandas(gather, POOL), "pool")
+        pool.drop()
+        pool = after
+    return pool.df
 
 
 def nearest(df: DataFrame, id_col: str, vec_col: str, is_query: Column, top: int = TOP) -> DataFrame:
     """(query_id, rank, vec_id, score): for each row that ``is_query`` (over ``vec_id``), its ``top`` nearest others found."""
     rows = materialize(usable(df, id_col, vec_col), "vectors")
-    distinct = materialize(nodes_of(rows), "nodes")
-    longest = math.sqrt(distinct.agg(F.max(_dot("v", "v"))).first()[0] or 1.0) * (1 + 1e-9)
-    half = F.pandas_udf(lambda v: pd.Series([r.tobytes() for r in _halves(v, longest)]), "binary")
-    nodes = materialize(distinct.select("node", "ids", "v", half("v").alias("x")), "halves")
+    half = F.pandas_udf(scaled, "x binary, norm double")
+    nodes = materialize(nodes_of(rows).select("node", "ids", "v", half("v").alias("h")).select("node", "ids", "v", "h.*"), "nodes")
     graph = build(nodes, nodes.count())
     asked = materialize(rows.where(is_query).select("vec_id", "v").join(nodes.select("node", "v"), "v").select(F.col("vec_id").alias("query_id"), F.col("node").alias("q")).distinct(), "asked")
-    starts = materialize(asked.select(F.col("q").alias("node")).distinct().join(nodes.select("node", "v", "x"), "node").select(F.col("node").alias("q"), "v", F.col("x").alias("xq"), F.col("node").alias("entry")), "starts")
-    met = search(starts, graph, nodes).withColumn("rank", F.row_number().over(Window.partitionBy("q").orderBy(F.col("score").desc(), "node"))).where(F.col("rank") <= max(EXACT, top + 1))
-    found = met.select("q", "node").join(nodes.select("node", F.col("v").alias("w")), "node").join(starts.select("q", "v"), "q").select("q", "node", _dot("v", "w").alias("score"))
+    starts = materialize(asked.select(F.col("q").alias("node")).distinct().join(nodes.select("node", "v", "x"), "node").select(F.col("node").alias("q"), "v", F.col("x").alias("xq")), "starts")
+
+    def spread(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for f in frames:
+            ids = [np.frombuffer(b, np.int64) for b in f["ids"]]
+            if ids:
+                yield pd.DataFrame({"q": np.repeat(f["q"].to_numpy(), [len(x) for x in ids]), "node": np.concatenate(ids)})
+
+    met = search(starts.select("q", "xq"), graph, nodes).mapInPandas(spread, "q long, node long")
+    found = met.join(nodes.select("node", F.col("v").alias("w")), "node").join(starts.select("q", "v"), "q").select("q", "node", _dot("v", "w").alias("score"))
     # one node of the list may be the query's own alone, so one more is kept; then its ids, nearest first
     by_q = Window.partitionBy("q")
     best = found.withColumn("rank", F.row_number().over(by_q.orderBy(F.col("score").desc(), "node"))).where(F.col("rank") <= top + 1).drop("rank")
-    spread = best.join(nodes.select("node", "ids"), "node").select("q", "score", F.explode("ids").alias("vec_id"))
-    firsts = spread.withColumn("rank", F.row_number().over(by_q.orderBy(F.col("score").desc(), "vec_id"))).where(F.col("rank") <= top + 1).drop("rank")
+    each = best.join(nodes.select("node", "ids"), "node").select("q", "score", F.explode("ids").alias("vec_id"))
+    firsts = each.withColumn("rank", F.row_number().over(by_q.orderBy(F.col("score").desc(), "vec_id"))).where(F.col("rank") <= top + 1).drop("rank")
     answers = asked.join(firsts, "q").where(F.col("vec_id") != F.col("query_id"))
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.col("score").desc(), "vec_id"))
     return answers.select("query_id", rank.cast("int").alias("rank"), "vec_id", "score").where(F.col("rank") <= top)
