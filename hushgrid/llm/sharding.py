@@ -1,23 +1,31 @@
 """Sharding by size-tiered compaction (operator 9), native.
 
 A dataset is a folder of immutable runs and a log of versions. ``append`` writes an arrival as a run of
-small shards. ``compact`` merges runs of one size tier (powers of ``FANOUT``) when ``FANOUT`` of them have
-gathered, into shards of about ``TARGET_BYTES``, by reading their files in place: no shuffle. Runs double
-in tier with each merge, so a row is rewritten a logarithmic number of times and few runs are live.
+small shards, ``append_each`` many arrivals in one pass. ``compact`` merges runs of one size tier (powers of
+``FANOUT``) when ``FANOUT`` of them have gathered, into shards of about ``TARGET_BYTES``, by reading their
+files in place: no shuffle. Above ``SMALLEST`` a run goes up a tier with each merge, so a row is rewritten a
+logarithmic number of times and few runs are live.
 
 A version is one small file that names the live runs. It is written aside and renamed to the next number,
-which fails if another writer got there first; readers see the old version or the new one, and a task or
-a driver that dies leaves files that no version names. Files of runs that a later version replaced are
-deleted by ``vacuum``. The driver handles runs, never rows or shards.
+which fails if another writer got there first; that writer then takes the newer version and tries again.
+Readers see the old version or the new one, and a task or a driver that dies leaves files that no version
+names. (A store whose rename replaces files needs one writer at a time.)
 
-Rows are kept as they are: nulls, repeated rows and any columns. An empty arrival makes no run; a dataset
-without runs reads as an empty table of the schema given.
+A writer marks its run before the first file and takes the mark away after the commit. ``vacuum`` deletes
+runs that none of the last versions names, but never one that is marked, unless its mark is older than
+``ABANDONED_S``. It lists runs first, marks next and versions last, so a commit in between is seen. The
+driver handles runs, never rows or shards.
+
+Rows are kept as they are: nulls, repeated rows, very long texts and any columns. An empty arrival makes no
+run and no version; a dataset without runs reads as an empty table of the schema given.
 """
 
 from __future__ import annotations
 
 import json
+import time
 import uuid
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -25,6 +33,15 @@ from pyspark.sql import functions as F
 FANOUT = 4
 TARGET_BYTES = 128 << 20
 SMALLEST = 1 << 20
+#: Age of a mark after which its writer counts as dead.
+ABANDONED_S = 24 * 3600
+#: Commits that lose against other writers before giving up.
+TRIES = 20
+ARRIVAL = "hushgrid_arrival"
+
+
+class Conflict(RuntimeError):
+    """Another writer committed the version first."""
 
 
 class Shards:
@@ -35,11 +52,12 @@ class Shards:
         self._path = spark._jvm.org.apache.hadoop.fs.Path
         self._fs = self._path(self.root).getFileSystem(spark._jsc.hadoopConfiguration())
 
+    def _list(self, what: str) -> list:
+        at = self._path(f"{self.root}/{what}" if what else self.root)
+        return list(self._fs.listStatus(at)) if self._fs.exists(at) else []
+
     def versions(self) -> list[int]:
-        at = self._path(f"{self.root}/versions")
-        if not self._fs.exists(at):
-            return []
-        names = [s.getPath().getName() for s in self._fs.listStatus(at)]
+        names = [s.getPath().getName() for s in self._list("versions")]
         return sorted(int(n.split(".")[0]) for n in names if n.endswith(".json") and n.split(".")[0].isdigit())
 
     def manifest(self, version: int | None = None) -> dict:
@@ -59,21 +77,64 @@ class Shards:
         out.close()
         if self._fs.exists(final) or not self._fs.rename(aside, final):
             self._fs.delete(aside, False)
-            raise RuntimeError(f"version {version} was committed by another writer")
+            raise Conflict(f"version {version} was committed by another writer")
         return version
 
-    def _write(self, df: DataFrame, level: int, arrivals: list[str]) -> dict | None:
-        path = f"{self.root}/runs/{uuid.uuid4().hex}"
-        df.write.option("compression", "zstd").parquet(path)
+    def _publish(self, change: Callable[[list[dict]], list[dict] | None]) -> int | None:
+        """Commit what ``change`` makes of the live runs, anew where another writer came first; None if it makes nothing of them."""
+        for _ in range(TRIES):
+            now = self.manifest()
+            if (runs := change(now["runs"])) is None:
+                return None
+            try:
+                return self.commit(now["version"], runs)
+            except Conflict:
+                continue
+        raise Conflict(f"no commit in {TRIES} tries")
+
+    def mark(self, run: str) -> None:
+        """Announce a run that no version names yet."""
+        self._fs.create(self._path(f"{self.root}/marks/{run}"), False).close()
+
+    def unmark(self, run: str) -> None:
+        self._fs.delete(self._path(f"{self.root}/marks/{run}"), False)
+
+    def _measured(self, path: str, level: int, arrivals: list[str]) -> dict:
         shards = [s for s in self._fs.listStatus(self._path(path)) if s.getPath().getName().startswith("part-")]
-        size = sum(s.getLen() for s in shards)
-        return {"path": path, "bytes": size, "shards": len(shards), "level": level, "arrivals": arrivals} if shards else None
+        return {"path": path, "bytes": sum(s.getLen() for s in shards), "shards": len(shards), "level": level, "arrivals": arrivals}
+
+    def _write(self, df: DataFrame, run: str, level: int, arrivals: list[str]) -> dict | None:
+        """Files of a marked run, or None if there is no row."""
+        path = f"{self.root}/runs/{run}"
+        df.write.option("compression", "zstd").parquet(path)
+        if self.spark.read.parquet(path).isEmpty():
+            self._fs.delete(self._path(path), True)
+            return None
+        return self._measured(path, level, arrivals)
 
     def append(self, df: DataFrame, arrival: str) -> int:
-        """Write an arrival as a run of small shards and publish it."""
-        now = self.manifest()
-        run = self._write(df, 0, [arrival])
-        return self.commit(now["version"], [*now["runs"], run]) if run else now["version"]
+        """Write an arrival as a run of small shards and publish it; returns the version that holds it."""
+        run = uuid.uuid4().hex
+        self.mark(run)
+        written = self._write(df, run, 0, [arrival])
+        version = self._publish(lambda live: [*live, written]) if written else self.manifest()["version"]
+        self.unmark(run)
+        return version
+
+    def append_each(self, df: DataFrame, arrival: Column, after: Callable[[], object] | None = None) -> int:
+        """Write many arrivals in one pass, then publish them one after another, as ``append`` would; ``after`` follows each."""
+        run = uuid.uuid4().hex
+        self.mark(run)
+        path = f"{self.root}/runs/{run}"
+        df.withColumn(ARRIVAL, arrival).write.partitionBy(ARRIVAL).option("compression", "zstd").parquet(path)
+        parts = [s.getPath().getName() for s in self._fs.listStatus(self._path(path)) if s.isDirectory()]
+        for part in sorted(parts, key=lambda p: (len(p), p)):
+            written = self._measured(f"{path}/{part}", 0, [f"arrival-{part.partition('=')[2]}"])
+            self._publish(lambda live, w=written: [*live, w])
+            if after:
+                after()
+        self.unmark(run)
+        return self.manifest()["version"]
 
     @staticmethod
     def tier(size: int) -> int:
@@ -82,7 +143,7 @@ class Shards:
             t, limit = t + 1, limit * FANOUT
         return t
 
-    def compact(self, schema=None) -> int:
+    def compact(self) -> int:
         """Merge tiers that hold FANOUT runs until none does; returns the last version."""
         while True:
             now = self.manifest()
@@ -93,21 +154,43 @@ class Shards:
             if not full:
                 return now["version"]
             old = tiers[full[0]]
-            files = max(1, -(-sum(r["bytes"] for r in old) // self.target))
-            merged = self._write(self._read(old).coalesce(files), 1 + max(r["level"] for r in old), [a for r in old for a in r["arrivals"]])
             gone = {r["path"] for r in old}
-            self.commit(now["version"], [*(r for r in now["runs"] if r["path"] not in gone), merged])
+            files = max(1, -(-sum(r["bytes"] for r in old) // self.target))
+            run = uuid.uuid4().hex
+            self.mark(run)
+            merged = self._write(self._read(old).coalesce(files), run, 1 + max(r["level"] for r in old), [a for r in old for a in r["arrivals"]])
+            # a run that another writer has merged meanwhile isn't merged twice
+            self._publish(lambda live: [*(r for r in live if r["path"] not in gone), merged] if gone <= {r["path"] for r in live} else None)
+            self.unmark(run)
 
     def _read(self, runs: list[dict]) -> DataFrame:
         first = self.spark.read.parquet(runs[0]["path"])
         return self.spark.read.schema(first.schema).parquet(*(r["path"] for r in runs))
 
-    def vacuum(self) -> int:
-        """Delete the files of runs that the latest version doesn't name; returns how many runs went."""
-        live = {r["path"].rsplit("/", 1)[1] for r in self.manifest()["runs"]}
-        gone = [s.getPath() for s in self._fs.listStatus(self._path(f"{self.root}/runs")) if s.getPath().getName() not in live]
-        for p in gone:
-            self._fs.delete(p, True)
+    def vacuum(self, keep_versions: int = 2, abandoned_s: float = ABANDONED_S) -> int:
+        """Delete the runs that none of the last ``keep_versions`` versions names and no writer marks; returns how many went.
+
+        Readers of older versions than these lose their files.
+        """
+        runs: dict[str, tuple] = {}  # the end of each run's path, and its whole folder
+        for s in self._list("runs"):
+            name = s.getPath().getName()
+            parts = [x.getPath() for x in self._list(f"runs/{name}") if x.getPath().getName().startswith(f"{ARRIVAL}=")]
+            runs |= {f"{name}/{p.getName()}": p for p in parts} or {name: s.getPath()}
+        marked = set()
+        for s in self._list("marks"):
+            if s.getModificationTime() / 1000 < time.time() - abandoned_s:
+                self._fs.delete(s.getPath(), False)
+            else:
+                marked.add(s.getPath().getName())
+        last = self.versions()[-max(1, keep_versions):]
+        live = {r["path"].partition("/runs/")[2] for v in last for r in self.manifest(v)["runs"]}
+        gone = [k for k in runs if k not in live and k.partition("/")[0] not in marked]
+        for k in gone:
+            self._fs.delete(runs[k], True)
+        for top in {k.partition("/")[0] for k in gone if "/" in k}:
+            if not any(x.isDirectory() for x in self._list(f"runs/{top}")):
+                self._fs.delete(self._path(f"{self.root}/runs/{top}"), True)
         return len(gone)
 
     def read(self, schema=None) -> DataFrame:
@@ -121,24 +204,34 @@ def arrival_of(key: Column, n: int) -> Column:
     return F.pmod(F.crc32(F.coalesce(key.cast("string"), F.lit("")).cast("binary")), F.lit(n)).cast("int")
 
 
-def shard_table(docs: DataFrame, root: str, id_col: str = "doc_id", arrivals: int = FANOUT, target_bytes: int = TARGET_BYTES) -> DataFrame:
+def shard_table(docs: DataFrame, root: str, id_col: str = "doc_id", arrivals: int = FANOUT * FANOUT, target_bytes: int = TARGET_BYTES) -> DataFrame:
     """Store ``docs`` arrival by arrival, compacting after each, and return its rows with
     ``shard`` (file), ``level`` (merges behind it) and ``version``.
 
-    Column names that clash with these get an underscore in the result.
+    Column names that clash with these get underscores in the result. ``root`` is new: nobody reads its older versions.
     """
     store = Shards(docs.sparkSession, root, target_bytes)
-    for k in range(arrivals):
-        store.append(docs.where(arrival_of(F.col(f"`{id_col}`"), arrivals) == k), f"arrival-{k}")
-        store.compact()
-    store.vacuum()
+
+    def settle() -> None:
+        before = store.manifest()["version"]
+        if store.compact() != before:
+            store.vacuum(1)
+
+    store.append_each(docs, arrival_of(F.col(f"`{id_col}`"), arrivals), settle)
+    store.vacuum(1)
     now = store.manifest()
     rows = store.read(docs.schema)
-    keep = [F.col(f"`{c}`").alias(c + "_" if c in ("shard", "level", "version") else c) for c in docs.columns]
+    named, keep = set(docs.columns), []
+    for c in docs.columns:
+        own = c
+        while own in ("shard", "level", "version") or own != c and own in named:
+            own += "_"
+        named.add(own)
+        keep.append(F.col(f"`{c}`").alias(own))
     if not now["runs"]:
         return rows.select(*keep, F.lit("").alias("shard"), F.lit(0).alias("level"), F.lit(now["version"]).alias("version"))
     level = F.lit(0)
-    run = F.element_at(F.split("_metadata.file_path", "/"), -2)
+    run = F.regexp_extract("_metadata.file_path", "/runs/(.+)/[^/]+$", 1)
     for r in now["runs"]:
-        level = F.when(run == r["path"].rsplit("/", 1)[1], F.lit(r["level"])).otherwise(level)
+        level = F.when(run == r["path"].partition("/runs/")[2], F.lit(r["level"])).otherwise(level)
     return rows.select(*keep, F.concat_ws("/", run, F.col("_metadata.file_name")).alias("shard"), level.cast("int").alias("level"), F.lit(now["version"]).cast("int").alias("version"))
