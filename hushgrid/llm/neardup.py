@@ -1,13 +1,17 @@
-"""Near-duplicates by exact Jaccard similarity of word shingles, for the pipeline's stage.
-
-Two texts link if their sets of ``SHINGLE``-word shingles have Jaccard similarity ``LEAST`` or more. Such
-sets of n shingles share one among the first n - ceil(LEAST n) + 1 of each in any common order, so
-an equi-join on these prefixes misses no pair; pairs that share enough of them are verified on the whole sets. The
-order is by hash, common shingles last: it decides on the work, not on the result.
-
-Equal sets are one node before any join. Each node is first compared with one centre of each of its shingles,
-and only nodes in different components so far are then joined with one another, so a group of
-near copies is not expanded to pairs.
+"""SimHash near-duplicates by Jaccard similarity of word shingles, for the pipeline's stage (operator 7).
+
+Two texts link if their sets of ``SHINGLE``-word shingles have Jaccard similarity ``LEAST`` or more. Three bits of a
+fingerprint, as ``simhash`` links them, find few such pairs, so more bits may differ here and shared shingles
+name the candidates: sets of n shingles that are similar enough share one among the first n - ceil(LEAST n) + 1 of
+each in any common order, so a join on these prefixes misses no pair. Candidates pass the pigeonring chains and
+the full Hamming check at ``BUDGET`` bits, then the whole sets decide. Sets of under ``FEW`` shingles have too
+coarse fingerprints and skip to the last. The order is by hash, common shingles last: it decides on the work, not
+on the result.
+
+Equal sets are one node before any join. Each node is first compared with one centre of each of its shingles: the
+node whose shingles are most shared, as the text that others were copied from. Then only nodes in different
+components so far are compared: pairs of a rare shingle by a join, those of a shingle of more than ``HEAVY`` nodes
+in square blocks, which give links between components instead of pairs.
 """
 
 from __future__ import annotations
@@ -23,10 +27,15 @@ from pyspark.sql import functions as F
 
 from .common import materialize
 from .components import components
+from .simhash import CHUNK, ring
 
 SHINGLE, LEAST = 5, Fraction(4, 5)
 #: Shingles found more often than this, as counted within ``AT_ONCE`` texts each, are moved to the end of the order; the most common ``MOST`` at most.
 COMMON, AT_ONCE, MOST = 64, 1000, 200_000
+#: Bits of 64 in which fingerprints may differ (two sets of similarity 0.8 differ in 10, seldom in 20), and sets they aren't used for.
+BUDGET, FEW = 28, 32
+#: Nodes of a shingle up to which pairs are joined; nodes and shingles of a block beyond that.
+HEAVY, BLOCK, BLOCK_SHINGLES = 32, 1024, 4_000_000
 #: Nodes up to which a list of them is sent to every task.
 BROADCAST_NODES = 300_000
 
@@ -49,13 +58,21 @@ def prefix_of(h: np.ndarray, common: np.ndarray) -> np.ndarray:
     return h[: len(h) - -(-LEAST.numerator * len(h) // LEAST.denominator) + 1]
 
 
+def fingerprint_of(h: np.ndarray) -> int:
+    """Signed 64 bits: those set in over half of the hashes."""
+    counts = np.zeros(64, np.int64)
+    for at in range(0, len(h), CHUNK):
+        counts += np.unpackbits(h[at : at + CHUNK].view(np.uint8), bitorder="little").reshape(-1, 64).sum(axis=0, dtype=np.uint32)
+    return int(np.packbits(counts * 2 > len(h), bitorder="little").view(np.int64)[0])
+
+
 def _digest(text: Column) -> Column:
-    """Digest and size n of the set."""
+    """Digest, size n and fingerprint of the set."""
 
-    @F.pandas_udf("digest binary, n long")
+    @F.pandas_udf("digest binary, n long, fp long")
     def run(texts: pd.Series) -> pd.DataFrame:
         sets = [shingles_of(t) for t in texts]
-        return pd.DataFrame({"digest": [xxhash.xxh3_128_digest(h.tobytes()) for h in sets], "n": [len(h) for h in sets]})
+        return pd.DataFrame({"digest": [xxhash.xxh3_128_digest(h.tobytes()) for h in sets], "n": [len(h) for h in sets], "fp": [fingerprint_of(h) for h in sets]})
 
     return run(text)
 
@@ -67,14 +84,18 @@ def _enough(shared: str, a: str, b: str) -> Column:
     return F.expr(f"{u} * least({a}, {b}) >= {t} * greatest({a}, {b}) and {t + u} * ({shared} + greatest({behind(a)}, {behind(b)})) >= {t} * ({a} + {b})")
 
 
+def _close(a: str, b: str, na: str, nb: str) -> Column:
+    return (F.least(na, nb) < FEW) | ring(F.col(a).bitwiseXOR(F.col(b)), BUDGET)
+
+
 def _tokens(numbered: DataFrame, text: str, common: np.ndarray) -> DataFrame:
-    """(node, n, token) of each row's prefix."""
+    """(node, n, fp, token) of each row's prefix."""
 
     @F.pandas_udf("array<long>")
     def run(texts: pd.Series) -> pd.Series:
         return pd.Series([prefix_of(shingles_of(t), common).view(np.int64) for t in texts], dtype=object)
 
-    return numbered.select(F.col("row_no").alias("node"), "n", F.explode(run(F.col(text))).alias("token"))
+    return numbered.select(F.col("row_no").alias("node"), "n", "fp", F.explode(run(F.col(text))).alias("token"))
 
 
 def _common(numbered: DataFrame, text: str) -> np.ndarray:
@@ -91,15 +112,20 @@ def _common(numbered: DataFrame, text: str) -> np.ndarray:
     return np.sort(np.array([r.token for r in found], np.int64).view(np.uint64))
 
 
-def _similar(pairs: DataFrame, numbered: DataFrame, text: str) -> DataFrame:
-    """The (a, b) of ``pairs`` whose sets are similar. ``pairs`` is read twice: pass a written table."""
-    ids = materialize(pairs.select(F.explode(F.array("a", "b")).alias("row_no")).distinct(), "compared")
+def _sets(ids: DataFrame, numbered: DataFrame, text: str) -> DataFrame:
+    """(row_no, h): the whole sets of some rows. ``ids`` (row_no) is read twice: pass a written table."""
     small = F.broadcast(ids) if ids.count() <= BROADCAST_NODES else ids
 
     @F.pandas_udf("binary")
     def whole(texts: pd.Series) -> pd.Series:
         return pd.Series([shingles_of(t).tobytes() for t in texts], dtype=object)
 
+    return materialize(numbered.join(small, "row_no", "left_semi").select("row_no", whole(F.col(text)).alias("h")), "sets")
+
+
+def _similar(pairs: DataFrame, numbered: DataFrame, text: str) -> DataFrame:
+    """The (a, b) of ``pairs`` whose sets are similar. ``pairs`` is read twice: pass a written table."""
+
     @F.pandas_udf("boolean")
     def alike(x: pd.Series, y: pd.Series) -> pd.Series:
         out = []
@@ -109,36 +135,94 @@ def _similar(pairs: DataFrame, numbered: DataFrame, text: str) -> DataFrame:
             out.append(both * LEAST.denominator >= (len(p) + len(q) - both) * LEAST.numerator)
         return pd.Series(out, dtype=bool)
 
-    sets = materialize(numbered.join(small, "row_no", "left_semi").select("row_no", whole(F.col(text)).alias("h")), "sets")
+    ids = pairs.select(F.col("a").alias("row_no")).unionByName(pairs.select(F.col("b").alias("row_no"))).distinct()
+    sets = _sets(materialize(ids, "compared"), numbered, text)
     left = pairs.join(sets.select(F.col("row_no").alias("a"), F.col("h").alias("x")), "a")
     both = left.join(sets.select(F.col("row_no").alias("b"), F.col("h").alias("y")), "b")
     return both.where(alike("x", "y")).select("a", "b")
 
 
+def bridges(node: np.ndarray, g: np.ndarray, sets: list[np.ndarray]) -> list[tuple[int, int]]:
+    """Links between components g: enough of them to join all that similar pairs join. Nodes of the largest one aren't looked up."""
+    names, group = np.unique(g, return_inverse=True)
+    at = np.arange(len(names))
+
+    def root(x: int) -> int:
+        while at[x] != x:
+            at[x] = x = at[at[x]]
+        return x
+
+    sizes = np.array([len(s) for s in sets])
+    tokens, owner = np.concatenate(sets), np.repeat(np.arange(len(sets)), sizes)
+    order = np.argsort(tokens, kind="stable")
+    tokens, owner = tokens[order], owner[order]
+    out = []
+    for i in np.flatnonzero(group != np.bincount(group).argmax()):
+        lo, hi = np.searchsorted(tokens, sets[i], "left"), np.searchsorted(tokens, sets[i], "right")
+        lengths = hi - lo
+        places = np.repeat(lo - np.append(0, np.cumsum(lengths)[:-1]), lengths) + np.arange(lengths.sum())
+        both = np.bincount(owner[places], minlength=len(sets))
+        for j in np.flatnonzero(both * LEAST.denominator >= (sizes + sizes[i] - both) * LEAST.numerator):
+            p, q = root(group[i]), root(group[j])
+            if p != q:
+                at[max(p, q)] = min(p, q)
+                out.append((int(node[i]), int(node[j])))
+    return out
+
+
+def _bridged(rows: DataFrame, numbered: DataFrame, text: str) -> DataFrame:
+    """rows: token, node, n, g of common shingles. (a, b): links between components, from square blocks of each shingle."""
+    size = rows.groupBy("token").agg(F.greatest(F.ceil(F.count("*") / F.lit(BLOCK)), F.ceil(F.sum("n") / F.lit(BLOCK_SHINGLES))).cast("int").alias("nb"))
+    own = F.pmod(F.xxhash64("node"), F.col("nb")).cast("int")
+    each = rows.join(size, "token").withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("nb") - 1)))
+    ids = materialize(rows.select(F.col("node").alias("row_no")).distinct(), "compared")
+    placed = each.select("token", F.least("own", "other").alias("p"), F.greatest("own", "other").alias("q"), F.col("node").alias("row_no"), "g")
+
+    def square(f: pd.DataFrame) -> pd.DataFrame:
+        found = bridges(f["row_no"].to_numpy(), f["g"].to_numpy(), [np.frombuffer(h, np.uint64) for h in f["h"]])
+        return pd.DataFrame(found, columns=["a", "b"], dtype="int64")
+
+    return placed.join(_sets(ids, numbered, text), "row_no").groupBy("token", "p", "q").applyInPandas(square, "a long, b long")
+
+
 def links(numbered: DataFrame, nodes: DataFrame, text: str) -> DataFrame:
-    """(a, b): links that join the same nodes as all similar pairs do. numbered: row_no, n, text; nodes: node, the rows to compare."""
+    """(a, b): links that join the same nodes as all similar pairs do. numbered: row_no, n, fp, text; nodes: node, the rows to compare."""
     small = F.broadcast(nodes) if nodes.count() <= BROADCAST_NODES else nodes
     texts = numbered.join(small, F.col("row_no") == F.col("node"), "left_semi")
-    tokens = _tokens(texts, text, _common(texts, text))
-    many = F.count("*").over(Window.partitionBy("token"))
-    tokens = materialize(tokens.withColumn("many", many).where("many > 1").drop("many"), "tokens")
-    centre = F.min(F.struct(F.xxhash64("node").alias("h"), F.col("node").alias("b"), F.col("n").alias("nb"))).alias("c")
-    stars = tokens.join(tokens.groupBy("token").agg(centre).select("token", "c.b", "c.nb"), "token").where("node != b").groupBy(F.col("node").alias("a"), F.col("n").alias("na"), "b", "nb").agg(F.count("*").alias("c"))
+    every = materialize(_tokens(texts, text, _common(texts, text)), "prefixes")
+    shared = materialize(every.groupBy("token").agg(F.count("*").alias("many")).where("many > 1"), "shared")
+    tokens = materialize(every.join(shared, "token"), "tokens")
+    known = tokens.groupBy("node").agg(F.avg("many").alias("known"), F.first("n").alias("n"), F.first("fp").alias("fp"))
+    centre = F.max(F.struct("known", F.xxhash64("node").alias("h"), F.col("node").alias("b"), F.col("n").alias("nb"), F.col("fp").alias("fb"))).alias("c")
+    centres = tokens.select("token", "node").join(known, "node").groupBy("token").agg(centre).select("token", "c.b", "c.nb", "c.fb")
+    stars = (
+        tokens.join(centres, "token").where((F.col("node") != F.col("b")) & _close("fp", "fb", "n", "nb"))
+        .groupBy(F.col("node").alias("a"), F.col("n").alias("na"), "b", "nb").agg(F.count("*").alias("c"))
+    )
     first = materialize(_similar(materialize(stars.where(_enough("c", "na", "nb")).select("a", "b"), "stars"), numbered, text), "links")
     roots = materialize(components(first), "roots")
-    grouped = tokens.join(roots, "node", "left").select("token", "node", "n", F.coalesce("root", "node").alias("g"))
+    grouped = tokens.join(roots, "node", "left").select("token", "node", "n", "fp", "many", F.coalesce("root", "node").alias("g"))
     mixed = grouped.groupBy("token").agg(F.min("g").alias("lo"), F.max("g").alias("hi")).where("lo != hi").select("token")
     rest = materialize(grouped.join(mixed, "token"), "mixed")
-    a, b = rest.alias("a"), rest.alias("b")
-    met = a.join(b, F.expr("a.token = b.token and a.g < b.g")).groupBy(F.col("a.node").alias("a"), F.col("a.n").alias("na"), F.col("b.node").alias("b"), F.col("b.n").alias("nb")).agg(F.count("*").alias("c"))
-    pairs = met.where(_enough("c", "na", "nb")).select("a", "b")
-    return first.unionByName(materialize(_similar(materialize(pairs, "pairs"), numbered, text), "links"))
+    common = rest.groupBy("node").agg(F.count_if(F.col("many") > HEAVY).alias("common"))
+    light = materialize(rest.where(F.col("many") <= HEAVY).join(common, "node"), "light")
+    a, b = light.alias("a"), light.alias("b")
+    # common shingles that a pair shares aren't counted by this join, so as many as it can share are added
+    met = (
+        a.join(b, F.expr("a.token = b.token and a.g < b.g")).where(_close("a.fp", "b.fp", "a.n", "b.n"))
+        .groupBy(F.col("a.node").alias("a"), F.col("a.n").alias("na"), F.col("b.node").alias("b"), F.col("b.n").alias("nb"))
+        .agg((F.count("*") + F.least(F.first("a.common"), F.first("b.common"))).alias("c"))
+    )
+    pairs = materialize(met.where(_enough("c", "na", "nb")).select("a", "b"), "pairs")
+    out = first.unionByName(materialize(_similar(pairs, numbered, text), "links"))
+    heavy = rest.where(F.col("many") > HEAVY)
+    return out if heavy.isEmpty() else out.unionByName(materialize(_bridged(heavy.select("token", "node", "n", "g"), numbered, text), "links"))
 
 
 def keep_one(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``df`` with one row of each component: that of the smallest id (nulls last), of repeated ones the first stored.
 
-    Null and empty texts have no shingle and are equal. Rows are numbered in a written copy, so that
+    Null and empty texts have no shingle and are equal; very long ones count whole. Rows are numbered in a written copy, so that
     equal rows and null ids can be told apart.
     """
     own = {c: f"_c{i}" for i, c in enumerate(df.columns)}
@@ -146,6 +230,6 @@ def keep_one(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> D
     numbered = materialize(rows.select("*", _digest(F.col(own[text_col])).alias("set"), F.monotonically_increasing_id().alias("row_no")).select(*own.values(), "row_no", "set.*"), "numbered")
     first = F.min(F.struct(F.col(own[id_col]).isNull().alias("none"), F.col(own[id_col]).alias("id"), "row_no")).alias("first")
     reps = materialize(numbered.groupBy("digest").agg(first, F.min("row_no").alias("node")), "reps")
-    found = components(links(numbered.select("row_no", "n", own[text_col]), reps.select("node"), own[text_col]))
+    found = components(links(numbered.select("row_no", "n", "fp", own[text_col]), reps.select("node"), own[text_col]))
     group = reps.join(found, "node", "left").groupBy(F.coalesce("root", "node").alias("g")).agg(F.min("first").alias("first"))
     return numbered.join(group.select(F.col("first.row_no").alias("row_no")), "row_no", "left_semi").select(*[F.col(n).alias(c) for c, n in own.items()])

@@ -82,6 +82,15 @@ def _third(key: Column, diff: Column) -> Column:
     return F.bit_count(diff.bitwiseAND(mask))
 
 
+def ring(diff: Column, budget: int) -> Column:
+    """Whether two fingerprints with the differing bits ``diff`` pass the pigeonring and the Hamming check: from some
+    segment on, every chain of l of the four differs in at most l budget / 4 bits, and all in at most ``budget``."""
+    parts = [F.bit_count(F.shiftrightunsigned(diff, SEGMENT * i).bitwiseAND(F.lit((1 << SEGMENT) - 1))) for i in range(4)]
+    chains = [[sum(parts[(i + k) % 4] for k in range(1, n)) + parts[i] <= n * budget // 4 for n in range(1, 5)] for i in range(4)]
+    started = [a & b & c for a, b, c, _ in chains]
+    return (started[0] | started[1] | started[2] | started[3]) & (F.bit_count(diff) <= budget)
+
+
 def forest(fp: np.ndarray, base: np.ndarray, other: np.ndarray, budget: int = BUDGET) -> list[tuple[int, int]]:
     """Edges of a spanning forest of the links between two lists of fingerprints."""
     at = {int(x): int(x) for x in np.concatenate([base, other])}

@@ -37,15 +37,12 @@ def test_quality_stage_keeps_what_the_judge_keeps(spark, stages):
     assert sum(right) / len(right) > 0.95
 
 
-def plain_fingerprints(rows):
-    from test_simhash import plain_components, plain_fingerprint
-
-    return plain_components([plain_fingerprint(t) for _, t in rows], [i for i, _ in rows])
-
-
 def test_one_of_each_group_stays(stages):
+    """Five-word shingles and similarity of 0.8, as the stage links."""
+    from test_neardup import plain_keep
+
     rows = [(r.doc_id, r.text) for r in stages[0].collect()]
-    assert sorted(r.doc_id for r in stages[1].collect()) == sorted(set(plain_fingerprints(rows).values()))
+    assert sorted(r.doc_id for r in stages[1].collect()) == plain_keep(rows)
 
 
 def test_benchmark_texts_are_gone(spark, stages):
