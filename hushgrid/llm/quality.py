@@ -2,11 +2,11 @@
 
 Evidence of a document: binned measures of its whole text, each bin's log likelihood ratio learned from
 all labelled rows by grouped counts. Sites: the mean probability of a host is shrunk toward the global
-one, that of a path toward its host's, both by strengths estimated from the spread between groups
-(method of moments). A document's log odds are its evidence plus those of its path, its own share left
+one, that of a path toward its host's, both by strengths from an analysis of variance: the variance within
+groups over that between them, from which the share that sampling alone makes is taken off. A document's log odds are its evidence plus those of its path, its own share left
 out. Both aggregations combine before the shuffle, so a hot host is a few partial sums.
 
-Null or empty texts have the bins of no words. A null host or path is a group of its own. Null labels
+Null or empty texts have the bins of no words; very long ones are measured whole. A null host or path is a group of its own. Null labels
 are left out; of several labels of one id the smaller counts. Without labels of both kinds the evidence
 is 0 and every row is kept. Repeated rows are judged alike.
 """
@@ -27,6 +27,8 @@ from .common import materialize
 TEMPER = 0.7
 SMOOTH = 0.5
 KEEP_AT = 0.5
+#: Bounds of the strengths.
+LEAST, MOST = 1.0, 1e4
 MEASURES = ("repeats", "variety", "symbols", "capitals", "digits", "word_length", "ends")
 _SYMBOLS = b"|#$%&*@^~<>{}[]_=+\\/"
 
@@ -80,12 +82,21 @@ def _logit(p: Column) -> Column:
     return F.log(safe / (1 - safe))
 
 
-def _strength(groups: DataFrame, parent: Column) -> Column:
-    """Prior rows that a parent's mean is worth: the binomial variance against that between groups."""
-    rate = F.col("total") / F.col("n")
-    between = F.sum(F.col("n") * (rate - parent) ** 2) / F.sum("n")
-    within = F.sum(F.col("n") * parent * (1 - parent)) / F.sum("n")
-    return F.least(F.greatest(F.coalesce(F.try_divide(within, between) - 1, F.lit(1e4)), F.lit(1.0)), F.lit(1e4))
+def _strength(groups: DataFrame) -> float:
+    """Prior rows that a parent's mean is worth. groups: n, total and squares (sums of p and p^2), up_n and up_total of the parent.
+
+    Without a group of two rows, or where sampling alone explains the spread, sites tell nothing: the most.
+    """
+    rate, parent = F.col("total") / F.col("n"), F.col("up_total") / F.col("up_n")
+    r = groups.agg(
+        F.sum("n").alias("n"), F.count("*").alias("groups"), F.sum(F.col("n") / F.col("up_n")).alias("parents"), F.sum(F.col("n") * F.col("n") / F.col("up_n")).alias("own"),
+        F.sum(F.greatest(F.col("squares") - F.col("total") * rate, F.lit(0.0))).alias("within"), F.sum(F.col("n") * (rate - parent) ** 2).alias("between"),
+    ).first()
+    if not r.n or r.n <= r.groups or r.n - r.own < 1e-9:
+        return MOST
+    within = r.within / (r.n - r.groups)
+    between = (r.between - (r.groups - r.parents) * within) / (r.n - r.own)
+    return MOST if between <= within / MOST else max(LEAST, within / between)
 
 
 def fit(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, host: str, path: str, label: str) -> tuple[QualityModel, DataFrame]:
@@ -106,14 +117,15 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, host: st
     model = QualityModel(evidence, prior, slim)
     judged = slim.select("id", "host", "path", model.log_ratio(F.col("bins")).alias("ratio"))
     p = 1 / (1 + F.exp(-(F.col("ratio") + float(np.log(prior / (1 - prior))))))
-    paths = materialize(judged.groupBy("host", "path").agg(F.count("*").alias("n"), F.sum(p).alias("total")), "paths")
-    mean = paths.agg((F.sum("total") / F.sum("n")).alias("m")).first().m or prior
-    hosts = paths.groupBy("host").agg(F.sum("n").alias("n"), F.sum("total").alias("total"))
-    k_host = hosts.agg(_strength(hosts, F.lit(float(mean))).alias("k")).first().k or 1e4
-    shrunk = hosts.select("host", ((F.col("total") + k_host * mean) / (F.col("n") + k_host)).alias("parent"))
-    under = paths.join(shrunk, "host")
-    k_path = under.agg(_strength(under, F.col("parent")).alias("k")).first().k or 1e4
-    model.sites = materialize(under.withColumn("strength", F.lit(float(k_path))), "sites")
+    paths = materialize(judged.groupBy("host", "path").agg(F.count("*").alias("n"), F.sum(p).alias("total"), F.sum(p * p).alias("squares")), "paths")
+    hosts = paths.groupBy("host").agg(*[F.sum(c).alias(c) for c in ("n", "total", "squares")])
+    every = hosts.agg(F.sum("n").alias("n"), F.sum("total").alias("total")).first()
+    mean = every.total / every.n if every.n else prior
+    k_host = _strength(hosts.withColumns({"up_n": F.lit(every.n or 1), "up_total": F.lit(every.total or 0.0)}))
+    up = hosts.select("host", F.col("n").alias("up_n"), F.col("total").alias("up_total"), ((F.col("total") + k_host * mean) / (F.col("n") + k_host)).alias("parent"))
+    under = paths.join(up, "host")
+    k_path = _strength(under)
+    model.sites = materialize(under.select("host", "path", "n", "total", "parent", F.lit(k_path).alias("strength")), "sites")
     return model, judged
 
 
