@@ -190,6 +190,87 @@ def test_quality_rejects_junk_and_shrinks_sparse_sites(spark):
     assert quality.judge(docs_of(spark, []), lab).count() == 0
 
 
+def plain_strength(groups):
+    """groups: lists of p, with the parent's list of p."""
+    n, k = sum(len(g) for g, _ in groups), len(groups)
+    mean = lambda x: sum(x) / len(x)
+    own, parents = sum(len(g) ** 2 / len(up) for g, up in groups), sum(len(g) / len(up) for g, up in groups)
+    if n == k or n - own < 1e-9:
+        return quality.MOST
+    within = sum(sum((p - mean(g)) ** 2 for p in g) for g, _ in groups) / (n - k)
+    between = (sum(len(g) * (mean(g) - mean(up)) ** 2 for g, up in groups) - (k - parents) * within) / (n - own)
+    return quality.MOST if between <= within / quality.MOST else max(quality.LEAST, within / between)
+
+
+def plain_quality(rows, labels):
+    """{row number: (ratio, site_mean, p_good)}; rows: id, text, lang, source."""
+    told = {}
+    for i, q in labels:
+        if q is not None:
+            told[i] = min(q, told.get(i, q))
+    counts = [[Counter(), Counter()] for _ in quality.MEASURES]
+    for i, text, *_ in rows:
+        if i in told:
+            for m, b in enumerate(quality.bins_of(text)):
+                counts[m][told[i]][b] += 1
+    bad, good = (sum(counts[0][k].values()) for k in (0, 1))
+    logit = lambda p: math.log(min(max(p, 1e-6), 1 - 1e-6) / (1 - min(max(p, 1e-6), 1 - 1e-6)))
+    prior = (good + 1) / (good + bad + 2)
+    ratios = []
+    for _, text, *_ in rows:
+        z = 0
+        for m, b in enumerate(quality.bins_of(text)):
+            seen = set(counts[m][0]) | set(counts[m][1])
+            if b in seen:
+                k = quality.SMOOTH * len(seen)
+                z += math.log((counts[m][1][b] + quality.SMOOTH) / (good + k)) - math.log((counts[m][0][b] + quality.SMOOTH) / (bad + k))
+        ratios.append(quality.TEMPER * z)
+    own = [1 / (1 + math.exp(-(r + logit(prior)))) for r in ratios]
+    hosts, paths = {}, {}
+    for p, (_, _, lang, source) in zip(own, rows):
+        hosts.setdefault(source or "", []).append(p)
+        paths.setdefault((source or "", lang or ""), []).append(p)
+    k_host = plain_strength([(g, own) for g in hosts.values()])
+    parent = {h: (sum(g) + k_host * sum(own) / len(own)) / (len(g) + k_host) for h, g in hosts.items()}
+    k_path = plain_strength([(g, hosts[h]) for (h, _), g in paths.items()])
+    out = {}
+    for n, (r, p, (_, _, lang, source)) in enumerate(zip(ratios, own, rows)):
+        g = paths[source or "", lang or ""]
+        site = (sum(g) - p + k_path * parent[source or ""]) / (len(g) - 1 + k_path)
+        out[n] = (r, site, 1 / (1 + math.exp(-(r + logit(site)))))
+    return out
+
+
+def test_quality_against_plain_form(spark):
+    rng = random.Random(12)
+    rows = []
+    for n in range(300):
+        bad = rng.random() < (0.8 if n % 7 == 0 else 0.15)
+        text = "zip | zap | " * rng.randrange(5, 30) if bad else ". ".join(sentence(rng, 8, [f"w{k}" for k in range(400)]).capitalize() for _ in range(rng.randrange(1, 6))) + "."
+        rows.append((n, text, "en" if n % 3 else "de", f"host{n % 7}" if n < 250 else f"tiny{n}"))
+    rows += [(700, None, None, None), (701, "", "en", "host1"), (702, "word " * 50_000, "en", "host2"), (5, rows[5][1], "en", "host5")]
+    labels = [(i, 0 if "|" in t else 1) for i, t, *_ in rows[:300] if i % 2] + [(4, None), (1, 0)]
+    got = quality.judge(docs_of(spark, rows), spark.createDataFrame(labels, "doc_id long, quality int")).collect()
+    want = plain_quality(rows, labels)
+    key = lambda x: (x[0], *(round(v, 6) for v in x[1:]))
+    assert sorted(key((r.doc_id, r.ratio, r.site_mean, r.p_good)) for r in got) == sorted(key((rows[n][0], *w)) for n, w in want.items())
+
+
+def test_sparse_sites_are_shrunk_most(spark):
+    rng = random.Random(3)
+
+    def strength(groups):
+        rows = [(len(g), sum(g), sum(p * p for p in g)) for g in groups]
+        df = spark.createDataFrame(rows, "n long, total double, squares double")
+        return quality._strength(df.withColumns({"up_n": F.lit(sum(r[0] for r in rows)), "up_total": F.lit(sum(r[1] for r in rows))}))
+
+    same = [[float(rng.random() < 0.7)] for _ in range(2000)]
+    assert strength(same) == quality.MOST  # one document each: their spread is sampling
+    assert strength([[float(rng.random() < 0.7) for _ in range(5)] for _ in range(2000)]) > 100  # one common rate
+    apart = [[float(rng.random() < (0.2 if k % 2 else 0.9)) for _ in range(5)] for k in range(2000)]
+    assert quality.LEAST <= strength(apart) < 3
+
+
 # 4 line dedup
 
 
@@ -373,11 +454,55 @@ def test_toxicity_and_group_names(spark):
 def test_group_terms_get_equal_weights():
     y = np.array([1, 0] * 60)
     feats = [np.array(sorted({1 if t else 2, 10 if t else 11, 99}), np.int64) for t in y]
-    fair = dict(zip(*toxicity.train(y, feats, np.array([10, 0] * 200), np.array([11, 0] * 200))[:2]))
-    free = dict(zip(*toxicity.train(y, feats, np.zeros(0, np.int64), np.zeros(0, np.int64))[:2]))
+    ids, takes, puts = np.array([1, 2, 10, 11, 99]), np.array([10, 0] * 200), np.array([11, 0] * 200)
+    fair, free = (dict(zip(ids.tolist(), toxicity.train(y, feats, takes, puts, ids, f)[0])) for f in (1.0, 0.0))
     assert abs(fair[10] - fair[11]) < 0.2 * abs(free[10] - free[11])
 
 
+def test_training_is_the_gradient_of_its_loss():
+    """The loss of logistic, ridge and penalty terms, taken by finite differences, is flat where training ends."""
+    rng = np.random.default_rng(4)
+    ids = np.arange(1, 9)
+    feats = [np.sort(rng.choice(ids, 3, replace=False)) for _ in range(80)]
+    y = np.array([int(1 in f or (2 in f and rng.random() < 0.5)) for f in feats])
+    takes, puts = np.array([3, 4, 5, 0]), np.array([5, 0, 3, 4])
+
+    def loss(w, bias, ridge):
+        z = np.array([bias + sum(w[i - 1] for i in f) for f in feats])
+        of = lambda pair: sum(w[i - 1] for i in pair if i)
+        swaps = [(of(a) - of(b)) ** 2 for a, b in zip(takes.reshape(-1, 2), puts.reshape(-1, 2))]
+        return np.mean(np.log1p(np.exp(-z * (2 * y - 1)))) + ridge / 2 * np.sum(w**2) + toxicity.FAIR * np.mean(swaps)
+
+    saved = toxicity.RIDGE, toxicity.STEPS
+    toxicity.RIDGE, toxicity.STEPS = 0.01, 3000
+    try:
+        w, bias = toxicity.train(y, feats, takes, puts, ids)
+    finally:
+        toxicity.RIDGE, toxicity.STEPS = saved
+    for k in range(len(ids)):
+        step = np.eye(len(ids))[k] * 1e-4
+        assert abs(loss(w + step, bias, 0.01) - loss(w - step, bias, 0.01)) / 2e-4 < 2e-3
+
+
+def test_penalty_acts_where_no_text_names_a_group(spark):
+    """Terms are put into labelled sentences of both labels; scores of neutral mentions stay apart by little."""
+    rng = random.Random(9)
+    calm, rude = [f"word{k}" for k in range(60)], ["idiotic", "scumbag", "worthless"]
+    rows = [(i, sentence(rng, 20, calm) + (" " + rng.choice(rude) if i % 4 == 0 else "")) for i in range(800)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    lab = spark.createDataFrame([(i, int(i % 4 == 0)) for i, _ in rows], "doc_id long, toxic int")
+    fair, free = (toxicity.fit(df, lab, "doc_id", "text", "toxic", f) for f in (toxicity.FAIR, 0.0))
+    assert toxicity.swap_change(fair) < 0.5 * toxicity.swap_change(free) and toxicity.swap_change(free) > 0
+    plain = dict(zip(fair[0].tolist(), fair[1].tolist()))
+    asked = spark.createDataFrame([(i, t + " muslims") for i, t in rows[:200]] + [(900, ""), (901, "idiotic " * 50_000)], "doc_id long, text string")
+    got = {r.doc_id: r.score for r in toxicity.score(asked, ["doc_id"], F.col("text"), fair).collect()}
+    for i, t in rows[:200]:  # scores by hand
+        z = fair[2] + sum(plain.get(h, 0.0) for h in toxicity.features_of(toxicity.words_of(t + " muslims")))
+        assert abs(got[i] - 1 / (1 + math.exp(-z))) < 1e-9 and (got[i] >= 0.3) == (i % 4 == 0)
+    assert got[901] > 0.3
+    assert toxicity.score(asked.limit(0), ["doc_id"], F.col("text"), fair).count() == 0
+
+
 # 9 shards
 
 
