@@ -196,7 +196,7 @@ def start_lists(nodes: DataFrame, count: int) -> DataFrame:
     large = dealt.groupBy("block").agg(F.count("*").alias("n")).where(F.col("n") > 3 * LEAF)
     parts = F.coalesce(F.ceil(F.col("n") / F.lit(2 * LEAF)), F.lit(1)).cast("int")
     split = dealt.join(large, "block", "left").withColumn("part", F.pmod(F.xxhash64("node", "block"), parts))
-    return split.groupBy("block", "part").applyInPandas(nearest, LISTS)
+    return split.repartition("block", "part").groupBy("block", "part").applyInPandas(nearest, LISTS)  # else a large block stays in one task
 
 
 def drawn(node: np.ndarray, ids: np.ndarray, new: np.ndarray, turn: int) -> np.ndarray:
@@ -328,21 +328,26 @@ def search(queries: DataFrame, graph: DataFrame, nodes: DataFrame) -> DataFrame:
 
     def expand(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for f in frames:
-            for q, ids, done in zip(f["q"], f["ids"], f["done"]):
-                todo = np.frombuffer(ids, np.int64)[np.frombuffer(done, np.uint8) == 0]
-                yield pd.DataFrame({"q": np.full(len(todo), q), "node": todo})
+            todo = [np.frombuffer(i, np.int64)[np.frombuffer(d, np.uint8) == 0] for i, d in zip(f["ids"], f["done"])]
+            worst = [float(np.frombuffer(s, np.float64).min()) if len(s) == 8 * BEAM else -math.inf for s in f["scores"]]
+            if todo:
+                sizes = [len(x) for x in todo]
+                yield pd.DataFrame({"q": np.repeat(f["q"].to_numpy(), sizes), "node": np.concatenate(todo), "worst": np.repeat(np.array(worst), sizes)})
 
     def listed(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for f in frames:
             ids = [np.frombuffer(b, np.int64) for b in f["ids"]]
             if ids:
-                yield pd.DataFrame({"q": np.repeat(f["q"].to_numpy(), [len(x) for x in ids]), "node": np.concatenate(ids)})
+                sizes = [len(x) for x in ids]
+                yield pd.DataFrame({"q": np.repeat(f["q"].to_numpy(), sizes), "node": np.concatenate(ids), "worst": np.repeat(f["worst"].to_numpy(), sizes)})
 
     def scored(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for f in frames:
             if len(f):
                 dots = _dots((_vectors(f["xq"].tolist()) * _vectors(f["x"].tolist())).sum(axis=1), f["norm"].to_numpy())
-                yield pooled(pd.DataFrame({"q": f["q"], "ids": [x.tobytes() for x in f["node"].to_numpy(np.int64)], "scores": [x.tobytes() for x in dots], "done": [b"\0"] * len(f)}), BEAM)
+                good = dots > f["worst"].to_numpy()  # others would not get into the pool
+                q, node, dots = f["q"].to_numpy()[good], f["node"].to_numpy(np.int64)[good], dots[good]
+                yield pooled(pd.DataFrame({"q": q, "ids": [x.tobytes() for x in node], "scores": [x.tobytes() for x in dots], "done": [b"\0"] * len(q)}), BEAM)
 
     def gather(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for f in _whole_groups(frames, "q"):
@@ -356,8 +361,8 @@ def search(queries: DataFrame, graph: DataFrame, nodes: DataFrame) -> DataFrame:
     itself = queries.select("q").join(nodes.select(F.col("node").alias("q"), "norm"), "q").mapInPandas(alone, POOL)
     pool = _Table(own.unionByName(itself).repartition("q").sortWithinPartitions("q").mapInPandas(gather, POOL), "pool")
     while pool.df.agg(F.coalesce(F.sum("open"), F.lit(0))).first()[0]:
-        front = pool.df.where("open > 0").mapInPandas(expand, "q long, node long")
-        met = front.join(near, "node").select("q", "ids").mapInPandas(listed, "q long, node long").distinct()
+        front = pool.df.where("open > 0").mapInPandas(expand, "q long, node long, worst double")
+        met = front.join(near, "node").select("q", "ids", "worst").mapInPandas(listed, "q long, node long, worst double").distinct()
         fresh = met.join(nodes.select("node", "x", "norm"), "node").join(small, "q").mapInPandas(scored, POOL)
         after = _Table(pool.df.mapInPandas(closed, POOL).unionByName(fresh).repartition("q").sortWithinPartitions("q").mapInPandas(gather, POOL), "pool")
         pool.drop()
