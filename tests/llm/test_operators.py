@@ -275,29 +275,46 @@ def test_sparse_sites_are_shrunk_most(spark):
 
 
 def plain_line_dedup(rows):
+    """{(id, digest): lines that stay}."""
+
     def number(line):
         return int(hashlib.md5(line.encode()).hexdigest()[:8], 16)
 
-    chunks = []
+    docs, where = {}, {}
     for i, text in dict.fromkeys((i, t or "") for i, t in rows):
-        lines, start = text.split("\n"), 0
-        pos = 0
+        lines, chunks, start = text.split("\n"), [], 0
+        wordy = [len(x.encode().split()) >= linededup.MIN_WORDS for x in lines]
         for k in range(len(lines)):
-            if k == len(lines) - 1 or (number(lines[k]) + linededup.BASE * (number(lines[k - 1]) if k else 0)) % linededup.MODULUS == 0:
-                part = lines[start : k + 1]
-                chunks.append((i, hashlib.md5(text.encode()).hexdigest(), pos, part))
-                start, pos = k + 1, pos + 1
-    seen, kept = set(), {}
-    for i, digest, pos, part in sorted(chunks, key=lambda c: (c[0], c[1], c[2])):
-        body = "\n".join(part)
-        telling = len(part) >= linededup.MIN_LINES or len(body.encode().split()) >= linededup.MIN_WORDS
-        if telling and body in seen:
-            kept.setdefault((i, digest), [])
-            continue
-        if telling:
-            seen.add(body)
-        kept.setdefault((i, digest), []).append(body)
-    return kept
+            rolled = number(lines[k]) + linededup.BASE * (number(lines[k - 1]) if k else 0)
+            if k == len(lines) - 1 or wordy[k] or wordy[k + 1] or rolled % linededup.PRIME % linededup.MODULUS == 0:
+                chunks.append(lines[start : k + 1])
+                start = k + 1
+        docs[i, hashlib.md5(text.encode()).hexdigest()] = chunks
+    for key in sorted(docs):
+        for pos, c in enumerate(docs[key]):
+            if len(c) >= linededup.MIN_LINES or len("\n".join(c).encode().split()) >= linededup.MIN_WORDS:
+                where.setdefault("\n".join(c), []).append((key, pos))
+    places = {p: found for found in where.values() if len(found) > 1 for p in found}
+    reach = lambda chunks: chunks[: next((n + 1 for n, c in enumerate(chunks[: linededup.REACH]) if len(c) > 1), linededup.REACH)]
+    out = {}
+    for key, chunks in docs.items():
+        gone, sure, firm, at = set(), set(), set(), [sum(map(len, chunks[:k])) for k in range(len(chunks) + 1)]
+        for pos in range(len(chunks)):
+            if (key, pos) not in places:
+                continue
+            fkey, fpos = places[key, pos][0]
+            if (key, pos) == (fkey, fpos):
+                firm |= set(range(at[pos], at[pos + 1]))
+                continue
+            other = docs[fkey]
+            gone |= set(range(at[pos], at[pos + 1]))
+            grown = gone if fkey == key else sure
+            a, b = ([x for c in reach(d[:p][::-1]) for x in c[::-1]] for d, p in ((chunks, pos), (other, fpos)))
+            grown |= {at[pos] - 1 - n for n in range(len(a)) if a[: n + 1] == b[: n + 1]}
+            a, b = ([x for c in reach(d[p + 1 :]) for x in c] for d, p in ((chunks, pos), (other, fpos)))
+            grown |= {at[pos + 1] + n for n in range(len(a)) if a[: n + 1] == b[: n + 1]}
+        out[key] = [x for n, x in enumerate(x for c in chunks for x in c) if n not in sure and (n in firm or n not in gone)]
+    return out
 
 
 def test_line_dedup_against_plain_form(spark):
@@ -310,8 +327,11 @@ def test_line_dedup_against_plain_form(spark):
             own.insert(rng.randrange(len(own) + 1), shared)
         rows.append((i, "\n".join(own)))
     rows += [(70, " ".join(f"long{k}" for k in range(60))), (71, " ".join(f"long{k}" for k in range(60))), (72, ""), (5, rows[5][1]), (73, "\n\n\n"), (74, "\n\n\n")]
-    df = docs_of(spark, [(i, t, "en", "s") for i, t in rows] + [(90, None, "en", "s")])
-    got = linededup.dedup_lines(df).collect()
+    rows += [(75, "\n".join(["same two", "lines again"] * 6)), (76, "\n".join(rng.choice("abc") for _ in range(3000))), (77, rows[3][1] + "\n" + rows[3][1])]
+    df = docs_of(spark, [(i, t, "en", "s") for i, t in rows] + [(90, None, "en", "s")]).withColumn("lines_before", F.lit("mine"))
+    out = linededup.dedup_lines(df)
+    assert out.columns == [*df.columns[:-1], "lines_before_", "lines_before", "lines_removed"]
+    got = out.collect()
     assert len(got) == len(rows) + 1
     want = plain_line_dedup(rows)
     original = {}
@@ -321,11 +341,34 @@ def test_line_dedup_against_plain_form(spark):
         if r.doc_id == 90:
             assert r.text is None
         else:
-            assert r.text == "\n".join(want[r.doc_id, hashlib.md5(original[r.doc_id].encode()).hexdigest()])
+            lines = want[r.doc_id, hashlib.md5(original[r.doc_id].encode()).hexdigest()]
+            assert r.text == "\n".join(lines) and r.lines_before - r.lines_removed == len(lines)
     assert sum(r.lines_removed for r in got) > 50
     assert linededup.dedup_lines(docs_of(spark, [])).count() == 0
 
 
+def test_repeated_passages_go_whole_between_other_lines(spark):
+    rng = random.Random(14)
+    own = lambda n: [sentence(rng, 5) + str(rng.random()) for _ in range(n)]
+    line = " ".join(f"passage{k}" for k in range(55))
+    many = ["\n".join(f"line {k} of passage {p} " + sentence(rng, 6) for k in range(16)) for p in range(6)]
+    rows = [(i, "\n".join([*own(rng.randrange(1, 5)), line if i % 2 else many[i // 2 % 6], *own(rng.randrange(1, 5))])) for i in range(48)]
+    got = {r.doc_id: r for r in linededup.dedup_lines(docs_of(spark, [(i, t, "en", "s") for i, t in rows])).collect()}
+    for i, text in rows:
+        gone = [x for x in text.split("\n") if x not in got[i].text.split("\n")]
+        if i == 0:
+            left = []
+        if i % 2:
+            assert gone == ([line] if i > 1 else [])
+        elif i < 12:
+            assert gone == []
+        else:  # nothing else is gone, and hardly anything of the passage is left
+            whole = many[i // 2 % 6].split("\n")
+            assert set(gone) <= set(whole)
+            left.append(len(whole) - len(gone))
+    assert max(left) <= 2 and sum(left) <= 0.02 * 16 * len(left)
+
+
 # 5 decontamination
 
 
