@@ -50,12 +50,16 @@ def shingles_of(text: str | None) -> np.ndarray:
     return np.unique(np.fromiter((xxhash.xxh64_intdigest(s, 42) for s in map(b" ".join, zip(*parts))), np.uint64, total))
 
 
-def prefix_of(h: np.ndarray, common: np.ndarray) -> np.ndarray:
-    """The shingles by which any set of enough similarity is met."""
+def prefix_of(h: np.ndarray, common: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The shingles by which any set of enough similarity is met, and the count of each that is common (0: it isn't)."""
+    many = np.zeros(len(h), np.int32)
     if len(common) and len(h):
-        last = common[np.minimum(np.searchsorted(common, h), len(common) - 1)] == h
-        h = np.concatenate([h[~last], h[last]])
-    return h[: len(h) - -(-LEAST.numerator * len(h) // LEAST.denominator) + 1]
+        at = np.minimum(np.searchsorted(common, h), len(common) - 1)
+        many = np.where(common[at] == h, counts[at], 0)
+        order = np.argsort(many > 0, kind="stable")
+        h, many = h[order], many[order]
+    n = len(h) - -(-LEAST.numerator * len(h) // LEAST.denominator) + 1
+    return h[:n], many[:n]
 
 
 def fingerprint_of(h: np.ndarray) -> int:
@@ -88,18 +92,27 @@ def _close(a: str, b: str, na: str, nb: str) -> Column:
     return (F.least(na, nb) < FEW) | ring(F.col(a).bitwiseXOR(F.col(b)), BUDGET)
 
 
-def _tokens(numbered: DataFrame, text: str, common: np.ndarray) -> DataFrame:
-    """(node, n, fp, token) of each row's prefix."""
+def _tokens(numbered: DataFrame, text: str) -> DataFrame:
+    """(node, token, many, share): each row's prefix, where shared; how many have the shingle, and 1 / the prefix's length."""
+    common, counts = _common(numbered, text)
 
-    @F.pandas_udf("array<long>")
+    @F.pandas_udf("array<struct<token:long,many:int,share:float>>")
     def run(texts: pd.Series) -> pd.Series:
-        return pd.Series([prefix_of(shingles_of(t), common).view(np.int64) for t in texts], dtype=object)
+        out = []
+        for t in texts:
+            h, many = prefix_of(shingles_of(t), common, counts)
+            out.append([{"token": x, "many": n, "share": 1 / len(h)} for x, n in zip(h.view(np.int64).tolist(), many.tolist())])
+        return pd.Series(out, dtype=object)
 
-    return numbered.select(F.col("row_no").alias("node"), "n", "fp", F.explode(run(F.col(text))).alias("token"))
+    each = numbered.select(F.col("row_no").alias("node"), F.explode(run(F.col(text))).alias("t")).select("node", "t.*")
+    # common shingles are left out of the window, in which all nodes of one meet
+    alone = F.when(F.col("many") > 0, F.xxhash64("node")).otherwise(F.lit(0))
+    met = F.count("*").over(Window.partitionBy("token", alone)).cast("int")
+    return materialize(each.withColumn("many", F.greatest("many", met)).where("many > 1"), "tokens")
 
 
-def _common(numbered: DataFrame, text: str) -> np.ndarray:
-    """Shingles that are common, sorted. Only those that repeat within some texts read at once are shuffled."""
+def _common(numbered: DataFrame, text: str) -> tuple[np.ndarray, np.ndarray]:
+    """Shingles that are common, sorted, and their counts. Only those that repeat within some texts read at once are shuffled."""
 
     def count(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for f in frames:
@@ -109,7 +122,9 @@ def _common(numbered: DataFrame, text: str) -> np.ndarray:
 
     counts = numbered.select(text).mapInPandas(count, "token long, n long").groupBy("token").agg(F.sum("n").alias("n"))
     found = counts.where(F.col("n") > COMMON).orderBy(F.col("n").desc(), "token").limit(MOST).collect()
-    return np.sort(np.array([r.token for r in found], np.int64).view(np.uint64))
+    token, n = np.array([r.token for r in found], np.int64).view(np.uint64), np.array([min(r.n, (1 << 31) - 1) for r in found], np.int32)
+    order = np.argsort(token)
+    return token[order], n[order]
 
 
 def _sets(ids: DataFrame, numbered: DataFrame, text: str) -> DataFrame:
@@ -186,37 +201,35 @@ def _bridged(rows: DataFrame, numbered: DataFrame, text: str) -> DataFrame:
 
 
 def links(numbered: DataFrame, nodes: DataFrame, text: str) -> DataFrame:
-    """(a, b): links that join the same nodes as all similar pairs do. numbered: row_no, n, fp, text; nodes: node, the rows to compare."""
+    """(a, b): links that join the same nodes as all similar pairs do. numbered: row_no, text; nodes: node, n, fp of the rows to compare."""
     small = F.broadcast(nodes) if nodes.count() <= BROADCAST_NODES else nodes
-    texts = numbered.join(small, F.col("row_no") == F.col("node"), "left_semi")
-    every = materialize(_tokens(texts, text, _common(texts, text)), "prefixes")
-    shared = materialize(every.groupBy("token").agg(F.count("*").alias("many")).where("many > 1"), "shared")
-    tokens = materialize(every.join(shared, "token"), "tokens")
-    known = tokens.groupBy("node").agg(F.avg("many").alias("known"), F.first("n").alias("n"), F.first("fp").alias("fp"))
-    centre = F.max(F.struct("known", F.xxhash64("node").alias("h"), F.col("node").alias("b"), F.col("n").alias("nb"), F.col("fp").alias("fb"))).alias("c")
-    centres = tokens.select("token", "node").join(known, "node").groupBy("token").agg(centre).select("token", "c.b", "c.nb", "c.fb")
-    stars = (
-        tokens.join(centres, "token").where((F.col("node") != F.col("b")) & _close("fp", "fb", "n", "nb"))
-        .groupBy(F.col("node").alias("a"), F.col("n").alias("na"), "b", "nb").agg(F.count("*").alias("c"))
-    )
-    first = materialize(_similar(materialize(stars.where(_enough("c", "na", "nb")).select("a", "b"), "stars"), numbered, text), "links")
+    tokens = _tokens(numbered.join(small.select(F.col("node").alias("row_no")), "row_no", "left_semi"), text)
+
+    def kept(pairs: DataFrame, what: str) -> DataFrame:
+        """The similar ones of (a, b, c): c shared shingles of the prefixes at least."""
+        sized = pairs.join(small.select(F.col("node").alias("a"), F.col("n").alias("na"), F.col("fp").alias("fa")), "a").join(small.select(F.col("node").alias("b"), F.col("n").alias("nb"), F.col("fp").alias("fb")), "b")
+        near = sized.where(_enough("c", "na", "nb") & _close("fa", "fb", "na", "nb")).select("a", "b")
+        return materialize(_similar(materialize(near, what), numbered, text), "links")
+
+    known = tokens.groupBy("node").agg(F.sum(F.col("many") * F.col("share")).alias("known"))
+    centres = tokens.select("token", "node").join(known, "node").groupBy("token").agg(F.max(F.struct("known", "node")).alias("c")).select("token", F.col("c.node").alias("b"))
+    stars = tokens.select("token", F.col("node").alias("a")).join(centres, "token").where("a != b").groupBy("a", "b").agg(F.count("*").alias("c"))
+    first = kept(stars, "stars")
     roots = materialize(components(first), "roots")
-    grouped = tokens.join(roots, "node", "left").select("token", "node", "n", "fp", "many", F.coalesce("root", "node").alias("g"))
+    grouped = tokens.select("token", "node", "many").join(roots, "node", "left").select("token", "node", "many", F.coalesce("root", "node").alias("g"))
     mixed = grouped.groupBy("token").agg(F.min("g").alias("lo"), F.max("g").alias("hi")).where("lo != hi").select("token")
     rest = materialize(grouped.join(mixed, "token"), "mixed")
     common = rest.groupBy("node").agg(F.count_if(F.col("many") > HEAVY).alias("common"))
-    light = materialize(rest.where(F.col("many") <= HEAVY).join(common, "node"), "light")
+    light = materialize(rest.where(F.col("many") <= HEAVY).join(common, "node").select("token", "node", "g", "common"), "light")
     a, b = light.alias("a"), light.alias("b")
     # common shingles that a pair shares aren't counted by this join, so as many as it can share are added
     met = (
-        a.join(b, F.expr("a.token = b.token and a.g < b.g")).where(_close("a.fp", "b.fp", "a.n", "b.n"))
-        .groupBy(F.col("a.node").alias("a"), F.col("a.n").alias("na"), F.col("b.node").alias("b"), F.col("b.n").alias("nb"))
+        a.join(b, F.expr("a.token = b.token and a.g < b.g")).groupBy(F.col("a.node").alias("a"), F.col("b.node").alias("b"))
         .agg((F.count("*") + F.least(F.first("a.common"), F.first("b.common"))).alias("c"))
     )
-    pairs = materialize(met.where(_enough("c", "na", "nb")).select("a", "b"), "pairs")
-    out = first.unionByName(materialize(_similar(pairs, numbered, text), "links"))
+    out = first.unionByName(kept(met, "pairs"))
     heavy = rest.where(F.col("many") > HEAVY)
-    return out if heavy.isEmpty() else out.unionByName(materialize(_bridged(heavy.select("token", "node", "n", "g"), numbered, text), "links"))
+    return out if heavy.isEmpty() else out.unionByName(materialize(_bridged(heavy.join(small.select("node", "n"), "node").select("token", "node", "n", "g"), numbered, text), "links"))
 
 
 def keep_one(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -229,7 +242,7 @@ def keep_one(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> D
     rows = df.select(*[F.col(f"`{c}`").alias(n) for c, n in own.items()])
     numbered = materialize(rows.select("*", _digest(F.col(own[text_col])).alias("set"), F.monotonically_increasing_id().alias("row_no")).select(*own.values(), "row_no", "set.*"), "numbered")
     first = F.min(F.struct(F.col(own[id_col]).isNull().alias("none"), F.col(own[id_col]).alias("id"), "row_no")).alias("first")
-    reps = materialize(numbered.groupBy("digest").agg(first, F.min("row_no").alias("node")), "reps")
-    found = components(links(numbered.select("row_no", "n", "fp", own[text_col]), reps.select("node"), own[text_col]))
+    reps = materialize(numbered.groupBy("digest").agg(first, F.min("row_no").alias("node"), F.first("n").alias("n"), F.first("fp").alias("fp")), "reps")
+    found = components(links(numbered.select("row_no", own[text_col]), reps.select("node", "n", "fp"), own[text_col]))
     group = reps.join(found, "node", "left").groupBy(F.coalesce("root", "node").alias("g")).agg(F.min("first").alias("first"))
     return numbered.join(group.select(F.col("first.row_no").alias("row_no")), "row_no", "left_semi").select(*[F.col(n).alias(c) for c, n in own.items()])
