@@ -39,6 +39,37 @@ def view_of(text: str) -> tuple[str, list[int], list[int]]:
     return "".join(out), starts, ends
 
 
+#: Characters that the view drops or replaces by several or by others than ``ONE_TO_ONE`` says, as a class of Java's engine.
+CHANGED = (
+    r"[\p{Cf}\x{a8}\x{aa}\x{af}\x{b2}-\x{b5}\x{b8}-\x{ba}\x{bc}-\x{be}\x{132}\x{133}\x{13f}\x{140}\x{149}\x{17f}\x{1c4}-\x{1cc}\x{1f1}-\x{1f3}\x{2b0}-\x{2b8}\x{2d8}-\x{2dd}\x{2e0}-\x{2e4}\x{340}-\x{344}\x{374}-\x{387}"
+    r"\x{3d0}-\x{3ff}\x{587}\x{675}-\x{678}\x{890}\x{891}\x{958}-\x{95f}\x{9dc}-\x{9df}\x{a33}-\x{a5e}\x{b5c}\x{b5d}\x{e33}-\x{fff}\x{10fc}\x{1d2c}-\x{1dbf}\x{1e9a}\x{1e9b}\x{1f71}-\x{1fff}\x{2011}-\x{2057}\x{2070}-\x{209f}\x{20a8}\x{2100}-\x{218b}"
+    r"\x{222c}-\x{2230}\x{2329}\x{232a}\x{2460}-\x{24ff}\x{2a0c}-\x{2adc}\x{2c7c}-\x{2d6f}\x{2e9f}-\x{2fdf}\x{3036}-\x{303a}\x{309b}-\x{309f}\x{30ff}-\x{33ff}\x{a69c}\x{a69d}\x{a770}-\x{a7ff}\x{ab5c}-\x{ab6f}\x{f900}-\x{feff}\x{ff5f}-\x{ffff}\x{10000}-\x{10ffff}]"
+)
+_WIDE = [chr(c) for c in range(0xFF01, 0xFF5F)]
+_ALIKE = [*_WIDE, *sorted(set(DASHES) - set("-" + "".join(_WIDE))), *sorted(set(BLANKS) - set(" "))]
+#: Characters that the view replaces one by one, and by what.
+ONE_TO_ONE = ("".join(_ALIKE), "".join(view_of(c)[0] for c in _ALIKE))
+
+
+def same_length_view(text: Column) -> Column:
+    """The view of a text without any of ``CHANGED``: offsets are its own."""
+    return F.when(text.rlike(r"[^\x00-\x7f]"), F.translate(text, *ONE_TO_ONE)).otherwise(text)
+
+
+def view_and_code(text: Column) -> Column:
+    """The view with its offsets and its code ranges."""
+
+    @F.pandas_udf(f"struct<text:string,starts:array<int>,ends:array<int>,code:{RANGES}>")
+    def run(texts: pd.Series) -> pd.DataFrame:
+        rows = []
+        for x in texts:
+            seen, starts, ends = view_of(x or "")
+            rows.append((seen, starts, ends, [{"start": a, "end": b} for a, b in code_ranges_of(seen)]))
+        return pd.DataFrame(rows, columns=["text", "starts", "ends", "code"])
+
+    return run(text)
+
+
 def view(text: Column) -> Column:
     @F.pandas_udf(VIEW)
     def run(texts: pd.Series) -> pd.DataFrame:
@@ -90,15 +121,15 @@ def code_ranges(text: Column) -> Column:
 
 
 def fnv_of(text: str) -> str:
-    """Length and 32-bit FNV-1a of the code points, the hash in base 36."""
-    h = 0x811C9DC5
-    for c in text:
-        h = (h ^ ord(c)) * 0x01000193 & 0xFFFFFFFF
+    """Length and 32-bit FNV-1a of the UTF-16 units, the hash in base 36."""
+    h, raw = 0x811C9DC5, text.encode("utf-16-le", "surrogatepass")
+    for a, b in zip(raw[::2], raw[1::2]):
+        h = (h ^ (a | b << 8)) * 0x01000193 & 0xFFFFFFFF
     digits = ""
     while h or not digits:
         h, r = divmod(h, 36)
         digits = "0123456789abcdefghijklmnopqrstuvwxyz"[r] + digits
-    return f"{len(text)}:{digits}"
+    return f"{len(raw) // 2}-{digits}"
 
 
 def fnv(text: Column) -> Column:

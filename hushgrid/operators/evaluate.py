@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .resolve import overlap_join
+from .resolve import islands, overlap_join
 
 
 def uncovered(gold: DataFrame, pred: DataFrame, keys: list[str]) -> DataFrame:
@@ -14,10 +14,15 @@ def uncovered(gold: DataFrame, pred: DataFrame, keys: list[str]) -> DataFrame:
 
 
 def covered_chars(gold: DataFrame, pred: DataFrame, keys: list[str]) -> DataFrame:
-    """(keys, gold_chars, covered_chars) by the positions of each document."""
-    pos = lambda d: d.select(*keys, F.explode(F.sequence("start", F.col("end") - 1)).alias("p")).distinct()
-    g, p = pos(gold), pos(pred).withColumn("hit", F.lit(1))
-    return g.join(p, [*keys, "p"], "left").groupBy(*keys).agg(F.count("*").alias("gold_chars"), F.coalesce(F.sum("hit"), F.lit(0)).alias("covered_chars"))
+    """(keys, gold_chars, covered_chars): both sides become disjoint ranges, whose common parts are added up."""
+
+    def ranges(d: DataFrame) -> DataFrame:
+        return islands(d.select(*keys, "start", "end").where(F.col("start") < F.col("end")), keys).groupBy(*keys, "island").agg(F.min("start").alias("start"), F.max("end").alias("end"))
+
+    g, p = ranges(gold), ranges(pred).select(*keys, F.col("start").alias("ps"), F.col("end").alias("pe"))
+    total = g.groupBy(*keys).agg(F.sum(F.col("end") - F.col("start")).alias("gold_chars"))
+    common = g.join(p, keys).where((F.col("start") < F.col("pe")) & (F.col("ps") < F.col("end"))).groupBy(*keys).agg(F.sum(F.least("end", "pe") - F.greatest("start", "ps")).alias("covered_chars"))
+    return total.join(common, keys, "left").select(*keys, "gold_chars", F.coalesce("covered_chars", F.lit(0)).alias("covered_chars"))
 
 
 def rates(docs: DataFrame, gold: DataFrame, pred: DataFrame, keys: list[str]) -> DataFrame:

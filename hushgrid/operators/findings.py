@@ -10,12 +10,13 @@ from . import resolve
 
 
 def findings(selected: DataFrame, keys: list[str]) -> DataFrame:
-    """One row for each document and kind: n, inferred, decision and policy of the highest rank, first place."""
+    """One row for each document and kind: n, inferred, decision and policy of the highest rank, first place, and a warning if a span has one."""
     r = resolve.rank(F.col("policy"), F.col("decision"))
     top = F.max_by(F.struct("decision", "policy"), F.struct(r.alias("r"), (-F.col("start")).alias("s")))
+    warning = F.max("warning") if "warning" in selected.columns else F.lit(None).cast("string")
     return selected.groupBy(*keys, "kind").agg(
-        F.count("*").alias("n"), F.bool_or(resolve.inferred(F.col("kind"), F.col("source"))).alias("inferred"), top.alias("top"), F.min("start").alias("first_start")
-    ).select(*keys, "kind", "n", "inferred", "top.decision", "top.policy", "first_start")
+        F.count("*").alias("n"), F.bool_or(resolve.inferred(F.col("kind"), F.col("source"))).alias("inferred"), top.alias("top"), F.min("start").alias("first_start"), warning.alias("warning")
+    ).select(*keys, "kind", "n", "inferred", "top.decision", "top.policy", "first_start", "warning")
 
 
 def confirmation_text(found: DataFrame, keys: list[str]) -> DataFrame:
@@ -45,9 +46,21 @@ def audit_hash(events: DataFrame, columns: list[str]) -> DataFrame:
     return events.withColumn("content_hash", F.sha2(F.to_json(F.struct(*sorted(columns))), 256))
 
 
+#: Places by which an approximate percentile may be off, as a share of the rows.
+SLACK = 1e-4
+
+
 def percentile_at(values: DataFrame, group: list[str], value: str, q: float) -> DataFrame:
-    """The element at floor(n q) of the sorted values, the last at most."""
-    w = Window.partitionBy(*group).orderBy(value)
-    all_ = Window.partitionBy(*group)
-    at = F.least(F.floor(F.count("*").over(all_) * q), F.count("*").over(all_) - 1)
-    return values.withColumn("place", F.row_number().over(w) - 1).withColumn("at", at).where("place = at").select(*group, F.col(value).alias("value"))
+    """The element at floor(n q) of the sorted values, the last at most. Nulls are left out.
+
+    Approximate percentiles bracket it; only the few rows within the bracket are put in order.
+    """
+    known = values.where(F.col(value).isNotNull())
+    near = lambda at: F.percentile_approx(value, min(max(at, 0.0), 1.0), int(2 / SLACK))
+    box = known.groupBy(*group).agg(F.count("*").alias("_n"), near(q - 2 * SLACK).alias("_lo"), near(q + 2 * SLACK).alias("_hi"))
+    placed = known.join(box, group)
+    below = placed.groupBy(*group).agg(F.count_if(F.col(value) < F.col("_lo")).alias("_below"))
+    place = F.row_number().over(Window.partitionBy(*group).orderBy(value)) - 1 + F.col("_below")
+    inside = placed.where(F.col(value).between(F.col("_lo"), F.col("_hi"))).join(below, group).withColumn("_place", place)
+    at = F.least(F.floor(F.col("_n") * q), F.col("_n") - 1)
+    return inside.where(F.col("_place") == at).select(*group, F.col(value).alias("value"))

@@ -10,6 +10,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from .resolve import islands
+
 #: Characters that may stand in a gap inside a span.
 BLANKS = frozenset(" \t\n\r\x0b\x0c\x1c\x1d\x1e\x1f\x85\xa0     　") | frozenset(map(chr, range(0x2000, 0x200B)))
 
@@ -97,10 +99,10 @@ def inside_window(start: Column, end: Column, lo: Column, hi: Column, length: Co
 
 
 def merge_spans(spans: DataFrame, keys: list[str]) -> DataFrame:
-    """Spans of all windows of a text without overlaps: longest first, then start, then label."""
+    """Spans of all windows of a text without overlaps: longest first, then start, then label; island by island."""
     packed = F.struct((F.col("start") - F.col("end")).alias("o"), "start", "label", "end")
-    docs = spans.groupBy(*keys).agg(F.array_sort(F.collect_set(packed)).alias("cs"))
-    kept = F.expr("aggregate(cs, slice(cs, 1, 0), (acc, x) -> if(exists(acc, y -> y.start < x.end and x.start < y.end), acc, array_append(acc, x)))")
+    docs = islands(spans, keys).groupBy(*keys, "island").agg(F.array_sort(F.collect_set(packed)).alias("cs"))
+    kept = F.when(F.size("cs") == 1, F.col("cs")).otherwise(F.expr("aggregate(cs, slice(cs, 1, 0), (acc, x) -> if(exists(acc, y -> y.start < x.end and x.start < y.end), acc, array_append(acc, x)))"))
     return docs.select(*keys, F.explode(kept).alias("x")).select(*keys, "x.start", "x.end", "x.label")
 
 

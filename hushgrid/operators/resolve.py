@@ -20,12 +20,16 @@ def effective_allowlist(entries: DataFrame, session: DataFrame | None, site: str
 
 
 def allowlisted(cands: DataFrame, allow: DataFrame) -> DataFrame:
-    """Candidates that no entry lets pass: an anti join on equal values, with the rule that high-risk kinds
-    heed session entries and expiring site entries alone."""
-    key = lambda c: F.trim(tx.plain(c))
-    grants = (F.col("a.scope") == "session") | ((F.col("a.scope") == "site") & F.col("a.expires_at").isNotNull()) | ~kinds.high_risk(F.col("kind"))
-    same = (key(F.col("a.value")) == key(F.col("raw"))) | (tx.canonical(F.col("kind"), F.col("a.value")) == F.col("normalized"))
-    return cands.join(allow.alias("a"), same & grants, "left_anti")
+    """Candidates that no entry lets pass: anti joins on the plain value, and on the kind with the canonical one, with
+    the rule that high-risk kinds heed session entries and expiring site entries alone."""
+    strong = (F.col("scope") == "session") | ((F.col("scope") == "site") & F.col("expires_at").isNotNull())
+    entries = allow.where(F.col("value").isNotNull()).select("value", F.coalesce(strong, F.lit(False)).alias("_strong"))
+    plain = entries.groupBy(F.trim(tx.plain(F.col("value"))).alias("_key")).agg(F.bool_or("_strong").alias("_strong"))
+    names = F.array(*[F.lit(k) for k in kinds.NAMES])
+    typed = entries.select("value", "_strong", F.explode(names).alias("_kind")).groupBy("_kind", tx.canonical(F.col("_kind"), F.col("value")).alias("_key")).agg(F.bool_or("_strong").alias("_strong"))
+    grants = F.col("_strong") | ~kinds.high_risk(F.col("kind"))
+    left = cands.join(plain, (F.trim(tx.plain(F.col("raw"))) == F.col("_key")) & grants, "left_anti")
+    return left.join(typed, (F.col("kind") == F.col("_kind")) & (F.col("normalized") == F.col("_key")) & grants, "left_anti")
 
 
 def merge_allowlists(a: DataFrame, b: DataFrame) -> DataFrame:
@@ -77,15 +81,23 @@ def ranked(cands: DataFrame, keys: list[str]) -> DataFrame:
 FIELDS = ["start", "end", "kind", "decision", "policy", "source", "raw", "normalized"]
 
 
+def islands(spans: DataFrame, keys: list[str]) -> DataFrame:
+    """``spans`` with island: numbers groups of spans of a document that overlaps chain together."""
+    by = Window.partitionBy(*keys).orderBy("start", "end")
+    new = (F.col("start") >= F.coalesce(F.max("end").over(by.rowsBetween(Window.unboundedPreceding, -1)), F.lit(-1))).cast("int")
+    return spans.withColumn("_new", new).withColumn("island", F.sum("_new").over(by.rowsBetween(Window.unboundedPreceding, 0))).drop("_new")
+
+
 def select_spans(cands: DataFrame, keys: list[str]) -> DataFrame:
-    """Candidates that overlap no better one of their document: one fold over the document's sorted array."""
-    packed = F.struct(F.struct(*[c.alias(f"k{i}") for i, c in enumerate(order_keys())]).alias("o"), F.struct(*FIELDS).alias("c"))
-    docs = cands.groupBy(*keys).agg(F.array_sort(F.collect_list(packed)).alias("cs"))
-    kept = F.expr(
+    """Candidates that overlap no better one of their document: a fold over each island of overlapping ones,
+    so that a document of many candidates costs no more than its islands."""
+    fields = FIELDS + [c for c in ("warning",) if c in cands.columns]
+    packed = F.struct(F.struct(*[c.alias(f"k{i}") for i, c in enumerate(order_keys())]).alias("o"), F.struct(*fields).alias("c"))
+    docs = islands(cands, keys).groupBy(*keys, "island").agg(F.array_sort(F.collect_list(packed)).alias("cs"))
+    kept = F.when(F.size("cs") == 1, F.col("cs")).otherwise(F.expr(
         "aggregate(cs, slice(cs, 1, 0), (acc, x) -> if(exists(acc, y -> y.c.start < x.c.end and x.c.start < y.c.end), acc, array_append(acc, x)))"
-    )
-    spans = docs.select(*keys, F.explode(kept).alias("x")).select(*keys, "x.c.*")
-    return spans
+    ))
+    return docs.select(*keys, F.explode(kept).alias("x")).select(*keys, "x.c.*")
 
 
 def overlap_join(left: DataFrame, right: DataFrame, keys: list[str], how: str = "inner") -> DataFrame:
@@ -105,13 +117,15 @@ def drop_contained(spans: DataFrame, keys: list[str]) -> DataFrame:
 
 
 def highlights(spans: DataFrame, keys: list[str]) -> DataFrame:
-    """Segments between all boundaries, each of the kind of lowest rank over it, equal neighbours merged."""
-    edges = spans.select(*keys, F.col("start").alias("x")).unionByName(spans.select(*keys, F.col("end").alias("x"))).distinct()
-    cut = edges.withColumn("y", F.lead("x").over(Window.partitionBy(*keys).orderBy("x"))).where("y is not null")
-    s = spans.select(*keys, "kind", "start", "end").withColumn("prio", kinds.priority(F.col("kind")))
-    over = cut.join(s, keys).where((F.col("start") < F.col("y")) & (F.col("x") < F.col("end")))
-    best = over.groupBy(*keys, "x", "y").agg(F.min(F.struct("prio", "kind")).alias("b")).select(*keys, "x", "y", F.col("b.kind").alias("kind"))
+    """Segments between all boundaries, each of the kind of lowest rank over it, equal neighbours merged. Boundaries
+    meet the spans of their own island of overlaps alone."""
+    s = islands(spans.select(*keys, "kind", "start", "end"), keys).withColumn("prio", kinds.priority(F.col("kind")))
+    own = [*keys, "island"]
+    edges = s.select(*own, F.explode(F.array("start", "end")).alias("x")).distinct()
+    cut = edges.withColumn("y", F.lead("x").over(Window.partitionBy(*own).orderBy("x"))).where("y is not null")
+    over = cut.join(s, own).where((F.col("start") < F.col("y")) & (F.col("x") < F.col("end")))
+    best = over.groupBy(*own, "x", "y").agg(F.min(F.struct("prio", "kind")).alias("b")).select(*keys, "x", "y", F.col("b.kind").alias("kind"))
     w = Window.partitionBy(*keys).orderBy("x")
     new = F.when((F.lag("y").over(w) == F.col("x")) & (F.lag("kind").over(w) == F.col("kind")), 0).otherwise(1)
-    island = best.withColumn("new", new).withColumn("island", F.sum("new").over(w))
-    return island.groupBy(*keys, "island", "kind").agg(F.min("x").alias("start"), F.max("y").alias("end")).drop("island")
+    run = best.withColumn("new", new).withColumn("run", F.sum("new").over(w))
+    return run.groupBy(*keys, "run", "kind").agg(F.min("x").alias("start"), F.max("y").alias("end")).drop("run")

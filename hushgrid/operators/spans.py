@@ -1,58 +1,118 @@
-"""Span detection by native regular expressions: one projection over a text, no Python."""
+"""Span detection by native regular expressions: one projection over a text; Python only sees texts whose view differs in length or that hold code."""
 
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .. import kinds
 from ..functions import text as tx
-from ..functions import validators
+from ..functions import unicode, validators
 from ..functions.patterns import RULES, Rule
 
+SPANS = "array<struct<start:int,end:int,raw:string>>"
+#: What stands for the raw value of a secret that is too long to keep.
+OMITTED = "<已省略的长凭证>"
 
-def matches(text: str, pattern: str) -> str:
-    """SQL for the (start, end, raw) of each match of ``pattern`` in column ``text``.
+
+def matches(text: str, pattern: str, value: bool = False) -> str:
+    """SQL for the (start, end, raw) of each match of ``pattern`` in column ``text``, or of group 1 that ends it.
 
     Matches and the gaps between them are bound once; inlined, they would be computed for each match.
     """
     p = "'" + pattern.replace("\\", "\\\\").replace("'", "\\'") + "'"
+    v = f"regexp_extract_all({text}, {p}, 1)" if value else "m"
     return (
-        f"transform(array(named_struct('m', regexp_extract_all({text}, {p}, 0), 'g', split({text}, {p}, -1))), z -> "
-        "if(size(z.m) = 0, cast(array() as array<struct<start:int,end:int,raw:string>>), aggregate(sequence(0, size(z.m) - 1), "
-        "named_struct('at', 0, 'out', cast(array() as array<struct<start:int,end:int,raw:string>>)), (acc, i) -> named_struct("
-        "'at', acc.at + length(z.g[i]) + length(z.m[i]), 'out', array_append(acc.out, named_struct('start', acc.at + length(z.g[i]), "
-        "'end', acc.at + length(z.g[i]) + length(z.m[i]), 'raw', z.m[i])))).out))[0]"
+        f"transform(array(regexp_extract_all({text}, {p}, 0)), m -> if(size(m) = 0, cast(array() as {SPANS}), transform(array(named_struct('g', split({text}, {p}, -1), 'v', {v})), z -> "
+        f"aggregate(sequence(0, size(m) - 1), named_struct('at', 0, 'out', cast(array() as {SPANS})), (acc, i) -> named_struct("
+        "'at', acc.at + length(z.g[i]) + length(m[i]), 'out', array_append(acc.out, named_struct('start', acc.at + length(z.g[i]) + length(m[i]) - length(z.v[i]), "
+        "'end', acc.at + length(z.g[i]) + length(m[i]), 'raw', z.v[i])))).out)[0]))[0]"
     )
 
 
+def _seen(df: DataFrame, keys: list[str], text: str) -> DataFrame:
+    """``keys`` with _t, the text that rules look at, and, where it isn't the source as it is, _src with the offsets, and _code."""
+    whole = F.coalesce(F.col(text), F.lit(""))
+    rows = df.select(*keys, whole.alias("_s"))
+    odd, plain = F.col("_s").rlike(f"{unicode.CHANGED}|`|~~~"), unicode.same_length_view(F.col("_s"))
+    same = rows.where(~odd).select(*keys, plain.alias("_t"), F.when(plain != F.col("_s"), F.col("_s")).alias("_src"), F.lit(None).cast("array<int>").alias("_starts"), F.lit(None).cast("array<int>").alias("_ends"), F.lit(None).cast(unicode.RANGES).alias("_code"))
+    other = rows.where(odd).select(*keys, "_s", unicode.view_and_code(F.col("_s")).alias("_v"))
+    return same.unionByName(other.select(*keys, F.col("_v.text").alias("_t"), F.col("_s").alias("_src"), F.col("_v.starts").alias("_starts"), F.col("_v.ends").alias("_ends"), F.col("_v.code").alias("_code")))
+
+
+def _around(s: Column, radius: int) -> Column:
+    start = F.greatest(s["start"] - radius, F.lit(0))
+    return F.substring(F.col("_t"), start + 1, s["end"] + radius - start)
+
+
+def _gates(r: Rule):
+    """The rule's conditions on what stands around a span, or None."""
+    if not (r.near or r.avoid or r.before or r.plain):
+        return None
+
+    def passes(s: Column) -> Column:
+        ok = F.lit(True)
+        ahead = lambda n: F.substring(F.col("_t"), F.greatest(s["start"] - n, F.lit(0)) + 1, F.least(s["start"], F.lit(n)))
+        if r.near:
+            ok &= _around(s, r.radius).rlike(r.near)
+        if r.avoid:
+            ok &= ~_around(s, r.radius).rlike(r.avoid)
+        if r.before:
+            ok &= ~ahead(40).rlike(rf"{r.before}\z")
+        if r.plain:
+            ok &= ~validators.technical_context(ahead(32), F.substring(F.col("_t"), s["end"] + 1, F.lit(32)))
+            ok &= ~F.coalesce(F.exists("_code", lambda c: (c["start"] < s["end"]) & (s["start"] < c["end"])), F.lit(False))
+        return ok
+
+    return passes
+
+
 def detect(df: DataFrame, keys: list[str], text: str, rules: tuple[Rule, ...] = RULES, terms: list[str] | None = None) -> DataFrame:
-    """Candidates of every rule, in emission order: ``keys``, seq, kind, decision, policy, source, start, end, raw, normalized.
+    """Candidates of every rule, in emission order: ``keys``, seq, kind, decision, policy, source, start, end, raw, normalized, warning.
 
-    Offsets count code points, from 0, end exclusive. ``terms`` are literal custom terms, longest first. A
-    null text has no candidates.
+    Rules look at the normalized view; offsets count code points of the source, from 0, end exclusive. ``terms`` are
+    literal custom terms, longest first, normalized alike. A null text has no candidates. A credential over its kind's
+    length is one span of a placeholder, with a warning; its normalized form is its length and a digest.
     """
-    literal = sorted({t.strip() for t in terms or [] if t.strip()}, key=lambda t: (-len(t), t))
+    literal = sorted({unicode.view_of(t.strip())[0] for t in terms or [] if t.strip()}, key=lambda t: (-len(t), t))
     own = list(rules) + [Rule("custom_term", "\\Q" + t.replace("\\E", "\\E\\\\E\\Q") + "\\E") for t in literal]
-    whole = F.coalesce(F.col(text), F.lit(""))
-    base = df.select(*keys, whole.alias("_t"), whole.rlike(r"[\x{4e00}-\x{9fff}]").alias("_han"), whole.rlike("[0-9]").alias("_digit"), whole.rlike("[:：=是为叫]").alias("_mark"))
+    seen = _seen(df, keys, text)
+    flags = {"han": r"[\x{4e00}-\x{9fff}]", "digit": "[0-9]", "mark": "[:：=是为叫]"}
+    used = {r.needs for r in own}
+    base = seen.select("*", *[F.col("_t").rlike(c).alias(f"_{n}") for n, c in flags.items() if n in used])
     found = []
     for n, r in enumerate(own):
-        spans = F.expr(matches("_t", r.pattern))
+        spans = F.expr(matches("_t", r.pattern, r.value))
+        if passes := _gates(r):
+            spans = F.filter(spans, passes)
         if r.guard or r.needs:
             first = F.col(f"_{r.needs}") if r.needs else F.lit(True)
-            spans = F.when(first & (F.col("_t").rlike(r.guard) if r.guard else F.lit(True)), spans).otherwise(F.array().cast("array<struct<start:int,end:int,raw:string>>"))
+            spans = F.when(first & (F.col("_t").rlike(r.guard) if r.guard else F.lit(True)), spans).otherwise(F.array().cast(SPANS))
         found.append(_tagged(spans, n))
-    each = base.select(*keys, F.explode(F.flatten(F.array(*found))).alias("s")).select(*keys, "s.*")
+    listed = base.select(*keys, "_src", "_starts", "_ends", F.flatten(F.array(*found)).alias("_found"))
+
+    def placed(s: Column) -> Column:
+        start, end = F.coalesce(F.get("_starts", s["start"]), s["start"]), F.coalesce(F.get("_ends", s["end"] - 1), s["end"])
+        return F.struct(s["rule"].alias("rule"), start.alias("start"), end.alias("end"), F.substring(F.col("_src"), start + 1, end - start).alias("raw"), s["raw"].alias("seen"))
+
+    own_place = F.transform("_found", lambda s: F.struct(s["rule"].alias("rule"), s["start"].alias("start"), s["end"].alias("end"), s["raw"].alias("raw"), s["raw"].alias("seen")))
+    each = listed.where(F.size("_found") > 0).select(*keys, F.explode(F.when(F.col("_src").isNull(), own_place).otherwise(F.transform("_found", placed))).alias("s")).select(*keys, "s.*")
     rule = F.col("rule")
     pick = lambda f: _case(rule, [f(r) for r in own])
     checked = F.lit(True)
     for name, check in validators.BY_NAME.items():
         at = [n for n, r in enumerate(own) if r.check == name]
         if at:
-            checked = F.when(rule.isin(*at), check(F.col("raw"))).otherwise(checked)
+            checked = F.when(rule.isin(*at), check(F.col("seen"))).otherwise(checked)
     out = each.where(checked).withColumn("kind", pick(lambda r: r.kind)).withColumn("decision", pick(lambda r: "replace" if r.decision == "confirm" else r.decision)).withColumn("policy", pick(lambda r: "confirm" if r.decision == "confirm" else None)).withColumn("source", pick(lambda r: r.source))
-    labeled = out.where(~(F.col("kind").isin("person_name", "address", "passport", "license_plate", "labeled_identifier", "china_id") & validators.placeholder_value(F.col("raw"))))
-    return labeled.select(*keys, (rule * 100_000 + F.col("start")).alias("seq"), "kind", "decision", "policy", "source", "start", "end", "raw", tx.canonical(F.col("kind"), F.col("raw")).alias("normalized"))
+    labeled = out.where(~(F.col("kind").isin("person_name", "address", "passport", "license_plate", "labeled_identifier", "china_id") & validators.placeholder_value(F.col("seen"))))
+    bounded = [n for n, r in enumerate(own) if r.longest]
+    long = rule.isin(*bounded) & (F.length("seen") > kinds.MAX_CREDENTIAL) if bounded else F.lit(False)
+    digest = F.concat(F.lit("credential_too_long:"), F.length("seen").cast("string"), F.lit("-"), F.left(F.sha2("seen", 256), F.lit(16)))
+    return labeled.select(
+        *keys, (rule * 100_000 + F.col("start")).alias("seq"), "kind", "decision", "policy", "source", "start", "end", F.when(long, OMITTED).otherwise(F.col("raw")).alias("raw"),
+        F.when(long, digest).otherwise(tx.canonical(F.col("kind"), F.col("seen"))).alias("normalized"), F.when(long, "credential_too_long").alias("warning"),
+    )
 
 
 def _tagged(spans: Column, n: int) -> Column:

@@ -31,8 +31,8 @@ def docs(spark):
 
 @pytest.fixture(scope="module")
 def selected(spark, docs):
-    rows = resolve.select_spans(spans.detect(docs, ["doc_id"], "text"), ["doc_id"]).collect()
-    return spark.createDataFrame(rows) if rows else None
+    found = resolve.select_spans(spans.detect(docs, ["doc_id"], "text"), ["doc_id"])
+    return spark.createDataFrame(found.collect(), found.schema)
 
 
 def test_golden_kinds(selected):
