@@ -123,3 +123,19 @@ def ngrams(text: Column) -> Column:
     one = F.transform(F.sequence(F.lit(1), F.greatest(n, F.lit(1))), lambda i: F.substring(s, i, F.lit(1)))
     two = F.transform(F.sequence(F.lit(1), F.greatest(n - 1, F.lit(1))), lambda i: F.substring(s, i, F.lit(2)))
     return F.when(n > 0, F.array_distinct(F.concat(one, F.when(n > 1, two).otherwise(F.array().cast("array<string>"))))).otherwise(F.array().cast("array<string>"))
+
+
+def near_label(text: Column, start: Column, end: Column, pattern: str, radius: int = 24) -> Column:
+    """Whether ``pattern`` is found within ``radius`` places of a span."""
+    lo = F.greatest(start - radius, F.lit(0))
+    return F.substring(text, lo + 1, end + radius - lo).rlike(pattern)
+
+
+def overlaps_any(ranges: Column, start: Column, end: Column) -> Column:
+    """Whether a span overlaps one of an array of ranges."""
+    return F.coalesce(F.exists(ranges, lambda r: (start < r["end"]) & (r["start"] < end)), F.lit(False))
+
+
+def clause_final(after: Column) -> Column:
+    """Whether what follows a value, blanks aside, ends the clause."""
+    return after.rlike(r"^[ \t\x{a0}·・]*(?:$|[，,。；;：:！？!、）)】\]\n\r])")

@@ -49,9 +49,9 @@ def classify(expected: DataFrame, pred: DataFrame, keys: list[str]) -> DataFrame
     return best.select(*keys, "kind", "start", "end", F.element_at(F.array(*map(F.lit, ("none", "wrong_kind", "partial", "exact"))), F.col("l") + 1).alias("outcome"))
 
 
-def gate(deleted: DataFrame, sets: DataFrame) -> DataFrame:
-    """(failed): whether a set has deletions or no result."""
-    return sets.join(deleted, "name", "left").agg(F.bool_or(F.col("deletions").isNull() | (F.col("deletions") > 0)).alias("failed"))
+def gate(deleted: DataFrame, sets: DataFrame, by: list[str] | None = None) -> DataFrame:
+    """(by, failed): whether a set has deletions or no result."""
+    return sets.join(deleted, "name", "left").groupBy(*(by or [])).agg(F.bool_or(F.col("deletions").isNull() | (F.col("deletions") > 0)).alias("failed"))
 
 
 def reject_benefit(spans: DataFrame, gold: DataFrame, keys: list[str], predicate) -> DataFrame:

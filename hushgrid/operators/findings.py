@@ -25,6 +25,21 @@ def confirmation_text(found: DataFrame, keys: list[str]) -> DataFrame:
     return found.groupBy(*keys).agg(F.concat_ws("，", F.transform(F.array_sort(F.collect_list(part)), lambda x: x["t"])).alias("message"))
 
 
+def summary(found: DataFrame, keys: list[str]) -> DataFrame:
+    """(keys, kind, n, labels, inferred): findings of several texts put together; labels distinct, in order."""
+    return found.groupBy(*keys, "kind").agg(F.sum("n").alias("n"), F.concat_ws(",", F.array_sort(F.collect_set("label"))).alias("labels"), F.bool_or("inferred").alias("inferred"))
+
+
+def run_stats(docs: DataFrame, hints: str, ms: str) -> DataFrame:
+    """(documents, primed, hints, ms_per_document) of an evaluation run; primed ones have a hint."""
+    return docs.agg(F.count("*").alias("documents"), F.count_if(F.col(hints) > 0).alias("primed"), F.sum(hints).alias("hints"), F.avg(ms).alias("ms_per_document"))
+
+
+def examples(spans: DataFrame, by: list[str], order: list[str], n: int = 8) -> DataFrame:
+    """The first ``n`` spans of each group."""
+    return spans.withColumn("_n", F.row_number().over(Window.partitionBy(*by).orderBy(*order))).where(F.col("_n") <= n).drop("_n")
+
+
 def merge_counts(found: DataFrame, keys: list[str]) -> DataFrame:
     """Repeated kinds summed; unknown kinds, nulls and counts under one left out."""
     return found.where(F.col("kind").isin(*kinds.NAMES) & (F.col("n") >= 1)).groupBy(*keys, "kind").agg(F.sum("n").alias("n"))

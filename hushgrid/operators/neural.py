@@ -125,6 +125,40 @@ def decode(df: DataFrame, keys: list[str], labels: list[str], threshold: float)
     return df.select(*keys, "text", "offsets", "logits").mapInPandas(run, schema)
 
 
+# Kinds of the labels of a model, and names that it takes for people.
+LABEL_KINDS = {
+    "PERSON": "person_name", "ADDRESS": "address", "ACCOUNT_ALIAS": "account", "CN_PHONE": "phone", "EMAIL": "email", "CN_ID": "china_id", "BANK_CARD": "bank_card", "LICENSE_PLATE": "license_plate",
+    "PASSPORT": "passport", "PRIVATE_DATE": "private_date", "SOCIAL_ACCOUNT": "account", "BANK_ACCOUNT": "bank_account", "CREDENTIAL": "credential", "API_KEY": "api_key", "ACCESS_TOKEN": "access_token",
+    "EMPLOYEE_ID": "labeled_identifier", "HEALTH_RECORD": "labeled_identifier", "VEHICLE_VIN": "labeled_identifier", "IP_ADDRESS": "ipv4", "MAC_ADDRESS": "mac_address",
+}
+NOT_PEOPLE = ("华为", "腾讯", "小米", "阿里", "百度", "王府井", "中关村", "黄鹤楼", "天安门")
+
+
+def hints(spans: DataFrame, raw: str = "raw") -> DataFrame:
+    """Model spans (label, raw) as hints with a kind: unknown labels, names of organizations and places, and names without Han go."""
+    table = F.create_map(*[F.lit(x) for pair in LABEL_KINDS.items() for x in pair])
+    kind = F.try_element_at(table, F.col("label"))
+    name = F.regexp_replace(raw, r"\s", "")
+    person = ~name.isin(*NOT_PEOPLE) & name.rlike(r"[\x{3400}-\x{9fff}]")
+    return spans.withColumn("kind", kind).where(F.col("kind").isNotNull() & ((F.col("kind") != "person_name") | person))
+
+
+def first_account(raw: Column) -> Column:
+    """The first account token of a span that a model has marked too widely; null if there is none."""
+    return F.nullif(F.regexp_extract(raw, r"@?[A-Za-z0-9][A-Za-z0-9._-]{2,63}", 0), F.lit(""))
+
+
+def predict(texts: DataFrame, keys: list[str], labels: list[str], threshold: float) -> DataFrame:
+    """Spans of whole texts from the logits of their windows: decoded, those at inner window edges left out, merged.
+
+    texts: keys, text, and windows, an array of (lo, hi, offsets, logits) with offsets in the text.
+    """
+    each = texts.select(*keys, "text", F.posexplode("windows").alias("window", "w")).select(*keys, "window", "text", F.col("w.lo").alias("lo"), F.col("w.hi").alias("hi"), F.col("w.offsets").alias("offsets"), F.col("w.logits").alias("logits"))
+    found = decode(each, [*keys, "window"], labels, threshold).join(each.select(*keys, "window", "lo", "hi", F.length("text").alias("n")), [*keys, "window"])
+    inside = found.where(inside_window(F.col("start"), F.col("end"), F.col("lo"), F.col("hi"), F.col("n")))
+    return merge_spans(inside.select(*keys, "start", "end", "label"), keys)
+
+
 def check_manifest(m: dict) -> dict:
     """A model manifest with labels, threshold, max_length and stride in range; anything else is an error."""
     if not m.get("labels") or not 0 < m.get("threshold", 0) <= 1 or not m.get("max_length", 0) > 2 or not 0 <= m.get("stride", -1) < m["max_length"] - 2:

@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .. import kinds
+from .resolve import overlap_join
 
 PADDING, SURE, MAX_SIDE, MAX_PIXELS = 3, 55, 16_384, 12_000_000
 
@@ -25,6 +26,33 @@ def coverage(words: DataFrame, page: list[str]) -> DataFrame:
     return words.groupBy(*page).agg(((F.count("*") <= kinds.MAX_OCR_WORDS) & (F.min("confidence") >= SURE)).alias("complete"))
 
 
+def _fits(before: Column, now: Column) -> Column:
+    """Whether a word goes on in the visual row of the word before."""
+    height = F.greatest(before["y1"] - before["y0"], now["y1"] - now["y0"])
+    gap = now["x0"] - before["x1"]
+    return (F.abs((before["y0"] + before["y1"]) / 2 - (now["y0"] + now["y1"]) / 2) <= height * 0.75) & (gap >= height * -0.25) & (gap <= height * 2)
+
+
+def joined_words(words: DataFrame, page: list[str], order: str) -> DataFrame:
+    """(page, text, compact): words of a page joined by blanks within a visual row and by line ends between rows; in the
+    compact text Han and identifier characters of one row touch."""
+    w = Window.partitionBy(*page).orderBy(order)
+    box = F.struct("x0", "y0", "x1", "y1")
+    told = words.withColumn("_now", box).withColumn("_before", F.lag(box).over(w)).withColumn("_last", F.right(F.lag("text").over(w), F.lit(1)))
+    fits = F.coalesce(_fits(F.col("_before"), F.col("_now")), F.lit(False))
+    touch = lambda chars: F.col("_last").rlike(chars) & F.left("text", F.lit(1)).rlike(chars)
+    close = fits & (touch(r"[\x{3400}-\x{9fff}]") | touch(r"[A-Za-z0-9@._:+/-]"))
+    gap = F.when(F.col("_before").isNull(), "").when(fits, " ").otherwise("\n")
+    part = told.withColumn("_t", F.concat(gap, "text")).withColumn("_c", F.concat(F.when(close, "").otherwise(gap), "text"))
+    text = lambda c: F.concat_ws("", F.transform(F.array_sort(F.collect_list(F.struct(order, c))), lambda x: x[c]))
+    return part.groupBy(*page).agg(text("_t").alias("text"), text("_c").alias("compact"))
+
+
+def extra_ranges(compact: DataFrame, primary: DataFrame, page: list[str]) -> DataFrame:
+    """Spans of the compact text that no span of the same kind in the primary text overlaps."""
+    return overlap_join(compact, primary, [*page, "kind"], "left_anti")
+
+
 def rectangles(spans: DataFrame, words: DataFrame, page: list[str]) -> DataFrame:
     """Box around the words that each span overlaps. spans: page, start, end; words: page, w_start, w_end and a box."""
     j = spans.join(words, page).where((F.col("start") < F.col("w_end")) & (F.col("w_start") < F.col("end")))

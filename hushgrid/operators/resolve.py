@@ -45,6 +45,13 @@ def site_policies(base: DataFrame, overlay: DataFrame, site: str) -> DataFrame:
     return base.join(last, "kind", "full_outer").select("kind", F.coalesce("over", "action").alias("action"))
 
 
+def all_site_policies(base: DataFrame, overlay: DataFrame) -> DataFrame:
+    """(site_id, kind, action) of every site that has an overlay row: the last one of a kind over the global policies."""
+    last = overlay.groupBy("site_id", "kind").agg(F.max_by("action", "seq").alias("over"))
+    every = overlay.select("site_id").distinct().select("site_id", F.explode(F.array(*map(F.lit, kinds.NAMES))).alias("kind")).join(base.select("kind", "action"), "kind")
+    return every.join(last, ["site_id", "kind"], "full_outer").select("site_id", "kind", F.coalesce("over", "action").alias("action"))
+
+
 def with_policy(cands: DataFrame, policies: DataFrame) -> DataFrame:
     """Candidates with the policy of their kind. ``confirm`` never becomes ``replace``; other actions than
     ``replace`` make the decision ``block``."""

@@ -49,9 +49,26 @@ def union_hints(providers: list[DataFrame], keys: list[str]) -> DataFrame:
 
 
 def cached_review(texts: DataFrame, text: str, review) -> DataFrame:
-    """Review each distinct text once and join the results back by hash and text."""
-    once = review(texts.select(text).distinct()).withColumn("_h", F.sha2(text, 256))
-    return texts.withColumn("_h", F.sha2(text, 256)).join(once, ["_h", text]).drop("_h")
+    """Review each distinct text once and join the results back by a digest of 256 bits."""
+    keyed = texts.withColumn("_h", F.sha2(F.coalesce(text, F.lit("")), 256))
+    once = review(keyed.groupBy("_h").agg(F.first(text).alias(text)))
+    return keyed.join(once.drop(text), "_h").drop("_h")
+
+
+def hint_score(evidence: Column, learned: Column) -> Column:
+    """The better of both; a hint is never rejected by it."""
+    return F.greatest(F.coalesce(evidence, F.lit(0.0)), F.coalesce(learned, F.lit(0.0)))
+
+
+def distinct_hints(hints: DataFrame, keys: list[str]) -> DataFrame:
+    """(keys, kind, start, end, score): one hint for each span and kind, with its best score."""
+    return hints.groupBy(*keys, "kind", "start", "end").agg(F.max("score").alias("score"))
+
+
+def accepted_reviews(requests: DataFrame, results: DataFrame, key: str) -> DataFrame:
+    """Results that answer a request as it is now: same id, same text. Results of other or older texts go."""
+    asked = requests.select(key, F.sha2("text", 256).alias("digest"))
+    return results.join(asked, [key, "digest"], "left_semi")
 
 
 def valid_hint(kinds_known: tuple[str, ...], length: Column) -> Column:

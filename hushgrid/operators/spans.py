@@ -58,7 +58,7 @@ def _gates(r: Rule):
         if r.avoid:
             ok &= ~_around(s, r.radius).rlike(r.avoid)
         if r.before:
-            ok &= ~ahead(40).rlike(rf"{r.before}\z")
+            ok &= ~ahead(40).rlike(r.before)
         if r.plain:
             ok &= ~validators.technical_context(ahead(32), F.substring(F.col("_t"), s["end"] + 1, F.lit(32)))
             ok &= ~F.coalesce(F.exists("_code", lambda c: (c["start"] < s["end"]) & (s["start"] < c["end"])), F.lit(False))

@@ -13,7 +13,7 @@ from ..functions import unicode
 from ..functions import validators as v
 from ..operators import evaluate, findings, neural, ocr, redact, resolve, semantic, settings, spans
 from ..functions.patterns import RULES
-from ..sources.scratch import scratch
+from ..sources.scratch import scratch, written
 from ..streaming import tokens
 from . import synthetic as syn
 
@@ -43,7 +43,7 @@ C = f"with c as ({syn.candidates_sql()})"
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
     """doc_id, kind, n and the redacted text of documents with findings."""
     docs = t(spark, sf_dir, "documents").select("doc_id", "text")
-    selected = resolve.select_spans(spans.detect(docs, ["doc_id"], "text", _BY_KIND["email,ipv4,bank_card,credential"]), ["doc_id"])
+    selected = written(resolve.select_spans(spans.detect(docs, ["doc_id"], "text", _BY_KIND["email,ipv4,bank_card,credential"]), ["doc_id"]), "selected")
     out = redact.redact(docs, selected, ["doc_id"], ["doc_id"]).select("doc_id", "status", F.length("redacted_text").alias("redacted_length"))
     return findings.findings(selected, ["doc_id"]).select("doc_id", "kind", "n").join(out, "doc_id")
 
@@ -118,6 +118,8 @@ def _rule_query(name: str, value: Callable[[Column], Column], around: str, kind:
         return resolve.select_spans(found, ["doc_id"]).groupBy("doc_id").agg(F.count("*").alias("n"))
 
 
+_DIGITS = "list_transform(string_split('62' || lpad(c_custkey::varchar, 14, '3'), ''), lambda x: x::int)"
+_LUHN = f"list_sum(list_transform(range(1, 17), lambda i: case when i % 2 = 0 then {_DIGITS}[i] when {_DIGITS}[i] > 4 then {_DIGITS}[i] * 2 - 9 else {_DIGITS}[i] * 2 end)) % 10 = 0"
 _even = lambda k: k % 2 == 0
 _hex = lambda k, n: F.lpad(F.hex(k * 2654435761 % (1 << 48)), n, "0")
 for _args in (
@@ -149,7 +151,7 @@ for _args in (
     ("obfuscated_email", lambda k: F.concat(F.lit("user"), k.cast("string"), F.when(_even(k), "[at]").otherwise("[on]"), F.lit("mail[dot]com")), "write | now", "email", "c_custkey % 2 = 0"),
     ("context_card", lambda k: F.lpad(k.cast("string"), 16, "9"), "银行卡尾号请记 | 谢谢", "bank_card", "true"),
     ("context_id", lambda k: syn.china_id(k, F.lit(False)), "证件编号 | 谢谢", "china_id", "true"),
-    ("unionpay_card", lambda k: F.concat(F.when(_even(k), "号 ").otherwise("订单 "), F.lit("62"), F.lpad(k.cast("string"), 14, "3")), "查| 。", "bank_card", None),
+    ("unionpay_card", lambda k: F.concat(F.when(_even(k), "号 ").otherwise("订单 "), F.lit("62"), F.lpad(k.cast("string"), 14, "3")), "查| 。", "bank_card", f"c_custkey % 2 = 0 or {_LUHN}"),
     ("context_person", lambda k: F.concat(F.lit("我叫"), F.when(_even(k), "李建国").otherwise("什么名字")), "你好，|，谢谢", "person_name", "c_custkey % 2 = 0"),
     ("context_address", lambda k: F.concat(F.lit("住在上海市浦东新区世纪大道"), (k % 500 + 1).cast("string"), F.lit("号")), "他|，很近", "address", "true"),
 ):
@@ -294,7 +296,7 @@ def session_tokens(spark, sf_dir):
   p as (select s.doc_id, s.start_, s.end_, token, coalesce(lag(s.end_) over (partition by s.doc_id order by s.start_), 0) as before from s join tok on tok.session = s.doc_id % 100 and tok.kind = s.kind and tok.normalized = s.raw)
   select d.doc_id, string_agg(substr(text, before + 1, start_ - before) || token, '' order by start_) || any_value(substr(text, (select max(end_) from p q where q.doc_id = d.doc_id) + 1)) as redacted_text from d join p using (doc_id) group by d.doc_id""")
 def rewrite_text(spark, sf_dir):
-    s = _selected(spark, sf_dir).withColumn("session", F.col("doc_id") % 100)
+    s = written(_selected(spark, sf_dir).withColumn("session", F.col("doc_id") % 100), "selected")
     docs = t(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("doc_id"), F.repeat(F.lit("0123456789"), F.lit(6)).alias("text"))
     named = s.join(redact.number_tokens(s, ["session"], ["doc_id", "start"]).select("session", "kind", "normalized", "n"), ["session", "kind", "normalized"])
     return redact.rewrite(docs, named.select("doc_id", "start", "end", tx.token(F.col("kind"), F.col("n")).alias("replacement")), ["doc_id"]).select("doc_id", "redacted_text")
@@ -330,14 +332,14 @@ def contained_spans(spark, sf_dir):
 
 
 _ALLOW = """a as (select 'V' || c_custkey || '-' || (c_custkey % 3) as value, case when c_custkey % 3 = 0 then 'global' when c_custkey % 3 = 1 then 'site' else 'session' end as scope,
-  case when c_custkey % 2 = 0 then timestamp '2030-01-02 00:00:00' end as expires_at from customer where c_custkey < 50)"""
+  case when c_custkey % 2 = 0 then timestamp '2030-01-02 00:00:00' end as expires_at from customer)"""
 
 
 @register("allowlist_filter", f"""{C}, {_ALLOW} select doc_id, seq, kind, raw from c where not exists (select 1 from a where a.value = c.raw and
     (scope = 'session' or (scope = 'site' and expires_at is not null) or kind not in ('api_key', 'access_token', 'private_key', 'private_url', 'connection_string', 'credential')))""")
 def allowlist_filter(spark, sf_dir):
     k = F.col("c_custkey")
-    entries = t(spark, sf_dir, "customer").where(k < 50).select(
+    entries = t(spark, sf_dir, "customer").select(
         F.concat(F.lit("V"), k.cast("string"), F.lit("-"), (k % 3).cast("string")).alias("value"), F.element_at(F.array(*map(F.lit, ("global", "site", "session"))), (k % 3 + 1).cast("int")).alias("scope"),
         F.lit("S").alias("site_id"), F.when(k % 2 == 0, F.lit("2030-01-02").cast("timestamp")).alias("expires_at"),
     )
@@ -373,12 +375,16 @@ def category_policies(spark, sf_dir):
     return resolve.with_policy(syn.candidates(spark, sf_dir), _policies(spark, sf_dir)).select("doc_id", "seq", "kind", "decision", "policy")
 
 
-@register("site_policies", f"""with {_POL}, o as (select {syn._kind('n_nationkey * 2')} as kind, n_nationkey as seq, case n_nationkey % 2 when 0 then 'block' else 'confirm' end as action from nation),
-    l as (select kind, arg_max(action, seq) as over_ from o group by 1) select kind, coalesce(over_, action) as action from p full join l using (kind)""")
+@register("site_policies", f"""with {_POL}, sites as (select distinct 's' || (c_custkey % 40) as site_id from customer), o as (select 's' || (c_custkey % 40) as site_id, {syn._kind('c_custkey * 2')} as kind, c_custkey as seq, case c_custkey % 3 when 0 then 'block' when 1 then 'confirm' else 'replace' end as action from customer),
+    l as (select site_id, kind, arg_max(action, seq) as over_ from o group by all), p2 as (select site_id, kind, action from p, sites) select site_id, kind, coalesce(over_, action) as action from p2 full join l using (site_id, kind)""")
 def site_policies(spark, sf_dir):
-    n = F.col("n_nationkey")
-    overlay = t(spark, sf_dir, "nation").select(F.element_at(F.array(*map(F.lit, kinds.NAMES)), ((n * 2) % 24 + 1).cast("int")).alias("kind"), n.alias("seq"), F.when(n % 2 == 0, "block").otherwise("confirm").alias("action"), F.lit("S").alias("site_id"))
-    return resolve.site_policies(_policies(spark, sf_dir), overlay, "S")
+    """The policies of every site: overlays made from customers over the global ones."""
+    k = F.col("c_custkey")
+    overlay = t(spark, sf_dir, "customer").select(
+        F.element_at(F.array(*map(F.lit, kinds.NAMES)), ((k * 2) % 24 + 1).cast("int")).alias("kind"), k.alias("seq"),
+        F.element_at(F.array(*map(F.lit, ("block", "confirm", "replace"))), (k % 3 + 1).cast("int")).alias("action"), F.concat(F.lit("s"), (k % 40).cast("string")).alias("site_id"),
+    )
+    return resolve.all_site_policies(_policies(spark, sf_dir), overlay)
 
 
 _GOLD = "g as (select doc_id, kind, start_ + 2 as start_, end_ + 1 as end_ from c where seq < 2), q as (select * from c where seq >= 2)"
@@ -389,7 +395,7 @@ def _gold(spark, sf_dir):
     return c.where("seq < 2").select("doc_id", "kind", (F.col("start") + 2).alias("start"), (F.col("end") + 1).alias("end")), c.where("seq >= 2").select("doc_id", "kind", "start", "end", "seq")
 
 
-@register("overlap_join", f"{C}, {_GOLD} select g.doc_id, g.start_ as gold_start, q.seq from g join q on g.doc_id = q.doc_id and g.start_ < q.end_ and q.start_ < g.end_")
+@register("overlap_join", f"{C}, {_GOLD}, j as materialized (select g.doc_id, g.start_ as gs, g.end_ as ge, q.start_ as qs, q.end_ as qe, q.seq from g join q using (doc_id)) select doc_id, gs as gold_start, seq from j where gs < qe and qs < ge")
 def overlap_join(spark, sf_dir):
     g, q = _gold(spark, sf_dir)
     return resolve.overlap_join(g, q, ["doc_id"]).select("l.doc_id", F.col("l.start").alias("gold_start"), "r.seq")
@@ -429,11 +435,12 @@ def reject_benefit(spark, sf_dir):
 
 
 @register("regression_gate", """
-    with s as (select n_name as name from nation), d as (select n_name as name, n_nationkey % 2 as deletions from nation where n_nationkey % 5 > 0)
-    select bool_or(deletions is null or deletions > 0) as failed from s left join d using (name)""")
+    with s as (select c_name as name, c_nationkey as suite from customer), d as (select c_name as name, c_custkey % 20 // 19 as deletions from customer where c_custkey % 500 > 0)
+    select suite, bool_or(deletions is null or deletions > 0) as failed from s left join d using (name) group by 1""")
 def regression_gate(spark, sf_dir):
-    n = t(spark, sf_dir, "nation").withColumn("name", F.col("n_name"))
-    return evaluate.gate(n.where("n_nationkey % 5 > 0").select("name", (F.col("n_nationkey") % 2).alias("deletions")), n.select("name"))
+    k = F.col("c_custkey")
+    c = t(spark, sf_dir, "customer").select(k, F.col("c_name").alias("name"), F.col("c_nationkey").alias("suite"))
+    return evaluate.gate(c.where(k % 500 > 0).select("name", F.floor(k % 20 / 19).alias("deletions")), c.select("name", "suite"), ["suite"])
 
 
 @register("separation_check", """
@@ -441,7 +448,8 @@ def regression_gate(spark, sf_dir):
 def separation_check(spark, sf_dir):
     """Evaluation texts that no training text equals."""
     d = t(spark, sf_dir, "documents").select("doc_id", "text")
-    return d.where("doc_id % 7 = 1").join(d.where("doc_id % 7 != 1").select("text"), "text", "left_anti").select("doc_id")
+    d = d.select("doc_id", F.sha2(F.coalesce("text", F.lit("")), 256).alias("digest"))
+    return d.where("doc_id % 7 = 1").join(d.where("doc_id % 7 != 1").select("digest"), "digest", "left_anti").select("doc_id")
 
 
 @register("detection_view", "select c_custkey as k, 'tel 138-' || lpad(c_custkey::varchar, 8, '0') || ' fi' as view, 4 as digits_from, 8 as dash_from from customer")
@@ -459,7 +467,8 @@ def code_ranges(spark, sf_dir):
     return t(spark, sf_dir, "conversations").select("conv_id", "turn", F.explode(unicode.code_ranges(text)).alias("r")).select("conv_id", "turn", "r.*")
 
 
-@register("fingerprints")
+@register("fingerprints", """with u as (select doc_id, text, list_reduce(list_concat([2166136261::bigint], list_transform(string_split(text, ''), lambda c: ord(c)::bigint)), lambda h, c: (xor(h, c) * 16777619) & 4294967295) as h from documents)
+    select doc_id, length(text) || '-' || lower(to_base(h, 36)) as fingerprint from u""")
 def fingerprints(spark, sf_dir):
     return t(spark, sf_dir, "documents").select("doc_id", unicode.fnv(F.col("text")).alias("fingerprint"))
 
@@ -591,19 +600,22 @@ def merged_spans(spark, sf_dir):
 
 @register("decoded_tags")
 def decoded_tags(spark, sf_dir):
-    """Spans decoded from logits made of line items: three tokens for each order of three lines."""
-    li = t(spark, sf_dir, "lineitem").where("l_linenumber <= 3")
+    """Spans decoded from logits made of line items: a token for each line of an order."""
+    li = t(spark, sf_dir, "lineitem")
     row = F.array(F.lit(0.3), F.col("l_discount") * 10, F.col("l_tax") * 10, (F.col("l_quantity") % 10) / 10.0)
     by = li.groupBy("l_orderkey").agg(F.transform(F.array_sort(F.collect_list(F.struct("l_linenumber", row.alias("x")))), lambda s: s["x"]).alias("logits"))
     offs = F.transform(F.sequence(F.lit(0), F.size("logits") - 1), lambda i: F.array(i * 2, i * 2 + 2))
-    return neural.decode(by.select("l_orderkey", F.repeat(F.lit("x"), F.lit(6)).alias("text"), offs.alias("offsets"), "logits"), ["l_orderkey"], ["O", "B-P", "I-P", "E-P"], 0.1)
+    return neural.decode(by.select("l_orderkey", F.repeat(F.lit("x"), F.size("logits") * 2).alias("text"), offs.alias("offsets"), "logits"), ["l_orderkey"], ["O", "B-P", "I-P", "E-P"], 0.1)
 
 
 # scans, images, settings
 
-@register("scan_status", """select doc_id, case when octet_length(encode(text)) > 4000 then 'unscannable' when contains(text, '@') then 'sensitive' else 'clean' end as status from documents""")
+@register("scan_status", f"""select doc_id, case when octet_length(encode(text)) > 4000 then 'unscannable' when regexp_matches(text, '{_EMAIL}') then 'sensitive' else 'clean' end as status from documents""")
 def scan_status(spark, sf_dir):
-    return t(spark, sf_dir, "documents").select("doc_id", ocr.text_status(F.octet_length("text"), F.lit(0), F.contains("text", F.lit("@")).cast("int"), 4000).alias("status"))
+    """Documents scanned for mail addresses: status by size and by what is found."""
+    d = t(spark, sf_dir, "documents").select("doc_id", "text")
+    found = spans.detect(d, ["doc_id"], "text", _BY_KIND["email"]).groupBy("doc_id").agg(F.count("*").alias("n"))
+    return d.join(found, "doc_id", "left").select("doc_id", ocr.text_status(F.octet_length("text"), F.lit(0), F.coalesce("n", F.lit(0)), 4000).alias("status"))
 
 
 _BOX = "with b as (select p_partkey as k, p_size * 7.3 - 20 as x0, p_size * 3.1 as y0, p_size * 7.3 + 40.5 as x1, p_size * 3.1 + 12.2 as y1 from part)"
@@ -721,7 +733,12 @@ def stream_tokens(spark, sf_dir):
 
 @register("stream_windows", "select time_bucket(interval '1 hour', ts) as start, event_type, count(*) as n from events group by 1, 2")
 def stream_windows(spark, sf_dir):
-    return t(spark, sf_dir, "events").groupBy(F.window("ts", "1 hour").alias("w"), "event_type").agg(F.count("*").alias("n")).select(F.col("w.start").alias("start"), "event_type", "n")
+    """Counts of a stream in tumbling windows, complete after its last batch."""
+    events = spark.readStream.schema(t(spark, sf_dir, "events").schema).parquet(f"{sf_dir}/events.parque[t]")
+    counts = tokens.windowed_counts(events.withColumn("ts", F.col("ts").cast("timestamp")), "ts", "1 hour", "1 hour")
+    out = scratch(spark, "windows")
+    tokens.run_complete(counts, out, scratch(spark, "state"))
+    return spark.read.schema(counts.schema).parquet(out)
 
 
 @register("latest_drafts", "select conv_id, arg_max(text, turn) as text, max(turn) as turn from conversations group by 1 having length(arg_max(text, turn)) <= 5000")
@@ -730,8 +747,11 @@ def latest_drafts(spark, sf_dir):
 
 
 def queries() -> dict[str, Query]:
+    from . import gates  # noqa: F401  registers more
+
     return dict(_QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
+    queries()
     return dict(_SQL)

@@ -5,7 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 
 def scratch(spark: SparkSession, what: str) -> str:
@@ -14,3 +14,10 @@ def scratch(spark: SparkSession, what: str) -> str:
         base = tempfile.mkdtemp(prefix="spark-hushgrid-")
         spark.sparkContext.setCheckpointDir(base)
     return f"{base.rstrip('/')}/hushgrid-{what}-{uuid.uuid4().hex[:12]}"
+
+
+def written(df: DataFrame, what: str) -> DataFrame:
+    """``df`` as a table in the shared folder: what reads it twice computes it once."""
+    path = scratch(df.sparkSession, what)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)

@@ -59,3 +59,9 @@ def windowed_counts(events: DataFrame, at: str, width: str, late: str) -> DataFr
 def run_once(df: DataFrame, path: str, checkpoint: str, mode: str = "append") -> None:
     """Run a stream over what there is now and write it as Parquet."""
     df.writeStream.outputMode(mode).option("checkpointLocation", checkpoint).trigger(availableNow=True).format("parquet").start(path).awaitTermination()
+
+
+def run_complete(df: DataFrame, path: str, checkpoint: str) -> None:
+    """Run an aggregating stream over what there is now; each batch replaces the whole result."""
+    keep = lambda batch, _: batch.write.mode("overwrite").parquet(path)
+    df.writeStream.outputMode("complete").option("checkpointLocation", checkpoint).trigger(availableNow=True).foreachBatch(keep).start().awaitTermination()
