@@ -262,15 +262,15 @@ def preset_decisions(spark, sf_dir):
 # OCR texts
 
 @register("joined_words", """
-    with w as (select l_orderkey as page, l_linenumber * 1000000 + l_partkey as n, case when l_linenumber % 2 = 0 then '中文' else 'id' || l_suppkey end as text, (l_linenumber % 4 * 30)::double as x0, (l_linenumber % 4 * 30 + 24)::double as x1, (l_linenumber // 4 * 40)::double as y0, (l_linenumber // 4 * 40 + 10)::double as y1 from lineitem),
+    with w as (select p_partkey // 7 as page, p_partkey as n, case when p_partkey % 2 = 0 then '中文' else 'id' || p_size end as text, (p_partkey % 4 * 30)::double as x0, (p_partkey % 4 * 30 + 24)::double as x1, (p_partkey // 4 * 40)::double as y0, (p_partkey // 4 * 40 + 10)::double as y1 from part),
       b as (select *, lag(x1) over o as px1, lag(y0) over o as py0, lag(text) over o as pt from w window o as (partition by page order by n)),
       g as (select *, case when pt is null then '' when py0 = y0 and x0 - px1 between -2.5 and 20 then ' ' else chr(10) end as gap from b)
     select page, string_agg(gap || text, '' order by n) as text, string_agg(case when gap = ' ' and (right(pt, 1) = '文') = (left(text, 1) = '中') then '' else gap end || text, '' order by n) as compact from g group by page""")
 def joined_words(spark, sf_dir):
-    n = F.col("l_linenumber")
+    n = F.col("p_partkey")
     at = lambda c: c.cast("double")
-    w = t(spark, sf_dir, "lineitem").select(
-        F.col("l_orderkey").alias("page"), (n * 1000000 + F.col("l_partkey")).alias("n"), F.when(n % 2 == 0, "中文").otherwise(F.concat(F.lit("id"), F.col("l_suppkey").cast("string"))).alias("text"),
+    w = t(spark, sf_dir, "part").select(
+        F.floor(n / 7).alias("page"), n.alias("n"), F.when(n % 2 == 0, "中文").otherwise(F.concat(F.lit("id"), F.col("p_size").cast("string"))).alias("text"),
         at(n % 4 * 30).alias("x0"), at(n % 4 * 30 + 24).alias("x1"), at(F.floor(n / 4) * 40).alias("y0"), at(F.floor(n / 4) * 40 + 10).alias("y1"),
     )
     return ocr.joined_words(w, ["page"], "n")
