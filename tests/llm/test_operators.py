@@ -403,47 +403,57 @@ def test_slots_must_be_consistent(spark):
 
 
 def plain_model(train):
-    """Interpolated modified Kneser-Ney bigrams by dictionaries."""
-    big, uni = Counter(), Counter()
+    """Interpolated modified Kneser-Ney trigrams by dictionaries; trigrams seen once leave their mass to the bigram."""
+    tri, uni = Counter(), Counter()
     for t in train:
         w = [*(t or "").encode().lower().split(), "</s>"]
         uni.update(w)
-        big.update(zip(["<s>", *w], w))
-    cont = Counter(w for _, w in big)
-    high = ngram_lm.discounts(*(sum(c == k for c in big.values()) for k in (1, 2, 3, 4)))
-    low = ngram_lm.discounts(*(sum(c == k for c in cont.values()) for k in (1, 2, 3, 4)))
+        tri.update(zip(["<s>", "<s>", *w], ["<s>", *w], w))
+    bi = Counter((v, w) for _, v, w in tri)
+    cont = Counter(w for _, w in bi)
+    third, second, first = (ngram_lm.discounts(*(sum(c == k for c in x.values()) for k in (1, 2, 3, 4))) for x in (tri, bi, cont))
     cut = lambda c, d: max(0.0, c - d[min(c, 3) - 1]) if c else 0.0
     uniform = 1 / (len(uni) + 1)
-    spared = sum(low[min(c, 3) - 1] for c in cont.values())
-    unigram = lambda w: (cut(cont[w], low) + spared * uniform) / len(big) if big else uniform
-    totals, back = Counter(), Counter()
-    for (v, _), c in big.items():
+    spared = sum(first[min(c, 3) - 1] for c in cont.values())
+    totals, back, whole, taken = Counter(), Counter(), Counter(), Counter()
+    for (v, _), c in bi.items():
         totals[v] += c
-        back[v] += high[min(c, 3) - 1]
-
-    def p(v, w):
-        return cut(big[v, w], high) / totals[v] + back[v] / totals[v] * unigram(w) if totals[v] else unigram(w)
+        back[v] += second[min(c, 3) - 1]
+    for (u, v, _), c in tri.items():
+        whole[u, v] += c
+        taken[u, v] += cut(c, third) if c > 1 else 0
+
+    def p(u, v, w):
+        one = (cut(cont[w], first) + spared * uniform) / len(bi) if bi else uniform
+        two = cut(bi[v, w], second) / totals[v] + back[v] / totals[v] * one if totals[v] else one
+        if not whole[u, v]:
+            return two
+        return (cut(tri[u, v, w], third) if tri[u, v, w] > 1 else 0) / whole[u, v] + (1 - taken[u, v] / whole[u, v]) * two
 
     return p, uni, sum(uni.values())
 
 
-def test_bigram_model_against_dictionaries(spark, monkeypatch):
+@pytest.mark.parametrize("common", [1 << 24, 30])
+def test_trigram_model_against_dictionaries(spark, monkeypatch, common):
     monkeypatch.setattr(ngram_lm, "RANGE_BYTES", 500)
     monkeypatch.setattr(ngram_lm, "COUNT_AT_ONCE", 400)
     monkeypatch.setattr(ngram_lm, "SCORE_AT_ONCE", 100)
+    monkeypatch.setattr(ngram_lm, "SAMPLE_BYTES", common * 100)  # with small samples other words count as common
     rng = random.Random(1)
     texts = [sentence(rng, rng.randrange(0, 30), [f"w{int(rng.paretovariate(1))}" for _ in range(40)]) for _ in range(120)] + [None, "", "É é É", "A a\x0bA"]
+    texts += [texts[1], texts[1], texts[4], sentence(rng, 3000, [f"w{k}" for k in range(9)])]
     df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
     model = ngram_lm.fit(df.where("doc_id % 3 > 0"), F.col("text"))
     p, uni, total = plain_model([t for i, t in enumerate(texts) if i % 3])
-    assert model.sums["tokens"] == total and model.sums["vocabulary"] == len(uni)
+    assert model.sums["tokens"] == total and model.sums["vocabulary"] == len(uni) and len(model.hot) > 1
     for r in model.score(df, ["doc_id"], F.col("text")).collect():
         w = [*(texts[r.doc_id] or "").encode().lower().split(), "</s>"]
         assert r.n_tokens == len(w) and r.n_known == sum(uni[x] > 0 for x in w)
         assert math.isclose(r.base_score, sum(math.log10((uni[x] + 1) / (total + len(uni) + 1)) for x in w), rel_tol=1e-9)
-        assert math.isclose(r.score, sum(math.log10(p(a, b)) for a, b in zip(["<s>", *w], w)), rel_tol=1e-9)
-    for v in ("<s>", b"w1", b"never"):
-        assert math.isclose(sum(p(v, w) for w in uni) + p(v, b"unknown"), 1, rel_tol=1e-9)
+        assert math.isclose(r.score, sum(math.log10(p(*x)) for x in zip(["<s>", "<s>", *w], ["<s>", *w], w)), rel_tol=1e-9)
+    for u, v in (("<s>", "<s>"), ("<s>", b"w1"), (b"w1", b"w2"), (b"w1", b"never")):
+        assert math.isclose(sum(p(u, v, w) for w in uni) + p(u, v, b"unknown"), 1, rel_tol=1e-9)
+    assert model.score(df.limit(0), ["doc_id"], F.col("text")).count() == 0
 
 
 def test_model_without_training_rows(spark):
