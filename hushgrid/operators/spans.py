@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import and_
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -10,24 +13,30 @@ from ..functions import text as tx
 from ..functions import unicode, validators
 from ..functions.patterns import RULES, Rule
 
-SPANS = "array<struct<start:int,end:int,raw:string>>"
 #: What stands for the raw value of a secret that is too long to keep.
 OMITTED = "<已省略的长凭证>"
 
 
-def matches(text: str, pattern: str, value: bool = False) -> str:
-    """SQL for the (start, end, raw) of each match of ``pattern`` in column ``text``, or of group 1 that ends it.
+#: Matches whose places are added up one after another; longer lists are cut into blocks of as many.
+_BLOCK = 128
+_SLICE = f"slice(lens, c * {_BLOCK} + 1, {_BLOCK})"
+#: SQL of the (rule, start, end, raw) of all ``_hits`` (rule, m: matches, g: gaps between them, v: values that end them, or null).
+_PLACES = f"""flatten(transform(_hits, h -> transform(array(transform(sequence(0, size(h.m) - 1), i -> length(h.g[i]) + length(h.m[i]))), lens ->
+    transform(array(sequence(0, (size(lens) - 1) div {_BLOCK})), blocks ->
+    transform(array(aggregate(blocks, array(0), (acc, c) -> array_append(acc, element_at(acc, -1) + aggregate({_SLICE}, 0, (a, x) -> a + x)))), offs ->
+    transform(array(flatten(transform(blocks, c -> slice(aggregate({_SLICE}, array(offs[c]), (acc, x) -> array_append(acc, element_at(acc, -1) + x)), 2, {_BLOCK})))), ends ->
+    transform(array(coalesce(h.v, h.m)), v -> transform(v, (x, i) -> named_struct('rule', h.rule, 'start', ends[i] - length(x), 'end', ends[i], 'raw', x)))[0])[0])[0])[0])[0]))"""
 
-    Matches and the gaps between them are bound once; inlined, they would be computed for each match.
-    """
-    p = "'" + pattern.replace("\\", "\\\\").replace("'", "\\'") + "'"
-    v = f"regexp_extract_all({text}, {p}, 1)" if value else "m"
-    return (
-        f"transform(array(regexp_extract_all({text}, {p}, 0)), m -> if(size(m) = 0, cast(array() as {SPANS}), transform(array(named_struct('g', split({text}, {p}, -1), 'v', {v})), z -> "
-        f"aggregate(sequence(0, size(m) - 1), named_struct('at', 0, 'out', cast(array() as {SPANS})), (acc, i) -> named_struct("
-        "'at', acc.at + length(z.g[i]) + length(m[i]), 'out', array_append(acc.out, named_struct('start', acc.at + length(z.g[i]) + length(m[i]) - length(z.v[i]), "
-        "'end', acc.at + length(z.g[i]) + length(m[i]), 'raw', z.v[i])))).out)[0]))[0]"
-    )
+
+def _hit(n: int, r: Rule) -> Column:
+    """The matches of a rule with the gaps between them, or null."""
+    text, p = F.col("_t"), F.lit(r.pattern)
+    value = F.regexp_extract_all(text, p, F.lit(1)) if r.value else F.lit(None).cast("array<string>")
+    found = F.struct(F.lit(n).alias("rule"), F.regexp_extract_all(text, p, F.lit(0)).alias("m"), F.split(text, r.pattern, -1).alias("g"), value.alias("v"))
+    if not (r.guard or r.needs):
+        return found
+    first = F.col(f"_{r.needs}") if r.needs else F.lit(True)
+    return F.when(first & (text.rlike(r.guard) if r.guard else F.lit(True)), found)
 
 
 def _seen(df: DataFrame, keys: list[str], text: str) -> DataFrame:
@@ -45,26 +54,26 @@ def _around(s: Column, radius: int) -> Column:
     return F.substring(F.col("_t"), start + 1, s["end"] + radius - start)
 
 
-def _gates(r: Rule):
-    """The rule's conditions on what stands around a span, or None."""
-    if not (r.near or r.avoid or r.before or r.plain):
-        return None
-
-    def passes(s: Column) -> Column:
-        ok = F.lit(True)
-        ahead = lambda n: F.substring(F.col("_t"), F.greatest(s["start"] - n, F.lit(0)) + 1, F.least(s["start"], F.lit(n)))
+def _passes(rules: list[Rule], s: Column) -> Column:
+    """The conditions of a span's rule on what stands around it."""
+    ok = F.lit(True)
+    ahead = lambda n: F.substring(F.col("_t"), F.greatest(s["start"] - n, F.lit(0)) + 1, F.least(s["start"], F.lit(n)))
+    for n, r in enumerate(rules):
+        own = []
         if r.near:
-            ok &= _around(s, r.radius).rlike(r.near)
+            own.append(_around(s, r.radius).rlike(r.near))
         if r.avoid:
-            ok &= ~_around(s, r.radius).rlike(r.avoid)
+            own.append(~_around(s, r.radius).rlike(r.avoid))
         if r.before:
-            ok &= ~ahead(40).rlike(r.before)
-        if r.plain:
-            ok &= ~validators.technical_context(ahead(32), F.substring(F.col("_t"), s["end"] + 1, F.lit(32)))
-            ok &= ~F.coalesce(F.exists("_code", lambda c: (c["start"] < s["end"]) & (s["start"] < c["end"])), F.lit(False))
-        return ok
-
-    return passes
+            own.append(~ahead(40).rlike(r.before))
+        if own:
+            ok = F.when(s["rule"] == n, reduce(and_, own)).otherwise(ok)
+    plain = [n for n, r in enumerate(rules) if r.plain]
+    if plain:
+        technical = validators.technical_context(ahead(32), F.substring(F.col("_t"), s["end"] + 1, F.lit(32)))
+        code = F.coalesce(F.exists("_code", lambda c: (c["start"] < s["end"]) & (s["start"] < c["end"])), F.lit(False))
+        ok &= ~s["rule"].isin(*plain) | ~(code | technical)
+    return ok
 
 
 def detect(df: DataFrame, keys: list[str], text: str, rules: tuple[Rule, ...] = RULES, terms: list[str] | None = None) -> DataFrame:
@@ -80,23 +89,18 @@ def detect(df: DataFrame, keys: list[str], text: str, rules: tuple[Rule, ...] =
     flags = {"han": r"[\x{4e00}-\x{9fff}]", "digit": "[0-9]", "mark": "[:：=是为叫]"}
     used = {r.needs for r in own}
     base = seen.select("*", *[F.col("_t").rlike(c).alias(f"_{n}") for n, c in flags.items() if n in used])
-    found = []
-    for n, r in enumerate(own):
-        spans = F.expr(matches("_t", r.pattern, r.value))
-        if passes := _gates(r):
-            spans = F.filter(spans, passes)
-        if r.guard or r.needs:
-            first = F.col(f"_{r.needs}") if r.needs else F.lit(True)
-            spans = F.when(first & (F.col("_t").rlike(r.guard) if r.guard else F.lit(True)), spans).otherwise(F.array().cast(SPANS))
-        found.append(_tagged(spans, n))
-    listed = base.select(*keys, "_src", "_starts", "_ends", F.flatten(F.array(*found)).alias("_found"))
+    hits = base.select(*keys, "_t", "_src", "_starts", "_ends", "_code", F.array_compact(F.array(*[_hit(n, r) for n, r in enumerate(own)])).alias("_hits"))
+    hits = hits.withColumn("_hits", F.filter("_hits", lambda h: F.size(h["m"]) > 0)) if own else hits.withColumn("_hits", F.array().cast("array<struct<rule:int,m:array<string>,g:array<string>,v:array<string>>>"))
+    listed = hits.withColumn("_found", F.expr(_PLACES))
+    if any(r.near or r.avoid or r.before or r.plain for r in own):
+        listed = listed.withColumn("_found", F.filter("_found", lambda s: _passes(own, s)))
 
     def placed(s: Column) -> Column:
         start, end = F.coalesce(F.get("_starts", s["start"]), s["start"]), F.coalesce(F.get("_ends", s["end"] - 1), s["end"])
-        return F.struct(s["rule"].alias("rule"), start.alias("start"), end.alias("end"), F.substring(F.col("_src"), start + 1, end - start).alias("raw"), s["raw"].alias("seen"))
+        raw = F.when(F.col("_src").isNull(), s["raw"]).otherwise(F.substring(F.col("_src"), start + 1, end - start))
+        return F.struct(s["rule"].alias("rule"), start.alias("start"), end.alias("end"), raw.alias("raw"), s["raw"].alias("seen"))
 
-    own_place = F.transform("_found", lambda s: F.struct(s["rule"].alias("rule"), s["start"].alias("start"), s["end"].alias("end"), s["raw"].alias("raw"), s["raw"].alias("seen")))
-    each = listed.where(F.size("_found") > 0).select(*keys, F.explode(F.when(F.col("_src").isNull(), own_place).otherwise(F.transform("_found", placed))).alias("s")).select(*keys, "s.*")
+    each = listed.select(*keys, F.explode(F.transform("_found", placed)).alias("s")).select(*keys, "s.*")
     rule = F.col("rule")
     pick = lambda f: _case(rule, [f(r) for r in own])
     checked = F.lit(True)
@@ -115,9 +119,5 @@ def detect(df: DataFrame, keys: list[str], text: str, rules: tuple[Rule, ...] =
     )
 
 
-def _tagged(spans: Column, n: int) -> Column:
-    return F.transform(spans, lambda s: F.struct(F.lit(n).alias("rule"), s["start"].alias("start"), s["end"].alias("end"), s["raw"].alias("raw")))
-
-
 def _case(n: Column, values: list[str | None]) -> Column:
     return F.element_at(F.array(*[F.lit(v).cast("string") for v in values]), n + 1)
