@@ -147,10 +147,11 @@ for _args in (
     ("credential", lambda k: F.concat(F.lit("password="), F.lit("p"), k.cast("string")), "x |, next", "credential", "true"),
     ("labeled_person", lambda k: F.concat(F.lit("联系人："), F.when(_even(k), "张伟明").otherwise("公司前台")), "|，已确认", "person_name", "c_custkey % 2 = 0"),
     ("dictated_phone", lambda k: F.when(_even(k), F.translate(syn.phone(k), "0123456789", "零幺二三四五六七八九")).otherwise(F.lit("三四五六七八九")), "手机号码报一下 |。", "phone", "c_custkey % 2 = 0"),
-    ("dictated_id", lambda k: F.concat(F.translate(F.left(syn.china_id(k, _even(k)), F.lit(17)), "0123456789", "零一二三四五六七八九"), F.right(syn.china_id(k, _even(k)), F.lit(1))), "报身份 |。", "china_id", "c_custkey % 2 = 0"),
+    ("dictated_id", lambda k: F.concat(F.translate(F.left(syn.china_id(k, _even(k)), F.lit(17)), "0123456789", "零一二三四五六七八九"), F.right(syn.china_id(k, _even(k)), F.lit(1))), "报身份 |。", "china_id", "true"),  # a plausible number counts where its context speaks of identity
+    ("dictated_id_alone", lambda k: F.concat(F.translate(F.left(syn.china_id(k, _even(k)), F.lit(17)), "0123456789", "零一二三四五六七八九"), F.right(syn.china_id(k, _even(k)), F.lit(1))), "编码 |。", "china_id", "c_custkey % 2 = 0"),
     ("obfuscated_email", lambda k: F.concat(F.lit("user"), k.cast("string"), F.when(_even(k), "[at]").otherwise("[on]"), F.lit("mail[dot]com")), "write | now", "email", "c_custkey % 2 = 0"),
     ("context_card", lambda k: F.lpad(k.cast("string"), 16, "9"), "银行卡尾号请记 | 谢谢", "bank_card", "true"),
-    ("context_id", lambda k: syn.china_id(k, F.lit(False)), "证件编号 | 谢谢", "china_id", "true"),
+    ("context_id", lambda k: syn.china_id(k, F.lit(False)), "证件号 | 谢谢", "china_id", "true"),
     ("unionpay_card", lambda k: F.concat(F.when(_even(k), "号 ").otherwise("订单 "), F.lit("62"), F.lpad(k.cast("string"), 14, "3")), "查| 。", "bank_card", f"c_custkey % 2 = 0 or {_LUHN}"),
     ("context_person", lambda k: F.concat(F.lit("我叫"), F.when(_even(k), "李建国").otherwise("什么名字")), "你好，|，谢谢", "person_name", "c_custkey % 2 = 0"),
     ("context_address", lambda k: F.concat(F.lit("住在上海市浦东新区世纪大道"), (k % 500 + 1).cast("string"), F.lit("号")), "他|，很近", "address", "true"),
