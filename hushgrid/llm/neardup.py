@@ -10,8 +10,8 @@ on the result.
 
 Equal sets are one node before any join. Each node is first compared with one centre of each of its shingles: the
 node whose shingles are most shared, as the text that others were copied from. Then only nodes in different
-components so far are compared: pairs of a rare shingle by a join, those of a shingle of more than ``HEAVY`` nodes
-in square blocks, which give links between components instead of pairs.
+components so far are compared: pairs of a rare shingle by a join, those of shingles of more than ``HEAVY`` nodes
+by the centre of these shingles, in square blocks, which give links between components instead of pairs.
 """
 
 from __future__ import annotations
@@ -186,7 +186,7 @@ def bridges(node: np.ndarray, g: np.ndarray, sets: list[np.ndarray]) -> list[tup
 
 
 def _bridged(rows: DataFrame, numbered: DataFrame, text: str) -> DataFrame:
-    """rows: token, node, n, g of common shingles. (a, b): links between components, from square blocks of each shingle."""
+    """rows: token, node, n, g, where token names what nodes share. (a, b): links between components, from square blocks of each."""
     size = rows.groupBy("token").agg(F.greatest(F.ceil(F.count("*") / F.lit(BLOCK)), F.ceil(F.sum("n") / F.lit(BLOCK_SHINGLES))).cast("int").alias("nb"))
     own = F.pmod(F.xxhash64("node"), F.col("nb")).cast("int")
     each = rows.join(size, "token").withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("nb") - 1)))
@@ -212,7 +212,7 @@ def links(numbered: DataFrame, nodes: DataFrame, text: str) -> DataFrame:
         return materialize(_similar(materialize(near, what), numbered, text), "links")
 
     known = tokens.groupBy("node").agg(F.sum(F.col("many") * F.col("share")).alias("known"))
-    centres = tokens.select("token", "node").join(known, "node").groupBy("token").agg(F.max(F.struct("known", "node")).alias("c")).select("token", F.col("c.node").alias("b"))
+    centres = materialize(tokens.select("token", "node").join(known, "node").groupBy("token").agg(F.max(F.struct("known", "node")).alias("c")).select("token", F.col("c.node").alias("b")), "centres")
     stars = tokens.select("token", F.col("node").alias("a")).join(centres, "token").where("a != b").groupBy("a", "b").agg(F.count("*").alias("c"))
     first = kept(stars, "stars")
     roots = materialize(components(first), "roots")
@@ -228,8 +228,9 @@ def links(numbered: DataFrame, nodes: DataFrame, text: str) -> DataFrame:
         .agg((F.count("*") + F.least(F.first("a.common"), F.first("b.common"))).alias("c"))
     )
     out = first.unionByName(kept(met, "pairs"))
-    heavy = rest.where(F.col("many") > HEAVY)
-    return out if heavy.isEmpty() else out.unionByName(materialize(_bridged(heavy.join(small.select("node", "n"), "node").select("token", "node", "n", "g"), numbered, text), "links"))
+    # nodes that share a common shingle also share its centre, and copies of one text have one centre for nearly all of theirs
+    heavy = materialize(rest.where(F.col("many") > HEAVY).join(centres, "token").select(F.col("b").alias("token"), "node", "g").distinct(), "heavy")
+    return out if heavy.isEmpty() else out.unionByName(materialize(_bridged(heavy.join(small.select("node", "n"), "node"), numbered, text), "links"))
 
 
 def keep_one(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
