@@ -25,8 +25,8 @@ from .common import materialize
 
 ROLL, BASE, PRIME, MODULUS = 2, 31, 1_000_003, 3
 MIN_LINES, MIN_WORDS = 2, 50
-#: Repeated hashes, and documents with something to remove, up to which they are sent to every task.
-BROADCAST_HASHES, BROADCAST_DOCS = 2_000_000, 300_000
+#: Repeated hashes (8 bytes each), and bytes of the documents' marks, up to which they are sent to every task.
+BROADCAST_HASHES, BROADCAST_BYTES = 2_000_000, 64 << 20
 
 _WORD = "[^\\\\x20\\\\x09-\\\\x0D]+"
 _LINE_HASH = "cast(conv(substring(md5(cast(l as binary)), 1, 8), 16, 10) as bigint)"
@@ -40,10 +40,13 @@ _SLICES = "transform(ends, (e, j) -> slice(lines, if(j = 0, 0, ends[j - 1] + 1)
 REACH = 6
 _PAST = "coalesce(nullif(array_position(transform(sequence(1, {n}), k -> size(get(chunks, {at})) > 1), true), 0), {n})"
 _BEFORE, _AFTER = _PAST.format(n=f"least(i, {REACH})", at="i - k"), _PAST.format(n=f"least(size(chunks) - 1 - i, {REACH})", at="i + k")
-#: Each chunk with its first line's number, and the lines before and after it over which it may grow.
-_BESIDE = f"""transform(chunks, (c, i) -> named_struct('c', c, 'lo', if(i = 0, 0, ends[i - 1] + 1),
+#: Whether a chunk counts; one line alone must be long.
+_TELLING = f"(size(c) >= {MIN_LINES} or exists(c, l -> {_LONG}))"
+#: Each such chunk with its first line's number, and the lines before and after it over which it may grow.
+_BESIDE = f"""transform(filter(transform(chunks, (c, i) -> named_struct('c', c, 'i', i)), x -> {_TELLING.replace("(c)", "(x.c)").replace("exists(c,", "exists(x.c,")}), x ->
+    transform(array(x.i), i -> named_struct('c', x.c, 'lo', if(i = 0, 0, ends[i - 1] + 1),
     'before', if(i = 0, array(), flatten(slice(chunks, i + 1 - cast({_BEFORE} as int), cast({_BEFORE} as int)))),
-    'after', if(i = size(chunks) - 1, array(), flatten(slice(chunks, i + 2, cast({_AFTER} as int))))))"""
+    'after', if(i = size(chunks) - 1, array(), flatten(slice(chunks, i + 2, cast({_AFTER} as int))))))[0])"""
 #: Lines that stay. marks: lo and hi of each repeated chunk, whether it is a later one, of another document, and by how many lines (tail, head) it has grown.
 _KEPT = """filter(split(coalesce(`{text}`, ''), '\\n', -1), (l, i) -> not exists(marks, m -> m.later and m.lo - m.tail <= i and i <= m.hi + m.head
     and (m.other or not exists(marks, f -> not f.later and f.lo <= i and i <= f.hi))))"""
@@ -70,16 +73,15 @@ def _equal(a: str, b: str, last: bool) -> str:
 def removals(docs: DataFrame, id_col: str, text: str) -> DataFrame:
     """_id, _digest and marks (lo, hi, other, later, tail, head) of the repeated chunks of each document that loses some."""
     keys = [F.col(f"`{id_col}`").alias("_id"), F.md5(F.coalesce(F.col(f"`{text}`"), F.lit("")).cast("binary")).alias("_digest")]
-    words = F.aggregate("c", F.lit(0), lambda n, l: n + F.regexp_count(l, F.lit(r"[^\x20\x09-\x0D]+")))
 
-    def telling(each: DataFrame) -> DataFrame:
-        return each.where((F.size("c") >= MIN_LINES) | (words >= MIN_WORDS)).withColumn("body", F.concat_ws("\n", "c")).withColumn("h", F.xxhash64("body"))
+    def hashed(each: DataFrame) -> DataFrame:
+        return each.withColumn("body", F.concat_ws("\n", "c")).withColumn("h", F.xxhash64("body"))
 
-    hashes = telling(docs.select(F.explode(F.expr(_chunks(text))).alias("c")))
+    hashes = hashed(docs.select(F.explode(F.expr(_chunks(text, f"filter(chunks, c -> {_TELLING})"))).alias("c")))
     again = materialize(hashes.groupBy("h").agg(F.count("*").alias("n")).where("n > 1").select("h"), "again")
     small = F.broadcast(again) if again.count() <= BROADCAST_HASHES else again
     each = docs.select(*keys, F.explode(F.expr(_chunks(text, _BESIDE))).alias("x")).select("_id", "_digest", "x.*").withColumn("hi", F.col("lo") + F.size("c") - 1)
-    maybe = materialize(telling(each).join(small, "h", "left_semi").drop("c"), "maybe")
+    maybe = materialize(hashed(each).join(small, "h", "left_semi").drop("c"), "maybe")
     # read anew, so that the rows of a common chunk can be split in the join
     first = materialize(maybe.groupBy("h", "body").agg(F.min(F.struct("_id", "_digest", "lo", "before", "after")).alias("first")).select("h", "body", "first.*"), "first")
     named = first.select("h", "body", F.struct("_id", "_digest", "lo").alias("at"), F.col("before").alias("fb"), F.col("after").alias("fa"))
@@ -95,7 +97,8 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text: str = "text") ->
     own = {c: f"_c{i}" for i, c in enumerate(docs.columns)}
     rows = docs.select(*[F.col(f"`{c}`").alias(n) for c, n in own.items()])
     gone = materialize(removals(docs.select(F.col(f"`{id_col}`").alias("_i"), F.col(f"`{text}`").alias("_t")), "_i", "_t"), "gone").withColumnsRenamed({"_id": "_gid", "_digest": "_gdigest"})
-    small = F.broadcast(gone) if gone.count() <= BROADCAST_DOCS else gone
+    size = gone.agg(F.coalesce(F.sum(F.size("marks") * 32 + 80), F.lit(0))).first()[0]
+    small = F.broadcast(gone) if size <= BROADCAST_BYTES else gone
     digest = F.md5(F.coalesce(F.col(own[text]), F.lit("")).cast("binary"))
     joined = rows.join(small, F.col(own[id_col]).eqNullSafe(F.col("_gid")) & (digest == F.col("_gdigest")), "left")
     # texts without marks aren't cut into lines again
