@@ -16,6 +16,7 @@ from ..functions.patterns import RULES
 from ..sources.scratch import scratch, written
 from ..streaming import tokens
 from . import synthetic as syn
+from .found import found_sql
 
 Query = Callable[[SparkSession, str], DataFrame]
 _QUERIES: dict[str, Query] = {}
@@ -48,7 +49,10 @@ def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
     return findings.findings(selected, ["doc_id"]).select("doc_id", "kind", "n").join(out, "doc_id")
 
 
-register("redact_documents")(flagship)
+register("redact_documents", f"""with {found_sql()}, k as (select doc_id, kind, normalized, row_number() over (partition by doc_id, kind order by s, normalized) as n from (select doc_id, kind, normalized, min(start_) as s from found group by 1, 2, 3)),
+    f as (select found.*, length('[[' || case kind when 'email' then 'EMAIL' when 'ipv4' then 'IPV4' when 'bank_card' then 'BANK_CARD' else 'CREDENTIAL' end || '_' || case when n < 1000 then lpad(n::varchar, 3, '0') else n::varchar end || ']]') as put from found join k using (doc_id, kind, normalized)),
+    r as (select doc_id, case when bool_or(decision = 'block') then 'blocked' else 'ready' end as status, sum(put - (end_ - start_)) as more from f group by 1)
+    select doc_id, kind, count(*) as n, any_value(status) as status, (any_value(length(text)) + any_value(more))::int as redacted_length from found join r using (doc_id) join documents using (doc_id) group by doc_id, kind""")(flagship)
 
 
 # detection over documents
@@ -75,24 +79,25 @@ def detect_ipv4_values(spark, sf_dir):
     return spans.detect(t(spark, sf_dir, "documents"), ["doc_id"], "text", _BY_KIND["ipv4"]).groupBy("doc_id", "raw").agg(F.count("*").alias("n"))
 
 
-@register("detect_cards")
+@register("detect_cards", f"with {found_sql()} select doc_id, start_ as start, end_ as \"end\", raw from other where kind = 'bank_card'")
 def detect_cards(spark, sf_dir):
     return spans.detect(t(spark, sf_dir, "documents"), ["doc_id"], "text", _BY_KIND["bank_card"]).select("doc_id", "start", "end", "raw")
 
 
-@register("detect_credentials")
+@register("detect_credentials", f"with {found_sql()} select doc_id, start_ as start, end_ as \"end\", normalized from secret")
 def detect_credentials(spark, sf_dir):
     return spans.detect(t(spark, sf_dir, "documents"), ["doc_id"], "text", _BY_KIND["credential"]).select("doc_id", "start", "end", "normalized")
 
 
-@register("detect_all_kinds")
+@register("detect_all_kinds", f"with {found_sql()} select doc_id, kind, count(*) as n, false as inferred, any_value(decision) as decision, null as policy, min(start_) as first_start, null as warning from found group by 1, 2")
 def detect_all_kinds(spark, sf_dir):
     """All rules over all documents in one pass, resolved and counted."""
     found = spans.detect(t(spark, sf_dir, "documents"), ["doc_id"], "text")
     return findings.findings(resolve.select_spans(found, ["doc_id"]), ["doc_id"])
 
 
-@register("detect_conversations")
+@register("detect_conversations", f"""with {found_sql("conversations", "conv_id, turn")}, n as (select conv_id, turn, count(*) as n from found group by all)
+    select conv_id, turn, coalesce(n, 0) as n from conversations left join n using (conv_id, turn)""")
 def detect_conversations(spark, sf_dir):
     found = spans.detect(t(spark, sf_dir, "conversations"), ["conv_id", "turn"], "text")
     per = findings.findings(resolve.select_spans(found, ["conv_id", "turn"]), ["conv_id", "turn"]).groupBy("conv_id", "turn").agg(F.sum("n").alias("n"))
@@ -461,7 +466,7 @@ def detection_view(spark, sf_dir):
     return d.select("k", F.col("v.text").alias("view"), F.get("v.ends", F.lit(3)).alias("digits_from"), F.get("v.starts", F.lit(7)).alias("dash_from")).withColumn("digits_from", F.col("digits_from") - 1)
 
 
-@register("code_ranges")
+@register("code_ranges", """select conv_id, turn, 4::int as start, (length(text) + 14)::int as "end" from conversations union all select conv_id, turn, (length(text) + 19)::int, (length(text) + 22)::int from conversations""")
 def code_ranges(spark, sf_dir):
     """Fenced blocks and backtick spans of conversation turns, fences made from their texts."""
     text = F.concat(F.lit("see\n```py\n"), "text", F.lit("\n```\nand `x` end"))
