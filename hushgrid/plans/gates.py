@@ -13,8 +13,10 @@ from ..functions.patterns import RULES
 from ..operators import findings, neural, ocr, resolve, semantic, settings, spans
 from ..sources import sinks
 from ..sources.scratch import scratch
+from ..streaming.detect import detect_stream
 from . import synthetic as syn
 from .catalog import C, register, t
+from .found import found_sql
 
 def K() -> Column:  # noqa: N802
     return F.col("c_custkey")
@@ -333,3 +335,14 @@ def redacted_files(spark, sf_dir):
 @register("kind_dimension_use", f"{C} select kind, count(*) as n, min(case kind {' '.join(f'when {k[0]!r} then {k[1]}' for k in kinds.KINDS)} end)::double as priority from c group by 1")
 def kind_dimension_use(spark, sf_dir):
     return syn.candidates(spark, sf_dir).groupBy("kind").agg(F.count("*").alias("n")).join(F.broadcast(kinds.kind_table(spark).select("kind", "priority")), "kind")
+
+
+# streams
+
+@register("stream_findings", f"""with {found_sql()} select doc_id, kind, count(*) as n, any_value(decision) as decision from found group by 1, 2""")
+def stream_findings(spark, sf_dir):
+    """Documents as a stream, detected batch by batch."""
+    docs = spark.readStream.schema(t(spark, sf_dir, "documents").schema).parquet(f"{sf_dir}/documents.parque[t]")
+    out = scratch(spark, "findings")
+    detect_stream(docs.select("doc_id", "text"), ["doc_id"], "text", out, scratch(spark, "state"))
+    return spark.read.parquet(out).select("doc_id", "kind", "n", "decision")
