@@ -9,8 +9,8 @@ values are the item's own or new ones.
 
 Windows with over two placeholders say too little as templates: they are matched by their literal values,
 and count where the telling windows alone fall short. Items without a window (null, empty or under
-five words) match nothing; null and empty texts match nothing. Repeated
-rows are each reported; a null id is an id.
+five words) match nothing; null and empty texts match nothing, very long ones are searched whole. Repeated
+rows are each reported; a null id is an id. A key named as an output column gets an underscore.
 """
 
 from __future__ import annotations
@@ -112,7 +112,8 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, keys: list[str], text: s
         .select("*", F.when(enough, telling).otherwise(F.col("n_every") / F.col("total")).alias("coverage"), F.when(enough, F.col("other_telling")).otherwise(F.col("other_every")).alias("reparameterised"))
         .where(F.col("coverage") >= COVERAGE)
     )
-    return scored.select(*[F.col(n).alias(k) for k, n in own.items()], F.col("_item").alias(item_id), "coverage", "reparameterised")
+    free = lambda k: k + "_" if k in (item_id, "coverage", "reparameterised") else k
+    return scored.select(*[F.col(n).alias(free(k)) for k, n in own.items()], F.col("_item").alias(item_id), "coverage", "reparameterised")
 
 
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text: str = "text") -> DataFrame:
