@@ -34,3 +34,12 @@ def test_dense_windows_with_other_values_are_not_copies(spark):
 def test_short_items_inside_a_sentence_are_found(spark, before):
     got = found(spark, [f"{before}{x}\nmore words after it" for x in SHORT], SHORT)
     assert got == {(i, i): (1.0, False) for i in range(len(SHORT))}
+
+
+def test_long_texts_and_clashing_keys(spark):
+    item = "the quick brown fox jumps over the lazy dog near the river"
+    docs = spark.createDataFrame([(1, "word " * 60_000 + item), (2, "word " * 60_000)], "item_id long, text string")
+    bench = spark.createDataFrame([(7, item)], "item_id long, text string")
+    got = decontaminate.contaminated(docs, bench, ["item_id"])
+    assert got.columns == ["item_id_", "item_id", "coverage", "reparameterised"]
+    assert [(r.item_id_, r.item_id, r.coverage) for r in got.collect()] == [(1, 7, 1.0)]
