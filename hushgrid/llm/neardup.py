@@ -25,7 +25,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import materialize
+from .common import drop_path, materialize, scratch
 from .components import components
 from .simhash import CHUNK, ring
 
@@ -40,6 +40,23 @@ HEAVY, BLOCK, BLOCK_SHINGLES = 32, 1024, 4_000_000
 BROADCAST_NODES = 300_000
 
 
+class _Temporary:
+    """Written tables that go together once nothing reads them any more."""
+
+    def __init__(self):
+        self.paths: list[tuple] = []
+
+    def table(self, df: DataFrame, what: str) -> DataFrame:
+        path = scratch(df.sparkSession, what)
+        df.write.parquet(path)
+        self.paths.append((df.sparkSession, path))
+        return df.sparkSession.read.schema(df.schema).parquet(path)
+
+    def drop(self) -> None:
+        while self.paths:
+            drop_path(*self.paths.pop())
+
+
 def shingles_of(text: str | None) -> np.ndarray:
     """Sorted distinct hashes. No word: none. Fewer words than a shingle: one shingle."""
     words = (text or "").encode("utf-8", "surrogatepass").lower().split()
@@ -92,7 +109,7 @@ def _close(a: str, b: str, na: str, nb: str) -> Column:
     return (F.least(na, nb) < FEW) | ring(F.col(a).bitwiseXOR(F.col(b)), BUDGET)
 
 
-def _tokens(numbered: DataFrame, text: str) -> DataFrame:
+def _tokens(numbered: DataFrame, text: str, temp: _Temporary) -> DataFrame:
     """(node, token, many, share): each row's prefix, where shared; how many have the shingle, and 1 / the prefix's length."""
     common, counts = _common(numbered, text)
 
@@ -108,7 +125,7 @@ def _tokens(numbered: DataFrame, text: str) -> DataFrame:
     # common shingles are left out of the window, in which all nodes of one meet
     alone = F.when(F.col("many") > 0, F.xxhash64("node")).otherwise(F.lit(0))
     met = F.count("*").over(Window.partitionBy("token", alone)).cast("int")
-    return materialize(each.withColumn("many", F.greatest("many", met)).where("many > 1"), "tokens")
+    return temp.table(each.withColumn("many", F.greatest("many", met)).where("many > 1"), "tokens")
 
 
 def _common(numbered: DataFrame, text: str) -> tuple[np.ndarray, np.ndarray]:
@@ -127,7 +144,7 @@ def _common(numbered: DataFrame, text: str) -> tuple[np.ndarray, np.ndarray]:
     return token[order], n[order]
 
 
-def _sets(ids: DataFrame, numbered: DataFrame, text: str) -> DataFrame:
+def _sets(ids: DataFrame, numbered: DataFrame, text: str, temp: _Temporary) -> DataFrame:
     """(row_no, h): the whole sets of some rows. ``ids`` (row_no) is read twice: pass a written table."""
     small = F.broadcast(ids) if ids.count() <= BROADCAST_NODES else ids
 
@@ -135,10 +152,10 @@ def _sets(ids: DataFrame, numbered: DataFrame, text: str) -> DataFrame:
     def whole(texts: pd.Series) -> pd.Series:
         return pd.Series([shingles_of(t).tobytes() for t in texts], dtype=object)
 
-    return materialize(numbered.join(small, "row_no", "left_semi").select("row_no", whole(F.col(text)).alias("h")), "sets")
+    return temp.table(numbered.join(small, "row_no", "left_semi").select("row_no", whole(F.col(text)).alias("h")), "sets")
 
 
-def _similar(pairs: DataFrame, numbered: DataFrame, text: str) -> DataFrame:
+def _similar(pairs: DataFrame, numbered: DataFrame, text: str, temp: _Temporary) -> DataFrame:
     """The (a, b) of ``pairs`` whose sets are similar. ``pairs`` is read twice: pass a written table."""
 
     @F.pandas_udf("boolean")
@@ -151,7 +168,7 @@ def _similar(pairs: DataFrame, numbered: DataFrame, text: str) -> DataFrame:
         return pd.Series(out, dtype=bool)
 
     ids = pairs.select(F.col("a").alias("row_no")).unionByName(pairs.select(F.col("b").alias("row_no"))).distinct()
-    sets = _sets(materialize(ids, "compared"), numbered, text)
+    sets = _sets(temp.table(ids, "compared"), numbered, text, temp)
     left = pairs.join(sets.select(F.col("row_no").alias("a"), F.col("h").alias("x")), "a")
     both = left.join(sets.select(F.col("row_no").alias("b"), F.col("h").alias("y")), "b")
     return both.where(alike("x", "y")).select("a", "b")
@@ -185,42 +202,43 @@ def bridges(node: np.ndarray, g: np.ndarray, sets: list[np.ndarray]) -> list[tup
     return out
 
 
-def _bridged(rows: DataFrame, numbered: DataFrame, text: str) -> DataFrame:
+def _bridged(rows: DataFrame, numbered: DataFrame, text: str, temp: _Temporary) -> DataFrame:
     """rows: token, node, n, g, where token names what nodes share. (a, b): links between components, from square blocks of each."""
     size = rows.groupBy("token").agg(F.greatest(F.ceil(F.count("*") / F.lit(BLOCK)), F.ceil(F.sum("n") / F.lit(BLOCK_SHINGLES))).cast("int").alias("nb"))
     own = F.pmod(F.xxhash64("node"), F.col("nb")).cast("int")
     each = rows.join(size, "token").withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("nb") - 1)))
-    ids = materialize(rows.select(F.col("node").alias("row_no")).distinct(), "compared")
+    ids = temp.table(rows.select(F.col("node").alias("row_no")).distinct(), "compared")
     placed = each.select("token", F.least("own", "other").alias("p"), F.greatest("own", "other").alias("q"), F.col("node").alias("row_no"), "g")
 
     def square(f: pd.DataFrame) -> pd.DataFrame:
         found = bridges(f["row_no"].to_numpy(), f["g"].to_numpy(), [np.frombuffer(h, np.uint64) for h in f["h"]])
         return pd.DataFrame(found, columns=["a", "b"], dtype="int64")
 
-    return placed.join(_sets(ids, numbered, text), "row_no").groupBy("token", "p", "q").applyInPandas(square, "a long, b long")
+    return placed.join(_sets(ids, numbered, text, temp), "row_no").groupBy("token", "p", "q").applyInPandas(square, "a long, b long")
 
 
 def links(numbered: DataFrame, nodes: DataFrame, text: str) -> DataFrame:
     """(a, b): links that join the same nodes as all similar pairs do. numbered: row_no, text; nodes: node, n, fp of the rows to compare."""
+    temp = _Temporary()
     small = F.broadcast(nodes) if nodes.count() <= BROADCAST_NODES else nodes
-    tokens = _tokens(numbered.join(small.select(F.col("node").alias("row_no")), "row_no", "left_semi"), text)
+    tokens = _tokens(numbered.join(small.select(F.col("node").alias("row_no")), "row_no", "left_semi"), text, temp)
 
     def kept(pairs: DataFrame, what: str) -> DataFrame:
         """The similar ones of (a, b, c): c shared shingles of the prefixes at least."""
         sized = pairs.join(small.select(F.col("node").alias("a"), F.col("n").alias("na"), F.col("fp").alias("fa")), "a").join(small.select(F.col("node").alias("b"), F.col("n").alias("nb"), F.col("fp").alias("fb")), "b")
         near = sized.where(_enough("c", "na", "nb") & _close("fa", "fb", "na", "nb")).select("a", "b")
-        return materialize(_similar(materialize(near, what), numbered, text), "links")
+        return materialize(_similar(temp.table(near, what), numbered, text, temp), "links")
 
     known = tokens.groupBy("node").agg(F.sum(F.col("many") * F.col("share")).alias("known"))
-    centres = materialize(tokens.select("token", "node").join(known, "node").groupBy("token").agg(F.max(F.struct("known", "node")).alias("c")).select("token", F.col("c.node").alias("b")), "centres")
+    centres = temp.table(tokens.select("token", "node").join(known, "node").groupBy("token").agg(F.max(F.struct("known", "node")).alias("c")).select("token", F.col("c.node").alias("b")), "centres")
     stars = tokens.select("token", F.col("node").alias("a")).join(centres, "token").where("a != b").groupBy("a", "b").agg(F.count("*").alias("c"))
     first = kept(stars, "stars")
-    roots = materialize(components(first), "roots")
+    roots = temp.table(components(first), "roots")
     grouped = tokens.select("token", "node", "many").join(roots, "node", "left").select("token", "node", "many", F.coalesce("root", "node").alias("g"))
     mixed = grouped.groupBy("token").agg(F.min("g").alias("lo"), F.max("g").alias("hi")).where("lo != hi").select("token")
-    rest = materialize(grouped.join(mixed, "token"), "mixed")
+    rest = temp.table(grouped.join(mixed, "token"), "mixed")
     common = rest.groupBy("node").agg(F.count_if(F.col("many") > HEAVY).alias("common"))
-    light = materialize(rest.where(F.col("many") <= HEAVY).join(common, "node").select("token", "node", "g", "common"), "light")
+    light = temp.table(rest.where(F.col("many") <= HEAVY).join(common, "node").select("token", "node", "g", "common"), "light")
     a, b = light.alias("a"), light.alias("b")
     # common shingles that a pair shares aren't counted by this join, so as many as it can share are added
     met = (
@@ -229,8 +247,10 @@ def links(numbered: DataFrame, nodes: DataFrame, text: str) -> DataFrame:
     )
     out = first.unionByName(kept(met, "pairs"))
     # nodes that share a common shingle also share its centre, and copies of one text have one centre for nearly all of theirs
-    heavy = materialize(rest.where(F.col("many") > HEAVY).join(centres, "token").select(F.col("b").alias("token"), "node", "g").distinct(), "heavy")
-    return out if heavy.isEmpty() else out.unionByName(materialize(_bridged(heavy.join(small.select("node", "n"), "node"), numbered, text), "links"))
+    heavy = temp.table(rest.where(F.col("many") > HEAVY).join(centres, "token").select(F.col("b").alias("token"), "node", "g").distinct(), "heavy")
+    out = out if heavy.isEmpty() else out.unionByName(materialize(_bridged(heavy.join(small.select("node", "n"), "node"), numbered, text, temp), "links"))
+    temp.drop()
+    return out
 
 
 def keep_one(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
