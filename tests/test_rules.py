@@ -57,6 +57,12 @@ CASES = [
     ("负责人：付款单。", set()),
     ("合同编号：" + "9" * 121, set()),
     ("李建国负责此事", {("person_name", "李建国")}),
+    ("这个项目由张默言负责，请安排下周会议。", {("person_name", "张默言")}),
+    ("请把材料寄送至陕西省西安市碑林区友谊西路128号。", {("address", "陕西省西安市碑林区友谊西路128号")}),
+    ("我的微信是 demo_wechat_01，方便时加我。", {("account", "demo_wechat_01")}),
+    ("测试环境数据库密码是 synthetic-demo-secret。", {("credential", "synthetic-demo-secret")}),
+    ("这个普通项目需要在下周完成评审。", set()),
+    ("请联系 １３８\u200B００１３\u200D８０００。", {("phone", "１３８\u200B００１３\u200D８０００")}),
 ]
 
 
