@@ -113,15 +113,13 @@ def _tokens(numbered: DataFrame, text: str, temp: _Temporary) -> DataFrame:
     """(node, token, many, share): each row's prefix, where shared; how many have the shingle, and 1 / the prefix's length."""
     common, counts = _common(numbered, text)
 
-    @F.pandas_udf("array<struct<token:long,many:int,share:float>>")
-    def run(texts: pd.Series) -> pd.Series:
-        out = []
-        for t in texts:
-            h, many = prefix_of(shingles_of(t), common, counts)
-            out.append([{"token": x, "many": n, "share": 1 / len(h)} for x, n in zip(h.view(np.int64).tolist(), many.tolist())])
-        return pd.Series(out, dtype=object)
+    @F.pandas_udf("token array<long>, many array<int>, share float")
+    def run(texts: pd.Series) -> pd.DataFrame:
+        found = [prefix_of(shingles_of(t), common, counts) for t in texts]
+        return pd.DataFrame({"token": [h.view(np.int64) for h, _ in found], "many": [n.astype(np.int32) for _, n in found], "share": [1 / max(1, len(h)) for h, _ in found]})
 
-    each = numbered.select(F.col("row_no").alias("node"), F.explode(run(F.col(text))).alias("t")).select("node", "t.*")
+    sets = numbered.select(F.col("row_no").alias("node"), run(F.col(text)).alias("p"))
+    each = sets.select("node", "p.share", F.explode(F.arrays_zip("p.token", "p.many")).alias("t")).select("node", "t.token", "t.many", "share")
     # common shingles are left out of the window, in which all nodes of one meet
     alone = F.when(F.col("many") > 0, F.xxhash64("node")).otherwise(F.lit(0))
     met = F.count("*").over(Window.partitionBy("token", alone)).cast("int")
