@@ -51,3 +51,16 @@ def ascii_lower(c: Column) -> Column:
 def fold_of(doc_id: Column, mod: int) -> Column:
     """crc32(id as text) mod ``mod``; a null id counts as empty text."""
     return F.pmod(F.crc32(F.coalesce(doc_id.cast("string"), F.lit("")).cast("binary")), F.lit(mod)).cast("int")
+
+
+def free_names(columns: list[str], taken: list[str]) -> list[str]:
+    """Names for ``columns`` of which none, whatever its case, is one of ``taken`` or of another: clashing ones get underscores."""
+    used, out = {t.lower() for t in taken} | {c.lower() for c in columns}, []
+    reserved = {t.lower() for t in taken}
+    for c in columns:
+        own = c
+        while own.lower() in reserved or own != c and own.lower() in used:
+            own += "_"
+        used.add(own.lower())
+        out.append(own)
+    return out
