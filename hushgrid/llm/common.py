@@ -48,6 +48,11 @@ def ascii_lower(c: Column) -> Column:
     return F.translate(c, UPPER, LOWER)
 
 
+def lower_ascii(text: str) -> str:
+    """A-Z in lower case, every other character as it is (bytes of UTF-8 beyond ASCII are no letters)."""
+    return text.encode("utf-8", "surrogatepass").lower().decode("utf-8", "surrogatepass")
+
+
 def fold_of(doc_id: Column, mod: int) -> Column:
     """crc32(id as text) mod ``mod``; a null id counts as empty text."""
     return F.pmod(F.crc32(F.coalesce(doc_id.cast("string"), F.lit("")).cast("binary")), F.lit(mod)).cast("int")
