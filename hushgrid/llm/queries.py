@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import ann, decontaminate, langid, licences, linededup, mixing, ngram_lm, quality, sharding, toxicity
+from . import ann, decontaminate, divergence, langid, licences, linededup, mixing, ngram_lm, quality, sharding, toxicity
 from .common import fold_of, scratch, table
 from .simhash import simhash_components
 
@@ -62,14 +62,18 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.score(docs, ["doc_id", "held_out"], F.col("text"), model).withColumn("predicted", (F.col("score") >= 0.3).cast("int"))
 
 
+def op11_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return divergence.audit(table(spark, sf_dir, "documents"), F.col("lang"), F.col("source"), F.col("text"))
+
+
 def op12_licences(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licences.scan(table(spark, sf_dir, "documents"), ["doc_id"], F.col("text")).drop("places")
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    every = (op1_ann, op2_mixing, op3_quality, op4_linededup, op5_decontaminate, op6_ngram_lm, op7_simhash, op8_langid, op9_sharding, op10_toxicity, op12_licences)
+    every = (op1_ann, op2_mixing, op3_quality, op4_linededup, op5_decontaminate, op6_ngram_lm, op7_simhash, op8_langid, op9_sharding, op10_toxicity, op11_divergence, op12_licences)
     return {q.__name__: q for q in every}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_mixing": mixing.oracle_sql(), "op4_linededup": linededup.oracle_sql(), "op5_decontaminate": decontaminate.oracle_sql(), "op12_licences": licences.oracle_sql()}
+    return {"op2_mixing": mixing.oracle_sql(), "op4_linededup": linededup.oracle_sql(), "op5_decontaminate": decontaminate.oracle_sql(), "op11_divergence": divergence.oracle_sql(), "op12_licences": licences.oracle_sql()}
