@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import ann, decontaminate, divergence, langid, licences, linededup, mixing, ngram_lm, quality, sharding, toxicity
+from . import ann, decontaminate, divergence, langid, licences, linededup, mixing, ngram_lm, prefix_trie, quality, sharding, toxicity
 from .common import fold_of, scratch, table
 from .simhash import simhash_components
 
@@ -70,10 +70,14 @@ def op12_licences(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licences.scan(table(spark, sf_dir, "documents"), ["doc_id"], F.col("text")).drop("places")
 
 
+def op13_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return prefix_trie.trie(prefix_trie.share_openings(prefix_trie.sequences(table(spark, sf_dir, "conversations"))))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    every = (op1_ann, op2_mixing, op3_quality, op4_linededup, op5_decontaminate, op6_ngram_lm, op7_simhash, op8_langid, op9_sharding, op10_toxicity, op11_divergence, op12_licences)
+    every = (op1_ann, op2_mixing, op3_quality, op4_linededup, op5_decontaminate, op6_ngram_lm, op7_simhash, op8_langid, op9_sharding, op10_toxicity, op11_divergence, op12_licences, op13_prefix_trie)
     return {q.__name__: q for q in every}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_mixing": mixing.oracle_sql(), "op4_linededup": linededup.oracle_sql(), "op5_decontaminate": decontaminate.oracle_sql(), "op11_divergence": divergence.oracle_sql(), "op12_licences": licences.oracle_sql()}
+    return {"op2_mixing": mixing.oracle_sql(), "op4_linededup": linededup.oracle_sql(), "op5_decontaminate": decontaminate.oracle_sql(), "op11_divergence": divergence.oracle_sql(), "op12_licences": licences.oracle_sql(), "op13_prefix_trie": prefix_trie.oracle_sql()}
