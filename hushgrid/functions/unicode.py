@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import unicodedata
+from collections.abc import Callable
 
 import pandas as pd
 from pyspark.sql import Column
@@ -49,25 +50,34 @@ _WIDE = [chr(c) for c in range(0xFF01, 0xFF5F)]
 _ALIKE = [*_WIDE, *sorted(set(DASHES) - set("-" + "".join(_WIDE))), *sorted(set(BLANKS) - set(" "))]
 #: Characters that the view replaces one by one, and by what.
 ONE_TO_ONE = ("".join(_ALIKE), "".join(view_of(c)[0] for c in _ALIKE))
+_ANY = "[" + "".join(f"\\x{{{ord(c):x}}}" for c in _ALIKE) + "]"
 
 
 def same_length_view(text: Column) -> Column:
     """The view of a text without any of ``CHANGED``: offsets are its own."""
-    return F.when(text.rlike(r"[^\x00-\x7f]"), F.translate(text, *ONE_TO_ONE)).otherwise(text)
+    return F.when((F.octet_length(text) != F.length(text)) & text.rlike(_ANY), F.translate(text, *ONE_TO_ONE)).otherwise(text)
 
 
-def view_and_code(text: Column) -> Column:
-    """The view with its offsets and its code ranges."""
+def view_and_code(text: Column, changed: Column, find: Callable[[str, list[tuple[int, int]]], list[tuple[int, int]]] | None = None) -> Column:
+    """The view with its offsets and its code ranges, where ``changed``, and the spans that ``find`` finds in the view; null for null."""
+    alike = str.maketrans(*ONE_TO_ONE)
 
-    @F.pandas_udf(f"struct<text:string,starts:array<int>,ends:array<int>,code:{RANGES}>")
-    def run(texts: pd.Series) -> pd.DataFrame:
+    @F.pandas_udf(f"struct<text:string,starts:array<int>,ends:array<int>,code:{RANGES},found:{RANGES}>")
+    def run(texts: pd.Series, others: pd.Series) -> pd.DataFrame:
+        ranges = lambda spans: [{"start": a, "end": b} for a, b in spans]
         rows = []
-        for x in texts:
-            seen, starts, ends = view_of(x or "")
-            rows.append((seen, starts, ends, [{"start": a, "end": b} for a, b in code_ranges_of(seen)]))
-        return pd.DataFrame(rows, columns=["text", "starts", "ends", "code"])
-
-    return run(text)
+        for x, changes in zip(texts, others):
+            if x is None:
+                rows.append((None, None, None, None, None))
+            elif changes:
+                seen, starts, ends = view_of(x)
+                code = code_ranges_of(seen)
+                rows.append((seen, starts, ends, ranges(code), ranges(find(seen, code)) if find else None))
+            else:
+                rows.append((None, None, None, None, ranges(find(x.translate(alike), [])) if find else None))
+        return pd.DataFrame(rows, columns=["text", "starts", "ends", "code", "found"])
+
+    return run(text, changed)
 
 
 def view(text: Column) -> Column:

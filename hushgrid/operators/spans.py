@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from functools import reduce
+from dataclasses import dataclass
+from functools import lru_cache, reduce
 from operator import and_
 
 from pyspark.sql import Column, DataFrame
@@ -10,7 +11,7 @@ from pyspark.sql import functions as F
 
 from .. import kinds
 from ..functions import text as tx
-from ..functions import unicode, validators
+from ..functions import places, unicode, validators
 from ..functions.patterns import RULES, Rule
 
 #: What stands for the raw value of a secret that is too long to keep.
@@ -39,85 +40,165 @@ def _hit(n: int, r: Rule) -> Column:
     return F.when(first & (text.rlike(r.guard) if r.guard else F.lit(True)), found)
 
 
-def _seen(df: DataFrame, keys: list[str], text: str) -> DataFrame:
-    """``keys`` with _t, the text that rules look at, and, where it isn't the source as it is, _src with the offsets, and _code."""
-    whole = F.coalesce(F.col(text), F.lit(""))
-    rows = df.select(*keys, whole.alias("_s"))
-    odd, plain = F.col("_s").rlike(f"{unicode.CHANGED}|`|~~~"), unicode.same_length_view(F.col("_s"))
-    same = rows.where(~odd).select(*keys, plain.alias("_t"), F.when(plain != F.col("_s"), F.col("_s")).alias("_src"), F.lit(None).cast("array<int>").alias("_starts"), F.lit(None).cast("array<int>").alias("_ends"), F.lit(None).cast(unicode.RANGES).alias("_code"))
-    other = rows.where(odd).select(*keys, "_s", unicode.view_and_code(F.col("_s")).alias("_v"))
-    return same.unionByName(other.select(*keys, F.col("_v.text").alias("_t"), F.col("_s").alias("_src"), F.col("_v.starts").alias("_starts"), F.col("_v.ends").alias("_ends"), F.col("_v.code").alias("_code")))
+def _seen(df: DataFrame, keys: list[str], text: str, find: bool) -> DataFrame:
+    """``keys`` with _t, the text that rules look at, and, where it isn't the source as it is, _src with the offsets, and _code; _placed if ``find``."""
+    rows = df.select(*keys, F.coalesce(F.col(text), F.lit("")).alias("_s"))
+    source = F.col("_s")
+    foreign = F.octet_length(source) != F.length(source)
+    odd = source.contains("`") | source.contains("~~~") | F.when(foreign, source.rlike(unicode.CHANGED)).otherwise(F.lit(False))
+    wanted = odd | foreign & source.rlike(places.GUARD) if find else odd
+    plain = unicode.same_length_view(source)
+    # Python gets the texts that need it, and nulls for the others
+    seen = rows.select(*keys, "_s", odd.alias("_odd"), wanted.alias("_wanted")).select("*", unicode.view_and_code(F.when(F.col("_wanted"), source), F.col("_odd"), places.addresses if find else None).alias("_v"))
+    view = F.when(F.col("_odd"), F.col("_v.text")).otherwise(plain)
+    return seen.select(*keys, "_s", "_odd", "_v", view.alias("_t")).select(
+        *keys, "_t", F.when(F.col("_odd") | (F.col("_t") != source), source).alias("_src"), F.col("_v.starts").alias("_starts"), F.col("_v.ends").alias("_ends"), F.col("_v.code").alias("_code"), F.col("_v.found").alias("_placed"),
+    )
 
 
-def _around(s: Column, radius: int) -> Column:
+def _around(s: Column, radius: int, after: int | None = None) -> Column:
     start = F.greatest(s["start"] - radius, F.lit(0))
-    return F.substring(F.col("_t"), start + 1, s["end"] + radius - start)
+    return F.substring(F.col("_t"), start + 1, s["end"] + (radius if after is None else after) - start)
 
 
-def _passes(rules: list[Rule], s: Column) -> Column:
+def _passes(rules: tuple[Rule, ...], s: Column) -> Column:
     """The conditions of a span's rule on what stands around it."""
     ok = F.lit(True)
     ahead = lambda n: F.substring(F.col("_t"), F.greatest(s["start"] - n, F.lit(0)) + 1, F.least(s["start"], F.lit(n)))
     for n, r in enumerate(rules):
         own = []
         if r.near:
-            own.append(_around(s, r.radius).rlike(r.near))
+            own.append(_around(s, r.radius, r.after).rlike(r.near))
         if r.avoid:
-            own.append(~_around(s, r.radius).rlike(r.avoid))
+            own.append(~_around(s, r.radius, r.after).rlike(r.avoid))
         if r.before:
             own.append(~ahead(40).rlike(r.before))
         if own:
-            ok = F.when(s["rule"] == n, reduce(and_, own)).otherwise(ok)
-    plain = [n for n, r in enumerate(rules) if r.plain]
+            ok &= (s["rule"] != n) | reduce(and_, own)
+    of = lambda has: [n for n, r in enumerate(rules) if has(r)]
+    plain, outside = of(lambda r: r.plain), of(lambda r: r.plain or r.outside_code)
+    if outside:
+        code = F.coalesce(F.exists("_code", lambda c: (c["start"] < s["end"]) & (s["start"] < c["end"])), F.lit(False))
+        ok &= ~s["rule"].isin(*outside) | ~code
     if plain:
         technical = validators.technical_context(ahead(32), F.substring(F.col("_t"), s["end"] + 1, F.lit(32)))
-        code = F.coalesce(F.exists("_code", lambda c: (c["start"] < s["end"]) & (s["start"] < c["end"])), F.lit(False))
-        ok &= ~s["rule"].isin(*plain) | ~(code | technical)
+        ok &= ~s["rule"].isin(*plain) | ~technical
+    for gate, test in (("account", validators.account_in_context), ("handle", lambda v, a, c: validators.handle_in_context(v, a, c, _around(s, 40)))):
+        gated = of(lambda r, g=gate: r.gate == g)
+        if gated:
+            ok &= ~s["rule"].isin(*gated) | test(s["raw"], ahead(12), _around(s, 32))
     return ok
 
 
-def detect(df: DataFrame, keys: list[str], text: str, rules: tuple[Rule, ...] = RULES, terms: list[str] | None = None) -> DataFrame:
-    """Candidates of every rule, in emission order: ``keys``, seq, kind, decision, policy, source, start, end, raw, normalized, warning.
+#: Spans on either side in which an overlapping one may stand: none of a yielding rule's kind is that long.
+_NEIGHBOURS = 64
 
-    Rules look at the normalized view; offsets count code points of the source, from 0, end exclusive. ``terms`` are
-    literal custom terms, longest first, normalized alike. A null text has no candidates. A credential over its kind's
-    length is one span of a placeholder, with a warning; its normalized form is its length and a digest.
-    """
-    literal = sorted({unicode.view_of(t.strip())[0] for t in terms or [] if t.strip()}, key=lambda t: (-len(t), t))
-    own = list(rules) + [Rule("custom_term", "\\Q" + t.replace("\\E", "\\E\\\\E\\Q") + "\\E") for t in literal]
-    seen = _seen(df, keys, text)
+
+def _settling(n: int, same: list[int]):
+    """Takes the spans of rule ``n`` out that overlap a kept one of the rules ``same``."""
+
+    def settle(every: Column) -> Column:
+        beside = lambda i: F.slice(every, F.greatest(i - _NEIGHBOURS, F.lit(0)) + 1, F.lit(2 * _NEIGHBOURS + 1))
+        hit = lambda s, i: F.exists(beside(i), lambda o: o["rule"].isin(*same) & o["kept"] & (o["start"] < s["end"]) & (s["start"] < o["end"]))
+        return F.transform(every, lambda s, i: F.when((s["rule"] == n) & hit(s, i), s.withField("kept", F.lit(False))).otherwise(s))
+
+    return settle
+
+
+def _placed_as(n: int):
+    text = lambda p: F.substring(F.col("_t"), p["start"] + 1, p["end"] - p["start"])
+    return lambda p: F.struct(F.lit(n).alias("rule"), p["start"].alias("start"), p["end"].alias("end"), text(p).alias("raw"))
+
+
+def _yielding(rules: tuple[Rule, ...]) -> Column:
+    """``_found`` without spans of yielding rules that overlap an earlier span of their kind: rule by rule, each only beside its neighbours."""
+    kinds_ = {r.kind for r in rules if r.yields}
+    kind = [n for n, r in enumerate(rules) if r.kind in kinds_]
+    own = F.array_sort(F.transform(F.filter("_found", lambda s: s["rule"].isin(*kind)), lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), s["rule"].alias("rule"), s["raw"].alias("raw"), F.lit(True).alias("kept"))))
+    for n in kind:
+        same = [k for k in kind if k < n and rules[k].kind == rules[n].kind]
+        if rules[n].yields and same:
+            own = F.get(F.transform(F.array(own), _settling(n, same)), F.lit(0))
+    kept = F.transform(F.filter(own, lambda s: s["kept"]), lambda s: F.struct(s["rule"].alias("rule"), s["start"].alias("start"), s["end"].alias("end"), s["raw"].alias("raw")))
+    yields = [n for n, r in enumerate(rules) if r.yields]
+    return F.when(F.exists("_found", lambda s: s["rule"].isin(*yields)), F.concat(F.filter("_found", lambda s: ~s["rule"].isin(*kind)), kept)).otherwise(F.col("_found"))
+
+
+@dataclass(frozen=True)
+class _Columns:
+    """What a rule table asks of a text, as expressions: made once for a table and session, as making them costs more than many a query."""
+
+    flags: dict[str, Column]
+    hits: Column
+    found: tuple[Column, ...]
+    spans: Column
+    checked: Column
+    kind: Column
+    decision: Column
+    policy: Column
+    source: Column
+    told: Column
+    out: tuple[Column, ...]
+
+
+@lru_cache(maxsize=256)
+def _columns(own: tuple[Rule, ...], application: str) -> _Columns:
+    """``application`` names the session whose expressions these are."""
     flags = {"han": r"[\x{4e00}-\x{9fff}]", "digit": "[0-9]", "mark": "[:：=是为叫]"}
     used = {r.needs for r in own}
-    base = seen.select("*", *[F.col("_t").rlike(c).alias(f"_{n}") for n, c in flags.items() if n in used])
-    hits = base.select(*keys, "_t", "_src", "_starts", "_ends", "_code", F.array_compact(F.array(*[_hit(n, r) for n, r in enumerate(own)])).alias("_hits"))
-    hits = hits.withColumn("_hits", F.filter("_hits", lambda h: F.size(h["m"]) > 0)) if own else hits.withColumn("_hits", F.array().cast("array<struct<rule:int,m:array<string>,g:array<string>,v:array<string>>>"))
-    listed = hits.withColumn("_found", F.expr(_PLACES))
-    if any(r.near or r.avoid or r.before or r.plain for r in own):
-        listed = listed.withColumn("_found", F.filter("_found", lambda s: _passes(own, s)))
+    matched = [_hit(n, r) for n, r in enumerate(own) if not r.finder]
+    hits = F.filter(F.array_compact(F.array(*matched)), lambda h: F.size(h["m"]) > 0) if matched else F.array().cast("array<struct<rule:int,m:array<string>,g:array<string>,v:array<string>>>")
+    found = [F.expr(_PLACES)]
+    for n in (n for n, r in enumerate(own) if r.finder):
+        found.append(F.when(F.size("_placed") > 0, F.concat("_found", F.transform("_placed", _placed_as(n)))).otherwise(F.col("_found")))
+    if any(r.near or r.avoid or r.before or r.plain or r.outside_code or r.gate for r in own):
+        found.append(F.filter("_found", lambda s: _passes(own, s)))
+    if any(r.yields for r in own):
+        found.append(_yielding(own))
 
     def placed(s: Column) -> Column:
         start, end = F.coalesce(F.get("_starts", s["start"]), s["start"]), F.coalesce(F.get("_ends", s["end"] - 1), s["end"])
         raw = F.when(F.col("_src").isNull(), s["raw"]).otherwise(F.substring(F.col("_src"), start + 1, end - start))
         return F.struct(s["rule"].alias("rule"), start.alias("start"), end.alias("end"), raw.alias("raw"), s["raw"].alias("seen"))
 
-    each = listed.select(*keys, F.explode(F.transform("_found", placed)).alias("s")).select(*keys, "s.*")
-    rule = F.col("rule")
-    pick = lambda f: _case(rule, [f(r) for r in own])
-    checked = F.lit(True)
+    rule, checked = F.col("rule"), F.lit(True)
     for name, check in validators.BY_NAME.items():
         at = [n for n, r in enumerate(own) if r.check == name]
         if at:
-            checked = F.when(rule.isin(*at), check(F.col("seen"))).otherwise(checked)
-    out = each.where(checked).withColumn("kind", pick(lambda r: r.kind)).withColumn("decision", pick(lambda r: "replace" if r.decision == "confirm" else r.decision)).withColumn("policy", pick(lambda r: "confirm" if r.decision == "confirm" else None)).withColumn("source", pick(lambda r: r.source))
-    labeled = out.where(~(F.col("kind").isin("person_name", "address", "passport", "license_plate", "labeled_identifier", "china_id") & validators.placeholder_value(F.col("seen"))))
+            checked &= ~rule.isin(*at) | check(F.col("seen"))
+    told = ~(F.col("kind").isin("person_name", "address", "passport", "license_plate", "labeled_identifier", "china_id") & validators.placeholder_value(F.col("seen")))
     bounded = [n for n, r in enumerate(own) if r.longest]
     long = rule.isin(*bounded) & (F.length("seen") > kinds.MAX_CREDENTIAL) if bounded else F.lit(False)
     digest = F.concat(F.lit("credential_too_long:"), F.length("seen").cast("string"), F.lit("-"), F.left(F.sha2("seen", 256), F.lit(16)))
-    return labeled.select(
-        *keys, (rule * 100_000 + F.col("start")).alias("seq"), "kind", "decision", "policy", "source", "start", "end", F.when(long, OMITTED).otherwise(F.col("raw")).alias("raw"),
+    out = (
+        (rule * 100_000 + F.col("start")).alias("seq"), F.col("kind"), F.col("decision"), F.col("policy"), F.col("source"), F.col("start"), F.col("end"), F.when(long, OMITTED).otherwise(F.col("raw")).alias("raw"),
         F.when(long, digest).otherwise(tx.canonical(F.col("kind"), F.col("seen"))).alias("normalized"), F.when(long, "credential_too_long").alias("warning"),
-    )
+    )
+    return _Columns(
+        {f"_{n}": F.col("_t").rlike(c) for n, c in flags.items() if n in used}, hits, tuple(found), F.explode(F.transform("_found", placed)).alias("s"), checked, _case([r.kind for r in own]),
+        _case(["replace" if r.decision == "confirm" else r.decision for r in own]), _case(["confirm" if r.decision == "confirm" else None for r in own]), _case([r.source for r in own]), told, out,
+    )
+
 
+def detect(df: DataFrame, keys: list[str], text: str, rules: tuple[Rule, ...] = RULES, terms: list[str] | None = None) -> DataFrame:
+    """Candidates of every rule, in emission order: ``keys``, seq, kind, decision, policy, source, start, end, raw, normalized, warning.
 
-def _case(n: Column, values: list[str | None]) -> Column:
-    return F.element_at(F.array(*[F.lit(v).cast("string") for v in values]), n + 1)
+    Rules look at the normalized view; offsets count code points of the source, from 0, end exclusive. ``terms`` are
+    literal custom terms, longest first, normalized alike. A null text has no candidates. A credential over its kind's
+    length is one span of a placeholder, with a warning; its normalized form is its length and a digest.
+    """
+    literal = sorted({unicode.view_of(t.strip())[0] for t in terms or [] if t.strip()}, key=lambda t: (-len(t), t))
+    own = (*rules, *(Rule("custom_term", "\\Q" + t.replace("\\E", "\\E\\\\E\\Q") + "\\E") for t in literal))
+    c = _columns(own, df.sparkSession.sparkContext.applicationId)
+    seen = _seen(df, keys, text, any(r.finder for r in own))
+    listed = seen.select("*", *[v.alias(n) for n, v in c.flags.items()]).select(*keys, "_t", "_src", "_starts", "_ends", "_code", "_placed", c.hits.alias("_hits"))
+    for step in c.found:
+        listed = listed.withColumn("_found", step)
+    each = listed.select(*keys, c.spans).select(*keys, "s.*")
+    named = each.where(c.checked).select("*", c.kind.alias("kind"), c.decision.alias("decision"), c.policy.alias("policy"), c.source.alias("source"))
+    return named.where(c.told).select(*keys, *c.out)
+
+
+def _case(values: list[str | None]) -> Column:
+    listed = ", ".join("null" if v is None else f"'{v}'" for v in values)
+    return F.expr(f"element_at(cast(array({listed}) as array<string>), rule + 1)")
