@@ -1,40 +1,44 @@
 """Sharding by size-tiered compaction (operator 9), native.
 
 A dataset is a folder of immutable runs and a log of versions. ``append`` writes an arrival as a run of
-small shards, ``append_each`` many arrivals in one pass. ``compact`` merges runs of one size tier (powers of
-``FANOUT``) when ``FANOUT`` of them have gathered, into shards of about ``TARGET_BYTES``, by reading their
-files in place: no shuffle. Above ``SMALLEST`` a run goes up a tier with each merge, so a row is rewritten a
-logarithmic number of times and few runs are live.
+small shards, ``append_each`` many arrivals in one pass. ``compact`` merges runs of similar size (a tier: none is
+``SIMILAR`` times as large as its smallest) when ``FANOUT`` of them have gathered, into shards of about ``TARGET_BYTES``,
+by reading their files in place: no shuffle. A merged run is about ``FANOUT`` times as large as its parts, so it leaves their
+tier, a row is rewritten a logarithmic number of times and few runs are live.
 
 A version is one small file that names the live runs. It is written aside and renamed to the next number,
 which fails if another writer got there first; that writer then takes the newer version and tries again.
 Readers see the old version or the new one, and a task or a driver that dies leaves files that no version
 names. (A store whose rename replaces files needs one writer at a time.)
 
-A writer marks its run before the first file and takes the mark away after the commit. ``vacuum`` deletes
-runs that none of the last versions names, but never one that is marked, unless its mark is older than
-``ABANDONED_S``. It lists runs first, marks next and versions last, so a commit in between is seen. The
+A writer marks its run before the first file, renews the mark every ``RENEW_S`` while it works and takes it away after the
+commit. ``vacuum`` deletes runs that none of the last versions names, but never one that is marked, unless its mark is older than
+``ABANDONED_S``. It lists runs first, marks next and versions last, so a commit in between is seen. A writer that was
+taken for dead finds its mark gone and raises ``Abandoned`` instead of publishing a run without files. The
 driver handles runs, never rows or shards.
 
-Rows are kept as they are: nulls, repeated rows, very long texts and any columns. An empty arrival makes no
+Rows are kept as they are: nulls, repeated rows, very long texts and any columns, also such as differ from the output's by case alone. An empty arrival makes no
 run and no version; a dataset without runs reads as an empty table of the schema given.
 """
 
 from __future__ import annotations
 
 import json
+import threading
 import time
 import uuid
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-FANOUT = 4
+from .common import free_names
+
+FANOUT, SIMILAR = 4, 2
 TARGET_BYTES = 128 << 20
-SMALLEST = 1 << 20
-#: Age of a mark after which its writer counts as dead.
-ABANDONED_S = 24 * 3600
+#: Age of a mark after which its writer counts as dead, and how often a living one renews it.
+ABANDONED_S, RENEW_S = 24 * 3600, 600
 #: Commits that lose against other writers before giving up.
 TRIES = 20
 ARRIVAL = "hushgrid_arrival"
@@ -44,6 +48,10 @@ class Conflict(RuntimeError):
     """Another writer committed the version first."""
 
 
+class Abandoned(RuntimeError):
+    """The writer was taken for dead and its files may be gone: write the arrival again."""
+
+
 class Shards:
     """A dataset of shards under ``root``."""
 
@@ -80,21 +88,62 @@ class Shards:
             raise Conflict(f"version {version} was committed by another writer")
         return version
 
-    def _publish(self, change: Callable[[list[dict]], list[dict] | None]) -> int | None:
-        """Commit what ``change`` makes of the live runs, anew where another writer came first; None if it makes nothing of them."""
+    def _publish(self, change: Callable[[list[dict]], list[dict] | None], new: dict) -> int | None:
+        """Commit what ``change`` makes of the live runs and of the marked run ``new``, anew where another writer came first; None if it makes nothing of them."""
+        run = new["path"].partition("/runs/")[2].partition("/")[0]
         for _ in range(TRIES):
             now = self.manifest()
             if (runs := change(now["runs"])) is None:
                 return None
+            self._held(run, new["path"])
             try:
-                return self.commit(now["version"], runs)
+                version = self.commit(now["version"], runs)
             except Conflict:
                 continue
+            try:  # a vacuum that took the mark away just before may not have seen this version
+                self._held(run, new["path"])
+            except Abandoned:
+                self._withdraw(new["path"])
+                raise
+            return version
         raise Conflict(f"no commit in {TRIES} tries")
 
-    def mark(self, run: str) -> None:
+    def _held(self, run: str, path: str) -> None:
+        if not (self._fs.exists(self._path(f"{self.root}/marks/{run}")) and self._fs.exists(self._path(path))):
+            raise Abandoned(f"run {run} has lost its mark or its files")
+
+    def _withdraw(self, path: str) -> None:
+        while True:
+            now = self.manifest()
+            try:
+                self.commit(now["version"], [r for r in now["runs"] if r["path"] != path])
+                return
+            except Conflict:
+                continue
+
+    def mark(self, run: str, renew: bool = False) -> None:
         """Announce a run that no version names yet."""
-        self._fs.create(self._path(f"{self.root}/marks/{run}"), False).close()
+        self._fs.create(self._path(f"{self.root}/marks/{run}"), renew).close()
+
+    @contextmanager
+    def _marked(self, run: str) -> Iterator[None]:
+        """A mark that is renewed as long as the block runs; it stays, to age, where the block fails."""
+        done = threading.Event()
+
+        def renew() -> None:
+            while not done.wait(RENEW_S):
+                if self._fs.exists(self._path(f"{self.root}/marks/{run}")):  # one that was taken away stays away
+                    self.mark(run, True)
+
+        self.mark(run)
+        beat = threading.Thread(target=renew, daemon=True)
+        beat.start()
+        try:
+            yield
+        finally:
+            done.set()
+            beat.join()
+        self.unmark(run)
 
     def unmark(self, run: str) -> None:
         self._fs.delete(self._path(f"{self.root}/marks/{run}"), False)
@@ -115,53 +164,49 @@ class Shards:
     def append(self, df: DataFrame, arrival: str) -> int:
         """Write an arrival as a run of small shards and publish it; returns the version that holds it."""
         run = uuid.uuid4().hex
-        self.mark(run)
-        written = self._write(df, run, 0, [arrival])
-        version = self._publish(lambda live: [*live, written]) if written else self.manifest()["version"]
-        self.unmark(run)
-        return version
+        with self._marked(run):
+            written = self._write(df, run, 0, [arrival])
+            return self._publish(lambda live: [*live, written], written) if written else self.manifest()["version"]
 
     def append_each(self, df: DataFrame, arrival: Column, after: Callable[[], object] | None = None) -> int:
         """Write many arrivals in one pass, then publish them one after another, as ``append`` would; ``after`` follows each."""
         run = uuid.uuid4().hex
-        self.mark(run)
-        path = f"{self.root}/runs/{run}"
-        df.withColumn(ARRIVAL, arrival).write.partitionBy(ARRIVAL).option("compression", "zstd").parquet(path)
-        parts = [s.getPath().getName() for s in self._fs.listStatus(self._path(path)) if s.isDirectory()]
-        for part in sorted(parts, key=lambda p: (len(p), p)):
-            written = self._measured(f"{path}/{part}", 0, [f"arrival-{part.partition('=')[2]}"])
-            self._publish(lambda live, w=written: [*live, w])
-            if after:
-                after()
-        self.unmark(run)
+        with self._marked(run):
+            path = f"{self.root}/runs/{run}"
+            df.withColumn(ARRIVAL, arrival).write.partitionBy(ARRIVAL).option("compression", "zstd").parquet(path)
+            parts = [s.getPath().getName() for s in self._fs.listStatus(self._path(path)) if s.isDirectory()]
+            for part in sorted(parts, key=lambda p: (len(p), p)):
+                written = self._measured(f"{path}/{part}", 0, [f"arrival-{part.partition('=')[2]}"])
+                self._publish(lambda live, w=written: [*live, w], written)
+                if after:
+                    after()
         return self.manifest()["version"]
 
     @staticmethod
-    def tier(size: int) -> int:
-        t, limit = 0, SMALLEST
-        while size > limit:
-            t, limit = t + 1, limit * FANOUT
-        return t
+    def tiers(runs: list[dict]) -> list[list[dict]]:
+        """Runs of similar size together, small ones first."""
+        out: list[list[dict]] = []
+        for r in sorted(runs, key=lambda r: (r["bytes"], r["path"])):
+            if out and r["bytes"] < SIMILAR * out[-1][0]["bytes"]:
+                out[-1].append(r)
+            else:
+                out.append([r])
+        return out
 
     def compact(self) -> int:
         """Merge tiers that hold FANOUT runs until none does; returns the last version."""
         while True:
             now = self.manifest()
-            tiers: dict[int, list[dict]] = {}
-            for r in now["runs"]:
-                tiers.setdefault(self.tier(r["bytes"]), []).append(r)
-            full = [t for t, runs in sorted(tiers.items()) if len(runs) >= FANOUT]
-            if not full:
+            old = next((t for t in self.tiers(now["runs"]) if len(t) >= FANOUT), None)
+            if not old:
                 return now["version"]
-            old = tiers[full[0]]
             gone = {r["path"] for r in old}
             files = max(1, -(-sum(r["bytes"] for r in old) // self.target))
             run = uuid.uuid4().hex
-            self.mark(run)
-            merged = self._write(self._read(old).coalesce(files), run, 1 + max(r["level"] for r in old), [a for r in old for a in r["arrivals"]])
-            # a run that another writer has merged meanwhile isn't merged twice
-            self._publish(lambda live: [*(r for r in live if r["path"] not in gone), merged] if gone <= {r["path"] for r in live} else None)
-            self.unmark(run)
+            with self._marked(run):
+                merged = self._write(self._read(old).coalesce(files), run, 1 + max(r["level"] for r in old), [a for r in old for a in r["arrivals"]])
+                # a run that another writer has merged meanwhile isn't merged twice
+                self._publish(lambda live: [*(r for r in live if r["path"] not in gone), merged] if gone <= {r["path"] for r in live} else None, merged)
 
     def _read(self, runs: list[dict]) -> DataFrame:
         first = self.spark.read.parquet(runs[0]["path"])
@@ -221,13 +266,7 @@ def shard_table(docs: DataFrame, root: str, id_col: str = "doc_id", arrivals: in
     store.vacuum(1)
     now = store.manifest()
     rows = store.read(docs.schema)
-    named, keep = set(docs.columns), []
-    for c in docs.columns:
-        own = c
-        while own in ("shard", "level", "version") or own != c and own in named:
-            own += "_"
-        named.add(own)
-        keep.append(F.col(f"`{c}`").alias(own))
+    keep = [F.col(f"`{c}`").alias(n) for c, n in zip(docs.columns, free_names(docs.columns, ["shard", "level", "version"]))]
     if not now["runs"]:
         return rows.select(*keep, F.lit("").alias("shard"), F.lit(0).alias("level"), F.lit(now["version"]).alias("version"))
     level = F.lit(0)

@@ -3,6 +3,7 @@
 import hashlib
 import math
 import random
+import time
 import zlib
 from collections import Counter
 
@@ -584,7 +585,8 @@ def test_shard_table_with_clashing_columns_and_none(spark):
     df = docs_of(spark, [(i, "x" * i, "en", "s") for i in range(30)]).withColumn("shard", F.lit("mine")).withColumn("level", F.lit(9))
     out = sharding.shard_table(df, scratch(spark, "test-shards"))
     assert out.columns == [*[c for c in df.columns[:-2]], "shard_", "level_", "shard", "level", "version"] and out.count() == 30
-    assert {r.level for r in out.collect()} >= {2}
+    mixed = docs_of(spark, [(1, "x", "en", "s")]).withColumn("Shard", F.lit("mine")).withColumn("LEVEL_", F.lit(9))
+    assert [(r.Shard_, r.LEVEL_) for r in sharding.shard_table(mixed, scratch(spark, "test-shards")).collect()] == [("mine", 9)]
     assert sharding.shard_table(docs_of(spark, []), scratch(spark, "test-shards")).count() == 0
 
 
@@ -596,7 +598,7 @@ def test_vacuum_leaves_runs_in_flight(spark):
     store.mark("flying")  # another writer has written its files and not yet committed
     flying = store._write(df.where("doc_id >= 10"), "flying", 0, ["a1"])
     assert store.vacuum(1) == 0
-    store._publish(lambda live: [*live, flying])
+    store._publish(lambda live: [*live, flying], flying)
     store.unmark("flying")
     assert store.vacuum(1) == 0 and store.read().count() == 20
     store.mark("dead")
@@ -608,10 +610,10 @@ def test_racing_writers_lose_nothing(spark):
     root = scratch(spark, "test-shards")
     one, two = sharding.Shards(spark, root), sharding.Shards(spark, root)
     df = docs_of(spark, [(i, f"text {i}", "en", "s") for i in range(20)])
-    slow, first = one.manifest, []
+    plain, first = one.manifest, []
 
     def manifest(version=None):
-        now = slow(version)
+        now = plain(version)
         if not first:  # the other writer commits between this one's reading and its commit
             first.append(two.append(df.where("doc_id >= 10"), "b"))
         return now
@@ -622,22 +624,85 @@ def test_racing_writers_lose_nothing(spark):
     # a merge whose runs another writer has merged meanwhile is given up
     for k in range(4):
         two.append(df, f"c{k}")
-    slow, first = one.manifest, []
+    calls, published = [], one._publish
+    one.manifest = plain
 
-    def late(version=None):
-        now = slow(version)
-        if not first:
-            first.append(two.compact())
-        return now
+    def late(change, new):
+        if not calls:  # the other writer merges the same runs while this one writes
+            calls.append(two.compact())
+        return published(change, new)
 
-    one.manifest = late
+    one._publish = late
     one.compact()
     assert two.read().count() == 100 and sorted(a for r in two.manifest()["runs"] for a in r["arrivals"]) == ["a", "b", "c0", "c1", "c2", "c3"]
 
 
+def test_a_writer_taken_for_dead_publishes_nothing(spark, monkeypatch):
+    root = scratch(spark, "test-shards")
+    store = sharding.Shards(spark, root)
+    df = docs_of(spark, [(i, f"text {i}", "en", "s") for i in range(20)])
+    store.append(df, "a")
+    published = store._publish
+
+    def late(change, new):
+        store.vacuum(1, abandoned_s=-60)  # all marks are too old
+        return published(change, new)
+
+    store._publish = late
+    with pytest.raises(sharding.Abandoned):
+        store.append(df, "b")
+    assert store.read().count() == 20
+    store._publish = published
+    committed = store.commit
+
+    def before(base, runs):
+        store.vacuum(1, abandoned_s=-60)  # between the check and the commit
+        return committed(base, runs)
+
+    store.commit = before
+    with pytest.raises(sharding.Abandoned):
+        store.append(df, "c")
+    store.commit = committed
+    assert store.read().count() == 20 and store.append(df, "d") and store.read().count() == 40
+
+
+def test_marks_are_renewed(spark, monkeypatch):
+    monkeypatch.setattr(sharding, "RENEW_S", 0.2)
+    store = sharding.Shards(spark, scratch(spark, "test-shards"))
+    at = lambda: store._list("marks")[0].getModificationTime()
+    with store._marked("run"):
+        first = at()
+        time.sleep(1.5)
+        assert at() > first
+    assert not store._list("marks")
+
+
+def test_tiers_and_manifests_follow_a_plain_model(spark):
+    """Sixteen like arrivals end as one run of two merges; each version is what merging similar sizes by hand gives."""
+    rng = random.Random(4)
+    rows = [(i, rng.randbytes(300).hex(), "en", "s") for i in range(800)]
+    store = sharding.Shards(spark, scratch(spark, "test-shards"))
+    model: list[tuple[int, int, tuple]] = []  # bytes, level, arrivals
+    for k in range(17):
+        store.append(docs_of(spark, rows[47 * k : 47 * k + 47]).coalesce(1), f"a{k}")
+        store.compact()
+        now = [(r["bytes"], r["level"], tuple(r["arrivals"])) for r in store.manifest()["runs"]]
+        model.append((0, 0, (f"a{k}",)))
+        while True:
+            full = next((lv for lv in (0, 1) if sum(m[1] == lv for m in model) == 4), None)
+            if full is None:
+                break
+            old = [m for m in model if m[1] == full]
+            model = [m for m in model if m[1] != full] + [(0, full + 1, tuple(sorted((a for m in old for a in m[2]), key=lambda a: int(a[1:]))))]
+        assert sorted((lv, tuple(sorted(a, key=lambda x: int(x[1:])))) for _, lv, a in now) == sorted((lv, a) for _, lv, a in model)
+    assert sorted(r["level"] for r in store.manifest()["runs"]) == [0, 2]
+    assert sorted(r.doc_id for r in store.read().collect()) == list(range(799))
+
+
 def test_empty_arrivals_make_no_run_and_merges_go_up_levels(spark):
     store = sharding.Shards(spark, scratch(spark, "test-shards"))
-    df = docs_of(spark, [(i, f"text {i} " * 40, "en", "s") for i in range(64)])
+    rng = random.Random(2)
+    df = docs_of(spark, [(i, rng.randbytes(2000).hex(), "en", "s") for i in range(64)])
     assert store.append(df.limit(0), "none") == 0 and store.manifest()["runs"] == [] and store.vacuum() == 0
     df = df.withColumn("shard", F.lit("s")).withColumn("shard_", F.lit("t"))
     out = sharding.shard_table(df, scratch(spark, "test-shards"))
