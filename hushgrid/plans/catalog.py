@@ -753,7 +753,7 @@ def latest_drafts(spark, sf_dir):
 
 
 def queries() -> dict[str, Query]:
-    from . import gates  # noqa: F401  registers more
+    from . import context, gates  # noqa: F401  register more
 
     return dict(_QUERIES)
 

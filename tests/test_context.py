@@ -156,3 +156,15 @@ def test_every_rule_with_an_unbounded_group_repeats_it_possessively():
     for r in RULES:
         for m in re.finditer(r"(?<!\\)\)([*+]|\{\d+,\})(?!\+)", r.pattern):
             raise AssertionError(f"{r.kind}: {r.pattern[max(0, m.start() - 30) : m.end()]}")
+
+
+def test_hints_without_a_text_or_a_place(spark):
+    from hushgrid.operators import hints
+
+    texts = spark.createDataFrame([(1, None), (2, "生日 1990-02-11 记"), (3, "")], "id long, text string")
+    given = spark.createDataFrame([(1, "email", 0, 3), (2, "private_date", 3, 14), (2, "private_date", 3, 99), (2, "private_date", -1, 5), (2, "person_name", 2, 3), (2, "other", 3, 13), (3, "email", 0, 1), (9, "email", 0, 1)], "id long, kind string, start int, end int")
+    out = hints.as_candidates(given, texts, ["id"], "text", 2026)
+    assert [(r.id, r.kind, r.start, r.end, r.raw) for r in out.collect()] == [(2, "private_date", 3, 13, "1990-02-11")]
+    none = spark.createDataFrame([], out.drop("valid_id").schema)
+    assert [r.raw for r in hints.with_hints(none, out, ["id"]).collect()] == ["1990-02-11"]
+    assert hints.with_hints(none, out.limit(0), ["id"]).count() == 0
