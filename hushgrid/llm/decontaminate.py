@@ -8,7 +8,8 @@ don't count. A text that holds at least 0.8 of an item's windows is contaminated
 values are the item's own or new ones.
 
 Windows with over two placeholders say too little as templates: they are matched by their literal values,
-and count where the telling windows alone fall short. Items without a window (null, empty or under
+and count where the telling windows alone fall short, or are under half of the item's windows: a few words of
+a dense item make no match. Items without a window (null, empty or under
 five words) match nothing; null and empty texts match nothing, very long ones are searched whole. Repeated
 rows are each reported; a null id is an id. A key named as an output column gets an underscore.
 """
@@ -18,7 +19,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize
+from .common import free_names, materialize
 
 WINDOW = 5
 COVERAGE = 0.8
@@ -106,14 +107,14 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, keys: list[str], text: s
     line = flat.groupBy(*own.values(), "_item", "shift").agg(F.struct(*joined(F.col("plain"))).alias("telling"), F.struct(*joined(F.lit(True))).alias("every"))
     per_item = line.groupBy(*own.values(), "_item").agg(*scores("telling"), *scores("every"))
     telling = F.try_divide("n_telling", "total_telling")
-    enough = F.coalesce(telling >= COVERAGE, F.lit(False))
+    enough = F.coalesce((telling >= COVERAGE) & (F.col("total_telling") * 2 >= F.col("total")), F.lit(False))
     scored = (
         per_item.join(totals, "_item")
         .select("*", F.when(enough, telling).otherwise(F.col("n_every") / F.col("total")).alias("coverage"), F.when(enough, F.col("other_telling")).otherwise(F.col("other_every")).alias("reparameterised"))
         .where(F.col("coverage") >= COVERAGE)
     )
-    free = lambda k: k + "_" if k in (item_id, "coverage", "reparameterised") else k
-    return scored.select(*[F.col(n).alias(free(k)) for k, n in own.items()], F.col("_item").alias(item_id), "coverage", "reparameterised")
+    names = free_names(keys, [item_id, "coverage", "reparameterised"])
+    return scored.select(*[F.col(n).alias(k) for k, n in zip(names, own.values())], F.col("_item").alias(item_id), "coverage", "reparameterised")
 
 
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text: str = "text") -> DataFrame:
@@ -126,23 +127,38 @@ def drop_contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_
 
 
 def oracle_sql() -> str:
-    """The same windows and slots in DuckDB, compared as strings instead of hashes."""
+    """The same windows and slots in DuckDB, compared as strings instead of hashes, dense windows and first words included."""
     units = "|".join(UNITS)
+    slot, value = "(x >= chr(1) and x < chr(4))", "case when x >= chr(1) and x < chr(4) then x[2:] else x end"
+    slots_of = f"list_filter(ws, lambda x: {slot})"
 
-    def windows_of(table: str, key: str) -> str:
-        return f"""(select {key}, i as pos, ws, list_filter(ws, lambda x: x >= chr(1) and x < chr(4)) as slots,
-          array_to_string(list_transform(ws, lambda x: case when x >= chr(1) and x < chr(4) then left(x, 1) else x end), chr(31)) as template
-        from (select {key}, i, t[i:i + {WINDOW - 1}] as ws from (select {key}, t, unnest(range(1, len(t) - {WINDOW - 2})) as i from (
+    def windows_of(table: str, key: str, inside: bool) -> str:
+        plain = f"""(select {key}, i, t[i:i + {WINDOW - 1}] as ws from (select {key}, t, unnest(range(1, len(t) - {WINDOW - 2})) as i from (
           select {key}, list_transform(w, lambda x, i: translate(lower(case when regexp_matches(x, '[0-9]') then chr(1) || x
               when i > 1 and not regexp_matches(w[i - 1], '[.!?:]$') and regexp_matches(x, '\\p{{Lu}}') then chr(2) || x
               when i > 1 and regexp_matches(w[i - 1], '[0-9]') and regexp_matches(x, '^({units})([.,;:!?]|$)') then chr(3) || x else x end), '{_PUNCTUATION}', '')) as t
-          from (select {key}, string_split(trim(regexp_replace(translate(coalesce(text, ''), chr(1) || chr(2) || chr(3), ''), '[\\x20\\x09-\\x0D]+', ' ', 'g')), ' ') as w from {table})) where len(t) >= {WINDOW}))
-        where len(list_filter(ws, lambda x: x >= chr(1) and x < chr(4))) <= 2)"""
+          from (select {key}, string_split(trim(regexp_replace(translate(coalesce(text, ''), chr(1) || chr(2) || chr(3), ''), '[\\x20\\x09-\\x0D]+', ' ', 'g')), ' ') as w from {table})) where len(t) >= {WINDOW}))"""
+        ways = f"(select {key}, i, ws, len({slots_of}) > 2 as dense, false as first from {plain})"
+        if inside:
+            opened = f"(select {key}, i, list_prepend(ws[1][2:], ws[2:]) as ws, false as dense, true as first from {plain} where ws[1] >= chr(2) and ws[1] < chr(4) and len({slots_of}) <= 3)"
+            ways = f"(select * from {ways} union all select * from {opened})"
+        return f"""(select {key}, i as pos, dense, first, case when dense then [] else {slots_of} end as slots,
+          case when dense then chr(30) || array_to_string(list_transform(ws, lambda x: {value}), chr(31)) else array_to_string(list_transform(ws, lambda x: case when {slot} then left(x, 1) else x end), chr(31)) end as template
+        from {ways})"""
+
+    def told(of: str) -> str:
+        return f"""len(list_distinct(list_transform(z{of}, lambda x: x[1]))) = len(z{of}) as ok_{of}, len(list_filter(z{of}, lambda x: x[1] <> x[2])) > 0 as other_{of}"""
 
     return f"""
-    with items as {windows_of("benchmark", "item_id")}, docs as {windows_of("documents", "doc_id")},
-      totals as (select item_id, count(*) as total from items group by 1),
-      hits as (select doc_id, item_id, docs.pos - items.pos as shift, items.pos as item_pos, unnest(case when len(items.slots) = 0 then [null] else list_zip(items.slots, docs.slots) end) as p from docs join items using (template)),
-      line as (select doc_id, item_id, shift, list(distinct item_pos) as places, count(distinct p[1]) = count(distinct p) as ok, coalesce(bool_or(p[1] <> p[2]), false) as other from hits group by all),
-      per as (select doc_id, item_id, len(list_distinct(flatten(list(places)))) as n, bool_or(other) as reparameterised from line where ok group by all)
-    select doc_id, item_id, n / total as coverage, reparameterised from per join totals using (item_id) where n / total >= {COVERAGE}"""
+    with items as {windows_of("benchmark", "item_id", False)}, docs as {windows_of("documents", "doc_id", True)},
+      totals as (select item_id, count(*) as total, count(*) filter (not dense) as total_telling from items group by 1),
+      hits as (select doc_id, item_id, docs.pos - items.pos as shift, items.pos as item_pos, not docs.first and not items.dense as plain, list_zip(items.slots, docs.slots) as z
+               from docs join items using (template) where not docs.first or items.pos = 1),
+      line as (select doc_id, item_id, shift, coalesce(list(distinct item_pos) filter (plain), []) as pt, list(distinct item_pos) as pe,
+               coalesce(list_distinct(flatten(list(z) filter (plain))), []) as zt, list_distinct(flatten(list(z))) as ze from hits group by all),
+      tested as (select *, {told("t")}, {told("e")} from line),
+      per as (select doc_id, item_id, coalesce(len(list_distinct(flatten(list(pt) filter (ok_t)))), 0) as nt, coalesce(len(list_distinct(flatten(list(pe) filter (ok_e)))), 0) as ne,
+              bool_or(other_t) filter (ok_t) as ot, bool_or(other_e) filter (ok_e) as oe from tested group by all),
+      sums as (select *, total_telling * 2 >= total and total_telling > 0 and nt / total_telling >= {COVERAGE} as enough from per join totals using (item_id)),
+      found as (select doc_id, item_id, case when enough then nt / total_telling else ne / total end as coverage, case when enough then ot else oe end as reparameterised from sums)
+    select doc_id, item_id, coverage, reparameterised from found where coverage >= {COVERAGE}"""

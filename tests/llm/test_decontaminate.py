@@ -43,3 +43,16 @@ def test_long_texts_and_clashing_keys(spark):
     got = decontaminate.contaminated(docs, bench, ["item_id"])
     assert got.columns == ["item_id_", "item_id", "coverage", "reparameterised"]
     assert [(r.item_id_, r.item_id, r.coverage) for r in got.collect()] == [(1, 7, 1.0)]
+
+
+def test_a_few_words_of_a_dense_item_are_no_copy(spark):
+    item = "Mix 12 g and 34 g with 56 ml and 78 ml then wait 9 min"
+    texts = ["we stood there for an hour and 5 min then wait for the bus home", "and so on: " + item + " at least", "so we wait 9 min", "Mix 12 g and 34 g with 56 ml"]
+    assert set(found(spark, texts, [item])) == {(1, 0)}
+
+
+def test_keys_named_like_results_whatever_their_case(spark):
+    docs = spark.createDataFrame([(1, "the quick brown fox jumps over the lazy dog")], "COVERAGE long, text string")
+    bench = spark.createDataFrame([(7, "the quick brown fox jumps over the lazy dog")], "item_id long, text string")
+    got = decontaminate.contaminated(docs, bench, ["COVERAGE"])
+    assert got.columns == ["COVERAGE_", "item_id", "coverage", "reparameterised"] and got.count() == 1
