@@ -21,7 +21,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize
+from .common import free_names, materialize
 
 ROLL, BASE, PRIME, MODULUS = 2, 31, 1_000_003, 3
 MIN_LINES, MIN_WORDS = 2, 50
@@ -104,8 +104,8 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text: str = "text") ->
     # texts without marks aren't cut into lines again
     kept = joined.withColumn("_kept", F.expr(f"if(marks is null, null, {_KEPT.format(text=own[text])})"))
     after = F.when(F.col("marks").isNull(), F.col(own[text])).otherwise(F.concat_ws("\n", "_kept"))
-    free = lambda c: c + "_" if c in ("lines_before", "lines_removed") else c
-    cols = [(after if c == text else F.col(n)).alias(free(c)) for c, n in own.items()]
+    names = free_names(docs.columns, ["lines_before", "lines_removed"])
+    cols = [(after if c == text else F.col(n)).alias(k) for k, (c, n) in zip(names, own.items())]
     before = F.size(F.split(F.coalesce(F.col(own[text]), F.lit("")), "\n", -1))
     return kept.select(*cols, before.alias("lines_before"), F.when(F.col("marks").isNull(), 0).otherwise(before - F.size("_kept")).alias("lines_removed"))
 
