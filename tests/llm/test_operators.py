@@ -715,3 +715,15 @@ def test_written_tables_are_read_back(spark):
     df = spark.createDataFrame([(1, None), (2, "x")], "a int, b string")
     assert sorted(r.a for r in materialize(df, "t").collect()) == [1, 2]
     assert zlib.crc32(b"12") % 7 == spark.range(12, 13).select((F.crc32(F.col("id").cast("string").cast("binary")) % 7).alias("m")).first().m
+
+
+def test_more_ranges_than_may_be_open_give_the_same_scores(spark, monkeypatch):
+    rng = random.Random(8)
+    df = spark.createDataFrame([(i, sentence(rng, 40)) for i in range(60)], "doc_id long, text string").coalesce(1)
+    model = ngram_lm.fit(df, F.col("text"))
+    tables = ngram_lm._Tables(model.root, model.bits)
+    keys = np.sort(np.array([rng.getrandbits(ngram_lm.WORD_BITS) for _ in range(500)], np.uint64))
+    whole = tables.word(keys)
+    monkeypatch.setattr(ngram_lm, "OPEN", 1)
+    few = ngram_lm._Tables(model.root, model.bits)
+    assert (few.word(keys) == whole).all() and (few.bigram(keys) == tables.bigram(keys)).all() and len(few.files) == 1
