@@ -49,13 +49,12 @@ def term_counts(df: DataFrame, lang: Column, source: Column, text: Column) -> Da
         n: dict[tuple[str, str], Counter] = {}
         docs: dict[tuple[str, str], Counter] = {}
 
-        def flush() -> pd.DataFrame:
-            out = pd.concat([
-                pd.DataFrame({"lang": k[0], "source": k[1], "term": list(c), "n": list(c.values()), "docs": list(map(docs[k].__getitem__, c))}) for k, c in n.items()
-            ])
+        def flush() -> Iterator[pd.DataFrame]:
+            for k, c in n.items():
+                if c:
+                    yield pd.DataFrame({"lang": k[0], "source": k[1], "term": list(c), "n": list(c.values()), "docs": list(map(docs[k].__getitem__, c))})
             n.clear()
             docs.clear()
-            return out
 
         for b in batches:
             for key, rows in b.groupby(["lang", "source"], sort=False)["text"]:
@@ -65,9 +64,8 @@ def term_counts(df: DataFrame, lang: Column, source: Column, text: Column) -> Da
                     total.update(words)
                     seen.update(set(words))
             if sum(map(len, n.values())) > HELD:
-                yield flush()
-        if n:
-            yield flush()
+                yield from flush()
+        yield from flush()
 
     rows = df.select(F.coalesce(lang, F.lit("")).alias("lang"), F.coalesce(source, F.lit("")).alias("source"), F.coalesce(text, F.lit("")).alias("text"))
     counted = rows.mapInPandas(count, "lang string, source string, term string, n long, docs long")

@@ -98,7 +98,7 @@ def scanned(spark, texts):
 
 def test_licences_as_a_search_without_an_index(spark):
     rng, every = random.Random(3), licences.BASE + licences.NOTICES
-    texts = [None, "", "   ", "mit license", "Licensed CC BY-NC 4.0; MIT  license, mit\nLICENSE", "license mit", "gnu general gnu general public license public license", "x" * 100_000, "the software " * 40_000 + "MIT License"]
+    texts = [None, "", "   ", "mit license", "Licensed CC BY-NC 4.0; MIT  license, mit\nLICENSE", "license mit", "gnu general gnu general public license public license", "x" * 100_000, "the software " * 40_000 + "MIT License", *(f"See {t.wording}." for t in every)]
     for _ in range(120):
         t = rng.choice(every)
         words = t.words[rng.choice([0, 0, 0, 1, 2]) :]
