@@ -15,7 +15,7 @@ UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 def shared_dir(spark: SparkSession) -> str:
     """The shared folder of the cluster; a temporary one only where the session names none."""
-    base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.sparkContext.getCheckpointDir()
     if not base:
         base = tempfile.mkdtemp(prefix="spark-hushgrid-")
         spark.sparkContext.setCheckpointDir(base)
@@ -40,6 +40,29 @@ def drop_path(spark: SparkSession, path: str) -> None:
     at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
 
 
+#: Rows of an Arrow batch that hold whole texts: batches are what bounds a worker's memory.
+BATCH = 1000
+
+
+def small_batches(spark: SparkSession) -> SparkSession:
+    """A session of the same application with the settings of ``spark`` but Arrow batches of ``BATCH`` rows at most; ``spark`` stays as it is."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    own = spark.newSession()
+    for k, v in spark.conf.getAll.items():
+        if k.startswith("spark.sql.") and spark.conf.isModifiable(k):
+            own.conf.set(k, v)
+    rows = int(own.conf.get(name))
+    own.conf.set(name, str(min(rows, BATCH) if rows > 0 else BATCH))
+    return own
+
+
+def written(df: DataFrame, what: str) -> str:
+    """The path of ``df`` as a table in the shared folder, for any session to read."""
+    path = scratch(df.sparkSession, what)
+    df.write.parquet(path)
+    return path
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 

@@ -25,15 +25,13 @@ import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import drop_path, materialize, scratch
+from .common import drop_path, materialize, scratch, small_batches, written
 from .components import components
 from .simhash import CHUNK, ring
 
 SHINGLE, LEAST = 5, Fraction(4, 5)
 #: Shingles found more often than this, as counted within ``AT_ONCE`` texts each, are moved to the end of the order; the most common ``MOST`` at most.
 COMMON, AT_ONCE, MOST = 64, 1000, 200_000
-#: Rows of an Arrow batch while the sets are made: they hold whole texts.
-BATCH, _BATCH_CONF = 1000, "spark.sql.execution.arrow.maxRecordsPerBatch"
 #: Bits of 64 in which fingerprints may differ (two sets of similarity 0.8 differ in 10, seldom in 20), and sets they aren't used for.
 BUDGET, FEW = 28, 32
 #: Nodes of a shingle up to which pairs are joined; nodes and shingles of a block beyond that.
@@ -257,22 +255,18 @@ def keep_one(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> D
     """``df`` with one row of each component: that of the smallest id (nulls last), of repeated ones the first stored.
 
     Null and empty texts have no shingle and are equal; very long ones count whole. Rows are numbered in a written copy, so that
-    equal rows and null ids can be told apart. What needs Python has run when this returns.
+    equal rows and null ids can be told apart. Texts go to Python in small Arrow batches, in a session of their own.
     """
-    conf, before = df.sparkSession.conf, df.sparkSession.conf.get(_BATCH_CONF)
-    conf.set(_BATCH_CONF, str(min(int(before), BATCH) if int(before) > 0 else BATCH))
-    try:
-        return _keep_one(df, id_col, text_col)
-    finally:
-        conf.set(_BATCH_CONF, before)
-
-
-def _keep_one(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    spark = df.sparkSession
     own = {c: f"_c{i}" for i, c in enumerate(df.columns)}
-    rows = df.select(*[F.col(f"`{c}`").alias(n) for c, n in own.items()])
-    numbered = materialize(rows.select("*", _digest(F.col(own[text_col])).alias("set"), F.monotonically_increasing_id().alias("row_no")).select(*own.values(), "row_no", "set.*"), "numbered")
+    rows = df.select(*[F.col(f"`{c}`").alias(n) for c, n in own.items()]).withColumn("row_no", F.monotonically_increasing_id())
+    path = written(rows, "numbered")
+    numbered = small_batches(spark).read.schema(rows.schema).parquet(path)
+    sets = materialize(numbered.select(own[id_col], "row_no", _digest(F.col(own[text_col])).alias("set")).select(own[id_col], "row_no", "set.*"), "digests")
     first = F.min(F.struct(F.col(own[id_col]).isNull().alias("none"), F.col(own[id_col]).alias("id"), "row_no")).alias("first")
-    reps = materialize(numbered.groupBy("digest").agg(first, F.min("row_no").alias("node"), F.first("n").alias("n"), F.first("fp").alias("fp")), "reps")
+    reps = materialize(sets.groupBy("digest").agg(first, F.min("row_no").alias("node"), F.first("n").alias("n"), F.first("fp").alias("fp")), "reps")
     found = components(links(numbered.select("row_no", own[text_col]), reps.select("node", "n", "fp"), own[text_col]))
     group = reps.join(found, "node", "left").groupBy(F.coalesce("root", "node").alias("g")).agg(F.min("first").alias("first"))
-    return numbered.join(group.select(F.col("first.row_no").alias("row_no")), "row_no", "left_semi").select(*[F.col(n).alias(c) for c, n in own.items()])
+    kept = written(group.select(F.col("first.row_no").alias("row_no")), "kept")
+    stored = spark.read.schema(rows.schema).parquet(path)
+    return stored.join(spark.read.schema("row_no long").parquet(kept), "row_no", "left_semi").select(*[F.col(n).alias(c) for c, n in own.items()])

@@ -21,7 +21,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize
+from .common import drop_path, materialize, small_batches, written
 
 #: Share of the naive sum of log ratios that counts, as measures of one text depend on each other.
 TEMPER = 0.7
@@ -30,6 +30,8 @@ KEEP_AT = 0.5
 #: Bounds of the strengths.
 LEAST, MOST = 1.0, 1e4
 MEASURES = ("repeats", "variety", "symbols", "capitals", "digits", "word_length", "ends")
+#: More than any bin's number.
+_BINS = 100_000
 _SYMBOLS = b"|#$%&*@^~<>{}[]_=+\\/"
 
 
@@ -68,13 +70,11 @@ class QualityModel:
     sites: DataFrame  # host, path, n, total, parent, strength
 
     def log_ratio(self, binned: Column) -> Column:
-        known = self.evidence
-
-        @F.pandas_udf("double")
-        def ratio(rows: pd.Series) -> pd.Series:
-            return pd.Series([TEMPER * sum(known.get((m, int(b)), 0.0) for m, b in enumerate(row)) for row in rows], dtype="float64")
-
-        return ratio(binned)
+        if not self.evidence:
+            return F.lit(0.0)
+        known = F.create_map(*[F.lit(x) for (m, b), w in self.evidence.items() for x in (m * _BINS + b, TEMPER * w)])
+        terms = F.transform(binned, lambda b, m: F.coalesce(F.try_element_at(known, m * _BINS + b), F.lit(0.0)))
+        return F.aggregate(terms, F.lit(0.0), lambda a, x: a + x)
 
 
 def _logit(p: Column) -> Column:
@@ -101,7 +101,15 @@ def _strength(groups: DataFrame) -> float:
 
 def fit(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, host: str, path: str, label: str) -> tuple[QualityModel, DataFrame]:
     """The model, and the judged rows of ``docs`` without their texts: id, host, path, ratio."""
-    slim = materialize(docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(host).cast("string"), F.lit("")).alias("host"), F.coalesce(F.col(path).cast("string"), F.lit("")).alias("path"), bins(F.col(text_col)).alias("bins")), "measures")
+    return fit_measured(materialize(docs.select(*_sites(id_col, host, path), bins(F.col(text_col)).alias("bins")), "measures"), labels, id_col, label)
+
+
+def _sites(id_col: str, host: str, path: str) -> list[Column]:
+    return [F.col(f"`{id_col}`").alias("id"), *[F.coalesce(F.col(f"`{c}`").cast("string"), F.lit("")).alias(n) for c, n in ((host, "host"), (path, "path"))]]
+
+
+def fit_measured(slim: DataFrame, labels: DataFrame, id_col: str, label: str) -> tuple[QualityModel, DataFrame]:
+    """``fit`` over a written table of id, host, path and bins."""
     told = labels.where(F.col(label).isNotNull()).groupBy(F.col(id_col).alias("id")).agg(F.min(label).cast("int").alias("good"))
     # bounded: measures times bins
     counted = slim.join(told, "id").select("good", F.posexplode("bins").alias("m", "b")).groupBy("m", "b").agg(F.sum("good").alias("good"), F.count("*").alias("n")).collect()
@@ -147,11 +155,14 @@ def judge(docs: DataFrame, labels: DataFrame, id_col="doc_id", text_col="text",
 
 
 def keep_good(docs: DataFrame, labels: DataFrame, id_col="doc_id", text_col="text", host="source", path="lang", label="quality") -> DataFrame:
-    """The rows of ``docs`` that are kept, with the columns of ``docs``."""
-    model, _ = fit(docs, labels, id_col, text_col, host, path, label)
+    """The rows of ``docs`` that are kept, with the columns of ``docs``. Texts are measured once, in small Arrow batches."""
+    spark = docs.sparkSession
     own = {c: f"_c{i}" for i, c in enumerate(docs.columns)}
-    rows = docs.select(
-        *[F.col(f"`{c}`").alias(n) for c, n in own.items()], F.coalesce(F.col(host).cast("string"), F.lit("")).alias("host"),
-        F.coalesce(F.col(path).cast("string"), F.lit("")).alias("path"), model.log_ratio(bins(F.col(text_col))).alias("ratio"),
-    )
-    return with_posterior(rows, model).where("keep").select(*[F.col(n).alias(c) for c, n in own.items()])
+    rows = docs.select(*[F.col(f"`{c}`").alias(n) for c, n in own.items()], *_sites(id_col, host, path))
+    copied = written(rows, "copied")
+    measured = small_batches(spark).read.schema(rows.schema).parquet(copied).select("*", bins(F.col(own[text_col])).alias("bins"))
+    whole = spark.read.schema(measured.schema).parquet(written(measured, "measured"))
+    drop_path(spark, copied)
+    model, _ = fit_measured(whole.select("id", "host", "path", "bins"), labels, id_col, label)
+    judged = whole.select(*own.values(), "host", "path", model.log_ratio(F.col("bins")).alias("ratio"))
+    return with_posterior(judged, model).where("keep").select(*[F.col(n).alias(c) for c, n in own.items()])
