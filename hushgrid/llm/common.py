@@ -57,9 +57,9 @@ def small_batches(spark: SparkSession) -> SparkSession:
 
 
 def written(df: DataFrame, what: str) -> str:
-    """The path of ``df`` as a table in the shared folder, for any session to read."""
+    """The path of ``df`` as a table in the shared folder, for any session to read; whole texts take least disk as zstd."""
     path = scratch(df.sparkSession, what)
-    df.write.parquet(path)
+    df.write.option("compression", "zstd").parquet(path)
     return path
 
 
