@@ -38,6 +38,8 @@ def t(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 _BY_KIND = {k: tuple(r for r in RULES if r.kind in k.split(",")) for k in ("email", "ipv4", "bank_card", "credential", "email,ipv4,bank_card,credential")}
+#: All rules but those of accounts that context alone tells: these have a query with SQL of their own, ``account_spans``.
+TOLD = tuple(r for r in RULES if not r.yields)
 C = f"with c as ({syn.candidates_sql()})"
 
 
@@ -92,14 +94,14 @@ def detect_credentials(spark, sf_dir):
 @register("detect_all_kinds", f"with {found_sql()} select doc_id, kind, count(*) as n, false as inferred, any_value(decision) as decision, null as policy, min(start_) as first_start, null as warning from found group by 1, 2")
 def detect_all_kinds(spark, sf_dir):
     """All rules over all documents in one pass, resolved and counted."""
-    found = spans.detect(t(spark, sf_dir, "documents"), ["doc_id"], "text")
+    found = spans.detect(t(spark, sf_dir, "documents"), ["doc_id"], "text", TOLD)
     return findings.findings(resolve.select_spans(found, ["doc_id"]), ["doc_id"])
 
 
 @register("detect_conversations", f"""with {found_sql("conversations", "conv_id, turn")}, n as (select conv_id, turn, count(*) as n from found group by all)
     select conv_id, turn, coalesce(n, 0) as n from conversations left join n using (conv_id, turn)""")
 def detect_conversations(spark, sf_dir):
-    found = spans.detect(t(spark, sf_dir, "conversations"), ["conv_id", "turn"], "text")
+    found = spans.detect(t(spark, sf_dir, "conversations"), ["conv_id", "turn"], "text", TOLD)
     per = findings.findings(resolve.select_spans(found, ["conv_id", "turn"]), ["conv_id", "turn"]).groupBy("conv_id", "turn").agg(F.sum("n").alias("n"))
     return t(spark, sf_dir, "conversations").select("conv_id", "turn").join(per, ["conv_id", "turn"], "left").select("conv_id", "turn", F.coalesce("n", F.lit(0)).alias("n"))
 

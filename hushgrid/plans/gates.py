@@ -15,7 +15,7 @@ from ..sources import sinks
 from ..sources.scratch import scratch
 from ..streaming.detect import detect_stream
 from . import synthetic as syn
-from .catalog import C, register, t
+from .catalog import TOLD, C, register, t
 from .found import found_sql
 
 def K() -> Column:  # noqa: N802
@@ -344,5 +344,5 @@ def stream_findings(spark, sf_dir):
     """Documents as a stream, detected batch by batch."""
     docs = spark.readStream.schema(t(spark, sf_dir, "documents").schema).parquet(f"{sf_dir}/documents.parque[t]")
     out = scratch(spark, "findings")
-    detect_stream(docs.select("doc_id", "text"), ["doc_id"], "text", out, scratch(spark, "state"))
+    detect_stream(docs.select("doc_id", "text"), ["doc_id"], "text", out, scratch(spark, "state"), TOLD)
     return spark.read.parquet(out).select("doc_id", "kind", "n", "decision")
