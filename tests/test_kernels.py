@@ -69,9 +69,9 @@ def office(**parts):
 
 def test_office():
     data = office(word__document_xml='<w:t>Tom &amp; Ann</w:t><a href="http://x">y</a>')
-    assert files.office_text(data) == ("http://x Tom & Ann y", "full", None)
-    assert files.office_text(office(word__document_xml="<t>a</t>", word__media__a_png="x"))[1:] == ("partial", "embedded_media")
-    assert files.office_text(b"no archive")[2] == "parse_failed"
+    assert files.office_text(data, "docx", ["word/document.xml"]) == ("http://x Tom & Ann y", "complete", None)
+    assert files.office_text(data, "xlsx", ["word/document.xml"])[2] == files.office_text(data, "docx", [])[2] == "parse_failed"
+    assert files.office_text(office(word__document_xml="<t>a</t>", word__media__a_png="x"), "docx", ["word/document.xml"])[1:] == ("partial", "embedded_media")
 
 
 def test_images():
