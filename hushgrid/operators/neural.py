@@ -10,6 +10,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..functions.patterns import AFTER_NAME, NAME
+from ..functions.validators import person
 from .resolve import islands
 
 #: Characters that may stand in a gap inside a span.
@@ -38,28 +40,31 @@ def _allowed(before: str, now: str) -> bool:
     return before[0] in "BI" and before[2:] == now[2:]
 
 
-def decode_tags(logits: np.ndarray, labels: list[str], valid: np.ndarray | None = None) -> list[str]:
-    """The best path of allowed tags; tokens that aren't valid are O; the first of equal paths wins."""
-    n, k = logits.shape
-    if not n:
-        return []
-    x = logits.astype(np.float64).copy()
-    outside = labels.index("O")
-    if valid is not None:
-        x[~valid] = -np.inf
-        x[~valid, outside] = 0.0
+def decode_windows(logits: np.ndarray, labels: list[str], valid: np.ndarray) -> np.ndarray:
+    """Indices (windows, tokens) of the best paths of allowed tags; tokens that aren't valid are O; the first of equal paths wins."""
+    w, n, k = logits.shape
+    x = logits.astype(np.float64)
+    x[~valid] = np.where([t == "O" for t in labels], 0.0, -np.inf)
     step = np.array([[0.0 if _allowed(a, b) else -np.inf for b in labels] for a in labels])
-    best = np.where([t[0] in "OB" for t in labels], x[0], -np.inf)
-    back = np.zeros((n, k), int)
+    best = np.where([t[0] in "OB" for t in labels], x[:, 0], -np.inf)
+    back = np.zeros((n, w, k), np.int16)
     for i in range(1, n):
-        paths = best[:, None] + step
-        back[i] = paths.argmax(axis=0)
-        best = paths.max(axis=0) + x[i]
-    best = np.where([t[0] in "OBE" for t in labels], best, -np.inf)
-    path = [int(best.argmax())]
+        paths = best[:, :, None] + step
+        back[i] = paths.argmax(axis=1)
+        best = paths.max(axis=1) + x[:, i]
+    path = np.zeros((w, n), np.int64)
+    path[:, -1] = np.where([t[0] in "OBE" for t in labels], best, -np.inf).argmax(axis=1)
     for i in range(n - 1, 0, -1):
-        path.append(int(back[i][path[-1]]))
-    return [labels[p] for p in reversed(path)]
+        path[:, i - 1] = back[i][np.arange(w), path[:, i]]
+    return path
+
+
+def decode_tags(logits: np.ndarray, labels: list[str], valid: np.ndarray | None = None) -> list[str]:
+    """The best path of one window."""
+    if not len(logits):
+        return []
+    told = np.ones(len(logits), bool) if valid is None else valid
+    return [labels[p] for p in decode_windows(logits[None], labels, told[None])[0]]
 
 
 def tag_spans(text: str, tags: list[str], offsets: list[tuple[int, int]], confidence: list[float], threshold: float) -> list[tuple[int, int, str]]:
@@ -106,6 +111,14 @@ def merge_spans(spans: DataFrame, keys: list[str]) -> DataFrame:
     return docs.select(*keys, F.explode(kept).alias("x")).select(*keys, "x.start", "x.end", "x.label")
 
 
+def _spans(text: str, offsets: list[tuple[int, int]], logits: np.ndarray, labels: list[str], threshold: float) -> list[tuple[int, int, str]]:
+    """Spans of one window from its logits."""
+    tags = decode_tags(logits, labels, np.array([a < b for a, b in offsets], bool))
+    e = np.exp(logits - logits.max(axis=1, keepdims=True))
+    p = e[np.arange(len(tags)), [labels.index(t) for t in tags]] / e.sum(axis=1)
+    return tag_spans(text, tags, offsets, list(p), threshold)
+
+
 def decode(df: DataFrame, keys: list[str], labels: list[str], threshold: float) -> DataFrame:
     """(keys, start, end, label) from text, offsets (array of arrays) and logits (array of arrays) of windows."""
     schema = T.StructType([*df.select(*keys).schema, T.StructField("start", T.IntegerType()), T.StructField("end", T.IntegerType()), T.StructField("label", T.StringType())])
@@ -115,11 +128,7 @@ def decode(df: DataFrame, keys: list[str], labels: list[str], threshold: float)
             rows = []
             for r in f.to_dict("records"):
                 x = np.array([list(map(float, v)) for v in r["logits"]]).reshape(-1, len(labels))
-                offsets = [(int(a), int(b)) for a, b in r["offsets"]]
-                tags = decode_tags(x, labels, np.array([a < b for a, b in offsets], bool))
-                e = np.exp(x - x.max(axis=1, keepdims=True))
-                p = e[np.arange(len(tags)), [labels.index(t) for t in tags]] / e.sum(axis=1)
-                rows += [[*(r[k] for k in keys), *s] for s in tag_spans(r["text"], tags, offsets, list(p), threshold)]
+                rows += [[*(r[k] for k in keys), *s] for s in _spans(r["text"], [(int(a), int(b)) for a, b in r["offsets"]], x, labels, threshold)]
             yield pd.DataFrame(rows, columns=[*keys, "start", "end", "label"])
 
     return df.select(*keys, "text", "offsets", "logits").mapInPandas(run, schema)
@@ -148,17 +157,123 @@ def first_account(raw: Column) -> Column:
     return F.nullif(F.regexp_extract(raw, r"@?[A-Za-z0-9][A-Za-z0-9._-]{2,63}", 0), F.lit(""))
 
 
-def predict(texts: DataFrame, keys: list[str], labels: list[str], threshold: float) -> DataFrame:
-    """Spans of whole texts from the logits of their windows: decoded, those at inner window edges left out, merged.
+def window_pieces(tokens: DataFrame, keys: list[str], max_length: int = 256, stride: int = 64) -> DataFrame:
+    """(keys, window, length, at, piece, ids, offsets): what each window covers of a text, whose places start at ``at``.
 
-    texts: keys, text, and windows, an array of (lo, hi, offsets, logits) with offsets in the text.
+    tokens: keys, text, ids and offsets (array of start and end structs) of whole texts; texts without tokens have no
+    window. Pieces are cut where they are listed, so a long text isn't repeated with each of its windows.
     """
-    each = texts.select(*keys, "text", F.posexplode("windows").alias("window", "w")).select(*keys, "window", "text", F.col("w.lo").alias("lo"), F.col("w.hi").alias("hi"), F.col("w.offsets").alias("offsets"), F.col("w.logits").alias("logits"))
-    found = decode(each, [*keys, "window"], labels, threshold).join(each.select(*keys, "window", "lo", "hi", F.length("text").alias("n")), [*keys, "window"])
-    inside = found.where(inside_window(F.col("start"), F.col("end"), F.col("lo"), F.col("hi"), F.col("n")))
+    capacity, step = max_length - 2, max_length - 2 - stride
+    n = F.size("ids")
+    count = F.when(n <= capacity, 1).otherwise(F.ceil((n - capacity) / F.lit(step)) + 1).cast("int")
+
+    def cut(w: Column) -> Column:
+        lo, last = w * step, F.least(w * step + capacity, n) - 1
+        at, end = F.get("offsets", lo)["start"], F.get("offsets", last)["end"]
+        return F.struct(w.alias("window"), at.alias("at"), F.substring("text", at + 1, end - at).alias("piece"), F.slice("ids", lo + 1, last - lo + 1).alias("ids"), F.slice("offsets", lo + 1, last - lo + 1).alias("offsets"))
+
+    listed = tokens.where(n > 0).select(*keys, F.length("text").alias("length"), F.transform(F.sequence(F.lit(0), count - 1), cut).alias("w"))
+    return listed.select(*keys, "length", F.explode("w").alias("w")).select(*keys, "length", "w.*")
+
+
+#: Windows whose paths are found together.
+TOGETHER = 64
+
+
+def padded_batch(ids: np.ndarray, special: tuple[int, int, int], width: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(input_ids, attention_mask, token_type_ids), each (1, width): start, ids, end, padding. Every window has one width,
+    so that a token's scores don't depend on the text's length."""
+    row = np.full(width, special[2], np.int64)
+    row[0], row[1 : len(ids) + 1], row[len(ids) + 1] = special[0], ids, special[1]
+    return row[None], (np.arange(width) < len(ids) + 2).astype(np.int64)[None], np.zeros((1, width), np.int64)
+
+
+def logits_rows(data: np.ndarray, dims: tuple[int, ...]) -> np.ndarray:
+    """(batch, sequence, labels) from a flat array; any other shape is an error."""
+    if len(dims) != 3 or any(int(d) != d or d <= 0 for d in dims) or np.size(data) != np.prod(dims):
+        raise ValueError("logits must be flat with dims (batch, sequence, labels)")
+    return np.asarray(data, np.float64).reshape([int(d) for d in dims])
+
+
+def predict(tokens: DataFrame, keys: list[str], labels: list[str], threshold: float, make_runner, special: tuple[int, int, int], max_length: int = 256, stride: int = 64) -> DataFrame:
+    """(keys, start, end, label) of whole texts: windows, logits, constrained tags, spans, those cut by a window left out, merged.
+
+    tokens: as for ``window_pieces``. ``special`` are the ids of start, end and padding. ``make_runner()`` is called once in
+    a task and gives the model: a function of the arrays of ``padded_batch`` to (flat logits, dims). Windows go to it one by
+    one, so a result doesn't depend on what else is in a batch. Special tokens and padding have no width, which keeps them
+    outside. Logits stay in the task that made them.
+    """
+    windows = window_pieces(tokens, keys, max_length, stride)
+    schema = T.StructType([*windows.select(*keys).schema, *[T.StructField(c, T.IntegerType()) for c in ("start", "end")], T.StructField("label", T.StringType()), *[T.StructField(c, T.IntegerType()) for c in ("lo", "hi", "length")]])
+
+    def one(model, ids: np.ndarray) -> np.ndarray:
+        x = logits_rows(*model(*padded_batch(ids, special, max_length)))
+        if x.shape != (1, max_length, len(labels)):
+            raise ValueError("logits of another shape than the window")
+        return x[0]
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        model = make_runner()
+        for f in frames:
+            rows = []
+            for i in range(0, len(f), TOGETHER):
+                some = f.iloc[i : i + TOGETHER].to_dict("records")
+                x = np.stack([one(model, r["ids"]) for r in some])
+                offsets = np.zeros((len(some), max_length, 2), np.int64)
+                for at, r in zip(offsets, some):
+                    told = np.array([(o["start"], o["end"]) for o in r["offsets"]])
+                    at[1 : len(told) + 1] = np.where(told[:, :1] < told[:, 1:], told - r["at"], 0)
+                tags = decode_windows(x, labels, offsets[:, :, 0] < offsets[:, :, 1])
+                e = np.exp(x - x.max(axis=2, keepdims=True))
+                sure = np.take_along_axis(e, tags[:, :, None], 2)[:, :, 0] / e.sum(axis=2)
+                for r, o, path, p in zip(some, offsets.tolist(), tags, sure.tolist()):
+                    wide = [v for v in o if v[0] < v[1]] or [[0, 0]]
+                    found = tag_spans(r["piece"], [labels[t] for t in path], o, p, threshold)
+                    rows += [[*(r[k] for k in keys), a + r["at"], b + r["at"], name, wide[0][0] + r["at"], wide[-1][1] + r["at"], r["length"]] for a, b, name in found]
+            yield pd.DataFrame(rows, columns=schema.names)
+
+    found = windows.select(*keys, "length", "at", "piece", "ids", "offsets").mapInPandas(run, schema)
+    inside = found.where(inside_window(F.col("start"), F.col("end"), F.col("lo"), F.col("hi"), F.col("length")))
     return merge_spans(inside.select(*keys, "start", "end", "label"), keys)
 
 
+#: How far names are looked for, how far bounds move, and what is looked at of a name with what follows it.
+NEAR, SHIFT, LONGEST_NAME = 4, 2, 24
+
+
+def repair_people(spans: DataFrame, texts: DataFrame, keys: list[str], text: str = "text") -> DataFrame:
+    """Spans (keys, start, end) of people, moved to the one name that each means; those that mean none, or several, stay as they are.
+
+    Names are looked for from four characters before to four after a span: they overlap it, or start at most two after it.
+    The first of these that holds decides: a name of the same bounds; the only one that starts up to two before and ends
+    within three of its end; the only one with its start that ends up to two earlier; the only one inside; the only one
+    right after a span that ends on 是, 为 or 叫. A span that itself reads as a whole
+    name stays, unless the name reaches beyond it on either side. Out: keys, the span's own
+    from_start and from_end, start, end. Equal spans are one row; spans of a null text go.
+    """
+    s, e = F.col("start"), F.col("end")
+    at = spans.select(*keys, "start", "end").distinct().join(texts.select(*keys, F.col(text).alias("_text")), keys)
+    lo = F.greatest(s - NEAR, F.lit(0))
+    near = at.select(*keys, "start", "end", lo.alias("_lo"), F.substring("_text", lo + 1, e + NEAR - lo + LONGEST_NAME).alias("_near"), F.substring("_text", s + 1, e - s).alias("_raw"), F.least(e + NEAR, F.length("_text")).alias("_hi"))
+    each = F.transform(F.sequence(F.lit(0), F.greatest(F.col("_hi") - F.col("_lo") - 1, F.lit(0))), lambda i: F.struct((F.col("_lo") + i).alias("at"), F.regexp_extract(F.substring("_near", i + 1, F.lit(LONGEST_NAME)), f"^{NAME}{AFTER_NAME}", 0).alias("name")))
+    real = F.filter(each, lambda n: (n["name"] != "") & person(n["name"]))
+    placed = F.transform(real, lambda n: F.struct(n["at"].cast("int").alias("a"), (n["at"] + F.length(n["name"])).cast("int").alias("b")))
+    told = F.filter(placed, lambda n: ((n["a"] < e) & (s < n["b"])) | ((n["a"] >= e) & (n["a"] - e <= SHIFT)))
+    listed = near.withColumn("_names", told).withColumn("_names", F.expr("aggregate(_names, slice(_names, 1, 0), (acc, n) -> if(size(acc) = 0 or n.a >= try_element_at(acc, -1).b, array_append(acc, n), acc))"))
+    only = lambda test: (lambda hit: F.when(F.size(hit) == 1, F.get(hit, F.lit(0))))(F.filter("_names", test))
+    copula = F.col("_raw").rlike("[是为叫]$")
+    best = F.coalesce(
+        only(lambda n: (n["a"] == s) & (n["b"] == e)), only(lambda n: (n["a"] < s) & (s - n["a"] <= SHIFT) & (F.abs(n["b"] - e) <= 3)),
+        only(lambda n: (n["a"] == s) & (n["b"] <= e) & (e - n["b"] <= SHIFT)), only(lambda n: (n["a"] >= s) & (n["b"] <= e)),
+        F.when(copula, only(lambda n: (n["a"] >= e) & (n["a"] - e <= SHIFT))),
+    )
+    flat = F.regexp_replace("_raw", r"[\s·・]", "")
+    whole = flat.rlike(r"^[\x{3400}-\x{9fff}]+$") & ((F.length(flat) <= 4) | F.col("_raw").rlike(r"[\s·・]"))
+    found = listed.where("_near is not null").withColumn("_best", best)
+    moves = F.col("_best").isNotNull() & (~whole | (F.col("_best.a") < s) | (F.col("_best.b") > e) | ((F.col("_best.a") >= e) & copula))
+    return found.select(*keys, s.alias("from_start"), e.alias("from_end"), F.when(moves, F.col("_best.a")).otherwise(s).alias("start"), F.when(moves, F.col("_best.b")).otherwise(e).alias("end"))
+
+
 def check_manifest(m: dict) -> dict:
     """A model manifest with labels, threshold, max_length and stride in range; anything else is an error."""
     if not m.get("labels") or not 0 < m.get("threshold", 0) <= 1 or not m.get("max_length", 0) > 2 or not 0 <= m.get("stride", -1) < m["max_length"] - 2:

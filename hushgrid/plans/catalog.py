@@ -755,7 +755,7 @@ def latest_drafts(spark, sf_dir):
 
 
 def queries() -> dict[str, Query]:
-    from . import context, gates, scans  # noqa: F401  register more
+    from . import context, gates, model, scans  # noqa: F401  register more
 
     return dict(_QUERIES)
 
