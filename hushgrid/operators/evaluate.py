@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .resolve import islands, overlap_join
@@ -71,3 +71,26 @@ def arms(rules: DataFrame, hints: DataFrame) -> DataFrame:
             rows = rows.withColumn("arm", F.lit(f"{'rules_model' if model else 'rules'}_{profile}"))
             out = rows if out is None else out.unionByName(rows)
     return out
+
+
+def skeleton(text: Column, values: Column) -> Column:
+    """What is left of a text without its values, blanks and punctuation: every occurrence of each value goes, in their order."""
+    bare = F.aggregate(F.filter(values, lambda v: v != ""), text, lambda acc, v: F.replace(acc, v, F.lit("")))
+    return F.regexp_replace(bare, r"[^\p{L}\p{N}]+", "")
+
+
+def leaks(train: DataFrame, evaluation: DataFrame, keys: list[str]) -> DataFrame:
+    """(keys, same_context, same_value) of evaluation texts that training knows.
+
+    Both sides: text and values (array of the spans' texts); evaluation with keys. A context is known if a training text
+    has the same skeleton, whatever values stood in either; one without letters or digits tells nothing. A value is known
+    if a training span has it. Digests meet in joins, training ones once each. Null texts have no skeleton, null values none.
+    """
+    digest = lambda: F.sha2(F.nullif(skeleton(F.col("text"), F.coalesce("values", F.array().cast("array<string>"))), F.lit("")), 256)
+    contexts = train.select(digest().alias("_d")).where("_d is not null").distinct().withColumn("_c", F.lit(True))
+    told = train.select(F.explode(F.array_distinct("values")).alias("_v")).select(F.sha2("_v", 256).alias("_d")).where("_d is not null").distinct()
+    asked = evaluation.select(*keys, F.explode(F.array_distinct("values")).alias("_v")).select(*keys, F.sha2("_v", 256).alias("_d"))
+    values = asked.join(told, "_d", "left_semi").select(*keys).distinct().withColumn("_s", F.lit(True))
+    found = evaluation.select(*keys, digest().alias("_d")).join(contexts, "_d", "left").groupBy(*keys).agg(F.bool_or(F.col("_c").isNotNull()).alias("same_context"))
+    out = found.join(values, keys, "left").select(*keys, "same_context", F.col("_s").isNotNull().alias("same_value"))
+    return out.where("same_context or same_value")

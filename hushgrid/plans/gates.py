@@ -10,7 +10,7 @@ from ..functions import text as tx
 from ..functions import unicode
 from ..functions import validators as v
 from ..functions.patterns import RULES
-from ..operators import findings, neural, ocr, resolve, semantic, settings, spans
+from ..operators import evaluate, findings, neural, ocr, resolve, semantic, settings, spans
 from ..sources import sinks
 from ..sources.scratch import scratch
 from ..streaming.detect import detect_stream
@@ -346,3 +346,44 @@ def stream_findings(spark, sf_dir):
     out = scratch(spark, "findings")
     detect_stream(docs.select("doc_id", "text"), ["doc_id"], "text", out, scratch(spark, "state"), TOLD)
     return spark.read.parquet(out).select("doc_id", "kind", "n", "decision")
+
+
+@register("live_settings", f"""with {found_sql()} select doc_id, kind, count(*) as n, doc_id % 2 = 1 and kind = 'email' as blocked from found group by 1, 2
+    union all select doc_id, 'custom_term', len(regexp_extract_all(text, 'zq7live')), false from (select doc_id, case when doc_id % 4 < 2 then 'zq7live' else 'other' end as text from documents) where doc_id % 2 = 1 and text = 'zq7live'""")
+def live_settings(spark, sf_dir):
+    """A stream over two runs whose settings change between them: odd documents come later, under a policy and with a term that even ones didn't have."""
+    d = F.col("doc_id")
+    docs = t(spark, sf_dir, "documents").select("doc_id", F.concat(F.when(d % 4 < 2, "zq7live").otherwise("other"), F.lit("\n"), "text").alias("text"))
+    given, out, state, kept = (scratch(spark, w) for w in ("arrivals", "findings", "state", "settings"))
+
+    def live():
+        now = spark.read.schema("terms array<string>, kind string, action string").json(kept)
+        return [x for r in now.select(F.explode_outer("terms").alias("x")).where("x is not null").distinct().collect() for x in r], now.where("kind is not null").select("kind", "action")
+
+    for odd, setting in ((0, '{"terms": []}'), (1, '{"terms": ["zq7live"], "kind": "email", "action": "block"}')):
+        spark.range(1).select(F.lit(setting).alias("value")).write.mode("overwrite").text(kept)
+        docs.where(d % 2 == odd).write.mode("append").parquet(given)
+        detect_stream(spark.readStream.schema(docs.schema).parquet(given), ["doc_id"], "text", out, state, TOLD, live)
+    found = spark.read.parquet(out)
+    return found.select("doc_id", "kind", "n", (F.coalesce("policy", F.lit("")) == "block").alias("blocked"))
+
+
+# evaluation
+
+@register("context_leaks", r"""
+    with d as (select doc_id, text, case when doc_id % 7 = 1 then ['V' || (doc_id % 130), 'Zhang Weiming'] else ['V' || (doc_id % 100)] end as vals from documents),
+      e as (select d.doc_id, case when d.doc_id % 3 = 0 then left(p.text, length(p.text) // 2) || 'Zhang Weiming' || substr(p.text, length(p.text) // 2 + 1) || ' V' || (d.doc_id % 130) else d.text end as text, vals from d left join documents p on p.doc_id = d.doc_id - 1 where d.doc_id % 7 = 1),
+      k as (select doc_id, regexp_replace(replace(replace(text, vals[1], ''), 'Zhang Weiming', ''), '[^\p{L}\p{N}]+', '', 'g') as s, vals from e),
+      c as (select distinct regexp_replace(replace(text, vals[1], ''), '[^\p{L}\p{N}]+', '', 'g') as s from d where doc_id % 7 <> 1),
+      r as (select doc_id, coalesce(s <> '' and s in (select s from c where s is not null), false) as same_context, vals[1] in (select vals[1] from d where doc_id % 7 <> 1) as same_value from k)
+    select * from r where same_context or same_value""")
+def context_leaks(spark, sf_dir):
+    """Evaluation texts, a third of them the training text before with values put in: known by their skeleton or by a value."""
+    d = F.col("doc_id")
+    docs = t(spark, sf_dir, "documents").select("doc_id", "text")
+    train = docs.where("doc_id % 7 <> 1").select("text", F.array(F.concat(F.lit("V"), (d % 100).cast("string"))).alias("values"))
+    value, half = F.concat(F.lit("V"), (d % 130).cast("string")), F.floor(F.length("before") / 2).cast("int")
+    planted = F.concat(F.left("before", half), F.lit("Zhang Weiming"), F.substring("before", half + 1, F.length("before")), F.lit(" "), value)
+    before = docs.select((d + 1).alias("doc_id"), F.col("text").alias("before"))
+    asked = docs.where("doc_id % 7 = 1").join(before, "doc_id", "left").select("doc_id", F.when(d % 3 == 0, planted).otherwise(F.col("text")).alias("text"), F.array(value, F.lit("Zhang Weiming")).alias("values"))
+    return evaluate.leaks(train, asked, ["doc_id"])
