@@ -158,10 +158,9 @@ def first_account(raw: Column) -> Column:
 
 
 def window_pieces(tokens: DataFrame, keys: list[str], max_length: int = 256, stride: int = 64) -> DataFrame:
-    """(keys, window, length, at, piece, ids, offsets): what each window covers of a text, whose places start at ``at``.
+    """(keys, window, length, at, piece, ids, starts, ends): what each window covers of a text, whose places start at ``at``.
 
-    tokens: keys, text, ids and offsets (array of start and end structs) of whole texts; texts without tokens have no
-    window. Pieces are cut where they are listed, so a long text isn't repeated with each of its windows.
+    tokens: keys, text, and ids, starts and ends (arrays of int) of whole texts; texts without tokens have no window. Pieces are cut where they are listed, so a long text isn't repeated with each of its windows.
     """
     capacity, step = max_length - 2, max_length - 2 - stride
     n = F.size("ids")
@@ -169,8 +168,8 @@ def window_pieces(tokens: DataFrame, keys: list[str], max_length: int = 256, str
 
     def cut(w: Column) -> Column:
         lo, last = w * step, F.least(w * step + capacity, n) - 1
-        at, end = F.get("offsets", lo)["start"], F.get("offsets", last)["end"]
-        return F.struct(w.alias("window"), at.alias("at"), F.substring("text", at + 1, end - at).alias("piece"), F.slice("ids", lo + 1, last - lo + 1).alias("ids"), F.slice("offsets", lo + 1, last - lo + 1).alias("offsets"))
+        at, end = F.get("starts", lo), F.get("ends", last)
+        return F.struct(w.alias("window"), at.alias("at"), F.substring("text", at + 1, end - at).alias("piece"), *[F.slice(c, lo + 1, last - lo + 1).alias(c) for c in ("ids", "starts", "ends")])
 
     listed = tokens.where(n > 0).select(*keys, F.length("text").alias("length"), F.transform(F.sequence(F.lit(0), count - 1), cut).alias("w"))
     return listed.select(*keys, "length", F.explode("w").alias("w")).select(*keys, "length", "w.*")
@@ -221,7 +220,7 @@ def predict(tokens: DataFrame, keys: list[str], labels: list[str], threshold: fl
                 x = np.stack([one(model, r["ids"]) for r in some])
                 offsets = np.zeros((len(some), max_length, 2), np.int64)
                 for at, r in zip(offsets, some):
-                    told = np.array([(o["start"], o["end"]) for o in r["offsets"]])
+                    told = np.stack([r["starts"], r["ends"]], axis=1).astype(np.int64)
                     at[1 : len(told) + 1] = np.where(told[:, :1] < told[:, 1:], told - r["at"], 0)
                 tags = decode_windows(x, labels, offsets[:, :, 0] < offsets[:, :, 1])
                 e = np.exp(x - x.max(axis=2, keepdims=True))
@@ -232,7 +231,7 @@ def predict(tokens: DataFrame, keys: list[str], labels: list[str], threshold: fl
                     rows += [[*(r[k] for k in keys), a + r["at"], b + r["at"], name, wide[0][0] + r["at"], wide[-1][1] + r["at"], r["length"]] for a, b, name in found]
             yield pd.DataFrame(rows, columns=schema.names)
 
-    found = windows.select(*keys, "length", "at", "piece", "ids", "offsets").mapInPandas(run, schema)
+    found = windows.select(*keys, "length", "at", "piece", "ids", "starts", "ends").mapInPandas(run, schema)
     inside = found.where(inside_window(F.col("start"), F.col("end"), F.col("lo"), F.col("hi"), F.col("length")))
     return merge_spans(inside.select(*keys, "start", "end", "label"), keys)
 

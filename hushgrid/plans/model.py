@@ -29,17 +29,17 @@ def cased_model():
 
 
 def cased_tokens(text):
-    """ids and offsets of words: 1 for a capital first letter, 2 for a word after such a one, else 3."""
+    """ids, starts and ends of words: 1 for a capital first letter, 2 for a word after such a one, else 3."""
 
-    @F.pandas_udf("ids array<int>, offsets array<struct<start int, end int>>")
+    @F.pandas_udf("ids array<int>, starts array<int>, ends array<int>")
     def cut(texts: pd.Series) -> pd.DataFrame:
         rows = []
         for x in texts:
-            at = [m.span() for m in re.finditer(WORD, x or "")]
-            capital = ["A" <= x[a] <= "Z" for a, _ in at]
-            ids = [1 if c else 2 if i and capital[i - 1] else 3 for i, c in enumerate(capital)]
-            rows.append((ids, [{"start": a, "end": b} for a, b in at]))
-        return pd.DataFrame(rows, columns=["ids", "offsets"])
+            at = np.array([m.span() for m in re.finditer(WORD, x or "")], np.int32).reshape(-1, 2)
+            capital = np.array(["A" <= x[a] <= "Z" for a in at[:, 0]], bool)
+            after = np.concatenate([[False], capital[:-1]])[: len(at)]
+            rows.append((np.where(capital, 1, np.where(after, 2, 3)).astype(np.int32), at[:, 0].copy(), at[:, 1].copy()))
+        return pd.DataFrame(rows, columns=["ids", "starts", "ends"])
 
     return cut(text)
 
