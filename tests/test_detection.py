@@ -4,6 +4,7 @@ from pyspark.sql import functions as F
 from hushgrid.functions import text as tx
 from hushgrid.functions import validators as v
 from hushgrid.operators import findings, redact, resolve, spans
+from hushgrid.plans import catalog
 
 GOLDEN = [
     ("我的手机号是 138 0013 8000。", {"phone"}),
@@ -106,3 +107,16 @@ def test_findings_take_the_highest_rank(spark):
     s = spark.createDataFrame([(1, "email", "replace", None, "structured", 5), (1, "email", "block", "block", None, 9)], "d int, kind string, decision string, policy string, source string, start int")
     r = findings.findings(s, ["d"]).first()
     assert (r.n, r.decision, r.policy, r.first_start) == (2, "block", "block", 5)
+
+
+def test_told_rules_leave_leading_digits_and_cues_out(spark, tmp_path):
+    """Queries whose SQL knows cards by their check digit take no card by its first digits alone."""
+    texts = ["oneding 6223346007190433 onan", "pay 4111 1111 1111 1111 now"]
+    spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    assert [(r.doc_id, r.raw) for r in catalog.queries()["detect_cards"](spark, str(tmp_path)).collect()] == [(1, "4111 1111 1111 1111")]
+    assert {r.doc_id for r in catalog.queries()["detect_all_kinds"](spark, str(tmp_path)).collect()} == {1}
+
+
+def test_labeled_accounts_need_a_label(spark, tmp_path):
+    spark.range(1, 5).withColumnRenamed("id", "c_custkey").write.parquet(f"{tmp_path}/customer.parquet")
+    assert sorted(r.doc_id for r in catalog.queries()["rule_labeled_account"](spark, str(tmp_path)).collect()) == [2, 4]
