@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..operators import hints, resolve, spans
-from .catalog import register, t
+from .catalog import register, spread, t
 from .gates import K, _filled, _filled_sql
 
 #: Text before, value, text after, and whether the value is found; {k} is the key, {e} its last eight digits in full width.
@@ -52,7 +52,7 @@ def _sentences(spark, sf_dir, variants: tuple):
     text = F.lit(None).cast("string")
     for i, (a, x, b, _) in enumerate(variants):
         text = F.when(K() % len(variants) == i, F.concat(_filled(a, K()), _filled(x, K()), _filled(b, K()))).otherwise(text)
-    return t(spark, sf_dir, "customer").select(K().alias("doc_id"), text.alias("text"))
+    return spread(t(spark, sf_dir, "customer").select("c_custkey")).select(K().alias("doc_id"), text.alias("text"))
 
 
 def _found(spark, sf_dir, variants: tuple, kind: str):

@@ -15,7 +15,7 @@ from ..sources import sinks
 from ..sources.scratch import scratch
 from ..streaming.detect import detect_stream
 from . import synthetic as syn
-from .catalog import TOLD, C, register, t
+from .catalog import TOLD, C, register, spread, t
 from .found import found_sql
 
 def K() -> Column:  # noqa: N802
@@ -84,7 +84,7 @@ def labeled_spans(spark, sf_dir):
     text = F.lit(None).cast("string")
     for i, (a, x, b, *_) in enumerate(_VARIANTS):
         text = F.when(K() % len(_VARIANTS) == i, F.concat(_filled(a, K()), _filled(x, K()), _filled(b, K()))).otherwise(text)
-    docs = t(spark, sf_dir, "customer").select(K().alias("doc_id"), text.alias("text"))
+    docs = spread(t(spark, sf_dir, "customer").select("c_custkey")).select(K().alias("doc_id"), text.alias("text"))
     s = resolve.select_spans(spans.detect(docs, ["doc_id"], "text"), ["doc_id"])
     return s.select("doc_id", "kind", "decision", "policy", F.col("start").alias("start_at"), F.col("end").alias("end_at"), "raw")
 
@@ -92,7 +92,7 @@ def labeled_spans(spark, sf_dir):
 @register("long_credentials", """select c_custkey as doc_id, 'credential' as kind, (case when c_custkey % 200 > 96 then 'credential_too_long' end) as warning, 10::int as start_at, (10 + 4000 + c_custkey % 200)::int as end_at from customer""")
 def long_credentials(spark, sf_dir):
     """Secrets of 4,000 to 4,199 characters: one span each, over 4,096 with a warning."""
-    docs = t(spark, sf_dir, "customer").select(K().alias("doc_id"), F.concat(F.lit('password="'), F.rpad(F.lit(""), (4000 + K() % 200).cast("int"), F.lit("s")), F.lit('"，说明=rest')).alias("text"))
+    docs = spread(t(spark, sf_dir, "customer").select("c_custkey")).select(K().alias("doc_id"), F.concat(F.lit('password="'), F.rpad(F.lit(""), (4000 + K() % 200).cast("int"), F.lit("s")), F.lit('"，说明=rest')).alias("text"))
     found = spans.detect(docs, ["doc_id"], "text", tuple(r for r in RULES if r.kind == "credential"))
     return found.select("doc_id", "kind", "warning", F.col("start").alias("start_at"), F.col("end").alias("end_at"))
 

@@ -5,6 +5,7 @@ import unicodedata
 import pytest
 
 from hushgrid.functions import unicode
+from hushgrid.functions.patterns import RULES
 from hushgrid.operators import findings, redact, resolve, spans
 
 LONG = "x" * 5000
@@ -105,3 +106,30 @@ def test_texts_of_the_same_length_are_what_the_view_is(spark):
     rows = df.where(~df.c.rlike(unicode.CHANGED)).select("c", unicode.same_length_view(df.c).alias("v")).collect()
     wrong = [(hex(ord(r.c)), r.v, unicode.view_of(r.c)[0]) for r in rows if r.v != unicode.view_of(r.c)[0]]
     assert not wrong and len(rows) > 40_000
+
+
+def test_hits_in_texts_with_the_mark(spark):
+    """A text that holds the code point at which texts are cut is cut by the pattern itself."""
+    texts = ["\uffffa.b@c.io\uffff, x@y.org\uffff 密码：hunter2", "a.b@c.io, x@y.org", "密码：hunter2，密码：hunter3", "\uffff"]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id int, text string")
+    rows = spans.detect(df, ["doc_id"], "text", tuple(r for r in RULES if r.kind in ("email", "credential"))).orderBy("doc_id", "start").collect()
+    assert [(r.doc_id, r.raw) for r in rows] == [(0, "a.b@c.io"), (0, "x@y.org"), (0, "hunter2"), (1, "a.b@c.io"), (1, "x@y.org"), (2, "hunter2"), (2, "hunter3")]
+    assert all(texts[r.doc_id][r.start : r.end] == r.raw for r in rows)
+
+
+def test_mac_addresses_of_letters_alone(spark):
+    df = spark.createDataFrame([(1, "device AB:CD:EF:AB:CD:EF up")], "doc_id int, text string")
+    assert [(r.kind, r.raw) for r in spans.detect(df, ["doc_id"], "text").collect()] == [("mac_address", "AB:CD:EF:AB:CD:EF")]
+
+
+def test_rows_of_a_rule_do_not_compile_it(spark):
+    """Splitting by a long pattern compiles it for each row, which takes milliseconds; texts are cut at a mark."""
+    df = spark.createDataFrame([(1, "联系人：张伟明，已确认")], "doc_id int, text string")
+    plan = spans.detect(df, ["doc_id"], "text", tuple(r for r in RULES if r.kind == "person_name"))._jdf.queryExecution().optimizedPlan().toString()
+    assert "\uffff" in plan
+
+
+def test_runs_left_out_are_what_the_view_is():
+    """What ``unusual`` takes out stands in the view as it is."""
+    plain = [chr(c) for c in (*range(0x80), *range(0xBF, 0x132), *range(0x4E00, 0xA000))]
+    assert not set(plain) & set(unicode.ONE_TO_ONE[0]) and unicode.view_of("中" + "".join(plain))[0] == "中" + "".join(plain)
