@@ -8,9 +8,12 @@ becomes files of sorted 64-bit hashes, an array for each class of counts, values
 follow in a second, smaller shuffle. Workers map the files into memory and look up sorted batches. Ranges grow in
 number with the text, so no task holds more than a bounded share; the driver sees a single row of sums.
 
-Trigrams seen once count in the discounts but aren't stored, as is usual: their mass goes to the bigram. So a
-context without a stored trigram needs no entry, and the probability of w after (u, v) is
-(c(uvw) - D) / c(uv) of a stored trigram plus what that leaves over times the interpolated bigram probability.
+Trigrams of ``least`` occurrences are stored. With 1 that is the whole model; with 2, as toolkits do, those seen once
+count in the discounts alone and their mass goes to the bigram. A context without a stored trigram needs no entry,
+and the probability of w after (u, v) is (c(uvw) - D) / c(uv) of a stored trigram plus what that leaves over times the
+interpolated bigram probability. Contexts of other than common words are complete in the range of v and written there.
+
+Known words, their counts, N and V, which make the base, are counted apart from the trigrams by 64-bit hashes of words.
 
 A null text is an empty one: its only token is the end. Repeated rows count each time; very long texts count whole,
 in pieces. With no training rows every word has the uniform probability of a vocabulary of one. An empty table gives
@@ -49,24 +52,27 @@ LOW32 = U((1 << 32) - 1)
 
 
 class _Hashes(dict):
-    """Word -> 48-bit hash."""
+    """Word -> 64-bit hash; the model takes its top 48 bits."""
 
     def __missing__(self, word: bytes) -> int:
         if len(self) >= REMEMBER:
             self.clear()
-        self[word] = h = xxhash.xxh64_intdigest(word, 0) >> 16
+        self[word] = h = xxhash.xxh64_intdigest(word, 0)
         return h
 
 
 #: A blank is in no word, so these two hash apart from words.
-START, END = (xxhash.xxh64_intdigest(x, 0) >> 16 for x in (b" start", b" end"))
-PAIR = np.array([START, START], U)
+WIDE_START, WIDE_END = (xxhash.xxh64_intdigest(x, 0) for x in (b" start", b" end"))
+START, END = WIDE_START >> 16, WIDE_END >> 16
+PAIR = np.array([WIDE_START, WIDE_START], U)
+#: From a word's 64 bits to the model's.
+CUT = U(64 - WORD_BITS)
 
 
 def _tokens(text: str | None, hashes: _Hashes) -> np.ndarray:
-    """Word hashes, then the end."""
+    """Word hashes of 64 bits, then the end."""
     words = (text or "").encode("utf-8", "surrogatepass").lower().split()
-    return np.fromiter([*map(hashes.__getitem__, words), END], U, len(words) + 1)
+    return np.fromiter([*map(hashes.__getitem__, words), WIDE_END], U, len(words) + 1)
 
 
 def _mix(*parts: np.ndarray) -> np.ndarray:
@@ -84,23 +90,37 @@ def _mix(*parts: np.ndarray) -> np.ndarray:
 def _ranges(v: np.ndarray, w: np.ndarray, hot: np.ndarray) -> np.ndarray:
     """The 24 bits that deal bigrams out: the top of v, for common words v those of a mixture of both."""
     top = v >> U(WORD_BITS - CONTEXT_BITS)
-    common = hot[np.minimum(np.searchsorted(hot, v), len(hot) - 1)] == v
+    common = _is_hot(v, hot)
     if common.any():
         top = top.copy()
         top[common] = _mix(v[common], w[common]) >> U(64 - CONTEXT_BITS)
     return top
 
 
-def bigram_keys(v: np.ndarray, w: np.ndarray, hot: np.ndarray) -> np.ndarray:
-    return (_ranges(v, w, hot) << U(40)) | (_mix(v, w) >> U(24))
+def _keys(ranges: np.ndarray, mixed: np.ndarray, bits: int) -> np.ndarray:
+    """The range, then as many mixed bits as there is place for: fewer would let trigrams of one frequent word meet."""
+    return ((ranges >> U(CONTEXT_BITS - bits)) << U(64 - bits)) | (mixed >> U(bits))
+
+
+def bigram_keys(v: np.ndarray, w: np.ndarray, hot: np.ndarray, bits: int) -> np.ndarray:
+    return _keys(_ranges(v, w, hot), _mix(v, w), bits)
 
 
-def trigram_keys(u: np.ndarray, v: np.ndarray, w: np.ndarray, hot: np.ndarray) -> np.ndarray:
+def trigram_keys(u: np.ndarray, v: np.ndarray, w: np.ndarray, hot: np.ndarray, bits: int) -> np.ndarray:
     """u counts with 32 bits."""
-    return (_ranges(v, w, hot) << U(40)) | (_mix(u & LOW32, v, w) >> U(24))
+    return _keys(_ranges(v, w, hot), _mix(u & LOW32, v, w), bits)
+
+
+def _is_hot(v: np.ndarray, hot: np.ndarray) -> np.ndarray:
+    return hot[np.minimum(np.searchsorted(hot, v), len(hot) - 1)] == v
 
 
-def context_keys(u: np.ndarray, v: np.ndarray) -> np.ndarray:
+def context_keys(u: np.ndarray, v: np.ndarray, bits: int) -> np.ndarray:
+    """Keys by the range of v, for contexts of other than common words."""
+    return _keys(v >> U(WORD_BITS - CONTEXT_BITS), _mix(u & LOW32, v, np.full(1, 7, U)), bits)
+
+
+def hot_context_keys(u: np.ndarray, v: np.ndarray) -> np.ndarray:
     return _mix(u & LOW32, v, np.full(1, 7, U))
 
 
@@ -129,8 +149,30 @@ def _unpack(blob: bytes) -> list[np.ndarray]:
     return [np.ascontiguousarray(x.T).view("<u8").ravel() for x in planes.reshape(k, 8, n)]
 
 
-def _joined(blobs: list[bytes], columns: int) -> list[np.ndarray]:
-    parts = [_unpack(x) for x in blobs]
+def _coded(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The distinct values, most frequent first, and the place of each value among them."""
+    values, at, n = np.unique(x, return_inverse=True, return_counts=True)
+    order = np.argsort(-n, kind="stable")
+    place = np.empty(len(order), U)
+    place[order] = np.arange(len(order), dtype=U)
+    return values[order], place[at]
+
+
+def _pack_trigrams(u: np.ndarray, v: np.ndarray, w: np.ndarray, n: np.ndarray) -> bytes:
+    """Words on either side by their places in lists of a block's words: hashes don't compress, small numbers do."""
+    (us, u), (ws, w) = _coded(u), _coded(w)
+    blobs = [_pack(u, v, w, n), _pack(us), _pack(ws)]
+    return np.array([len(x) for x in blobs], "<i8").tobytes() + b"".join(blobs)
+
+
+def _unpack_trigrams(blob: bytes) -> list[np.ndarray]:
+    ends = 24 + np.cumsum(np.frombuffer(blob, "<i8", 3))
+    (u, v, w, n), (us,), (ws,) = (_unpack(blob[a:b]) for a, b in zip([24, *ends[:-1]], ends))
+    return [us[u.astype(np.int64)], v, ws[w.astype(np.int64)], n]
+
+
+def _joined(blobs: list[bytes], columns: int, unpack=_unpack) -> list[np.ndarray]:
+    parts = [unpack(x) for x in blobs]
     return [np.concatenate([p[k] for p in parts]) if parts else np.zeros(0, U) for k in range(columns)]
 
 
@@ -153,8 +195,10 @@ def _count_blocks(bits: int, hot: np.ndarray):
         def block(parts: list[np.ndarray]) -> pa.RecordBatch:
             t = np.concatenate(parts)
             at = np.flatnonzero(np.concatenate([np.arange(len(x)) > 1 for x in parts]))
+            words, times = np.unique(t[at], return_counts=True)
+            t >>= CUT
             u, v, w = t[at - 2] & LOW32, t[at - 1], t[at]
-            key = trigram_keys(u, v, w, hot)
+            key = trigram_keys(u, v, w, hot, bits)
             order = np.argsort(key)
             key = key[order]
             at = _runs(key)
@@ -163,8 +207,10 @@ def _count_blocks(bits: int, hot: np.ndarray):
             out = []
             for part, a, b in _cut(key, 64 - bits):
                 near = a + np.argsort((v[a:b] << U(16)) | (w[a:b] >> U(32)))  # words in order need fewer bytes
-                out.append((part, _pack(u[near], v[near], w[near], n[near])))
-            return pa.RecordBatch.from_arrays([pa.array([x[0] for x in out], pa.int64()), pa.array([x[1] for x in out], pa.binary())], ["part", "payload"])
+                out.append((part, "trigram", _pack_trigrams(u[near], v[near], w[near], n[near])))
+            out += [(part, "base", _pack(words[a:b], times[a:b].astype(U))) for part, a, b in _cut(words, 64 - bits)]
+            parts, kinds, payloads = zip(*out)
+            return pa.RecordBatch.from_arrays([pa.array(parts, pa.int64()), pa.array(kinds), pa.array(payloads, pa.binary())], ["part", "kind", "payload"])
 
         for batch in batches:
             for text in batch.column(0):
@@ -192,20 +238,39 @@ def _write(path: str, keys: np.ndarray, *values: np.ndarray) -> None:
     write_arrays(path, arrays)
 
 
-def _store_ngrams(root: str, bits: int, hot: np.ndarray):
+def _write_contexts(path: str, contexts: tuple[np.ndarray, ...]) -> None:
+    """Contexts with one trigram seen once, the most, have all values 1 and need only their key."""
+    keys, total, kinds, two, more = contexts
+    _write(path, keys, total, kinds, two + U(1), more + U(1))
+
+
+def _store_ngrams(root: str, bits: int, hot: np.ndarray, least: int):
+    def base(part: int, blobs: list[bytes]) -> pd.DataFrame:
+        words, n = _summed(*_joined(blobs, 2))
+        _write(f"{root}/base/{part}", words, n)
+        return _rows([(part, "base", _pack(np.array([len(words)], U), np.array([int(n.sum())], U)))])
+
+    def contexts_of(keys: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, ...]:
+        return _summed(keys, n, np.ones(len(n), U), (n == 2).astype(U), (n > 2).astype(U))
+
     def run(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
         part = int(key[0])
-        u, v, w, n = _joined(pdf["payload"].tolist(), 4)
-        keys = trigram_keys(u, v, w, hot)
+        if key[1] == "base":
+            return base(part, pdf["payload"].tolist())
+        u, v, w, n = _joined(pdf["payload"].tolist(), 4, _unpack_trigrams)
+        keys = trigram_keys(u, v, w, hot, bits)
         order = np.argsort(keys)
         keys = keys[order]
         at = _runs(keys)
         n = np.add.reduceat(n[order], at)
         keys, u, v, w = keys[at], u[order[at]], v[order[at]], w[order[at]]
-        _write(f"{root}/trigrams/{part}", keys[n > 1], n[n > 1])
-        kept = n > 1
-        contexts = _summed(context_keys(u[kept], v[kept]), n[kept], (n[kept] == 2).astype(U), (n[kept] > 2).astype(U))
-        pairs = bigram_keys(v, w, hot)
+        kept = n >= least
+        _write(f"{root}/trigrams/{part}", keys[kept], n[kept])
+        common = _is_hot(v, hot)
+        here, spread = kept & ~common, kept & common
+        _write_contexts(f"{root}/contexts/{part}", contexts_of(context_keys(u[here], v[here], bits), n[here]))
+        contexts = contexts_of(hot_context_keys(u[spread], v[spread]), n[spread])
+        pairs = bigram_keys(v, w, hot, bits)
         order = np.argsort(pairs)
         pairs = pairs[order]
         at = _runs(pairs)
@@ -234,17 +299,17 @@ def _store_words(root: str):
         cols[0:2, np.searchsorted(every, w)] = a, c
         cols[2:6, np.searchsorted(every, v)] = total, one, two, more
         _write(f"{root}/words/{int(key[0])}", every, *cols)
-        contexts = _summed(*_joined(by.get("context", []), 4))
-        _write(f"{root}/contexts/{int(key[0])}", *contexts)
+        _write_contexts(f"{root}/hot_contexts/{int(key[0])}", _summed(*_joined(by.get("context", []), 5)))
         classes = [_unpack(x) for x in by.get("classes", [])]
         n = [sum(int(x[k][0]) for x in classes) for k in range(8)]
         m = [int((a == k).sum()) for k in (1, 2, 3, 4)]
-        return pd.DataFrame([[*n, *m, int((a > 2).sum()), int(a.sum()), len(w), int(c.sum()), int(c[w == END].sum())]], columns=SUMS)
+        distinct, tokens = (sum(int(x[0]) for x in column) for column in zip(*map(_unpack, by["base"]))) if "base" in by else (0, 0)
+        return pd.DataFrame([[*n, *m, int((a > 2).sum()), int(a.sum()), len(w), int(c[w == END].sum()), distinct, tokens]], columns=SUMS)
 
     return run
 
 
-SUMS = ["t1", "t2", "t3", "t4", "b1", "b2", "b3", "b4", "w1", "w2", "w3", "w4", "w_more", "bigrams", "vocabulary", "tokens", "starts"]
+SUMS = ["t1", "t2", "t3", "t4", "b1", "b2", "b3", "b4", "w1", "w2", "w3", "w4", "w_more", "bigrams", "vocabulary", "starts", "distinct", "tokens"]
 
 
 def discounts(n1: int, n2: int, n3: int, n4: int) -> list[float]:
@@ -273,7 +338,7 @@ def common_words(df: DataFrame, text: Column, size: int, bits: int) -> np.ndarra
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes = _Hashes()
         for batch in batches:
-            parts = [_tokens(x.as_py(), hashes) for x in batch.column(0)]
+            parts = [_tokens(x.as_py(), hashes) >> CUT for x in batch.column(0)]
             word, n = np.unique(np.concatenate(parts) if parts else np.zeros(0, U), return_counts=True)
             often = n * (4 << bits) > n.sum()  # others can't reach a quarter of the share here
             yield pa.RecordBatch.from_arrays([pa.array([*word[often].view(np.int64), -1]), pa.array([*n[often], n.sum()], pa.int64())], ["word", "n"])
@@ -285,15 +350,15 @@ def common_words(df: DataFrame, text: Column, size: int, bits: int) -> np.ndarra
     return np.unique(np.array([START, *(r.word for r in rows)], np.int64)).view(U)
 
 
-def fit(df: DataFrame, text: Column) -> TrigramModel:
-    """Count every row of ``df`` and store the model in the shared folder."""
+def fit(df: DataFrame, text: Column, least: int = 2) -> TrigramModel:
+    """Count every row of ``df`` and store the model in the shared folder; trigrams of ``least`` occurrences are kept (1: all)."""
     spark = df.sparkSession
     size = df.agg(F.sum(F.octet_length(text))).first()[0] or 0
     bits = min(CONTEXT_BITS, max(1, (size // RANGE_BYTES).bit_length()))
     root = scratch(spark, "trigrams")
     hot = common_words(df, text, size, bits)
-    blocks = df.select(text.alias("text")).mapInArrow(_count_blocks(bits, hot), "part long, payload binary")
-    stored = blocks.groupBy("part").applyInPandas(_store_ngrams(root, bits, hot), "part long, kind string, payload binary")
+    blocks = df.select(text.alias("text")).mapInArrow(_count_blocks(bits, hot), "part long, kind string, payload binary")
+    stored = blocks.groupBy("part", "kind").applyInPandas(_store_ngrams(root, bits, hot, least), "part long, kind string, payload binary")
     sums = stored.groupBy("part").applyInPandas(_store_words(root), ", ".join(f"{c} long" for c in SUMS))
     row = sums.agg(*[F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in SUMS]).first()
     return TrigramModel(root, bits, hot, row.asDict())
@@ -344,9 +409,20 @@ class _Tables:
         """Counts of stored trigrams for sorted keys."""
         return self._look_up("trigrams", keys, 64 - self.bits, 1)[0]
 
-    def context(self, keys: np.ndarray) -> np.ndarray:
-        """Rows sum of counts, trigrams of count two and of more, of stored trigrams, for sorted keys."""
-        return self._look_up("contexts", keys, 64 - self.bits, 3)
+    def base(self, h: np.ndarray) -> np.ndarray:
+        """Counts of words for sorted hashes of 64 bits."""
+        return self._look_up("base", h, 64 - self.bits, 1)[0]
+
+    def context(self, u: np.ndarray, v: np.ndarray, hot: np.ndarray) -> np.ndarray:
+        """Rows sum of counts, trigrams of count one, two and more, of stored trigrams after u, v."""
+        out, common = np.zeros((4, len(v)), np.int64), _is_hot(v, hot)
+        for kind, at in (("contexts", np.flatnonzero(~common)), ("hot_contexts", np.flatnonzero(common))):
+            made = hot_context_keys(u[at], v[at]) if kind == "hot_contexts" else context_keys(u[at], v[at], self.bits)
+            keys, spread = np.unique(made, return_inverse=True)
+            total, kinds, two, more = self._look_up(kind, keys, 64 - self.bits, 4)
+            two, more = np.maximum(two - 1, 0), np.maximum(more - 1, 0)
+            out[:, at] = np.stack([total, kinds - two - more, two, more])[:, spread]
+        return out
 
 
 def _discounted(n: np.ndarray, d: list[float]) -> np.ndarray:
@@ -354,34 +430,35 @@ def _discounted(n: np.ndarray, d: list[float]) -> np.ndarray:
 
 
 def _log_probabilities(t: _Tables, s: dict[str, int], hot: np.ndarray, u: np.ndarray, v: np.ndarray, w: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Known, base log10, model log10 of each token w after u, v."""
+    """Known, base log10, model log10 of each token w after u, v, all as 64 bits."""
     words, inverse = np.unique(np.concatenate([w, v]), return_inverse=True)
-    a, c, total, *classes = t.word(words)
+    c = t.base(words)
+    a, _, total, *classes = t.word(words >> CUT)
+    u, v, w = u >> CUT, v >> CUT, w >> CUT
     third, second, first = (discounts(*(s[f"{k}{i}"] for i in (1, 2, 3, 4))) for k in "tbw")
     spared = first[0] * s["w1"] + first[1] * s["w2"] + first[2] * s["w_more"]
     uniform = 1 / (s["vocabulary"] + 1)
     unigram = (_discounted(a, first) + spared * uniform) / s["bigrams"] if s["bigrams"] else np.full(len(a), uniform)
     back = sum(d * x for d, x in zip(second, classes))
     at_w, at_v = inverse[: len(w)], inverse[len(w) :]
-    keys, spread = np.unique(bigram_keys(v, w, hot), return_inverse=True)
+    keys, spread = np.unique(bigram_keys(v, w, hot, t.bits), return_inverse=True)
     n = t.bigram(keys)[0][spread]
     known = c[at_w]
     n = np.where((total[at_v] > 0) & (known > 0), n, 0)
     seen = np.maximum(total[at_v], 1)
     p = np.where(total[at_v] > 0, _discounted(n, second) / seen + back[at_v] / seen * unigram[at_w], unigram[at_w])
-    keys, spread = np.unique(context_keys(u, v), return_inverse=True)
-    kept = t.context(keys)[:, spread]
+    kept = t.context(u, v, hot)
     far = np.flatnonzero(kept[0])  # other contexts have no stored trigram: the bigram decides
     if len(far):
-        keys, spread = np.unique(bigram_keys(u[far], v[far], hot), return_inverse=True)
+        keys, spread = np.unique(bigram_keys(u[far], v[far], hot, t.bits), return_inverse=True)
         whole = np.where((u[far] == START) & (v[far] == START), s["starts"], t.bigram(keys)[1][spread])
-        keys, spread = np.unique(trigram_keys(u[far], v[far], w[far], hot), return_inverse=True)
+        keys, spread = np.unique(trigram_keys(u[far], v[far], w[far], hot, t.bits), return_inverse=True)
         n = np.where(known[far] > 0, t.trigram(keys)[spread], 0)
-        taken = kept[0, far] - third[1] * kept[1, far] - third[2] * kept[2, far]
+        taken = kept[0, far] - sum(d * kept[k, far] for k, d in enumerate(third, 1))
         ok = whole >= kept[0, far]  # else hashes of different words have met
         whole = np.maximum(whole, 1)
         p[far] = np.where(ok, _discounted(n, third) / whole + (1 - taken / whole) * p[far], p[far])
-    return known > 0, np.log10((known + 1) / (s["tokens"] + s["vocabulary"] + 1)), np.log10(p)
+    return known > 0, np.log10((known + 1) / (s["tokens"] + s["distinct"] + 1)), np.log10(p)
 
 
 def _scorer(root: str, bits: int, hot: np.ndarray, sums: dict[str, int], ids: int):
@@ -393,9 +470,9 @@ def _scorer(root: str, bits: int, hot: np.ndarray, sums: dict[str, int], ids: in
             size = np.array([len(d) for d in docs])
             at = np.cumsum(size) - size
             v = np.concatenate([PAIR[:1], w[:-1]])
-            v[at] = START
+            v[at] = WIDE_START
             u = np.concatenate([PAIR[:1], v[:-1]])
-            u[at] = START
+            u[at] = WIDE_START
             known, base, model = _log_probabilities(tables, sums, hot, u, v, w)
             found = [size, np.add.reduceat(known.astype(np.int64), at), np.add.reduceat(base, at), np.add.reduceat(model, at)]
             return pa.RecordBatch.from_arrays([*batch.columns[:ids], *map(pa.array, found)], [*batch.schema.names[:ids], "n_tokens", "n_known", "base_score", "score"])

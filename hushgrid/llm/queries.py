@@ -35,7 +35,7 @@ def op5_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op6_ngram_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text").withColumn("held_out", fold_of(F.col("doc_id"), 7) == 2)
-    model = ngram_lm.fit(docs.where(~F.col("held_out")), F.col("text"))
+    model = ngram_lm.fit(docs.where(~F.col("held_out")), F.col("text"), least=1)
     return model.score(docs, ["doc_id", "held_out"], F.col("text")).withColumn("train_tokens", F.lit(model.sums["tokens"]).cast("long"))
 
 

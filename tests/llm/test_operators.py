@@ -8,6 +8,7 @@ import zlib
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -457,6 +458,58 @@ def test_trigram_model_against_dictionaries(spark, monkeypatch, common):
     assert model.score(df.limit(0), ["doc_id"], F.col("text")).count() == 0
 
 
+def whole_model(train):
+    """The same with every trigram, as the method says."""
+    tri = Counter()
+    for t in train:
+        w = [*(t or "").encode().lower().split(), "</s>"]
+        tri.update(zip(["<s>", "<s>", *w], ["<s>", *w], w))
+    bi = Counter((v, w) for _, v, w in tri)
+    cont = Counter(w for _, w in bi)
+    third, second, first = (ngram_lm.discounts(*(sum(c == k for c in x.values()) for k in (1, 2, 3, 4))) for x in (tri, bi, cont))
+    off = lambda c, d: d[min(c, 3) - 1] if c else 0.0
+    totals, spared, whole, left = Counter(), Counter(), Counter(), Counter()
+    for (v, _), c in bi.items():
+        totals[v] += c
+        spared[v] += off(c, second)
+    for (u, v, _), c in tri.items():
+        whole[u, v] += c
+        left[u, v] += off(c, third)
+
+    def p(u, v, w):
+        one = (cont[w] - off(cont[w], first) + sum(off(c, first) for c in cont.values()) / (len(cont) + 1)) / len(bi)
+        two = (bi[v, w] - off(bi[v, w], second) + spared[v] * one) / totals[v] if totals[v] else one
+        return (tri[u, v, w] - off(tri[u, v, w], third) + left[u, v] * two) / whole[u, v] if whole[u, v] else two
+
+    return p
+
+
+@pytest.mark.parametrize("common", [1 << 24, 30])
+def test_whole_trigram_model_against_dictionaries(spark, monkeypatch, common):
+    monkeypatch.setattr(ngram_lm, "RANGE_BYTES", 500)
+    monkeypatch.setattr(ngram_lm, "COUNT_AT_ONCE", 400)
+    monkeypatch.setattr(ngram_lm, "SAMPLE_BYTES", common * 100)
+    rng = random.Random(2)
+    texts = [sentence(rng, rng.randrange(0, 30), [f"w{int(rng.paretovariate(1))}" for _ in range(40)]) for _ in range(90)] + [None, "", "É é É"]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    p = whole_model([t for i, t in enumerate(texts) if i % 3])
+    for r in ngram_lm.fit(df.where("doc_id % 3 > 0"), F.col("text"), least=1).score(df, ["doc_id"], F.col("text")).collect():
+        w = [*(texts[r.doc_id] or "").encode().lower().split(), "</s>"]
+        assert math.isclose(r.score, sum(math.log10(p(*x)) for x in zip(["<s>", "<s>", *w], ["<s>", *w], w)), rel_tol=1e-9)
+
+
+def test_base_tells_words_apart_whose_short_hashes_meet(spark, monkeypatch):
+    """Two words with the same 48 bits are two words of the base."""
+    real = ngram_lm.xxhash.xxh64_intdigest
+    monkeypatch.setattr(ngram_lm.xxhash, "xxh64_intdigest", lambda word, seed: real(b"one", seed) ^ 1 if word == b"two" else real(word, seed))
+    hashes = ngram_lm._Hashes()
+    assert hashes[b"one"] >> 16 == hashes[b"two"] >> 16
+    text = pa.array(["one one two"])
+    block = next(ngram_lm._count_blocks(1, np.array([ngram_lm.START], np.uint64))(iter([pa.RecordBatch.from_arrays([text], ["text"])])))
+    counts = [n for kind, x in zip(block.column("kind").to_pylist(), block.column("payload").to_pylist()) if kind == "base" for n in ngram_lm._unpack(x)[1].tolist()]
+    assert sorted(counts) == [1, 1, 2]
+
+
 def test_model_without_training_rows(spark):
     df = spark.createDataFrame([(1, "a b")], "doc_id long, text string")
     r = ngram_lm.fit(df.limit(0), F.col("text")).score(df, ["doc_id"], F.col("text")).first()
