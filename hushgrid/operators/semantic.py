@@ -21,13 +21,13 @@ def train(samples: DataFrame) -> DataFrame:
 def score(contexts: DataFrame, model: DataFrame) -> DataFrame:
     """(id, kind, score) of contexts (id, kind, context): add-one odds of the known features, clamped, as a
     probability; 0 where no feature has positive evidence."""
-    feats = contexts.select("id", "kind", F.explode(ngrams(F.col("context"))).alias("feature"))
-    hit = feats.join(model, ["kind", "feature"])
+    feats = contexts.select("id", "kind", F.posexplode_outer(ngrams(F.col("context"))).alias("at", "feature"))
+    hit = feats.join(model, ["kind", "feature"], "left")  # contexts without a known feature stay, so nothing is joined back
     odds = F.log((F.col("pos") + 1) / (F.col("pos_total") + F.col("vocabulary"))) - F.log((F.col("neg") + 1) / (F.col("neg_total") + F.col("vocabulary")))
-    per = hit.groupBy("id", "kind").agg(F.sum(odds).alias("z"), F.sum("pos").alias("evidence"))
+    per = hit.groupBy("id", "kind").agg(F.sum(odds).alias("z"), F.sum("pos").alias("evidence"), F.count_if(F.coalesce("at", F.lit(0)) == 0).cast("int").alias("rows"))
     z = F.least(F.greatest(F.col("z"), F.lit(-CLAMP)), F.lit(CLAMP))
-    out = contexts.select("id", "kind").join(per, ["id", "kind"], "left")
-    return out.select("id", "kind", F.when(F.coalesce("evidence", F.lit(0)) > 0, 1 / (1 + F.exp(-z))).otherwise(0.0).alias("score"))
+    each = per.withColumn("_row", F.explode(F.sequence(F.lit(1), "rows")))  # one for each context of that id and kind
+    return each.select("id", "kind", F.when(F.coalesce("evidence", F.lit(0)) > 0, 1 / (1 + F.exp(-z))).otherwise(0.0).alias("score"))
 
 
 def windows(df: DataFrame, keys: list[str], text: str, core: int = WINDOW, overlap: int = OVERLAP) -> DataFrame:
