@@ -120,3 +120,13 @@ def test_told_rules_leave_leading_digits_and_cues_out(spark, tmp_path):
 def test_labeled_accounts_need_a_label(spark, tmp_path):
     spark.range(1, 5).withColumnRenamed("id", "c_custkey").write.parquet(f"{tmp_path}/customer.parquet")
     assert sorted(r.doc_id for r in catalog.queries()["rule_labeled_account"](spark, str(tmp_path)).collect()) == [2, 4]
+
+
+def test_frequent_values_are_looked_up_once(spark):
+    """Candidates meet the list of values that pass, not the entries themselves, and rows with nulls are kept or let pass as before."""
+    allow = spark.createDataFrame([("v", "session", None), ("g", "global", None)], "value string, scope string, expires_at timestamp")
+    rows = [("phone", "v", "v")] * 3 + [("credential", "g", "g"), ("phone", "g", "g"), ("phone", None, "x"), ("phone", "v", None), ("phone", None, None)]
+    out = resolve.allowlisted(spark.createDataFrame(rows, "kind string, raw string, normalized string"), allow)
+    assert sorted((r.kind, r.raw or "", r.normalized or "") for r in out.collect()) == [("credential", "g", "g"), ("phone", "", ""), ("phone", "", "x")]
+    plan = out._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Join LeftAnti") == 1 and plan.count("Join LeftSemi") == 2
