@@ -12,7 +12,7 @@ def plan_of(df) -> str:
     return df._jdf.queryExecution().executedPlan().toString()
 
 
-@pytest.mark.parametrize("name", ["highlight_segments", "ocr_rectangles", "leak_rates"])
+@pytest.mark.parametrize("name", ["highlight_segments", "ocr_rectangles", "leak_rates", "send_action"])
 def test_parts_of_candidates_grow_with_the_table(spark, tmp_path, monkeypatch, name):
     """Work on each document is dealt once, by the orders' keys, into as many parts as there are rows for; nothing deals it again."""
     spark.range(1000).selectExpr("id as o_orderkey", "id % 7 as o_custkey").coalesce(1).write.parquet(f"{tmp_path}/orders.parquet")
