@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
@@ -14,6 +15,8 @@ from .gates import K, _filled, _filled_sql
 
 LABELS = ["O", "B-PERSON", "I-PERSON", "E-PERSON"]
 WORD = r"[^\x20\x09-\x0D]+"
+#: Texts cut into words at a time.
+AT_ONCE = 64
 
 
 def cased_model():
@@ -28,18 +31,29 @@ def cased_model():
     return run
 
 
+def words(texts: pd.Series) -> pd.DataFrame:
+    rows = []
+    for x in texts:
+        at = np.array([m.span() for m in re.finditer(WORD, x or "")], np.int32).reshape(-1, 2)
+        capital = np.array(["A" <= x[a] <= "Z" for a in at[:, 0]], bool)
+        after = np.concatenate([[False], capital[:-1]])[: len(at)]
+        rows.append((np.where(capital, 1, np.where(after, 2, 3)).astype(np.int32), at[:, 0].copy(), at[:, 1].copy()))
+    return pd.DataFrame(rows, columns=["ids", "starts", "ends"])
+
+
+def few_at_once(frames: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+    """Words of ``AT_ONCE`` texts after another: a worker holds those of no whole Arrow batch."""
+    for texts in frames:
+        for i in range(0, len(texts), AT_ONCE):
+            yield words(texts.iloc[i : i + AT_ONCE])
+
+
 def cased_tokens(text):
     """ids, starts and ends of words: 1 for a capital first letter, 2 for a word after such a one, else 3."""
 
     @F.pandas_udf("ids array<int>, starts array<int>, ends array<int>")
-    def cut(texts: pd.Series) -> pd.DataFrame:
-        rows = []
-        for x in texts:
-            at = np.array([m.span() for m in re.finditer(WORD, x or "")], np.int32).reshape(-1, 2)
-            capital = np.array(["A" <= x[a] <= "Z" for a in at[:, 0]], bool)
-            after = np.concatenate([[False], capital[:-1]])[: len(at)]
-            rows.append((np.where(capital, 1, np.where(after, 2, 3)).astype(np.int32), at[:, 0].copy(), at[:, 1].copy()))
-        return pd.DataFrame(rows, columns=["ids", "starts", "ends"])
+    def cut(frames: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+        return few_at_once(frames)
 
     return cut(text)
 

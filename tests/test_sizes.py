@@ -1,11 +1,16 @@
 """What one task gets stays the same however large the tables are."""
 
 import re
+import time
 
+import numpy as np
+import pandas as pd
+import pyarrow as pa
 import pytest
 
-from hushgrid.operators import resolve
-from hushgrid.plans import catalog, synthetic
+from hushgrid.llm.common import small_batches
+from hushgrid.operators import neural, resolve
+from hushgrid.plans import catalog, model, synthetic
 
 
 def plan_of(df) -> str:
@@ -25,3 +30,7 @@ def test_highlights_merge_over_islands_and_leave_empty_spans_out(spark):
     rows = [(1, "email", 0, 4), (1, "email", 4, 8), (1, "phone", 6, 10), (1, "phone", 20, 22), (1, "email", 30, 30), (1, "ipv4", 21, 25), (2, "email", 5, 5), (2, "email", None, None)]
     out = resolve.highlights(spark.createDataFrame(rows, "d long, kind string, start int, end int"), ["d"])
     assert sorted((r.d, r.kind, r.start, r.end) for r in out.collect()) == [(1, "email", 0, 6), (1, "ipv4", 22, 25), (1, "phone", 6, 10), (1, "phone", 20, 22)]
+
+
+def test_words_of_few_texts_are_held_at_once():
+    assert [len(f) for f in model.few_at_once(iter([pd.Series(["A b", None] * 75), pd.Series(["c"])]))] == [64, 64, 22, 1]
