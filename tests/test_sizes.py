@@ -61,3 +61,11 @@ def test_logits_of_another_width_are_an_error():
 
 def test_words_of_few_texts_are_held_at_once():
     assert [len(f) for f in model.few_at_once(iter([pd.Series(["A b", None] * 75), pd.Series(["c"])]))] == [64, 64, 22, 1]
+
+
+def test_scans_join_sizes_not_texts(spark, tmp_path):
+    spark.createDataFrame([(1, "a@b.cc"), (2, "é" * 2001), (3, None)], "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    out = catalog.queries()["scan_status"](spark, str(tmp_path))
+    assert {r.doc_id: r.status for r in out.collect()} == {1: "sensitive", 2: "unscannable", 3: "clean"}
+    left = re.search(r"Join LeftOuter.*\n *:- (.*)", out._jdf.queryExecution().optimizedPlan().toString()).group(1)
+    assert "octet_length" in left and not re.search(r"[\[ ]text#\d+[,\]]", left)
