@@ -45,7 +45,10 @@ BATCH = 1000
 
 
 def small_batches(spark: SparkSession) -> SparkSession:
-    """A session of the same application with the settings of ``spark`` but Arrow batches of ``BATCH`` rows at most; ``spark`` stays as it is."""
+    """A session of the same application with the settings of ``spark`` but Arrow batches of ``BATCH`` rows at most; ``spark`` stays as it is.
+
+    A query's shuffle files go when it ends, not when the driver's collector comes by: with one table written after another they would add up.
+    """
     name = "spark.sql.execution.arrow.maxRecordsPerBatch"
     own = spark.newSession()
     for k, v in spark.conf.getAll.items():
@@ -53,6 +56,7 @@ def small_batches(spark: SparkSession) -> SparkSession:
             own.conf.set(k, v)
     rows = int(own.conf.get(name))
     own.conf.set(name, str(min(rows, BATCH) if rows > 0 else BATCH))
+    own.conf.set("spark.sql.classic.shuffleDependency.fileCleanup.enabled", "true")
     return own
 
 

@@ -69,3 +69,17 @@ def test_scans_join_sizes_not_texts(spark, tmp_path):
     assert {r.doc_id: r.status for r in out.collect()} == {1: "sensitive", 2: "unscannable", 3: "clean"}
     left = re.search(r"Join LeftOuter.*\n *:- (.*)", out._jdf.queryExecution().optimizedPlan().toString()).group(1)
     assert "octet_length" in left and not re.search(r"[\[ ]text#\d+[,\]]", left)
+
+
+def test_shuffle_files_of_the_stages_go_with_their_query(spark):
+    def kept() -> set[str]:
+        return set(re.findall(r"shuffle_(\d+)_\d+_\d+\.data", spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().getAllFiles().mkString(" ")))
+
+    before, own = kept(), small_batches(spark)
+    own.range(1000).selectExpr("id % 7 as k").groupBy("k").count().write.format("noop").mode("overwrite").save()
+    for _ in range(50):
+        if not kept() - before:
+            break
+        time.sleep(0.2)
+    assert not kept() - before
+    assert spark.conf.get("spark.sql.classic.shuffleDependency.fileCleanup.enabled") == "false"
