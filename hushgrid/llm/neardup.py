@@ -11,7 +11,8 @@ on the result.
 Equal sets are one node before any join. Each node is first compared with one centre of each of its shingles: the
 node whose shingles are most shared, as the text that others were copied from. Then only nodes in different
 components so far are compared: pairs of a rare shingle by a join, those of shingles of more than ``HEAVY`` nodes
-by the centre of these shingles, in square blocks, which give links between components instead of pairs.
+by the centre of these shingles, in square blocks, which give links between components instead of pairs. A block gets the
+whole sets of those nodes alone whose common shingles and sizes leave a similar one of another component possible.
 """
 
 from __future__ import annotations
@@ -172,6 +173,30 @@ def _similar(pairs: DataFrame, numbered: DataFrame, text: str, temp: _Temporary)
     return both.where(alike("x", "y")).select("a", "b")
 
 
+def hopeful(g: np.ndarray, n: np.ndarray, marks: list[np.ndarray]) -> np.ndarray:
+    """Which nodes of a block may be similar to one of another component: sizes n and the common shingles of their prefixes, ``marks``,
+    pass the bound of ``_enough``. Pairs that share rarer ones too are joined elsewhere. Nodes of the largest component aren't looked up."""
+    _, group = np.unique(g, return_inverse=True)
+    sizes = np.array([len(m) for m in marks])
+    tokens, owner = np.concatenate(marks), np.repeat(np.arange(len(marks)), sizes)
+    order = np.argsort(tokens, kind="stable")
+    tokens, owner = tokens[order], owner[order]
+    t, u = LEAST.numerator, LEAST.denominator
+    behind = -(-t * n // u) - 1
+    out = np.zeros(len(n), bool)
+    for i in np.flatnonzero(group != np.bincount(group).argmax()):
+        lo, hi = np.searchsorted(tokens, marks[i], "left"), np.searchsorted(tokens, marks[i], "right")
+        lengths = hi - lo
+        places = np.repeat(lo - np.append(0, np.cumsum(lengths)[:-1]), lengths) + np.arange(lengths.sum())
+        both = np.bincount(owner[places], minlength=len(n))
+        fits = (u * np.minimum(n, n[i]) >= t * np.maximum(n, n[i])) & ((t + u) * (both + np.maximum(behind, behind[i])) >= t * (n + n[i]))
+        found = (both > 0) & fits & (group != group[i])
+        if found.any():
+            out[i] = True
+            out |= found
+    return out
+
+
 def bridges(node: np.ndarray, g: np.ndarray, sets: list[np.ndarray]) -> list[tuple[int, int]]:
     """Links between components g: enough of them to join all that similar pairs join. Nodes of the largest one aren't looked up."""
     names, group = np.unique(g, return_inverse=True)
@@ -200,13 +225,19 @@ def bridges(node: np.ndarray, g: np.ndarray, sets: list[np.ndarray]) -> list[tup
     return out
 
 
-def _bridged(rows: DataFrame, numbered: DataFrame, text: str, temp: _Temporary) -> DataFrame:
-    """rows: token, node, n, g, where token names what nodes share. (a, b): links between components, from square blocks of each."""
+def _bridged(rows: DataFrame, marks: DataFrame, numbered: DataFrame, text: str, temp: _Temporary) -> DataFrame:
+    """rows: token, node, n, g, where token names what nodes share; marks: node and its common shingles. (a, b): links between components, from square blocks of each."""
     size = rows.groupBy("token").agg(F.greatest(F.ceil(F.count("*") / F.lit(BLOCK)), F.ceil(F.sum("n") / F.lit(BLOCK_SHINGLES))).cast("int").alias("nb"))
     own = F.pmod(F.xxhash64("node"), F.col("nb")).cast("int")
     each = rows.join(size, "token").withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("nb") - 1)))
-    ids = temp.table(rows.select(F.col("node").alias("row_no")).distinct(), "compared")
-    placed = each.select("token", F.least("own", "other").alias("p"), F.greatest("own", "other").alias("q"), F.col("node").alias("row_no"), "g")
+    squares = each.select("token", F.least("own", "other").alias("p"), F.greatest("own", "other").alias("q"), "node", "n", "g")
+
+    def chosen(f: pd.DataFrame) -> pd.DataFrame:
+        kept = f[hopeful(f["g"].to_numpy(), f["n"].to_numpy(), [np.asarray(m, np.int64) for m in f["marks"]])]
+        return kept[["token", "p", "q", "node", "g"]].rename(columns={"node": "row_no"})
+
+    placed = temp.table(squares.join(marks, "node").groupBy("token", "p", "q").applyInPandas(chosen, "token long, p int, q int, row_no long, g long"), "hopeful")
+    ids = temp.table(placed.select("row_no").distinct(), "compared")
 
     def square(f: pd.DataFrame) -> pd.DataFrame:
         found = bridges(f["row_no"].to_numpy(), f["g"].to_numpy(), [np.frombuffer(h, np.uint64) for h in f["h"]])
@@ -245,8 +276,11 @@ def links(numbered: DataFrame, nodes: DataFrame, text: str) -> DataFrame:
     )
     out = first.unionByName(kept(met, "pairs"))
     # nodes that share a common shingle also share its centre, and copies of one text have one centre for nearly all of theirs
-    heavy = temp.table(rest.where(F.col("many") > HEAVY).join(centres, "token").select(F.col("b").alias("token"), "node", "g").distinct(), "heavy")
-    out = out if heavy.isEmpty() else out.unionByName(materialize(_bridged(heavy.join(small.select("node", "n"), "node"), numbered, text, temp), "links"))
+    shared = rest.where(F.col("many") > HEAVY)
+    heavy = temp.table(shared.join(centres, "token").select(F.col("b").alias("token"), "node", "g").distinct(), "heavy")
+    if not heavy.isEmpty():
+        marks = temp.table(shared.groupBy("node").agg(F.collect_list("token").alias("marks")), "marks")
+        out = out.unionByName(materialize(_bridged(heavy.join(small.select("node", "n"), "node"), marks, numbered, text, temp), "links"))
     temp.drop()
     return out
 

@@ -93,6 +93,34 @@ def test_bridges_join_what_similar_pairs_join():
     assert all(root(i) == root(j) for i in range(150) for j in range(i) if len(np.intersect1d(sets[i], sets[j])) * 5 >= 4 * len(np.union1d(sets[i], sets[j])))
 
 
+def test_whole_sets_of_a_common_shingle_are_read_where_a_similar_text_is_possible(spark, monkeypatch):
+    """A passage that many unlike texts share doesn't make all of them be compared as whole sets."""
+    monkeypatch.setattr(neardup, "COMMON", 1000)
+    monkeypatch.setattr(neardup, "HEAVY", 3)
+    rng = random.Random(5)
+    passage = " ".join(f"p{k}" for k in range(12))
+    rows = [(i, f"{passage} " + " ".join(f"w{rng.randrange(100_000)}" for _ in range(60))) for i in range(120)]
+    rows += [(200 + i, rows[i][1] + " end") for i in range(3)]
+    read, real = [], neardup._sets
+    monkeypatch.setattr(neardup, "_sets", lambda ids, *a: read.append(ids.count()) or real(ids, *a))
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    assert sorted(r.doc_id for r in neardup.keep_one(df).collect()) == plain_keep(rows) == list(range(120))
+    assert len(read) == 3 and read[-1] < 12  # stars, pairs of rare shingles, squares
+
+
+def test_hopeful_keeps_every_node_that_has_a_similar_one():
+    rng = random.Random(3)
+    base = [rng.sample(range(10_000), 60) for _ in range(6)]
+    sets = [np.unique(np.array([x if rng.random() > 0.05 else rng.randrange(10_000) for x in rng.choice(base)], np.uint64)) for _ in range(150)]
+    prefixes = [neardup.prefix_of(h, np.zeros(0, np.uint64), np.zeros(0, np.int32))[0].view(np.int64) for h in sets]
+    g = np.array([i % 40 for i in range(150)])
+    found = neardup.hopeful(g, np.array([len(s) for s in sets]), prefixes)
+    similar = [any(g[i] != g[j] and len(np.intersect1d(sets[i], sets[j])) * 5 >= 4 * len(np.union1d(sets[i], sets[j])) for j in range(150)) for i in range(150)]
+    largest = np.bincount(g).argmax()
+    assert any(similar) and all(found[i] for i in range(150) if similar[i] and g[i] != largest)
+    assert not neardup.hopeful(np.arange(150), np.array([len(s) for s in sets]), [np.array([1])] * 150).any()
+
+
 def test_stage_leaves_no_similar_pair(spark):
     docs = table(spark, SMALL, "documents")
     rows = [(r.doc_id, r.text) for r in docs.collect()]
