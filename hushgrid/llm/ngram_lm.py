@@ -12,6 +12,8 @@ Trigrams of ``least`` occurrences are stored. With 1 that is the whole model; wi
 count in the discounts alone and their mass goes to the bigram. A context without a stored trigram needs no entry,
 and the probability of w after (u, v) is (c(uvw) - D) / c(uv) of a stored trigram plus what that leaves over times the
 interpolated bigram probability. Contexts of other than common words are complete in the range of v and written there.
+In a whole model a context that occurs once has one trigram, seen once: the count of its bigram tells it, and it is not written.
+Keys are stored as the 40 bits behind the first 24, by which they are indexed, where that takes less place.
 
 Known words, their counts, N and V, which make the base, are counted apart from the trigrams by 64-bit hashes of words.
 
@@ -227,27 +229,67 @@ def _count_blocks(bits: int, hot: np.ndarray):
     return run
 
 
-def _write(path: str, keys: np.ndarray, *values: np.ndarray) -> None:
-    """A file of sorted keys with their values in three classes: all values 1, all under 256, others."""
+#: Bits of a key that are stored behind an index of those before them, and the bits of the last byte of these.
+REST, LAST = U(40), U(8)
+
+
+def _split(keys: np.ndarray, bits: int) -> list[np.ndarray]:
+    """Sorted keys of 64 bits that agree in the first ``bits``, as three arrays, with no bit lost: where the keys of each value of the bits up to
+    the 24th begin, then 32 and 8 bits of each. Few keys stay whole, as the second array."""
+    lead = CONTEXT_BITS - bits
+    if 4 * ((1 << lead) + 1) >= 3 * len(keys) or len(keys) >> 32:
+        return [np.zeros(0, np.uint32), keys, np.zeros(0, np.uint8)]
+    first = ((keys >> REST) & U((1 << lead) - 1)).astype(np.int64)
+    starts = np.append(0, np.cumsum(np.bincount(first, minlength=1 << lead)))
+    return [starts.astype(np.uint32), ((keys >> LAST) & LOW32).astype(np.uint32), (keys & U(255)).astype(np.uint8)]
+
+
+def _places(found: list[np.ndarray], keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Which of the sorted ``keys`` are among those that ``_split`` made ``found`` of, and their places."""
+    starts, middle, last = found
+    if not len(starts):
+        place = np.minimum(np.searchsorted(middle, keys), len(middle) - 1)
+        hit = np.flatnonzero(middle[place] == keys) if len(middle) else np.zeros(0, int)
+        return hit, place[hit]
+    first = ((keys >> REST) & U(len(starts) - 2)).astype(np.int64)
+    low, end = starts[first].astype(np.int64), starts[first + 1].astype(np.int64)
+    high, mid, byte = end, ((keys >> LAST) & LOW32).astype(np.uint32), (keys & U(255)).astype(np.uint8)
+    for _ in range(int((end - low).max(initial=0)).bit_length()):
+        at = (low + high) >> 1
+        below = (low < high) & (middle[np.minimum(at, len(middle) - 1)] < mid)
+        low, high = np.where(below, at + 1, low), np.where(below, high, np.maximum(at, low))
+    while True:  # keys that agree in all but the last byte are few
+        at = np.minimum(low, len(middle) - 1)
+        same = (low < end) & (middle[at] == mid)
+        later = same & (last[at] < byte)
+        if not later.any():
+            hit = np.flatnonzero(same & (last[at] == byte))
+            return hit, low[hit]
+        low = low + later
+
+
+def _write(path: str, keys: np.ndarray, *values: np.ndarray, bits: int | None = None) -> None:
+    """A file of sorted keys with their values in three classes: all values 1, all under 256, others. ``bits``: those in which keys of 64 bits agree."""
+    split = (lambda k: _split(k, bits)) if bits is not None else (lambda k: [np.zeros(0, np.uint32), k, np.zeros(0, np.uint8)])
     largest = np.max(values, axis=0) if len(keys) else np.zeros(0)
     least = np.min(values, axis=0) if len(keys) else np.zeros(0)
     ones = (largest == 1) & (least == 1)
-    arrays = [keys[ones]]
+    arrays = split(keys[ones])
     for chosen in (~ones & (largest < 256), largest >= 256):
-        arrays += [keys[chosen], *(narrow(np.asarray(x)[chosen]) for x in values)]
+        arrays += [*split(keys[chosen]), *(narrow(np.asarray(x)[chosen]) for x in values)]
     write_arrays(path, arrays)
 
 
-def _write_contexts(path: str, contexts: tuple[np.ndarray, ...]) -> None:
-    """Contexts with one trigram seen once, the most, have all values 1 and need only their key."""
-    keys, total, kinds, two, more = contexts
-    _write(path, keys, total, kinds, two + U(1), more + U(1))
+def _write_contexts(path: str, contexts: tuple[np.ndarray, ...], bits: int, least: int) -> None:
+    """Contexts with one trigram seen once, the most, have all values 1 and need only their key; in a whole model not even that."""
+    keys, total, kinds, two, more = (x[contexts[1] > 1] for x in contexts) if least == 1 else contexts
+    _write(path, keys, total, kinds, two + U(1), more + U(1), bits=bits)
 
 
 def _store_ngrams(root: str, bits: int, hot: np.ndarray, least: int):
     def base(part: int, blobs: list[bytes]) -> pd.DataFrame:
         words, n = _summed(*_joined(blobs, 2))
-        _write(f"{root}/base/{part}", words, n)
+        _write(f"{root}/base/{part}", words, n, bits=bits)
         return _rows([(part, "base", _pack(np.array([len(words)], U), np.array([int(n.sum())], U)))])
 
     def contexts_of(keys: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, ...]:
@@ -265,10 +307,10 @@ def _store_ngrams(root: str, bits: int, hot: np.ndarray, least: int):
         n = np.add.reduceat(n[order], at)
         keys, u, v, w = keys[at], u[order[at]], v[order[at]], w[order[at]]
         kept = n >= least
-        _write(f"{root}/trigrams/{part}", keys[kept], n[kept])
+        _write(f"{root}/trigrams/{part}", keys[kept], n[kept], bits=bits)
         common = _is_hot(v, hot)
         here, spread = kept & ~common, kept & common
-        _write_contexts(f"{root}/contexts/{part}", contexts_of(context_keys(u[here], v[here], bits), n[here]))
+        _write_contexts(f"{root}/contexts/{part}", contexts_of(context_keys(u[here], v[here], bits), n[here]), bits, least)
         contexts = contexts_of(hot_context_keys(u[spread], v[spread]), n[spread])
         pairs = bigram_keys(v, w, hot, bits)
         order = np.argsort(pairs)
@@ -276,7 +318,7 @@ def _store_ngrams(root: str, bits: int, hot: np.ndarray, least: int):
         at = _runs(pairs)
         before, count = np.diff(np.append(at, len(pairs))).astype(U), np.add.reduceat(n[order], at)
         pairs, v, w = pairs[at], v[order[at]], w[order[at]]
-        _write(f"{root}/bigrams/{part}", pairs, before, count)
+        _write(f"{root}/bigrams/{part}", pairs, before, count, bits=bits)
         one, two, more = ((x).astype(U) for x in (before == 1, before == 2, before > 2))
         follow = _summed(v, before, one, two, more)
         words = _summed(w, np.ones(len(w), U), count)
@@ -289,7 +331,7 @@ def _store_ngrams(root: str, bits: int, hot: np.ndarray, least: int):
     return run
 
 
-def _store_words(root: str):
+def _store_words(root: str, bits: int, least: int):
     def run(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
         by = {k: g["payload"].tolist() for k, g in pdf.groupby("kind")}
         w, a, c = _summed(*_joined(by.get("word", []), 3))
@@ -299,7 +341,7 @@ def _store_words(root: str):
         cols[0:2, np.searchsorted(every, w)] = a, c
         cols[2:6, np.searchsorted(every, v)] = total, one, two, more
         _write(f"{root}/words/{int(key[0])}", every, *cols)
-        _write_contexts(f"{root}/hot_contexts/{int(key[0])}", _summed(*_joined(by.get("context", []), 5)))
+        _write_contexts(f"{root}/hot_contexts/{int(key[0])}", _summed(*_joined(by.get("context", []), 5)), bits, least)
         classes = [_unpack(x) for x in by.get("classes", [])]
         n = [sum(int(x[k][0]) for x in classes) for k in range(8)]
         m = [int((a == k).sum()) for k in (1, 2, 3, 4)]
@@ -325,11 +367,12 @@ class TrigramModel:
     bits: int
     hot: np.ndarray
     sums: dict[str, int]
+    least: int = 2
 
     def score(self, df: DataFrame, id_cols: list[str], text: Column) -> DataFrame:
         """``id_cols`` with n_tokens, n_known, base_score (add-one unigrams) and score, both log10."""
         schema = T.StructType([*df.select(*id_cols).schema, *(T.StructField(c, T.LongType()) for c in ("n_tokens", "n_known")), *(T.StructField(c, T.DoubleType()) for c in ("base_score", "score"))])
-        return df.select(*id_cols, text.alias("_text")).mapInArrow(_scorer(self.root, self.bits, self.hot, dict(self.sums), len(id_cols)), schema)
+        return df.select(*id_cols, text.alias("_text")).mapInArrow(_scorer(self.root, self.bits, self.hot, dict(self.sums), self.least, len(id_cols)), schema)
 
 
 def common_words(df: DataFrame, text: Column, size: int, bits: int) -> np.ndarray:
@@ -359,9 +402,9 @@ def fit(df: DataFrame, text: Column, least: int = 2) -> TrigramModel:
     hot = common_words(df, text, size, bits)
     blocks = df.select(text.alias("text")).mapInArrow(_count_blocks(bits, hot), "part long, kind string, payload binary")
     stored = blocks.groupBy("part", "kind").applyInPandas(_store_ngrams(root, bits, hot, least), "part long, kind string, payload binary")
-    sums = stored.groupBy("part").applyInPandas(_store_words(root), ", ".join(f"{c} long" for c in SUMS))
+    sums = stored.groupBy("part").applyInPandas(_store_words(root, bits, least), ", ".join(f"{c} long" for c in SUMS))
     row = sums.agg(*[F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in SUMS]).first()
-    return TrigramModel(root, bits, hot, row.asDict())
+    return TrigramModel(root, bits, hot, row.asDict(), least)
 
 
 #: Files that a worker keeps mapped; beyond that the one looked at longest ago is let go (systems bound the mappings of a process).
@@ -388,13 +431,11 @@ class _Tables:
         out = np.zeros((values, len(keys)), np.int64)
         for part, a, b in _cut(keys, shift):
             got = self._opened(kind, part)
-            for at in (0, 1, 2 + values)[: 3 * bool(got)]:
-                known = got[at]
-                if len(known):
-                    place = np.minimum(np.searchsorted(known, keys[a:b]), len(known) - 1)
-                    hit = np.flatnonzero(known[place] == keys[a:b])
+            for at in (0, 3, 6 + values)[: 3 * bool(got)]:
+                if len(got[at + 1]):
+                    hit, place = _places(got[at : at + 3], keys[a:b])
                     for k in range(values):
-                        out[k, a + hit] = got[at + 1 + k][place[hit]] if at else 1
+                        out[k, a + hit] = got[at + 3 + k][place] if at else 1
         return out
 
     def word(self, h: np.ndarray) -> np.ndarray:
@@ -429,7 +470,7 @@ def _discounted(n: np.ndarray, d: list[float]) -> np.ndarray:
     return n - np.array([0.0, *d])[np.minimum(n, 3)]
 
 
-def _log_probabilities(t: _Tables, s: dict[str, int], hot: np.ndarray, u: np.ndarray, v: np.ndarray, w: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def _log_probabilities(t: _Tables, s: dict[str, int], hot: np.ndarray, least: int, u: np.ndarray, v: np.ndarray, w: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Known, base log10, model log10 of each token w after u, v, all as 64 bits."""
     words, inverse = np.unique(np.concatenate([w, v]), return_inverse=True)
     c = t.base(words)
@@ -447,11 +488,21 @@ def _log_probabilities(t: _Tables, s: dict[str, int], hot: np.ndarray, u: np.nda
     n = np.where((total[at_v] > 0) & (known > 0), n, 0)
     seen = np.maximum(total[at_v], 1)
     p = np.where(total[at_v] > 0, _discounted(n, second) / seen + back[at_v] / seen * unigram[at_w], unigram[at_w])
-    kept = t.context(u, v, hot)
+
+    def occurrences(u: np.ndarray, v: np.ndarray) -> np.ndarray:
+        keys, spread = np.unique(bigram_keys(u, v, hot, t.bits), return_inverse=True)
+        return np.where((u == START) & (v == START), s["starts"], t.bigram(keys)[1][spread])
+
+    if least == 1:
+        times = occurrences(u, v)
+        kept = np.stack([times == 1, times == 1, times < 0, times < 0]).astype(np.int64)
+        often = np.flatnonzero(times > 1)
+        kept[:, often] = t.context(u[often], v[often], hot)
+    else:
+        kept = t.context(u, v, hot)
     far = np.flatnonzero(kept[0])  # other contexts have no stored trigram: the bigram decides
     if len(far):
-        keys, spread = np.unique(bigram_keys(u[far], v[far], hot, t.bits), return_inverse=True)
-        whole = np.where((u[far] == START) & (v[far] == START), s["starts"], t.bigram(keys)[1][spread])
+        whole = times[far] if least == 1 else occurrences(u[far], v[far])
         keys, spread = np.unique(trigram_keys(u[far], v[far], w[far], hot, t.bits), return_inverse=True)
         n = np.where(known[far] > 0, t.trigram(keys)[spread], 0)
         taken = kept[0, far] - sum(d * kept[k, far] for k, d in enumerate(third, 1))
@@ -461,7 +512,7 @@ def _log_probabilities(t: _Tables, s: dict[str, int], hot: np.ndarray, u: np.nda
     return known > 0, np.log10((known + 1) / (s["tokens"] + s["distinct"] + 1)), np.log10(p)
 
 
-def _scorer(root: str, bits: int, hot: np.ndarray, sums: dict[str, int], ids: int):
+def _scorer(root: str, bits: int, hot: np.ndarray, sums: dict[str, int], least: int, ids: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes, tables = _Hashes(), _Tables(root, bits)
 
@@ -473,7 +524,7 @@ def _scorer(root: str, bits: int, hot: np.ndarray, sums: dict[str, int], ids: in
             v[at] = WIDE_START
             u = np.concatenate([PAIR[:1], v[:-1]])
             u[at] = WIDE_START
-            known, base, model = _log_probabilities(tables, sums, hot, u, v, w)
+            known, base, model = _log_probabilities(tables, sums, hot, least, u, v, w)
             found = [size, np.add.reduceat(known.astype(np.int64), at), np.add.reduceat(base, at), np.add.reduceat(model, at)]
             return pa.RecordBatch.from_arrays([*batch.columns[:ids], *map(pa.array, found)], [*batch.schema.names[:ids], "n_tokens", "n_known", "base_score", "score"])
 

@@ -498,6 +498,28 @@ def test_whole_trigram_model_against_dictionaries(spark, monkeypatch, common):
         assert math.isclose(r.score, sum(math.log10(p(*x)) for x in zip(["<s>", "<s>", *w], ["<s>", *w], w)), rel_tol=1e-9)
 
 
+def test_split_keys_are_found_and_take_less():
+    rng = np.random.default_rng(7)
+    for bits in (20, 24):
+        keys = rng.integers(0, 1 << 63, 3000, np.uint64)
+        keys = np.concatenate([keys, keys[:500] ^ np.uint64(1), keys[:500] ^ np.uint64(255), keys[:500] ^ np.uint64(1 << 9)])
+        keys = np.unique((keys & np.uint64((1 << (64 - bits)) - 1)) | np.uint64(5 << (64 - bits)))
+        stored = ngram_lm._split(keys[::2], bits)
+        assert len(stored[0]) and sum(x.nbytes for x in stored) < 6 * len(keys[::2])
+        hit, place = ngram_lm._places(stored, keys)
+        assert hit.tolist() == list(range(0, len(keys), 2)) and place.tolist() == list(range(len(keys[::2])))
+    few = ngram_lm._split(keys[:5], 2)
+    assert ngram_lm._places(few, keys[3:9])[0].tolist() == [0, 1] and not len(few[0])
+
+
+def test_whole_model_writes_no_context_that_occurs_once(spark):
+    df = spark.createDataFrame([(1, "a b c d e f"), (2, "a b c x y z")], "doc_id long, text string")
+    model = ngram_lm.fit(df, F.col("text"), least=1)
+    tables = ngram_lm._Tables(model.root, model.bits)
+    h = ngram_lm._tokens("a b c d", ngram_lm._Hashes()) >> ngram_lm.CUT
+    assert tables.context(h[:3], h[1:4], model.hot)[0].tolist() == [2, 2, 0]
+
+
 def test_base_tells_words_apart_whose_short_hashes_meet(spark, monkeypatch):
     """Two words with the same 48 bits are two words of the base."""
     real = ngram_lm.xxhash.xxh64_intdigest
