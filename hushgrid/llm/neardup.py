@@ -4,15 +4,16 @@ Two texts link if their sets of ``SHINGLE``-word shingles have Jaccard similarit
 fingerprint, as ``simhash`` links them, find few such pairs, so more bits may differ here and shared shingles
 name the candidates: sets of n shingles that are similar enough share one among the first n - ceil(LEAST n) + 1 of
 each in any common order, so a join on these prefixes misses no pair. Candidates pass the pigeonring chains and
-the full Hamming check at ``BUDGET`` bits, then the whole sets decide. Sets of under ``FEW`` shingles have too
-coarse fingerprints and skip to the last. The order is by hash, common shingles last: it decides on the work, not
-on the result.
+the full Hamming check at ``BUDGET`` bits, then sketches, then the whole sets decide. Sets of under ``FEW`` shingles have too
+coarse fingerprints and skip to the sketches. The order is by hash, common shingles last: it decides on the work, not
+on the result. A sketch has about a bit for each shingle, the parity of those that fall on it: two sets have at least as
+many shingles apart as their sketches have bits, so those that are too far apart by them need not be read whole.
 
 Equal sets are one node before any join. Each node is first compared with one centre of each of its shingles: the
 node whose shingles are most shared, as the text that others were copied from. Then only nodes in different
 components so far are compared: pairs of a rare shingle by a join, those of shingles of more than ``HEAVY`` nodes
 by the centre of these shingles, in square blocks, which give links between components instead of pairs. A block gets the
-whole sets of those nodes alone whose common shingles and sizes leave a similar one of another component possible.
+whole sets of those nodes alone whose common shingles, sizes and sketches leave a similar one of another component possible.
 """
 
 from __future__ import annotations
@@ -88,13 +89,29 @@ def fingerprint_of(h: np.ndarray) -> int:
     return int(np.packbits(counts * 2 > len(h), bitorder="little").view(np.int64)[0])
 
 
+def sketch_of(h: np.ndarray) -> bytes:
+    """The parity of how many hashes fall on each of 64 bits or more, a power of two, at least as many as hashes."""
+    bits = 1 << max(6, (len(h) - 1).bit_length())
+    return np.packbits(np.bincount((h & np.uint64(bits - 1)).astype(np.int64), minlength=bits).astype(np.uint8) & 1, bitorder="little").tobytes()
+
+
+def may_be_similar(x: bytes, y: bytes, total: int) -> bool:
+    """Whether sets of ``total`` hashes together may be similar by their sketches: differing bits are hashes that one set alone has, at least."""
+    a, b = (np.frombuffer(s, np.uint64) for s in (x, y))
+    while len(a) > len(b):  # the bits that a smaller sketch would put together
+        a = a[: len(a) // 2] ^ a[len(a) // 2 :]
+    while len(b) > len(a):
+        b = b[: len(b) // 2] ^ b[len(b) // 2 :]
+    return int(np.bitwise_count(a ^ b).sum()) * (LEAST.numerator + LEAST.denominator) <= (LEAST.denominator - LEAST.numerator) * total
+
+
 def _digest(text: Column) -> Column:
-    """Digest, size n and fingerprint of the set."""
+    """Digest, size n, fingerprint and sketch of the set."""
 
-    @F.pandas_udf("digest binary, n long, fp long")
+    @F.pandas_udf("digest binary, n long, fp long, sketch binary")
     def run(texts: pd.Series) -> pd.DataFrame:
         sets = [shingles_of(t) for t in texts]
-        return pd.DataFrame({"digest": [xxhash.xxh3_128_digest(h.tobytes()) for h in sets], "n": [len(h) for h in sets], "fp": [fingerprint_of(h) for h in sets]})
+        return pd.DataFrame({"digest": [xxhash.xxh3_128_digest(h.tobytes()) for h in sets], "n": [len(h) for h in sets], "fp": [fingerprint_of(h) for h in sets], "sketch": [sketch_of(h) for h in sets]})
 
     return run(text)
 
@@ -154,6 +171,29 @@ def _sets(ids: DataFrame, numbered: DataFrame, text: str, temp: _Temporary) -> D
     return temp.table(numbered.join(small, "row_no", "left_semi").select("row_no", whole(F.col(text)).alias("h")), "sets")
 
 
+def _drawn(ids: DataFrame, sketches: DataFrame) -> DataFrame:
+    """(row_no, n, sketch) of some rows. ``ids`` (row_no) is read twice: pass a written table."""
+    small = F.broadcast(ids) if ids.count() <= BROADCAST_NODES else ids
+    return sketches.join(small, "row_no", "left_semi")
+
+
+def _of_pairs(pairs: DataFrame) -> DataFrame:
+    return pairs.select(F.col("a").alias("row_no")).unionByName(pairs.select(F.col("b").alias("row_no"))).distinct()
+
+
+def _possible(pairs: DataFrame, sketches: DataFrame, temp: _Temporary) -> DataFrame:
+    """The (a, b) of ``pairs`` whose sets may be similar by their sketches. ``pairs`` is read twice: pass a written table."""
+
+    @F.pandas_udf("boolean")
+    def possible(x: pd.Series, y: pd.Series, total: pd.Series) -> pd.Series:
+        return pd.Series([may_be_similar(*each) for each in zip(x, y, total)], dtype=bool)
+
+    drawn = temp.table(_drawn(temp.table(_of_pairs(pairs), "drawn"), sketches), "sketches")
+    left = pairs.join(drawn.select(F.col("row_no").alias("a"), F.col("n").alias("na"), F.col("sketch").alias("x")), "a")
+    both = left.join(drawn.select(F.col("row_no").alias("b"), F.col("n").alias("nb"), F.col("sketch").alias("y")), "b")
+    return both.where(possible("x", "y", F.col("na") + F.col("nb"))).select("a", "b")
+
+
 def _similar(pairs: DataFrame, numbered: DataFrame, text: str, temp: _Temporary) -> DataFrame:
     """The (a, b) of ``pairs`` whose sets are similar. ``pairs`` is read twice: pass a written table."""
 
@@ -166,16 +206,15 @@ def _similar(pairs: DataFrame, numbered: DataFrame, text: str, temp: _Temporary)
             out.append(both * LEAST.denominator >= (len(p) + len(q) - both) * LEAST.numerator)
         return pd.Series(out, dtype=bool)
 
-    ids = pairs.select(F.col("a").alias("row_no")).unionByName(pairs.select(F.col("b").alias("row_no"))).distinct()
-    sets = _sets(temp.table(ids, "compared"), numbered, text, temp)
+    sets = _sets(temp.table(_of_pairs(pairs), "compared"), numbered, text, temp)
     left = pairs.join(sets.select(F.col("row_no").alias("a"), F.col("h").alias("x")), "a")
     both = left.join(sets.select(F.col("row_no").alias("b"), F.col("h").alias("y")), "b")
     return both.where(alike("x", "y")).select("a", "b")
 
 
-def hopeful(g: np.ndarray, n: np.ndarray, marks: list[np.ndarray]) -> np.ndarray:
+def hopeful(g: np.ndarray, n: np.ndarray, marks: list[np.ndarray], sketches: list[bytes] | None = None) -> np.ndarray:
     """Which nodes of a block may be similar to one of another component: sizes n and the common shingles of their prefixes, ``marks``,
-    pass the bound of ``_enough``. Pairs that share rarer ones too are joined elsewhere. Nodes of the largest component aren't looked up."""
+    pass the bound of ``_enough``, and the sketches, if given, that of ``may_be_similar``. Pairs that share rarer ones too are joined elsewhere. Nodes of the largest component aren't looked up."""
     _, group = np.unique(g, return_inverse=True)
     sizes = np.array([len(m) for m in marks])
     tokens, owner = np.concatenate(marks), np.repeat(np.arange(len(marks)), sizes)
@@ -191,6 +230,9 @@ def hopeful(g: np.ndarray, n: np.ndarray, marks: list[np.ndarray]) -> np.ndarray
         both = np.bincount(owner[places], minlength=len(n))
         fits = (u * np.minimum(n, n[i]) >= t * np.maximum(n, n[i])) & ((t + u) * (both + np.maximum(behind, behind[i])) >= t * (n + n[i]))
         found = (both > 0) & fits & (group != group[i])
+        if sketches is not None:
+            for j in np.flatnonzero(found):
+                found[j] = may_be_similar(sketches[i], sketches[j], int(n[i] + n[j]))
         if found.any():
             out[i] = True
             out |= found
@@ -225,18 +267,23 @@ def bridges(node: np.ndarray, g: np.ndarray, sets: list[np.ndarray]) -> list[tup
     return out
 
 
-def _bridged(rows: DataFrame, marks: DataFrame, numbered: DataFrame, text: str, temp: _Temporary) -> DataFrame:
-    """rows: token, node, n, g, where token names what nodes share; marks: node and its common shingles. (a, b): links between components, from square blocks of each."""
+def _bridged(rows: DataFrame, marks: DataFrame, sketches: DataFrame, numbered: DataFrame, text: str, temp: _Temporary) -> DataFrame:
+    """rows: token, node, n, g, where token names what nodes share; marks: node and its common shingles; sketches: of all rows. (a, b): links between components, from square blocks of each."""
     size = rows.groupBy("token").agg(F.greatest(F.ceil(F.count("*") / F.lit(BLOCK)), F.ceil(F.sum("n") / F.lit(BLOCK_SHINGLES))).cast("int").alias("nb"))
     own = F.pmod(F.xxhash64("node"), F.col("nb")).cast("int")
     each = rows.join(size, "token").withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("nb") - 1)))
     squares = each.select("token", F.least("own", "other").alias("p"), F.greatest("own", "other").alias("q"), "node", "n", "g")
 
     def chosen(f: pd.DataFrame) -> pd.DataFrame:
-        kept = f[hopeful(f["g"].to_numpy(), f["n"].to_numpy(), [np.asarray(m, np.int64) for m in f["marks"]])]
-        return kept[["token", "p", "q", "node", "g"]].rename(columns={"node": "row_no"})
+        sketches = f["sketch"].tolist() if "sketch" in f else None
+        return f[hopeful(f["g"].to_numpy(), f["n"].to_numpy(), [np.asarray(m, np.int64) for m in f["marks"]], sketches)][["token", "p", "q", "node", "n", "g"]]
+
+    def those(df: DataFrame) -> DataFrame:
+        return temp.table(df.join(marks, "node").groupBy("token", "p", "q").applyInPandas(chosen, "token long, p int, q int, node long, n long, g long"), "hopeful")
 
-    placed = temp.table(squares.join(marks, "node").groupBy("token", "p", "q").applyInPandas(chosen, "token long, p int, q int, row_no long, g long"), "hopeful")
+    first = those(squares)  # sketches go to the few that are left only
+    drawn = _drawn(temp.table(first.select(F.col("node").alias("row_no")).distinct(), "drawn"), sketches)
+    placed = those(first.join(drawn.select(F.col("row_no").alias("node"), "sketch"), "node")).withColumnRenamed("node", "row_no")
     ids = temp.table(placed.select("row_no").distinct(), "compared")
 
     def square(f: pd.DataFrame) -> pd.DataFrame:
@@ -246,8 +293,8 @@ def _bridged(rows: DataFrame, marks: DataFrame, numbered: DataFrame, text: str,
     return placed.join(_sets(ids, numbered, text, temp), "row_no").groupBy("token", "p", "q").applyInPandas(square, "a long, b long")
 
 
-def links(numbered: DataFrame, nodes: DataFrame, text: str) -> DataFrame:
-    """(a, b): links that join the same nodes as all similar pairs do. numbered: row_no, text; nodes: node, n, fp of the rows to compare."""
+def links(numbered: DataFrame, nodes: DataFrame, sketches: DataFrame, text: str) -> DataFrame:
+    """(a, b): links that join the same nodes as all similar pairs do. numbered: row_no, text; nodes: node, n, fp of the rows to compare; sketches: row_no, n, sketch."""
     temp = _Temporary()
     small = F.broadcast(nodes) if nodes.count() <= BROADCAST_NODES else nodes
     tokens = _tokens(numbered.join(small.select(F.col("node").alias("row_no")), "row_no", "left_semi"), text, temp)
@@ -256,7 +303,8 @@ def links(numbered: DataFrame, nodes: DataFrame, text: str) -> DataFrame:
         """The similar ones of (a, b, c): c shared shingles of the prefixes at least."""
         sized = pairs.join(small.select(F.col("node").alias("a"), F.col("n").alias("na"), F.col("fp").alias("fa")), "a").join(small.select(F.col("node").alias("b"), F.col("n").alias("nb"), F.col("fp").alias("fb")), "b")
         near = sized.where(_enough("c", "na", "nb") & _close("fa", "fb", "na", "nb")).select("a", "b")
-        return materialize(_similar(temp.table(near, what), numbered, text, temp), "links")
+        possible = temp.table(_possible(temp.table(near, what), sketches, temp), "possible")
+        return materialize(_similar(possible, numbered, text, temp), "links")
 
     known = tokens.groupBy("node").agg(F.sum(F.col("many") * F.col("share")).alias("known"))
     centres = temp.table(tokens.select("token", "node").join(known, "node").groupBy("token").agg(F.max(F.struct("known", "node")).alias("c")).select("token", F.col("c.node").alias("b")), "centres")
@@ -280,7 +328,7 @@ def links(numbered: DataFrame, nodes: DataFrame, text: str) -> DataFrame:
     heavy = temp.table(shared.join(centres, "token").select(F.col("b").alias("token"), "node", "g").distinct(), "heavy")
     if not heavy.isEmpty():
         marks = temp.table(shared.groupBy("node").agg(F.collect_list("token").alias("marks")), "marks")
-        out = out.unionByName(materialize(_bridged(heavy.join(small.select("node", "n"), "node"), marks, numbered, text, temp), "links"))
+        out = out.unionByName(materialize(_bridged(heavy.join(small.select("node", "n"), "node"), marks, sketches, numbered, text, temp), "links"))
     temp.drop()
     return out
 
@@ -299,7 +347,7 @@ def keep_one(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> D
     sets = materialize(numbered.select(own[id_col], "row_no", _digest(F.col(own[text_col])).alias("set")).select(own[id_col], "row_no", "set.*"), "digests")
     first = F.min(F.struct(F.col(own[id_col]).isNull().alias("none"), F.col(own[id_col]).alias("id"), "row_no")).alias("first")
     reps = materialize(sets.groupBy("digest").agg(first, F.min("row_no").alias("node"), F.first("n").alias("n"), F.first("fp").alias("fp")), "reps")
-    found = components(links(numbered.select("row_no", own[text_col]), reps.select("node", "n", "fp"), own[text_col]))
+    found = components(links(numbered.select("row_no", own[text_col]), reps.select("node", "n", "fp"), sets.select("row_no", "n", "sketch"), own[text_col]))
     group = reps.join(found, "node", "left").groupBy(F.coalesce("root", "node").alias("g")).agg(F.min("first").alias("first"))
     kept = written(group.select(F.col("first.row_no").alias("row_no")), "kept")
     stored = spark.read.schema(rows.schema).parquet(path)

@@ -121,6 +121,43 @@ def test_hopeful_keeps_every_node_that_has_a_similar_one():
     assert not neardup.hopeful(np.arange(150), np.array([len(s) for s in sets]), [np.array([1])] * 150).any()
 
 
+def test_sketches_lose_no_similar_pair_and_spare_most_others():
+    """Sets of many sizes; folded sketches bound what two sets have apart from below."""
+    rng = np.random.default_rng(6)
+    similar = unlike = kept = 0
+    for size in (0, 1, 2, 5, 63, 64, 65, 300, 1100, 5000):
+        base = rng.integers(0, 1 << 63, size, np.uint64)
+        for share in np.linspace(0.5, 1, 40):
+            other = np.unique(np.concatenate([base[: int(size * share)], rng.integers(0, 1 << 63, int(size * (1 - share) * rng.random()), np.uint64)]))
+            x = np.unique(base)
+            both, either = len(np.intersect1d(x, other)), len(np.union1d(x, other))
+            may = neardup.may_be_similar(neardup.sketch_of(x), neardup.sketch_of(other), len(x) + len(other))
+            assert may == neardup.may_be_similar(neardup.sketch_of(other), neardup.sketch_of(x), len(x) + len(other))
+            if 5 * both >= 4 * either:
+                similar += 1
+                assert may
+            elif 2 * len(other) > size and 10 * both < 7 * either:
+                unlike += 1
+                kept += may
+    assert similar > 100 and unlike > 50 and kept * 5 < unlike
+
+
+def test_whole_sets_are_read_only_where_sketches_leave_a_pair_possible(spark, monkeypatch):
+    """Texts that share over half of their shingles, rare ones, are candidates; they are no more shipped as whole sets."""
+    rng = random.Random(9)
+    rows = []
+    for k in range(30):
+        half = [f"h{rng.randrange(100_000)}" for _ in range(130)]
+        rows += [(2 * k + i, " ".join(half + [f"w{rng.randrange(100_000)}" for _ in range(60)])) for i in range(2)]
+    rows.append((100, rows[0][1] + " end"))
+    read, real = [], neardup._sets
+    monkeypatch.setattr(neardup, "_sets", lambda ids, *a: read.append(ids.count()) or real(ids, *a))
+    monkeypatch.setattr(neardup, "BUDGET", 64)
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    assert sorted(r.doc_id for r in neardup.keep_one(df).collect()) == plain_keep(rows) == list(range(60))
+    assert max(read) < 8
+
+
 def test_stage_leaves_no_similar_pair(spark):
     docs = table(spark, SMALL, "documents")
     rows = [(r.doc_id, r.text) for r in docs.collect()]
