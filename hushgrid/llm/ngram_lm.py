@@ -3,7 +3,8 @@
 Counting: tasks hash words to 48 bits and count trigrams (u, v, w) of some million tokens at a time; blocks of the
 distinct ones are shuffled by the range of v and merged, so counts of trigrams and bigrams, and how many words
 come before a bigram, all follow in one place. Words so common that they would fill a range of their own (found on
-a bounded sample, which decides on the work alone) are spread over the ranges by their follower. A range
+a bounded sample, which decides on the work alone) are spread over the ranges by their follower. Words frequent in that
+sample go through the shuffle as their places in a list of them, others as hashes. A range
 becomes files of sorted 64-bit hashes, an array for each class of counts, values in few bytes. Sums by word and by context
 follow in a second, smaller shuffle. Workers map the files into memory and look up sorted batches. Ranges grow in
 number with the text, so no task holds more than a bounded share; the driver sees a single row of sums.
@@ -47,8 +48,8 @@ WORD_BITS = 48
 COUNT_AT_ONCE, SCORE_AT_ONCE = 3_000_000, 1_000_000
 #: Words whose hashes a task remembers.
 REMEMBER = 400_000
-#: Text bytes of the sample on which common words are found.
-SAMPLE_BYTES = 16 << 20
+#: Text bytes of the sample on which common words are found, and how many of its words, the most frequent, are listed.
+SAMPLE_BYTES, LISTED = 16 << 20, 65_000
 U = np.uint64
 LOW32 = U((1 << 32) - 1)
 
@@ -151,6 +152,16 @@ def _unpack(blob: bytes) -> list[np.ndarray]:
     return [np.ascontiguousarray(x.T).view("<u8").ravel() for x in planes.reshape(k, 8, n)]
 
 
+def _pack_sorted(keys: np.ndarray, *columns: np.ndarray) -> bytes:
+    """The same for sorted keys and what goes with them: steps are smaller than keys."""
+    return _pack(np.diff(keys, prepend=U(0)), *columns)
+
+
+def _unpack_sorted(blob: bytes) -> list[np.ndarray]:
+    steps, *columns = _unpack(blob)
+    return [np.cumsum(steps, dtype=U), *columns]
+
+
 def _coded(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """The distinct values, most frequent first, and the place of each value among them."""
     values, at, n = np.unique(x, return_inverse=True, return_counts=True)
@@ -160,17 +171,48 @@ def _coded(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return values[order], place[at]
 
 
-def _pack_trigrams(u: np.ndarray, v: np.ndarray, w: np.ndarray, n: np.ndarray) -> bytes:
-    """Words on either side by their places in lists of a block's words: hashes don't compress, small numbers do."""
+class _Words:
+    """A list of words by whose places others are told."""
+
+    def __init__(self, words: np.ndarray):
+        self.words = words
+        self.known, self.first = np.unique(words, return_index=True)
+
+    def places(self, words: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The place of each word, from 1 (0: it isn't there), and the words that aren't."""
+        if not len(self.known):
+            return np.zeros(len(words), U), words
+        at = np.minimum(np.searchsorted(self.known, words), len(self.known) - 1)
+        there = self.known[at] == words
+        return np.where(there, self.first[at] + 1, 0).astype(U), words[~there]
+
+    def back(self, places: np.ndarray, others: np.ndarray) -> np.ndarray:
+        out = np.empty(len(places), U)
+        out[places > 0] = self.words[places[places > 0].astype(np.int64) - 1]
+        out[places == 0] = others
+        return out
+
+
+def _lists(frequent: np.ndarray) -> tuple[_Words, _Words]:
+    """For the first word of a trigram, which counts with 32 bits, and for the last."""
+    return _Words(frequent & LOW32), _Words(frequent)
+
+
+def _pack_trigrams(u: np.ndarray, v: np.ndarray, w: np.ndarray, n: np.ndarray, lists: tuple[_Words, _Words]) -> bytes:
+    """Trigrams in order of v. Words on either side by their places in lists of a block's words, those by theirs in ``lists``:
+    hashes don't compress, small numbers do."""
     (us, u), (ws, w) = _coded(u), _coded(w)
-    blobs = [_pack(u, v, w, n), _pack(us), _pack(ws)]
+    at = _runs(v)
+    blobs = [_pack(u, w, n), _pack_sorted(v[at], np.diff(np.append(at, len(v)))), *map(_pack, (*lists[0].places(us), *lists[1].places(ws)))]
     return np.array([len(x) for x in blobs], "<i8").tobytes() + b"".join(blobs)
 
 
-def _unpack_trigrams(blob: bytes) -> list[np.ndarray]:
-    ends = 24 + np.cumsum(np.frombuffer(blob, "<i8", 3))
-    (u, v, w, n), (us,), (ws,) = (_unpack(blob[a:b]) for a, b in zip([24, *ends[:-1]], ends))
-    return [us[u.astype(np.int64)], v, ws[w.astype(np.int64)], n]
+def _unpack_trigrams(blob: bytes, lists: tuple[_Words, _Words]) -> list[np.ndarray]:
+    ends = 48 + np.cumsum(np.frombuffer(blob, "<i8", 6))
+    first, middle, *rest = (blob[x:y] for x, y in zip([48, *ends[:-1]], ends))
+    (u, w, n), (v, times), ((a,), (b,), (c,), (d,)) = _unpack(first), _unpack_sorted(middle), map(_unpack, rest)
+    us, ws = lists[0].back(a, b), lists[1].back(c, d)
+    return [us[u.astype(np.int64)], np.repeat(v, times.astype(np.int64)), ws[w.astype(np.int64)], n]
 
 
 def _joined(blobs: list[bytes], columns: int, unpack=_unpack) -> list[np.ndarray]:
@@ -190,9 +232,9 @@ def _rows(out: list[tuple]) -> pd.DataFrame:
     return pd.DataFrame(out, columns=["part", "kind", "payload"])
 
 
-def _count_blocks(bits: int, hot: np.ndarray):
+def _count_blocks(bits: int, hot: np.ndarray, frequent: np.ndarray = np.zeros(0, U)):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hashes, held, size = _Hashes(), [], 0
+        hashes, lists, held, size = _Hashes(), _lists(frequent), [], 0
 
         def block(parts: list[np.ndarray]) -> pa.RecordBatch:
             t = np.concatenate(parts)
@@ -209,8 +251,8 @@ def _count_blocks(bits: int, hot: np.ndarray):
             out = []
             for part, a, b in _cut(key, 64 - bits):
                 near = a + np.argsort((v[a:b] << U(16)) | (w[a:b] >> U(32)))  # words in order need fewer bytes
-                out.append((part, "trigram", _pack_trigrams(u[near], v[near], w[near], n[near])))
-            out += [(part, "base", _pack(words[a:b], times[a:b].astype(U))) for part, a, b in _cut(words, 64 - bits)]
+                out.append((part, "trigram", _pack_trigrams(u[near], v[near], w[near], n[near], lists)))
+            out += [(part, "base", _pack_sorted(words[a:b], times[a:b].astype(U))) for part, a, b in _cut(words, 64 - bits)]
             parts, kinds, payloads = zip(*out)
             return pa.RecordBatch.from_arrays([pa.array(parts, pa.int64()), pa.array(kinds), pa.array(payloads, pa.binary())], ["part", "kind", "payload"])
 
@@ -237,11 +279,13 @@ def _split(keys: np.ndarray, bits: int) -> list[np.ndarray]:
     """Sorted keys of 64 bits that agree in the first ``bits``, as three arrays, with no bit lost: where the keys of each value of the bits up to
     the 24th begin, then 32 and 8 bits of each. Few keys stay whole, as the second array."""
     lead = CONTEXT_BITS - bits
-    if 4 * ((1 << lead) + 1) >= 3 * len(keys) or len(keys) >> 32:
+    if (2 if lead >= 8 else 4) * ((1 << lead) + 1) >= 3 * len(keys) or len(keys) >> 32:
         return [np.zeros(0, np.uint32), keys, np.zeros(0, np.uint8)]
     first = ((keys >> REST) & U((1 << lead) - 1)).astype(np.int64)
-    starts = np.append(0, np.cumsum(np.bincount(first, minlength=1 << lead)))
-    return [starts.astype(np.uint32), ((keys >> LAST) & LOW32).astype(np.uint32), (keys & U(255)).astype(np.uint8)]
+    starts = np.append(0, np.cumsum(np.bincount(first, minlength=1 << lead))).astype(np.uint32)
+    if lead >= 8 and len(fine := starts - np.repeat(starts[::256], 256)[: len(starts)]) and fine.max() < 1 << 16:
+        starts = np.concatenate([fine.astype("<u2"), starts[::256].astype("<u4").view("<u2")])  # from the start of each 256
+    return [starts, ((keys >> LAST) & LOW32).astype(np.uint32), (keys & U(255)).astype(np.uint8)]
 
 
 def _places(found: list[np.ndarray], keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -251,8 +295,14 @@ def _places(found: list[np.ndarray], keys: np.ndarray) -> tuple[np.ndarray, np.n
         place = np.minimum(np.searchsorted(middle, keys), len(middle) - 1)
         hit = np.flatnonzero(middle[place] == keys) if len(middle) else np.zeros(0, int)
         return hit, place[hit]
-    first = ((keys >> REST) & U(len(starts) - 2)).astype(np.int64)
-    low, end = starts[first].astype(np.int64), starts[first + 1].astype(np.int64)
+    if starts.itemsize == 2:
+        size = 1 << ((len(starts) - 1).bit_length() - 1)  # then one more, and the starts of each 256 in twice two bytes
+        fine, coarse = starts[: size + 1], starts[size + 1 :].reshape(-1, 2)
+        first = ((keys >> REST) & U(size - 1)).astype(np.int64)
+        low, end = (fine[x].astype(np.int64) + coarse[x >> 8, 0] + (coarse[x >> 8, 1].astype(np.int64) << 16) for x in (first, first + 1))
+    else:
+        first = ((keys >> REST) & U(len(starts) - 2)).astype(np.int64)
+        low, end = starts[first].astype(np.int64), starts[first + 1].astype(np.int64)
     high, mid, byte = end, ((keys >> LAST) & LOW32).astype(np.uint32), (keys & U(255)).astype(np.uint8)
     for _ in range(int((end - low).max(initial=0)).bit_length()):
         at = (low + high) >> 1
@@ -286,9 +336,9 @@ def _write_contexts(path: str, contexts: tuple[np.ndarray, ...], bits: int, leas
     _write(path, keys, total, kinds, two + U(1), more + U(1), bits=bits)
 
 
-def _store_ngrams(root: str, bits: int, hot: np.ndarray, least: int):
+def _store_ngrams(root: str, bits: int, hot: np.ndarray, frequent: np.ndarray, least: int):
     def base(part: int, blobs: list[bytes]) -> pd.DataFrame:
-        words, n = _summed(*_joined(blobs, 2))
+        words, n = _summed(*_joined(blobs, 2, _unpack_sorted))
         _write(f"{root}/base/{part}", words, n, bits=bits)
         return _rows([(part, "base", _pack(np.array([len(words)], U), np.array([int(n.sum())], U)))])
 
@@ -299,7 +349,8 @@ def _store_ngrams(root: str, bits: int, hot: np.ndarray, least: int):
         part = int(key[0])
         if key[1] == "base":
             return base(part, pdf["payload"].tolist())
-        u, v, w, n = _joined(pdf["payload"].tolist(), 4, _unpack_trigrams)
+        lists = _lists(frequent)
+        u, v, w, n = _joined(pdf["payload"].tolist(), 4, lambda x: _unpack_trigrams(x, lists))
         keys = trigram_keys(u, v, w, hot, bits)
         order = np.argsort(keys)
         keys = keys[order]
@@ -325,7 +376,7 @@ def _store_ngrams(root: str, bits: int, hot: np.ndarray, least: int):
         classes = np.array([[int((n == k).sum()) for k in (1, 2, 3, 4)] + [int((before == k).sum()) for k in (1, 2, 3, 4)]], U).T
         out = [(part, "classes", _pack(*classes))]
         for kind, columns, shift in (("follow", follow, WORD_BITS - bits), ("word", words, WORD_BITS - bits), ("context", contexts, 64 - bits)):
-            out += [(p, kind, _pack(*(x[a:b] for x in columns))) for p, a, b in _cut(columns[0], shift)]
+            out += [(p, kind, _pack_sorted(*(x[a:b] for x in columns))) for p, a, b in _cut(columns[0], shift)]
         return _rows(out)
 
     return run
@@ -334,14 +385,14 @@ def _store_ngrams(root: str, bits: int, hot: np.ndarray, least: int):
 def _store_words(root: str, bits: int, least: int):
     def run(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
         by = {k: g["payload"].tolist() for k, g in pdf.groupby("kind")}
-        w, a, c = _summed(*_joined(by.get("word", []), 3))
-        v, total, one, two, more = _summed(*_joined(by.get("follow", []), 5))
+        w, a, c = _summed(*_joined(by.get("word", []), 3, _unpack_sorted))
+        v, total, one, two, more = _summed(*_joined(by.get("follow", []), 5, _unpack_sorted))
         every = np.union1d(w, v)
         cols = np.zeros((6, len(every)), np.int64)
         cols[0:2, np.searchsorted(every, w)] = a, c
         cols[2:6, np.searchsorted(every, v)] = total, one, two, more
         _write(f"{root}/words/{int(key[0])}", every, *cols)
-        _write_contexts(f"{root}/hot_contexts/{int(key[0])}", _summed(*_joined(by.get("context", []), 5)), bits, least)
+        _write_contexts(f"{root}/hot_contexts/{int(key[0])}", _summed(*_joined(by.get("context", []), 5, _unpack_sorted)), bits, least)
         classes = [_unpack(x) for x in by.get("classes", [])]
         n = [sum(int(x[k][0]) for x in classes) for k in range(8)]
         m = [int((a == k).sum()) for k in (1, 2, 3, 4)]
@@ -375,6 +426,10 @@ class TrigramModel:
         return df.select(*id_cols, text.alias("_text")).mapInArrow(_scorer(self.root, self.bits, self.hot, dict(self.sums), self.least, len(id_cols)), schema)
 
 
+def _sampled(text: Column, size: int) -> Column:
+    return F.pmod(F.xxhash64(text), F.lit(1_000_000)) < F.lit(int(1_000_000 * min(1.0, SAMPLE_BYTES / max(1, size))))
+
+
 def common_words(df: DataFrame, text: Column, size: int, bits: int) -> np.ndarray:
     """Hashes, sorted, of words with more than a range's share of a sample of SAMPLE_BYTES or so, and of the start."""
 
@@ -386,13 +441,27 @@ def common_words(df: DataFrame, text: Column, size: int, bits: int) -> np.ndarra
             often = n * (4 << bits) > n.sum()  # others can't reach a quarter of the share here
             yield pa.RecordBatch.from_arrays([pa.array([*word[often].view(np.int64), -1]), pa.array([*n[often], n.sum()], pa.int64())], ["word", "n"])
 
-    part = F.pmod(F.xxhash64(text), F.lit(1_000_000)) < F.lit(int(1_000_000 * min(1.0, SAMPLE_BYTES / max(1, size))))
-    found = df.where(part).select(text.alias("text")).mapInArrow(count, "word long, n long").groupBy("word").agg(F.sum("n").alias("n"))
+    found = df.where(_sampled(text, size)).select(text.alias("text")).mapInArrow(count, "word long, n long").groupBy("word").agg(F.sum("n").alias("n"))
     total = found.where("word = -1").agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
     rows = found.where((F.col("word") >= 0) & (F.col("n") * F.lit(1 << bits) > F.lit(total))).select("word").collect()  # fewer than ranges
     return np.unique(np.array([START, *(r.word for r in rows)], np.int64)).view(U)
 
 
+def frequent_words(df: DataFrame, text: Column, size: int) -> np.ndarray:
+    """Hashes of the most frequent words of a sample of SAMPLE_BYTES or so, ``LISTED`` at most, by falling count."""
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        hashes = _Hashes()
+        for batch in batches:
+            parts = [_tokens(x.as_py(), hashes) >> CUT for x in batch.column(0)]
+            word, n = np.unique(np.concatenate(parts) if parts else np.zeros(0, U), return_counts=True)
+            yield pa.RecordBatch.from_arrays([pa.array(word.view(np.int64)), pa.array(n, pa.int64())], ["word", "n"])
+
+    found = df.where(_sampled(text, size)).select(text.alias("text")).mapInArrow(count, "word long, n long").groupBy("word").agg(F.sum("n").alias("n"))
+    rows = found.where("n > 1").orderBy(F.col("n").desc(), "word").limit(LISTED).collect()
+    return np.array([r.word for r in rows], np.int64).view(U)
+
+
 def fit(df: DataFrame, text: Column, least: int = 2) -> TrigramModel:
     """Count every row of ``df`` and store the model in the shared folder; trigrams of ``least`` occurrences are kept (1: all)."""
     spark = df.sparkSession
@@ -400,8 +469,9 @@ def fit(df: DataFrame, text: Column, least: int = 2) -> TrigramModel:
     bits = min(CONTEXT_BITS, max(1, (size // RANGE_BYTES).bit_length()))
     root = scratch(spark, "trigrams")
     hot = common_words(df, text, size, bits)
-    blocks = df.select(text.alias("text")).mapInArrow(_count_blocks(bits, hot), "part long, kind string, payload binary")
-    stored = blocks.groupBy("part", "kind").applyInPandas(_store_ngrams(root, bits, hot, least), "part long, kind string, payload binary")
+    frequent = frequent_words(df, text, size)
+    blocks = df.select(text.alias("text")).mapInArrow(_count_blocks(bits, hot, frequent), "part long, kind string, payload binary")
+    stored = blocks.groupBy("part", "kind").applyInPandas(_store_ngrams(root, bits, hot, frequent, least), "part long, kind string, payload binary")
     sums = stored.groupBy("part").applyInPandas(_store_words(root, bits, least), ", ".join(f"{c} long" for c in SUMS))
     row = sums.agg(*[F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in SUMS]).first()
     return TrigramModel(root, bits, hot, row.asDict(), least)

@@ -512,6 +512,35 @@ def test_split_keys_are_found_and_take_less():
     assert ngram_lm._places(few, keys[3:9])[0].tolist() == [0, 1] and not len(few[0])
 
 
+def test_index_of_keys_takes_two_bytes():
+    rng = np.random.default_rng(11)
+    for lead, n in ((17, 300_000), (10, 90_000), (8, 30_000), (8, 300)):
+        bits = 24 - lead
+        keys = np.unique((rng.integers(0, 1 << 63, n, np.uint64) & np.uint64((1 << (64 - bits)) - 1)) | np.uint64(1 << (64 - bits)))
+        stored = ngram_lm._split(keys[::2], bits)
+        assert stored[0].nbytes < 2.1 * (1 << lead)
+        hit, place = ngram_lm._places(stored, keys)
+        assert (hit == np.arange(0, len(keys), 2)).all() and (place == np.arange(len(keys[::2]))).all()
+    crowded = np.uint64(1 << 62) + np.arange(200_000, dtype=np.uint64)
+    assert ngram_lm._split(crowded, 8)[0].itemsize == 4 and len(ngram_lm._places(ngram_lm._split(crowded, 8), crowded)[0]) == len(crowded)
+
+
+def test_packed_trigrams_come_back_and_frequent_words_take_less():
+    rng = np.random.default_rng(8)
+    words = rng.integers(0, 1 << 48, 4000, np.uint64)
+    words[1] = words[0] ^ np.uint64(1 << 40)  # the same 32 bits
+    u, v, w = (words[np.minimum(rng.zipf(1.3, 9000), 4000) - 1] for _ in range(3))
+    order = np.argsort(v)
+    u, v, w, n = u[order] & ngram_lm.LOW32, v[order], w[order], rng.integers(1, 9, 9000).astype(np.uint64)
+    sizes = []
+    for frequent in (np.zeros(0, np.uint64), words[:3000], words):
+        lists = ngram_lm._lists(frequent)
+        packed = ngram_lm._pack_trigrams(u, v, w, n, lists)
+        assert all((a == b).all() for a, b in zip(ngram_lm._unpack_trigrams(packed, lists), (u, v, w, n)))
+        sizes.append(len(packed))
+    assert sizes[2] < sizes[1] < 0.85 * sizes[0]
+
+
 def test_whole_model_writes_no_context_that_occurs_once(spark):
     df = spark.createDataFrame([(1, "a b c d e f"), (2, "a b c x y z")], "doc_id long, text string")
     model = ngram_lm.fit(df, F.col("text"), least=1)
