@@ -130,3 +130,25 @@ def test_frequent_values_are_looked_up_once(spark):
     assert sorted((r.kind, r.raw or "", r.normalized or "") for r in out.collect()) == [("credential", "g", "g"), ("phone", "", ""), ("phone", "", "x")]
     plan = out._jdf.queryExecution().optimizedPlan().toString()
     assert plan.count("Join LeftAnti") == 1 and plan.count("Join LeftSemi") == 2
+
+
+def test_cards_beside_other_numbers(spark, tmp_path):
+    """A card with its digits together is found in a row of numbers too long for a card, whatever stands beside it; the digits of a neighbour are no part of it."""
+    card, other = "4913187196670932", "4111111111111111"
+    by_chance = f"{other} {next(d for d in range(10, 100) if _luhn(f'{other}{d}'))} 555 1"
+    texts = [
+        f"+1 (836) 555-9331 {card} 53.121.55.90 que", f"10.1.1.42 {card} {other} ok", f"1.1.1.142 {card} 53.1.1.1", f"555-9331 {card}", f"12 {card}-7 {other} 1", f"x {card} 12345", by_chance,
+        f"4111 1111 1111 1111 {other}", "4111 1111 1111 1111 4111 1111 1111 1111", f"1234567 {card}x", f"{other}",
+        "2024-01-02 2024-01-02 5565353822931514", "+1 (641) 555-9331 4111 1111 1111 1111 53.1.1.1",
+    ]
+    spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = {}
+    for r in catalog.queries()["detect_cards"](spark, str(tmp_path)).orderBy("start").collect():
+        assert texts[r.doc_id][r.start : r.end] == r.raw
+        got.setdefault(r.doc_id, []).append(r.raw)
+    spaced = "4111 1111 1111 1111"
+    assert got == {0: [card], 1: [card, other], 2: [card], 3: [card], 4: [other], 5: [card], 6: [other], 7: [spaced, other], 8: [spaced, spaced], 10: [other], 11: ["5565353822931514"], 12: [spaced]}
+
+
+def _luhn(digits: str) -> bool:
+    return sum(int(d) if i % 2 == 0 else sum(divmod(2 * int(d), 10)) for i, d in enumerate(reversed(digits))) % 10 == 0
