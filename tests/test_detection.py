@@ -152,3 +152,15 @@ def test_cards_beside_other_numbers(spark, tmp_path):
 
 def _luhn(digits: str) -> bool:
     return sum(int(d) if i % 2 == 0 else sum(divmod(2 * int(d), 10)) for i, d in enumerate(reversed(digits))) % 10 == 0
+
+
+def test_cards_give_digits_of_an_address_up(spark):
+    """An address takes the digits it shares with a card; what is left is still a card. A rest that is none goes, as before."""
+    texts = ["x 38.211.12.42 4366089147969128 y", "x 4495589438270767 42.73.240.87 y", "x 38.211.12.42 4366089147969127 y", "password=\"a 4495589438270767 42.73.240.87\" y"]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id int, text string")
+    got = {}
+    for r in resolve.select_spans(spans.detect(docs, ["doc_id"], "text"), ["doc_id"]).orderBy("start").collect():
+        assert texts[r.doc_id][r.start : r.end] == r.raw
+        got.setdefault(r.doc_id, []).append((r.kind, r.normalized))
+    ip, card = ("ipv4", "38.211.12.42"), ("bank_card", "4366089147969128")
+    assert got == {0: [ip, card], 1: [("bank_card", "4495589438270767"), ("ipv4", "42.73.240.87")], 2: [ip], 3: [("credential", "a 4495589438270767 42.73.240.87")]}
